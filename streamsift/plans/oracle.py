@@ -76,3 +76,70 @@ def fragments_sql(width_us: int, max_flow_len: int) -> str:
     return fragments_cte(width_us, max_flow_len) + f"""
     SELECT capture_id, src, sport, dst, dport, proto, window_start_us, CAST(pos AS INTEGER) AS pos, seq,
            {cols}, label FROM frag"""
+
+
+# ---------------------------------------------------------------- decayed statistics
+LAMS_SQL = "(SELECT unnest([5.0, 3.0, 1.0, 0.1, 0.01]::DOUBLE[]) AS lam)"
+VAR_EPS = 1e-9
+
+
+def _decay_sums_sql(base: str, key: str, value: str = "v") -> str:
+    """Self-join definition: sums over earlier rows of the key, decayed from
+    each row's running max T to the current row's T."""
+    dec = "pow(2.0, -l.lam * (a.tmax - b.tmax))"
+    return f"""SELECT a.seq, l.lam, sum({dec}) AS w, sum(b.{value} * {dec}) AS cf1,
+                      sum(b.{value} * b.{value} * {dec}) AS cf2
+               FROM {base} a JOIN {base} b ON a.{key} = b.{key} AND b.seq <= a.seq, {LAMS_SQL} l
+               GROUP BY a.seq, l.lam"""
+
+
+def _mean_var_sql(prefix: str = "") -> tuple[str, str]:
+    mean = f"({prefix}cf1 / {prefix}w)"
+    raw = f"abs({prefix}cf2 / {prefix}w - {mean} * {mean})"
+    var = f"(CASE WHEN {raw} <= {VAR_EPS!r} * {mean} * {mean} THEN 0.0 ELSE {raw} END)"
+    return mean, var
+
+
+def decay_1d_sql(source: str, key_expr: str, value_expr: str, where: str = "true",
+                 jitter: bool = False, digits=(4, 3, 1)) -> str:
+    """W5/W6 oracle. ``source`` is a full SELECT with seq and t columns."""
+    v = "v" if not jitter else "coalesce(greatest(t - tprev, 0.0), 0.0)"
+    mean, var = _mean_var_sql()
+    return f"""WITH src AS ({source}),
+    raw AS (SELECT {key_expr} AS k, seq, t, CAST({value_expr} AS DOUBLE) AS v0 FROM src WHERE {where}),
+    tt AS (SELECT *, max(t) OVER (PARTITION BY k ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tmax,
+                  max(t) OVER (PARTITION BY k ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS tprev
+           FROM raw),
+    base AS (SELECT k, seq, t, tmax, {'v0' if not jitter else v} AS v FROM tt),
+    s AS ({_decay_sums_sql('base', 'k')})
+    SELECT seq, lam, {rnd_sql('w', digits[0])} AS w, {rnd_sql(mean, digits[1])} AS mean,
+           {rnd_sql(var, digits[2])} AS var FROM s"""
+
+
+def decay_2d_sql(source: str, src_expr: str, dst_expr: str, value_expr: str, where: str = "true") -> str:
+    """W7 oracle: sender/receiver streams, then the pair's residual products."""
+    mo, vo = _mean_var_sql("o.")
+    mi, vi = _mean_var_sql("i.")
+    dec = "pow(2.0, -l.lam * (a.tmax - b.tmax))"
+    return f"""WITH src AS ({source}),
+    raw AS (SELECT {src_expr} AS s, {dst_expr} AS d, seq, t, CAST({value_expr} AS DOUBLE) AS v FROM src WHERE {where}),
+    bo AS (SELECT s AS k, seq, v, max(t) OVER (PARTITION BY s ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tmax FROM raw),
+    bi AS (SELECT d AS k, seq, v, max(t) OVER (PARTITION BY d ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tmax FROM raw),
+    so AS ({_decay_sums_sql('bo', 'k')}),
+    si AS ({_decay_sums_sql('bi', 'k')}),
+    st AS (SELECT o.seq, o.lam, {mo} AS mean_o, {vo} AS var_o, {mi} AS mean_i, {vi} AS var_i
+           FROM so o JOIN si i USING (seq, lam)),
+    pr AS (SELECT r.s || '|' || r.d AS pk, r.seq, st.lam, (r.v - st.mean_o) * (r.v - st.mean_i) AS res,
+                  max(r.t) OVER (PARTITION BY r.s, r.d, st.lam ORDER BY r.seq
+                                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tmax
+           FROM raw r JOIN st USING (seq)),
+    pc AS (SELECT a.seq, a.lam, sum(pow(2.0, -a.lam * (a.tmax - b.tmax))) AS w3,
+                  sum(b.res * pow(2.0, -a.lam * (a.tmax - b.tmax))) AS cf3
+           FROM pr a JOIN pr b ON a.pk = b.pk AND a.lam = b.lam AND b.seq <= a.seq
+           GROUP BY a.seq, a.lam),
+    fin AS (SELECT st.seq, st.lam, sqrt(var_o + var_i) AS radius, sqrt(mean_o * mean_o + mean_i * mean_i) AS magnitude,
+                   cf3 / w3 AS cov, sqrt(var_o) * sqrt(var_i) AS ss
+            FROM st JOIN pc USING (seq, lam))
+    SELECT seq, lam, {rnd_sql('radius', 3)} AS radius, {rnd_sql('magnitude', 3)} AS magnitude,
+           {rnd_sql('cov', 1)} AS cov, {rnd_sql('CASE WHEN ss <> 0 THEN cov / ss ELSE 0.0 END', 3)} AS pcc
+    FROM fin"""

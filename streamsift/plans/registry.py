@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rnd
+from ..operators import decay as DC
 from ..operators import flows as FL
 from ..operators.windows import anchored_windows
 from ..sources import tables as TB
@@ -20,6 +21,7 @@ from . import oracle as O
 DAY_US = 86_400_000_000
 HOUR_US = 3_600_000_000
 MAX_FLOW_LEN = 10
+ORDERS_DIGITS = (4, 2, -2)
 
 
 def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,8 +52,47 @@ def q_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "seq", *[rnd(f"f{i}", 6).alias(f"f{i}") for i in range(11)], "label")
 
 
+def _ip_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TB.packets_from_events(spark, sf_dir).where(F.col("accepted"))
+
+
+def _round_1d(d: DataFrame, digits=(4, 3, 1)) -> DataFrame:
+    return d.select("seq", "lam", rnd("w", digits[0]).alias("w"), rnd("mean", digits[1]).alias("mean"),
+                    rnd("var", digits[2]).alias("var"))
+
+
+def q_decay_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _ip_rows(spark, sf_dir).select(F.col("src_ip").alias("k"), "seq", "t", F.col("frame_len").alias("v"))
+    return _round_1d(DC.decayed_stats_1d(rows, ["k"]))
+
+
+def q_decay_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # prices are ~1e5, variances ~1e10: compare on a grid matching that scale
+    return _round_1d(DC.decayed_stats_1d(TB.keyed_values_from_orders(spark, sf_dir), ["key"]), ORDERS_DIGITS)
+
+
+def q_jitter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _ip_rows(spark, sf_dir).select(F.concat_ws("|", "src_ip", "dst_ip").alias("k"), "seq", "t",
+                                          F.lit(0.0).alias("v"))
+    return _round_1d(DC.decayed_stats_1d(rows, ["k"], jitter=True))
+
+
+def q_decay_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _ip_rows(spark, sf_dir).select("src_ip", "dst_ip", "seq", "t", F.col("frame_len").alias("v"))
+    d = DC.pair_stats_2d(rows, "src_ip", "dst_ip")
+    return d.select("seq", "lam", rnd("radius", 3).alias("radius"), rnd("magnitude", 3).alias("magnitude"),
+                    rnd("cov", 1).alias("cov"), rnd("pcc", 3).alias("pcc"))
+
+
+_PK = TB.packets_from_events_sql()
+
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "flow_counts": (q_flow_counts, O.flow_counts_sql(DAY_US, MAX_FLOW_LEN)),
     "anchored_windows": (q_anchored_windows, O.windows_sql(HOUR_US)),
     "fragments": (q_fragments, O.fragments_sql(HOUR_US, MAX_FLOW_LEN)),
+    "decay_1d": (q_decay_1d, O.decay_1d_sql(_PK, "src_ip", "frame_len", "accepted")),
+    "decay_out_of_order": (q_decay_out_of_order, O.decay_1d_sql(TB.keyed_values_from_orders_sql(), "key", "v",
+                                                              digits=ORDERS_DIGITS)),
+    "jitter": (q_jitter, O.decay_1d_sql(_PK, "src_ip || '|' || dst_ip", "0.0", "accepted", jitter=True)),
+    "decay_2d": (q_decay_2d, O.decay_2d_sql(_PK, "src_ip", "dst_ip", "frame_len", "accepted")),
 }
