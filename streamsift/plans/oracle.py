@@ -143,3 +143,113 @@ def decay_2d_sql(source: str, src_expr: str, dst_expr: str, value_expr: str, whe
     SELECT seq, lam, {rnd_sql('radius', 3)} AS radius, {rnd_sql('magnitude', 3)} AS magnitude,
            {rnd_sql('cov', 1)} AS cov, {rnd_sql('CASE WHEN ss <> 0 THEN cov / ss ELSE 0.0 END', 3)} AS pcc
     FROM fin"""
+
+
+# ---------------------------------------------------------------- dataset preparation
+FRAG_COLS = "capture_id, src, sport, dst, dport, proto, window_start_us"
+
+
+def _scaled_cols(mins, maxs) -> str:
+    out = []
+    for i, (lo, hi) in enumerate(zip(mins, maxs)):
+        rng = float(hi) - float(lo)
+        out.append(f"(1.0 - (1.0 * ({float(hi)!r} - f{i})) / {rng!r}) AS f{i}")
+    return ", ".join(out)
+
+
+def normalized_cte(width_us: int, n: int, mins, maxs) -> str:
+    return fragments_cte(width_us, n) + f""",
+    scaled AS (SELECT {FRAG_COLS}, pos, label, {_scaled_cols(mins, maxs)} FROM frag),
+    frags AS (SELECT DISTINCT {FRAG_COLS}, label FROM frag),
+    grid AS (SELECT f.*, CAST(g.pos AS INTEGER) AS pos FROM frags f, generate_series(1, {int(n)}) g(pos)),
+    padded AS (SELECT g.{FRAG_COLS.replace(', ', ', g.')}, g.pos, g.label,
+                      {', '.join(f'coalesce(s.f{i}, 0.0) AS f{i}' for i in range(11))}
+               FROM grid g LEFT JOIN scaled s USING ({FRAG_COLS}, pos))"""
+
+
+def normalized_fragments_sql(width_us: int, n: int, mins, maxs) -> str:
+    cols = ", ".join(f"{rnd_sql(f'f{i}', 6)} AS f{i}" for i in range(11))
+    return normalized_cte(width_us, n, mins, maxs) + f"""
+    SELECT {FRAG_COLS}, pos, label, {cols} FROM padded"""
+
+
+def packet_counts_sql(width_us: int, n: int, mins, maxs) -> str:
+    nz = " + ".join(f"f{i}" for i in range(11))
+    return normalized_cte(width_us, n, mins, maxs) + f""",
+    c AS (SELECT CASE WHEN label > 0 THEN 'ddos' ELSE 'benign' END AS traffic_class,
+                 CASE WHEN (0.0 + {nz}) <> 0 THEN 1 ELSE 0 END AS p FROM padded)
+    SELECT traffic_class, CAST(sum(p) AS BIGINT) AS packets, CAST(count(*) AS BIGINT) AS rows FROM c GROUP BY 1
+    UNION ALL SELECT 'total', CAST(sum(p) AS BIGINT), CAST(count(*) AS BIGINT) FROM c"""
+
+
+def feature_bounds_sql(width_us: int, n: int, time_window: float) -> str:
+    parts = []
+    for i in range(11):
+        lo = "min(0.0)" if i == 0 else f"min(f{i})"
+        hi = f"max({float(time_window)!r})" if i == 0 else f"greatest(max(f{i}), 0.0)"
+        parts.append(f"SELECT {i} AS feature, {rnd_sql(lo, 4)} AS min, {rnd_sql(hi, 4)} AS max FROM frag")
+    return fragments_cte(width_us, n) + "\n    " + "\n    UNION ALL ".join(parts)
+
+
+def flow_vectors_sql(width_us: int, n: int) -> str:
+    flag_names = [("ack", 4), ("cwr", 7), ("ece", 6), ("fin", 0), ("push", 3), ("res", 9),
+                  ("reset", 2), ("syn", 1), ("urg", 5)]
+    tcp = ", ".join(f"{rnd_sql(f'CAST(sum((CAST(f7 AS BIGINT) >> {b}) & 1) AS DOUBLE)', 4)} AS v{8 + i}"
+                    for i, (_, b) in enumerate(flag_names))
+    return fragments_cte(width_us, n) + f"""
+    SELECT {FRAG_COLS},
+           {rnd_sql('(arg_max(f0, pos) - arg_min(f0, pos)) / count(*)', 4)} AS v0,
+           {rnd_sql('avg(f1)', 4)} AS v1,
+           {rnd_sql('CAST(sum((CAST(f3 AS BIGINT) >> 14) & 1) AS DOUBLE)', 4)} AS v2,
+           {rnd_sql('CAST(sum((CAST(f3 AS BIGINT) >> 13) & 1) AS DOUBLE)', 4)} AS v3,
+           {rnd_sql('CAST(sum((CAST(f3 AS BIGINT) >> 15) & 1) AS DOUBLE)', 4)} AS v4,
+           {rnd_sql('avg(CAST(f3 AS BIGINT) & 8191)', 4)} AS v5,
+           {rnd_sql('avg(f4)', 4)} AS v6, {rnd_sql('avg(f5)', 4)} AS v7, {tcp},
+           {rnd_sql('avg(f8)', 4)} AS v17, {rnd_sql('avg(f9)', 4)} AS v18, {rnd_sql('avg(f10)', 4)} AS v19,
+           {rnd_sql('CAST(count(*) AS DOUBLE)', 4)} AS v20, max(label) AS label
+    FROM frag GROUP BY ALL"""
+
+
+def _flows_cte() -> str:
+    return """flows AS (SELECT capture_id, src, sport, dst, dport, proto,
+                      CAST(count(DISTINCT window_start_us) AS BIGINT) AS fragments, max(label) AS label
+               FROM frag GROUP BY capture_id, src, sport, dst, dport, proto)"""
+
+
+def _hk(seed: int) -> str:
+    return (f"md5('{seed}|' || capture_id || '|' || src || '|' || CAST(sport AS VARCHAR) || '|' || dst || '|' "
+            f"|| CAST(dport AS VARCHAR) || '|' || CAST(proto AS VARCHAR))")
+
+
+def balanced_cte(width_us: int, n: int) -> str:
+    return fragments_cte(width_us, n) + f""",
+    {_flows_cte()},
+    tot AS (SELECT sum(CASE WHEN label > 0 THEN fragments ELSE 0 END) AS dd,
+                   sum(CASE WHEN label > 0 THEN 0 ELSE fragments END) AS bb FROM flows),
+    lim AS (SELECT CASE WHEN dd = 0 OR bb = 0 THEN 'Infinity'::DOUBLE
+                        ELSE least(CAST(dd AS DOUBLE), CAST(bb AS DOUBLE)) END AS lim FROM tot),
+    ordered AS (SELECT *, coalesce(sum(fragments) OVER (PARTITION BY (label > 0) ORDER BY {_hk(1)}
+                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cum FROM flows),
+    balanced AS (SELECT capture_id, src, sport, dst, dport, proto, fragments, label
+                 FROM ordered, lim WHERE cum < lim.lim)"""
+
+
+def balanced_flows_sql(width_us: int, n: int) -> str:
+    return balanced_cte(width_us, n) + "\n    SELECT * FROM balanced"
+
+
+def dataset_split_sql(width_us: int, n: int, train_size: float = 0.9) -> str:
+    return balanced_cte(width_us, n) + f""",
+    t1 AS (SELECT sum(fragments) AS tot FROM balanced),
+    s1 AS (SELECT b.*, coalesce(sum(fragments) OVER (ORDER BY {_hk(2)} ROWS BETWEEN UNBOUNDED PRECEDING
+                  AND 1 PRECEDING), 0) AS cum FROM balanced b),
+    a1 AS (SELECT s1.*, CASE WHEN cum < (t1.tot - t1.tot * {train_size!r}) THEN 'test' ELSE 'train' END AS split
+           FROM s1, t1),
+    rest AS (SELECT * EXCLUDE (cum, split) FROM a1 WHERE split = 'train'),
+    t2 AS (SELECT sum(fragments) AS tot FROM rest),
+    s2 AS (SELECT r.*, coalesce(sum(fragments) OVER (ORDER BY {_hk(3)} ROWS BETWEEN UNBOUNDED PRECEDING
+                  AND 1 PRECEDING), 0) AS cum FROM rest r),
+    a2 AS (SELECT s2.*, CASE WHEN cum < (t2.tot - t2.tot * {train_size!r}) THEN 'val' ELSE 'train' END AS split
+           FROM s2, t2)
+    SELECT capture_id, src, sport, dst, dport, proto, fragments, label, split FROM a1 WHERE split = 'test'
+    UNION ALL SELECT capture_id, src, sport, dst, dport, proto, fragments, label, split FROM a2"""

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rnd
+from ..functions import packet as P
+from ..operators import dataset as DS
 from ..operators import decay as DC
 from ..operators import flows as FL
 from ..operators.windows import anchored_windows
@@ -84,6 +86,59 @@ def q_decay_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
                     rnd("cov", 1).alias("cov"), rnd("pcc", 3).alias("pcc"))
 
 
+TIME_WINDOW_S = HOUR_US / 1e6
+MINS_A, MAXS_A = P.feature_bounds_a(TIME_WINDOW_S)
+
+
+def _normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = fragments(spark, sf_dir, HOUR_US)
+    return DS.pad_long(DS.normalize(f, MINS_A, MAXS_A), MAX_FLOW_LEN)
+
+
+def _flat_flow(d: DataFrame) -> list:
+    return ["capture_id", F.col("flow.src").alias("src"), F.col("flow.sport").alias("sport"),
+            F.col("flow.dst").alias("dst"), F.col("flow.dport").alias("dport"), F.col("flow.proto").alias("proto")]
+
+
+def q_normalized_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _normalized(spark, sf_dir)
+    return d.select(*_flat_flow(d), "window_start_us", "pos", "label", *[rnd(f"f{i}", 6).alias(f"f{i}") for i in range(11)])
+
+
+def q_packet_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _normalized(spark, sf_dir).withColumn("p", DS.count_packets(None)).withColumn(
+        "traffic_class", F.when(F.col("label") > 0, F.lit("ddos")).otherwise(F.lit("benign")))
+    return (d.rollup("traffic_class").agg(F.sum("p").cast("long").alias("packets"), F.count("*").cast("long").alias("rows"))
+            .select(F.coalesce("traffic_class", F.lit("total")).alias("traffic_class"), "packets", "rows"))
+
+
+def q_feature_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = DS.find_min_max(fragments(spark, sf_dir, HOUR_US), TIME_WINDOW_S)
+    return b.select("feature", rnd("min", 4).alias("min"), rnd("max", 4).alias("max"))
+
+
+def q_flow_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = DS.flow_vectors(fragments(spark, sf_dir, HOUR_US))
+    return v.select(*_flat_flow(v), "window_start_us", *[rnd(f"v{i}", 4).alias(f"v{i}") for i in range(21)], "label")
+
+
+def _balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..session import cut_lineage
+    flows = cut_lineage(FL.flow_table(fragments(spark, sf_dir, HOUR_US)))
+    return DS.balance_flows(flows, seed=1)
+
+
+def q_balanced_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _balanced(spark, sf_dir)
+    return b.select(*_flat_flow(b), F.col("fragments").cast("long").alias("fragments"), "label")
+
+
+def q_dataset_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..session import cut_lineage
+    s = DS.split_flows(cut_lineage(_balanced(spark, sf_dir)), 0.9, seeds=(2, 3))
+    return s.select(*_flat_flow(s), F.col("fragments").cast("long").alias("fragments"), "label", "split")
+
+
 _PK = TB.packets_from_events_sql()
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
@@ -94,5 +149,11 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "decay_out_of_order": (q_decay_out_of_order, O.decay_1d_sql(TB.keyed_values_from_orders_sql(), "key", "v",
                                                               digits=ORDERS_DIGITS)),
     "jitter": (q_jitter, O.decay_1d_sql(_PK, "src_ip || '|' || dst_ip", "0.0", "accepted", jitter=True)),
+    "normalized_fragments": (q_normalized_fragments, O.normalized_fragments_sql(HOUR_US, MAX_FLOW_LEN, MINS_A, MAXS_A)),
+    "packet_counts": (q_packet_counts, O.packet_counts_sql(HOUR_US, MAX_FLOW_LEN, MINS_A, MAXS_A)),
+    "feature_bounds": (q_feature_bounds, O.feature_bounds_sql(HOUR_US, MAX_FLOW_LEN, TIME_WINDOW_S)),
+    "flow_vectors": (q_flow_vectors, O.flow_vectors_sql(HOUR_US, MAX_FLOW_LEN)),
+    "balanced_flows": (q_balanced_flows, O.balanced_flows_sql(HOUR_US, MAX_FLOW_LEN)),
+    "dataset_split": (q_dataset_split, O.dataset_split_sql(HOUR_US, MAX_FLOW_LEN)),
     "decay_2d": (q_decay_2d, O.decay_2d_sql(_PK, "src_ip", "dst_ip", "frame_len", "accepted")),
 }
