@@ -253,3 +253,92 @@ def dataset_split_sql(width_us: int, n: int, train_size: float = 0.9) -> str:
            FROM s2, t2)
     SELECT capture_id, src, sport, dst, dport, proto, fragments, label, split FROM a1 WHERE split = 'test'
     UNION ALL SELECT capture_id, src, sport, dst, dport, proto, fragments, label, split FROM a2"""
+
+
+# ---------------------------------------------------------------- metrics and robustness
+def _embed_cte() -> str:
+    z = " + ".join(f"x[{i}]" for i in range(1, 9))
+    return f"""e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, label FROM embeddings),
+    pr AS (SELECT 'probe' AS model, 'part-' || CAST(vec_id % 3 AS VARCHAR) AS source,
+                  CASE WHEN label >= 5 THEN 1 ELSE 0 END AS y,
+                  CASE WHEN 1.0 / (1.0 + exp(-4.0 * ({z}))) > 0.5 THEN 1 ELSE 0 END AS pred FROM e)"""
+
+
+def detection_report_sql() -> str:
+    def r(x, d=6):
+        return rnd_sql(x, d)
+    return f"""WITH {_embed_cte()},
+    c AS (SELECT model, source, sum(CASE WHEN y = 0 AND pred = 0 THEN 1 ELSE 0 END) AS tn,
+                 sum(CASE WHEN y = 0 AND pred = 1 THEN 1 ELSE 0 END) AS fp,
+                 sum(CASE WHEN y = 1 AND pred = 0 THEN 1 ELSE 0 END) AS fn,
+                 sum(CASE WHEN y = 1 AND pred = 1 THEN 1 ELSE 0 END) AS tp,
+                 count(*) AS samples, avg(CAST(pred AS DOUBLE)) AS ddos_pct FROM pr GROUP BY model, source)
+    SELECT model, source, CAST(tn AS BIGINT) AS tn, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn,
+           CAST(tp AS BIGINT) AS tp, CAST(samples AS BIGINT) AS samples, {r('ddos_pct')} AS ddos_pct,
+           {r('CAST(tp + tn AS DOUBLE) / samples')} AS accuracy,
+           {r('CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0.0 END')} AS f1,
+           {r('CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / (tp + fn) END')} AS tpr,
+           {r('CASE WHEN fp + tn > 0 THEN CAST(fp AS DOUBLE) / (fp + tn) END')} AS fpr,
+           {r('CASE WHEN tn + fp > 0 THEN CAST(tn AS DOUBLE) / (tn + fp) END')} AS tnr,
+           {r('CASE WHEN fn + tp > 0 THEN CAST(fn AS DOUBLE) / (fn + tp) END')} AS fnr
+    FROM c"""
+
+
+def _versions_cte(attackers: list[str]) -> str:
+    att = ", ".join(f"'{a}'" for a in attackers)
+    return f"""pk AS ({packets_from_events_sql()}),
+    b AS (SELECT seq, t, src_ip, frame_len AS v FROM pk WHERE accepted),
+    a AS (SELECT seq, t, src_ip, v FROM b
+          UNION ALL SELECT seq + 1000000000, t + {1.0 / 3600.0!r}, src_ip, 60.0 FROM b WHERE src_ip IN ({att})),
+    sb AS (SELECT *, abs(v - avg(v) OVER (PARTITION BY src_ip)) / (stddev_pop(v) OVER (PARTITION BY src_ip) + 1.0)
+                  AS rmse FROM b),
+    sa AS (SELECT *, abs(v - avg(v) OVER (PARTITION BY src_ip)) / (stddev_pop(v) OVER (PARTITION BY src_ip) + 1.0)
+                  AS rmse FROM a)"""
+
+
+def robustness_sql(attackers: list[str], threshold: float) -> str:
+    def r(x, d=6):
+        return rnd_sql(x, d)
+    return f"""WITH {_versions_cte(attackers)},
+    xb AS (SELECT max(t) - min(t) AS dur_before, count(*) AS n_before, avg(rmse) AS mean_before,
+                  sum(CASE WHEN rmse > {threshold!r} THEN 1 ELSE 0 END) AS det_before FROM sb),
+    xa AS (SELECT max(t) - min(t) AS dur_after, count(*) AS n_after, avg(rmse) AS mean_after,
+                  sum(CASE WHEN rmse > {threshold!r} THEN 1 ELSE 0 END) AS det_after FROM sa)
+    SELECT {r('dur_before')} AS dur_before, {r('dur_after')} AS dur_after,
+           {r('(dur_after - dur_before) / dur_before')} AS duration_rate,
+           CAST(n_before AS BIGINT) AS n_before, CAST(n_after AS BIGINT) AS n_after,
+           {r('CAST(n_after - n_before AS DOUBLE) / n_before')} AS size_rate,
+           {r('mean_before')} AS mean_before, {r('mean_after')} AS mean_after,
+           {r('(mean_before - mean_after) / mean_before')} AS score_reduction,
+           CAST(det_before AS BIGINT) AS det_before, CAST(det_after AS BIGINT) AS det_after,
+           {r('CAST(det_before - det_after AS DOUBLE) / det_before')} AS detection_reduction
+    FROM xb, xa"""
+
+
+def score_alignment_sql(attackers: list[str], extend: float = 2.0) -> str:
+    return f"""WITH {_versions_cte(attackers)},
+    j AS (SELECT sb.seq, sb.rmse AS before, sa.rmse AS after FROM sb JOIN sa USING (seq)),
+    m AS (SELECT avg(before) AS mb FROM j)
+    SELECT seq, {rnd_sql('before', 6)} AS before,
+           {rnd_sql(f'CASE WHEN after > before * {extend!r} OR after > m.mb * {extend!r} THEN 0.0 ELSE after END', 6)} AS after,
+           CASE WHEN after > before * {extend!r} OR after > m.mb * {extend!r} THEN 1 ELSE 0 END AS removed
+    FROM j, m"""
+
+
+def reference_distances_sql() -> str:
+    return f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, label FROM embeddings),
+    q AS (SELECT * FROM e WHERE label <> 0), r AS (SELECT * FROM e WHERE label = 0)
+    SELECT q.vec_id, {rnd_sql('min(list_distance(q.x, r.x))', 6)} AS min_dist,
+           {rnd_sql('max(list_distance(q.x, r.x))', 6)} AS max_dist
+    FROM q, r GROUP BY q.vec_id"""
+
+
+def proximity_ratio_sql(shrink: float = 0.5) -> str:
+    return f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, label FROM embeddings),
+    q AS (SELECT * FROM e WHERE label <> 0), r AS (SELECT * FROM e WHERE label = 0),
+    qa AS (SELECT vec_id, list_transform(x, lambda v: v * {shrink!r}) AS x FROM q),
+    db AS (SELECT q.vec_id, max(list_distance(q.x, r.x)) AS d FROM q, r GROUP BY q.vec_id),
+    da AS (SELECT qa.vec_id, min(list_distance(qa.x, r.x)) AS d FROM qa, r GROUP BY qa.vec_id),
+    s AS (SELECT (SELECT sum(d) FROM db) AS org_dis, (SELECT sum(d) FROM da) AS mut_dis)
+    SELECT {rnd_sql('org_dis', 6)} AS org_dis, {rnd_sql('mut_dis', 6)} AS mut_dis,
+           {rnd_sql('1.0 - mut_dis / org_dis', 6)} AS proximity_ratio FROM s"""

@@ -16,6 +16,7 @@ from ..functions import packet as P
 from ..operators import dataset as DS
 from ..operators import decay as DC
 from ..operators import flows as FL
+from ..operators import metrics as MT
 from ..operators.windows import anchored_windows
 from ..sources import tables as TB
 from . import oracle as O
@@ -139,6 +140,72 @@ def q_dataset_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(*_flat_flow(s), F.col("fragments").cast("long").alias("fragments"), "label", "split")
 
 
+def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TB.table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.col("embedding").cast("array<double>").alias("x"), "label")
+
+
+def q_detection_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _embeddings(spark, sf_dir)
+    z = F.lit(0.0)
+    for i in range(8):
+        z = e["x"][i] if i == 0 else z + e["x"][i]
+    p = F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-4.0) * z))
+    preds = e.select(F.lit("probe").alias("model"),
+                     F.concat(F.lit("part-"), (F.col("vec_id") % 3).cast("string")).alias("source"),
+                     F.when(F.col("label") >= 5, 1).otherwise(0).alias("label"),
+                     MT.alert(p, 0.5).alias("pred"))
+    r = MT.confusion_report(preds, ["model", "source"])
+    return r.select("model", "source", "tn", "fp", "fn", "tp", "samples",
+                    *[rnd(c, 6).alias(c) for c in ("ddos_pct", "accuracy", "f1", "tpr", "fpr", "tnr", "fnr")])
+
+
+ROBUST_THRESHOLD = 1.5
+
+
+def _versions(spark: SparkSession, sf_dir: str):
+    b = _ip_rows(spark, sf_dir).select("seq", "t", "src_ip", F.col("frame_len").alias("v"))
+    crafted = (b.where(F.col("src_ip").isin(TB.ATTACKERS))
+               .select((F.col("seq") + F.lit(1_000_000_000)).alias("seq"), (F.col("t") + F.lit(1.0 / 3600.0)).alias("t"),
+                       "src_ip", F.lit(60.0).alias("v")))
+    a = b.unionByName(crafted)
+
+    def score(d):
+        st = d.groupBy("src_ip").agg(F.avg("v").alias("_m"), F.stddev_pop("v").alias("_s"))
+        return (d.join(st, "src_ip").withColumn("rmse", F.abs(F.col("v") - F.col("_m")) / (F.col("_s") + F.lit(1.0)))
+                .drop("_m", "_s"))
+    return score(b), score(a)
+
+
+def q_robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sb, sa = _versions(spark, sf_dir)
+    r = MT.robustness(sb, sa, ROBUST_THRESHOLD)
+    dbl = ["dur_before", "dur_after", "duration_rate", "size_rate", "mean_before", "mean_after", "score_reduction",
+           "detection_reduction"]
+    return r.select(*[rnd(c, 6).alias(c) if c in dbl else F.col(c) for c in r.columns])
+
+
+def q_score_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sb, sa = _versions(spark, sf_dir)
+    j = MT.remove_outliers(MT.align_scores(sb, sa, ["seq"]))
+    return j.select("seq", rnd("before", 6).alias("before"), rnd("after", 6).alias("after"), "removed")
+
+
+def q_reference_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _embeddings(spark, sf_dir)
+    d = MT.reference_distances(e.where(F.col("label") != 0), e.where(F.col("label") == 0), "vec_id", "x")
+    return d.select("vec_id", rnd("min_dist", 6).alias("min_dist"), rnd("max_dist", 6).alias("max_dist"))
+
+
+def q_proximity_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _embeddings(spark, sf_dir)
+    q, ref = e.where(F.col("label") != 0), e.where(F.col("label") == 0)
+    after = q.withColumn("x", F.transform("x", lambda v: v * F.lit(0.5)))
+    r = MT.proximity_ratio(MT.reference_distances(q, ref, "vec_id", "x"),
+                           MT.reference_distances(after, ref, "vec_id", "x"))
+    return r.select(*[rnd(c, 6).alias(c) for c in r.columns])
+
+
 _PK = TB.packets_from_events_sql()
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
@@ -155,5 +222,10 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "flow_vectors": (q_flow_vectors, O.flow_vectors_sql(HOUR_US, MAX_FLOW_LEN)),
     "balanced_flows": (q_balanced_flows, O.balanced_flows_sql(HOUR_US, MAX_FLOW_LEN)),
     "dataset_split": (q_dataset_split, O.dataset_split_sql(HOUR_US, MAX_FLOW_LEN)),
+    "detection_report": (q_detection_report, O.detection_report_sql()),
+    "robustness": (q_robustness, O.robustness_sql(TB.ATTACKERS, ROBUST_THRESHOLD)),
+    "score_alignment": (q_score_alignment, O.score_alignment_sql(TB.ATTACKERS)),
+    "reference_distances": (q_reference_distances, O.reference_distances_sql()),
+    "proximity_ratio": (q_proximity_ratio, O.proximity_ratio_sql()),
     "decay_2d": (q_decay_2d, O.decay_2d_sql(_PK, "src_ip", "dst_ip", "frame_len", "accepted")),
 }
