@@ -87,17 +87,12 @@ def decayed_sums(rows: DataFrame, keys: list[str], seq: str = "seq", t: str = "t
     to_blk = F.pow(F.lit(2.0), F.col("_lam") * (F.col("_tc") - F.col("_tb")))
     sub = sub.select(*part, "_tc", "_tb", "_lam", *[(F.col(f"_s{i}") * to_blk).alias(f"_g{i}") for i in range(3)])
     excl = wblk.orderBy("_ch").rowsBetween(UNB_PREC, -1)
-    sub = sub.select(*part, "_tc", "_tb", "_lam",
-                     *[F.coalesce(F.sum(f"_g{i}").over(excl), F.lit(0.0)).alias(f"_x{i}") for i in range(3)])
-    blocks = (d.groupBy(*part).agg(F.min("_tc").alias("_tc"), F.min(lam).alias("_lam"),
-                                   *[x.alias(f"_s{i}") for i, x in enumerate(tot)])
-              .withColumn("_tb", F.min("_tc").over(wblk))
-              .withColumn("_k", F.pow(F.lit(2.0), F.col("_lam") * (F.col("_tc") - F.col("_tb"))))
-              .groupBy(*keys, "_blk").agg(F.min("_tb").alias("_tb"),
-                                          *[F.sum(F.col(f"_s{i}") * F.col("_k")).alias(f"_z{i}") for i in range(3)]))
+    blocks = sub.groupBy(*keys, "_blk").agg(F.min("_tb").alias("_tb"), *[F.sum(f"_g{i}").alias(f"_z{i}") for i in range(3)])
     prev = Window.partitionBy(*keys).orderBy("_blk")
     blocks = blocks.select(*keys, "_blk", F.lag("_tb").over(prev).alias("_tbp"),
                            *[F.lag(f"_z{i}").over(prev).alias(f"_zp{i}") for i in range(3)])
+    sub = sub.select(*part, "_tc", "_tb", "_lam",
+                     *[F.coalesce(F.sum(f"_g{i}").over(excl), F.lit(0.0)).alias(f"_x{i}") for i in range(3)])
     carry = sub.join(blocks, [*keys, "_blk"], "left")
     from_prev = F.pow(F.lit(2.0), -F.col("_lam") * (F.col("_tb") - F.col("_tbp")))
     to_chunk = F.pow(F.lit(2.0), -F.col("_lam") * (F.col("_tc") - F.col("_tb")))

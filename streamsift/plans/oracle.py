@@ -342,3 +342,70 @@ def proximity_ratio_sql(shrink: float = 0.5) -> str:
     s AS (SELECT (SELECT sum(d) FROM db) AS org_dis, (SELECT sum(d) FROM da) AS mut_dis)
     SELECT {rnd_sql('org_dis', 6)} AS org_dis, {rnd_sql('mut_dis', 6)} AS mut_dis,
            {rnd_sql('1.0 - mut_dis / org_dis', 6)} AS proximity_ratio FROM s"""
+
+
+# ---------------------------------------------------------------- 100-value statistics vector
+HOST_DIGITS = {"w": 4, "mean": 3, "var": 1, "radius": 3, "magnitude": 3, "cov": 1, "pcc": 3}
+
+
+def host_stats_sql() -> str:
+    keys = {
+        "MI": "eth_src || '|' || src_ip", "Cha": "src_ip || '|' || dst_ip", "jit": "src_ip || '|' || dst_ip",
+        "Soc": "src_ip || '|' || src_proto || '|' || dst_ip || '|' || dst_proto",
+        "HH_o": "src_ip", "HH_i": "dst_ip",
+        "HpHp_o": "src_ip || '|' || src_proto", "HpHp_i": "dst_ip || '|' || dst_proto",
+    }
+    roles = "\n      UNION ALL ".join(f"SELECT '{r}' AS role, {k} AS k, seq, t, v FROM base" for r, k in keys.items())
+    mean, var = _mean_var_sql()
+    piv = ",\n           ".join(f"max(CASE WHEN role = '{r}' THEN {c} END) AS {r}_{c}"
+                                for r in keys for c in ("w", "mean", "var"))
+    pairs = "\n      UNION ALL ".join(
+        f"SELECT '{r}' AS role, {keys[r + '_o']} || '->' || {keys[r + '_i']} AS k, b.seq, b.t, w.lam, "
+        f"(b.v - w.{r}_o_mean) * (b.v - w.{r}_i_mean) AS r FROM base b JOIN wide w USING (seq)"
+        for r in ("HH", "HpHp"))
+    cols = []
+    layout = [("MI", ("w", "mean", "var")), ("Cha", ("w", "mean", "var")),
+              ("HH", ("radius", "magnitude", "cov", "pcc")), ("jit", ("w", "mean", "var")),
+              ("Soc", ("w", "mean", "var")), ("HpHp", ("radius", "magnitude", "cov", "pcc"))]
+    idx = 0
+    for role, parts in layout:
+        for li, lam in enumerate([5.0, 3.0, 1.0, 0.1, 0.01]):
+            for p in parts:
+                expr = f"max(CASE WHEN lam = {lam!r} THEN {role}_{p} END)"
+                cols.append(f"{rnd_sql(expr, HOST_DIGITS[p])} AS x{idx}")
+                idx += 1
+    two_d = []
+    for r in ("HH", "HpHp"):
+        two_d.append(f"sqrt({r}_o_var + {r}_i_var) AS {r}_radius")
+        two_d.append(f"sqrt({r}_o_mean * {r}_o_mean + {r}_i_mean * {r}_i_mean) AS {r}_magnitude")
+        two_d.append(f"{r}_cov")
+        two_d.append(f"CASE WHEN sqrt({r}_o_var) * sqrt({r}_i_var) <> 0 "
+                     f"THEN {r}_cov / (sqrt({r}_o_var) * sqrt({r}_i_var)) ELSE 0.0 END AS {r}_pcc")
+    return f"""WITH pk AS ({packets_from_events_sql()}),
+    base AS (SELECT seq, t, frame_len AS v, eth_src, eth_dst, src_ip, dst_ip,
+                    CASE WHEN ip_proto IN (6, 17) THEN CAST(src_port AS VARCHAR) WHEN ip_proto = 1 THEN 'icmp' ELSE '' END AS src_proto,
+                    CASE WHEN ip_proto IN (6, 17) THEN CAST(dst_port AS VARCHAR) WHEN ip_proto = 1 THEN 'icmp' ELSE '' END AS dst_proto
+             FROM pk WHERE accepted),
+    roles AS ({roles}),
+    tt AS (SELECT *, max(t) OVER (PARTITION BY role, k ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tmax,
+                  max(t) OVER (PARTITION BY role, k ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS tprev
+           FROM roles),
+    rv AS (SELECT role, k, seq, tmax, CASE WHEN role = 'jit' THEN coalesce(greatest(t - tprev, 0.0), 0.0) ELSE v END AS v FROM tt),
+    s1 AS (SELECT a.role, a.seq, l.lam, sum(pow(2.0, -l.lam * (a.tmax - b.tmax))) AS w,
+                  sum(b.v * pow(2.0, -l.lam * (a.tmax - b.tmax))) AS cf1,
+                  sum(b.v * b.v * pow(2.0, -l.lam * (a.tmax - b.tmax))) AS cf2
+           FROM rv a JOIN rv b ON a.role = b.role AND a.k = b.k AND b.seq <= a.seq, {LAMS_SQL} l
+           GROUP BY a.role, a.seq, l.lam),
+    st AS (SELECT role, seq, lam, w, {mean} AS mean, {var} AS var FROM s1),
+    wide AS (SELECT seq, lam,
+           {piv}
+           FROM st GROUP BY seq, lam),
+    pr AS ({pairs}),
+    pt AS (SELECT *, max(t) OVER (PARTITION BY role, k, lam ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tmax FROM pr),
+    s2 AS (SELECT a.role, a.seq, a.lam, sum(b.r * pow(2.0, -a.lam * (a.tmax - b.tmax))) / sum(pow(2.0, -a.lam * (a.tmax - b.tmax))) AS cov
+           FROM pt a JOIN pt b ON a.role = b.role AND a.k = b.k AND a.lam = b.lam AND b.seq <= a.seq
+           GROUP BY a.role, a.seq, a.lam),
+    cv AS (SELECT seq, lam, max(CASE WHEN role = 'HH' THEN cov END) AS HH_cov,
+                  max(CASE WHEN role = 'HpHp' THEN cov END) AS HpHp_cov FROM s2 GROUP BY seq, lam),
+    full_ AS (SELECT w.*, {', '.join(two_d)} FROM wide w JOIN cv USING (seq, lam))
+    SELECT seq, {', '.join(cols)} FROM full_ GROUP BY seq"""

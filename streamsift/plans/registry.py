@@ -16,6 +16,7 @@ from ..functions import packet as P
 from ..operators import dataset as DS
 from ..operators import decay as DC
 from ..operators import flows as FL
+from ..operators import hoststats as HS
 from ..operators import metrics as MT
 from ..operators.windows import anchored_windows
 from ..sources import tables as TB
@@ -206,6 +207,19 @@ def q_proximity_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(*[rnd(c, 6).alias(c) for c in r.columns])
 
 
+def host_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return HS.host_stats(HS.packets_for_stats(_ip_rows(spark, sf_dir)))
+
+
+def q_host_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = host_vectors(spark, sf_dir)
+    kinds = []
+    for role, width in HS.LAYOUT:
+        parts = ("w", "mean", "var") if width == 3 else ("radius", "magnitude", "cov", "pcc")
+        kinds += [p for _ in range(5) for p in parts]
+    return v.select("seq", *[rnd(v["x"][i], O.HOST_DIGITS[k]).alias(f"x{i}") for i, k in enumerate(kinds)])
+
+
 _PK = TB.packets_from_events_sql()
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
@@ -227,5 +241,6 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "score_alignment": (q_score_alignment, O.score_alignment_sql(TB.ATTACKERS)),
     "reference_distances": (q_reference_distances, O.reference_distances_sql()),
     "proximity_ratio": (q_proximity_ratio, O.proximity_ratio_sql()),
+    "host_stats": (q_host_stats, O.host_stats_sql()),
     "decay_2d": (q_decay_2d, O.decay_2d_sql(_PK, "src_ip", "dst_ip", "frame_len", "accepted")),
 }

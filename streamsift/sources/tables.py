@@ -85,6 +85,8 @@ def packets_from_events_sql() -> str:
     SELECT 'events' AS capture_id, event_id AS seq, epoch_us(ts) AS ts_us,
            epoch_us(ts) / {US_PER_HOUR!r} AS t,
            (event_type <> 'error') AS accepted,
+           '02:00:00:00:00:' || lpad(CAST(user_id % {HOSTS} AS VARCHAR), 2, '0') AS eth_src,
+           '02:00:00:00:00:' || lpad(CAST(CAST(json_extract(props, '$.k') AS BIGINT) % {HOSTS} AS VARCHAR), 2, '0') AS eth_dst,
            CASE WHEN event_type <> 'error' THEN '10.0.0.' || CAST(user_id % {HOSTS} AS VARCHAR) END AS src_ip,
            CASE WHEN event_type <> 'error' THEN '10.0.0.' || CAST(CAST(json_extract(props, '$.k') AS BIGINT) % {HOSTS} AS VARCHAR) END AS dst_ip,
            CASE WHEN event_type IN ('click', 'view') THEN 6 WHEN event_type = 'signup' THEN 17
