@@ -65,6 +65,8 @@ def decayed_sums(rows: DataFrame, keys: list[str], seq: str = "seq", t: str = "t
     totals are moved to the block's first time, block totals to the next
     block's first time.
     """
+    if block < 64:
+        raise ValueError("block must be >= 64 so that blocks older than the previous one vanish")
     d = _origin_and_runmax(rows, keys, seq, t, chunk_rows)
     if gap_value is not None:
         gap = F.coalesce(F.greatest(F.col(t) - F.col("Tprev"), F.lit(0.0)), F.lit(0.0))
