@@ -409,3 +409,18 @@ def host_stats_sql() -> str:
                   max(CASE WHEN role = 'HpHp' THEN cov END) AS HpHp_cov FROM s2 GROUP BY seq, lam),
     full_ AS (SELECT w.*, {', '.join(two_d)} FROM wide w JOIN cv USING (seq, lam))
     SELECT seq, {', '.join(cols)} FROM full_ GROUP BY seq"""
+
+
+# ---------------------------------------------------------------- detector: correlation distance
+def correlation_distance_sql(fm: int, dims: int = 64) -> str:
+    return f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+    r AS (SELECT x, row_number() OVER (ORDER BY vec_id) - 1 AS rank FROM e),
+    f AS (SELECT rank, g.j - 1 AS j, x[g.j] AS xj FROM r, generate_series(1, {dims}) g(j) WHERE rank <= {int(fm)}),
+    c AS (SELECT rank, j, xj - sum(xj) OVER (PARTITION BY j ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING
+                 AND CURRENT ROW) / CAST(rank + 1 AS DOUBLE) AS c FROM f),
+    cm AS (SELECT a.j AS i, b.j AS j, sum(a.c * b.c) AS cc FROM c a JOIN c b ON a.rank = b.rank GROUP BY a.j, b.j),
+    dg AS (SELECT i, sqrt(cc) AS s FROM cm WHERE i = j),
+    dd AS (SELECT cm.i, cm.j, 1.0 - cm.cc / (CASE WHEN a.s * b.s = 0 THEN 1e-100 ELSE a.s * b.s END) AS d
+           FROM cm JOIN dg a ON a.i = cm.i JOIN dg b ON b.i = cm.j)
+    SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j,
+           {rnd_sql('CASE WHEN d < 0 THEN 0.0 ELSE d END', 6)} AS d FROM dd"""

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import rnd
 from ..functions import packet as P
 from ..operators import dataset as DS
+from ..operators import detector as DT
 from ..operators import decay as DC
 from ..operators import flows as FL
 from ..operators import hoststats as HS
@@ -220,6 +221,48 @@ def q_host_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("seq", *[rnd(v["x"][i], O.HOST_DIGITS[k]).alias(f"x{i}") for i, k in enumerate(kinds)])
 
 
+EMB_FM = 399
+DET_FM, DET_AD, DET_M = 500, 3000, 10
+
+
+def _ranked_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = TB.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("seq"),
+                                                      F.col("embedding").cast("array<double>").alias("x"))
+    return DT.with_rank(e)
+
+
+def q_correlation_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = DT.correlation_distance(DT.correlation_matrix(_ranked_embeddings(spark, sf_dir), EMB_FM))
+    return d.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), rnd("d", 6).alias("d"))
+
+
+def q_feature_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = DT.correlation_distance(DT.correlation_matrix(_ranked_embeddings(spark, sf_dir), EMB_FM))
+    return DT.feature_map(spark, d, 64, DET_M)
+
+
+def detector_scores(spark: SparkSession, sf_dir: str):
+    """Host vectors -> feature map -> ensemble training -> masked scoring."""
+    from ..session import cut_lineage
+    v = cut_lineage(host_vectors(spark, sf_dir))
+    r = cut_lineage(DT.with_rank(v))
+    fmap = DT.feature_map(spark, DT.correlation_distance(DT.correlation_matrix(r, DET_FM)), 100, DET_M)
+    ens, outp, train_rmse = DT.train_detector(spark, r, fmap, DET_FM, DET_AD)
+    threshold = train_rmse.agg(F.max("rmse")).first()[0] or 0.0
+    scores = DT.score(v.withColumn("x", HS.mask_columns(F.col("x"), HS.PCC_COLS)), fmap, ens, outp)
+    return scores, threshold
+
+
+def q_anomaly_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores, threshold = detector_scores(spark, sf_dir)
+    return scores.withColumn("alert", MT.alert(F.col("rmse"), threshold))
+
+
+def q_score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores, threshold = detector_scores(spark, sf_dir)
+    return MT.score_summary(scores, threshold).withColumn("threshold", F.lit(float(threshold)))
+
+
 _PK = TB.packets_from_events_sql()
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
@@ -242,5 +285,9 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "reference_distances": (q_reference_distances, O.reference_distances_sql()),
     "proximity_ratio": (q_proximity_ratio, O.proximity_ratio_sql()),
     "host_stats": (q_host_stats, O.host_stats_sql()),
+    "correlation_distance": (q_correlation_distance, O.correlation_distance_sql(EMB_FM)),
+    "feature_map": (q_feature_map, None),
+    "anomaly_scores": (q_anomaly_scores, None),
+    "score_summary": (q_score_summary, None),
     "decay_2d": (q_decay_2d, O.decay_2d_sql(_PK, "src_ip", "dst_ip", "frame_len", "accepted")),
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -36,7 +37,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
+    prepare(spark)
     return spark
 
 
@@ -57,6 +58,40 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``streamsift`` importable in executor Python workers.
+
+    The package is zipped once per application into the shared checkpoint
+    folder and registered with ``addPyFile`` (the programmatic --py-files),
+    so pandas UDFs that call package helpers work on any cluster.
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    base = checkpoint_dir(spark)
+    target = f"{base.rstrip('/')}/pyfiles-{uuid.uuid4().hex[:8]}"
+    local_base = target[len("file:"):] if target.startswith("file:") else target
+    if "://" in local_base:  # remote shared folder: zip locally, let Spark upload it
+        local_base = tempfile.mkdtemp(prefix="streamsift-pkg-")
+    os.makedirs(local_base, exist_ok=True)
+    archive = shutil.make_archive(os.path.join(local_base, "streamsift"), "zip",
+                                  root_dir=os.path.dirname(pkg_dir), base_dir=os.path.basename(pkg_dir))
+    sc.addPyFile(archive)
+    _SHIPPED.add(app)
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Checkpoint folder + package shipping; called at every public entry."""
+    checkpoint_dir(spark)
+    ship_package(spark)
+    return spark
+
+
 _CUTS = [0]
 
 
