@@ -424,3 +424,13 @@ def correlation_distance_sql(fm: int, dims: int = 64) -> str:
            FROM cm JOIN dg a ON a.i = cm.i JOIN dg b ON b.i = cm.j)
     SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j,
            {rnd_sql('CASE WHEN d < 0 THEN 0.0 ELSE d END', 6)} AS d FROM dd"""
+
+
+# ---------------------------------------------------------------- reduction
+def standardized_sql(dims: int = 64) -> str:
+    return f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+    f AS (SELECT vec_id, g.j - 1 AS j, x[g.j] AS v FROM e, generate_series(1, {dims}) g(j)),
+    s AS (SELECT j, avg(v) AS m, stddev_pop(v) AS sd FROM f GROUP BY j)
+    SELECT vec_id, CAST(j AS INTEGER) AS j,
+           {rnd_sql('CASE WHEN sd <> 0 THEN (v - m) / sd ELSE 0.0 END', 6)} AS z
+    FROM f JOIN s USING (j)"""

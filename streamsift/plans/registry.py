@@ -19,6 +19,7 @@ from ..operators import decay as DC
 from ..operators import flows as FL
 from ..operators import hoststats as HS
 from ..operators import metrics as MT
+from ..operators import reduce as RD
 from ..operators.windows import anchored_windows
 from ..sources import tables as TB
 from . import oracle as O
@@ -263,6 +264,64 @@ def q_score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return MT.score_summary(scores, threshold).withColumn("threshold", F.lit(float(threshold)))
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _embeddings(spark, sf_dir)
+    return e.withColumn("label", F.when(F.col("label") >= 5, 1).otherwise(0).cast("double"))
+
+
+def q_standardized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _vectors(spark, sf_dir)
+    z = RD.standardize_transform(e, RD.standardize_fit(e))
+    return z.select("vec_id", F.posexplode("x").alias("j", "z")).select(
+        "vec_id", F.col("j").cast("int").alias("j"), rnd("z", 6).alias("z"))
+
+
+PCA_K = 9
+
+
+def q_pca_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _vectors(spark, sf_dir)
+    z = RD.standardize_transform(e, RD.standardize_fit(e))
+    _, ev = RD.pca_fit(z, PCA_K)
+    # the explained variances are k numbers produced by the fit; expose them as a table
+    rows = [(i, float(v), float(sum(ev[:i + 1]))) for i, v in enumerate(ev)]
+    return spark.createDataFrame(rows, "component int, explained double, cumulative double")
+
+
+def _split_vectors(spark: SparkSession, sf_dir: str):
+    e = _vectors(spark, sf_dir)
+    z = RD.standardize_transform(e, RD.standardize_fit(e))
+    model, _ = RD.pca_fit(z, PCA_K)
+    p = RD.pca_transform(model, z).select("vec_id", F.col("pc").alias("x"), "label")
+    is_test = F.pmod(F.xxhash64("vec_id"), F.lit(10)) == 0
+    return p.where(~is_test), p.where(is_test)
+
+
+def _report(preds: DataFrame, model: str) -> DataFrame:
+    r = MT.confusion_report(preds.withColumn("model", F.lit(model)).withColumn("source", F.lit("embeddings")),
+                            ["model", "source"])
+    return r
+
+
+def q_svm_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test = _split_vectors(spark, sf_dir)
+    m = RD.linear_svm(train)
+    return _report(RD.predict(m, test), "linear-svm")
+
+
+def q_mlp_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test = _split_vectors(spark, sf_dir)
+    m = RD.mlp(train, PCA_K, hidden=8, layers=2)
+    return _report(RD.predict(m, test), "mlp")
+
+
+def q_grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, _ = _split_vectors(spark, sf_dir)
+    cs = [0.1, 1.0, 10.0]
+    _, scores = RD.grid_search_svm(train, cs, folds=2)
+    return spark.createDataFrame([(float(c), float(s)) for c, s in zip(cs, scores)], "c double, cv_accuracy double")
+
+
 _PK = TB.packets_from_events_sql()
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
@@ -289,5 +348,10 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "feature_map": (q_feature_map, None),
     "anomaly_scores": (q_anomaly_scores, None),
     "score_summary": (q_score_summary, None),
+    "standardized": (q_standardized, O.standardized_sql()),
+    "pca_variance": (q_pca_variance, None),
+    "svm_report": (q_svm_report, None),
+    "mlp_report": (q_mlp_report, None),
+    "grid_search": (q_grid_search, None),
     "decay_2d": (q_decay_2d, O.decay_2d_sql(_PK, "src_ip", "dst_ip", "frame_len", "accepted")),
 }
