@@ -434,3 +434,24 @@ def standardized_sql(dims: int = 64) -> str:
     SELECT vec_id, CAST(j AS INTEGER) AS j,
            {rnd_sql('CASE WHEN sd <> 0 THEN (v - m) / sd ELSE 0.0 END', 6)} AS z
     FROM f JOIN s USING (j)"""
+
+
+# ---------------------------------------------------------------- streaming
+def stream_flow_windows_sql(width_us: int, delay_us: int) -> str:
+    lab = label_pairs_sql()
+    return f"""WITH pk AS ({packets_from_events_sql()}),
+    a AS (SELECT *, ts_us - ((ts_us % {width_us}) + {width_us}) % {width_us} AS ws,
+                 CASE WHEN src_ip < dst_ip OR (src_ip = dst_ip AND src_port <= dst_port) THEN src_ip ELSE dst_ip END AS k1,
+                 CASE WHEN src_ip < dst_ip OR (src_ip = dst_ip AND src_port <= dst_port) THEN src_port ELSE dst_port END AS p1,
+                 CASE WHEN src_ip < dst_ip OR (src_ip = dst_ip AND src_port <= dst_port) THEN dst_ip ELSE src_ip END AS k2,
+                 CASE WHEN src_ip < dst_ip OR (src_ip = dst_ip AND src_port <= dst_port) THEN dst_port ELSE src_port END AS p2
+          FROM pk WHERE accepted),
+    wm AS (SELECT max(ts_us) - {delay_us} AS wm FROM pk WHERE accepted),
+    g AS (SELECT ws AS window_start_us, k1 AS src, p1 AS sport, k2 AS dst, p2 AS dport, ip_proto AS proto,
+                 CAST(count(*) AS BIGINT) AS packets, sum(frame_len) AS bytes, min(seq) AS first_seq
+          FROM a GROUP BY ALL),
+    labs AS ({lab})
+    SELECT g.window_start_us, g.src, g.sport, g.dst, g.dport, g.proto, g.packets, {rnd_sql('g.bytes', 4)} AS bytes,
+           g.first_seq, CAST(coalesce(l.label, 0) AS INTEGER) AS label
+    FROM g JOIN wm ON g.window_start_us + {width_us} <= wm.wm
+    LEFT JOIN labs l ON l.src = g.src AND l.dst = g.dst"""

@@ -322,6 +322,32 @@ def q_grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(float(c), float(s)) for c, s in zip(cs, scores)], "c double, cv_accuracy double")
 
 
+def q_stream_decay_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming import online as ON
+    rows = _ip_rows(spark, sf_dir).select(F.col("src_ip").alias("k"), "seq", "t", F.col("frame_len").alias("v"))
+    src = ON.scratch(spark, "replay-decay")
+    ON.replay_files(rows, src, "seq", 4)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    out = ON.scratch(spark, "stream-decay")
+    ON.run_available_now(ON.stream_decayed_stats(stream, "k", DC.LAMBDAS), out)
+    return _round_1d(spark.read.parquet(out))
+
+
+STREAM_DELAY_US = 2 * HOUR_US
+
+
+def q_stream_flow_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming import online as ON
+    pk = TB.packets_from_events(spark, sf_dir)
+    src = ON.scratch(spark, "replay-packets")
+    ON.replay_files(pk, src, "seq", 4)
+    stream = spark.readStream.schema(pk.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    out = ON.scratch(spark, "stream-windows")
+    ON.run_available_now(ON.stream_flow_windows(stream, "1 hour", "2 hours", TB.label_pairs(spark)), out)
+    r = spark.read.parquet(out)
+    return r.select(*[rnd(c, 4).alias(c) if c == "bytes" else F.col(c) for c in r.columns])
+
+
 _PK = TB.packets_from_events_sql()
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
@@ -353,5 +379,7 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "svm_report": (q_svm_report, None),
     "mlp_report": (q_mlp_report, None),
     "grid_search": (q_grid_search, None),
+    "stream_decay_1d": (q_stream_decay_1d, O.decay_1d_sql(_PK, "src_ip", "frame_len", "accepted")),
+    "stream_flow_windows": (q_stream_flow_windows, O.stream_flow_windows_sql(HOUR_US, STREAM_DELAY_US)),
     "decay_2d": (q_decay_2d, O.decay_2d_sql(_PK, "src_ip", "dst_ip", "frame_len", "accepted")),
 }
