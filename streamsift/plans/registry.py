@@ -348,6 +348,14 @@ def q_stream_flow_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(*[rnd(c, 4).alias(c) if c == "bytes" else F.col(c) for c in r.columns])
 
 
+def q_merged_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.capture import merge_captures
+    ev = TB.table(spark, sf_dir, "events").select(F.col("event_type").alias("capture_id"),
+                                                  F.col("event_id").alias("seq"), "value")
+    m = merge_captures(ev, chunk_rows=4096)
+    return m.select("capture_id", "seq", "source_capture", "source_seq")
+
+
 _PK = TB.packets_from_events_sql()
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
@@ -381,5 +389,8 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "grid_search": (q_grid_search, None),
     "stream_decay_1d": (q_stream_decay_1d, O.decay_1d_sql(_PK, "src_ip", "frame_len", "accepted")),
     "stream_flow_windows": (q_stream_flow_windows, O.stream_flow_windows_sql(HOUR_US, STREAM_DELAY_US)),
+    "merged_captures": (q_merged_captures, """SELECT 'merged' AS capture_id,
+        row_number() OVER (ORDER BY event_type, event_id) - 1 AS seq, event_type AS source_capture,
+        event_id AS source_seq FROM events"""),
     "decay_2d": (q_decay_2d, O.decay_2d_sql(_PK, "src_ip", "dst_ip", "frame_len", "accepted")),
 }
