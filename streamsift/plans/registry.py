@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import rnd
 from ..functions import packet as P
+from ..operators import cnn as CN
 from ..operators import dataset as DS
 from ..operators import detector as DT
 from ..operators import decay as DC
@@ -356,6 +357,24 @@ def q_merged_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("capture_id", "seq", "source_capture", "source_seq")
 
 
+def q_cnn_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments -> normalised, padded samples -> flow-level split -> CNN
+    training (data parallel) -> predictions on the test flows -> report."""
+    from ..session import cut_lineage
+    samples = DS.to_samples(_normalized(spark, sf_dir), MAX_FLOW_LEN)
+    bucket = F.pmod(F.xxhash64(F.col("flow.src"), F.col("flow.sport"), F.col("flow.dst"), F.col("flow.dport"),
+                               F.col("flow.proto")), F.lit(10))
+    samples = cut_lineage(samples.withColumn("split", F.when(bucket == 0, F.lit("test"))
+                                             .when(bucket == 1, F.lit("val")).otherwise(F.lit("train"))))
+    params, _ = CN.train_cnn(spark, samples.where(F.col("split") == "train"),
+                             samples.where(F.col("split") == "val"), 11, kernels=8, lr=0.01, epochs=8, patience=3)
+    test = samples.where(F.col("split") == "test").withColumn("sample_id", F.concat_ws(
+        "|", F.col("flow.src"), F.col("flow.dst"), F.col("window_start_us").cast("string")))
+    preds = CN.predict_cnn(test, params, ["sample_id", "set_y"]).withColumnRenamed("set_y", "label")
+    return MT.confusion_report(preds.withColumn("model", F.lit("cnn")).withColumn("source", F.lit("events")),
+                               ["model", "source"])
+
+
 _PK = TB.packets_from_events_sql()
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
@@ -392,5 +411,6 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "merged_captures": (q_merged_captures, """SELECT 'merged' AS capture_id,
         row_number() OVER (ORDER BY event_type, event_id) - 1 AS seq, event_type AS source_capture,
         event_id AS source_seq FROM events"""),
+    "cnn_report": (q_cnn_report, None),
     "decay_2d": (q_decay_2d, O.decay_2d_sql(_PK, "src_ip", "dst_ip", "frame_len", "accepted")),
 }
