@@ -95,10 +95,11 @@ def window_anchors(packets: DataFrame, width_us: int, capture: str = "capture_id
     """Anchors (window starts) of every capture: (capture, anchor_us).
 
     Pointer doubling over one table (x, jump, on): ``jump`` is next^(2^k)(x)
-    and ``on`` marks the first 2^k anchors of the chain.  Each job runs two
-    doubling steps and is written to the checkpoint folder; the loop stops
-    when a job adds no anchor, which an ``observe`` metric reports without an
-    extra job.
+    and ``on`` marks the first 2^k anchors of every chain.  Each job runs
+    two doubling steps and is written to the checkpoint folder.  An
+    ``observe`` metric counts marked nodes that still have a jump (a chain
+    continuing beyond its marked prefix) without an extra job; the loop stops
+    when there is none.
     """
     cap = capture
     d = running_max(packets.select(cap, seq, ts), [cap], seq, ts, "_T", prev_out="_Tp",
@@ -106,20 +107,22 @@ def window_anchors(packets: DataFrame, width_us: int, capture: str = "capture_id
     cand = cut_lineage(d.where(F.col("_Tp").isNull() | (F.col("_T") > F.col("_Tp")))
                        .select(cap, F.col("_T").alias("x")))
     roots = cand.groupBy(cap).agg(F.min("x").alias("x")).withColumn("root", F.lit(True))
+    active = (F.col("on") & F.col("jump").isNotNull()).cast("long")
     obs = Observation()
     state = cut_lineage(_next_candidates(cand, cap, width_us, cells).join(roots, [cap, "x"], "left")
                         .select(cap, "x", F.col("nx").alias("jump"),
                                 F.coalesce("root", F.lit(False)).alias("on"))
-                        .observe(obs, F.sum(F.col("on").cast("long")).alias("on")))
-    on_count = obs.get.get("on") or 0
+                        .observe(obs, F.sum(active).alias("active")))
+    steps = 2  # doubling steps per job
     for _ in range(max_rounds):
-        nxt = _double(_double(state, cap), cap)  # two doubling steps per job
-        obs = Observation()
-        state = cut_lineage(nxt.observe(obs, F.sum(F.col("on").cast("long")).alias("on")))
-        new_count = obs.get.get("on") or 0
-        if new_count == on_count:
+        # a marked node with a jump means some chain goes on past the marked prefix
+        if not (obs.get.get("active") or 0):
             break
-        on_count = new_count
+        nxt = state
+        for _ in range(steps):
+            nxt = _double(nxt, cap)
+        obs = Observation()
+        state = cut_lineage(nxt.observe(obs, F.sum(active).alias("active")))
     else:
         raise RuntimeError("anchored windows: chain longer than 4^max_rounds")
     return state.where(F.col("on")).select(cap, F.col("x").alias("anchor_us"))
