@@ -44,3 +44,10 @@ def nan_to_num(c: Column) -> Column:
             .when(c == F.lit(float("inf")), F.lit(big))
             .when(c == F.lit(float("-inf")), F.lit(-big))
             .otherwise(c))
+
+
+def epoch_micros(name: str) -> Column:
+    """Microseconds since 1970-01-01 of a TIMESTAMP_NTZ column (wall clock),
+    independent of the session time zone; a cast to TIMESTAMP would apply
+    the session zone."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(`{name}` AS TIMESTAMP_NTZ))")

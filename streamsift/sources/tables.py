@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import packet as P
+from ..functions.numeric import epoch_micros
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -44,7 +45,7 @@ def packets_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     et = F.col("event_type")
     ip_proto = (F.when(et.isin("click", "view"), F.lit(6)).when(et == "signup", F.lit(17))
                 .when(et == "purchase", F.lit(1)).cast("int"))
-    ts_us = F.unix_micros(F.col("ts").cast("timestamp"))
+    ts_us = epoch_micros("ts")
     protocols = (F.when(et == "click", F.lit("eth:ethertype:ip:tcp"))
                  .when(et == "view", F.lit("eth:ethertype:ip:tcp:http"))
                  .when(et == "signup", F.lit("eth:ethertype:ip:udp:dns"))
@@ -189,7 +190,7 @@ def keyed_values_from_orders(spark: SparkSession, sf_dir: str, keys: int = 50) -
     return o.select(
         (F.col("o_custkey") % keys).alias("key"),
         F.col("o_orderkey").alias("seq"),
-        (F.unix_micros(F.col("o_orderdate").cast("timestamp")) / F.lit(86400e6)).alias("t"),
+        (epoch_micros("o_orderdate") / F.lit(86400e6)).alias("t"),
         F.col("o_totalprice").cast("double").alias("v"),
     )
 

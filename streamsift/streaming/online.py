@@ -43,10 +43,22 @@ def replay_files(df: DataFrame, path: str, seq: str, parts: int) -> None:
         df.where((F.col(seq) >= a) & (F.col(seq) < b)).coalesce(1).write.mode("append").parquet(path)
 
 
-def run_available_now(sdf: DataFrame, out_path: str, mode: str = "append") -> None:
-    q = (sdf.writeStream.format("parquet").option("path", out_path)
-         .option("checkpointLocation", out_path + "-ckpt").outputMode(mode)
-         .trigger(availableNow=True).start())
+def run_available_now(sdf: DataFrame, out_path: str, mode: str = "append",
+                      state_partitions: int | None = None) -> None:
+    """Process everything available, then stop.  The number of state
+    partitions is fixed when a stateful query first starts; it defaults to
+    twice the cluster's default parallelism instead of the session's batch
+    shuffle setting (streaming gets no adaptive coalescing)."""
+    spark = sdf.sparkSession
+    parts = state_partitions or max(2, 2 * spark.sparkContext.defaultParallelism)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        q = (sdf.writeStream.format("parquet").option("path", out_path)
+             .option("checkpointLocation", out_path + "-ckpt").outputMode(mode)
+             .trigger(availableNow=True).start())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
     q.awaitTermination()
 
 
