@@ -46,17 +46,20 @@ def _origin_and_runmax(rows: DataFrame, keys: list[str], seq: str, t: str, chunk
              .drop("_cmax", "_cmin"))
     d = d.join(carry, [*keys, "_ch"], "left")
     w = Window.partitionBy(*keys, "_ch").orderBy(seq)
-    return (d.withColumn("T", F.greatest(F.col("_carry"), F.max(t).over(w.rowsBetween(UNB_PREC, 0))))
-            .withColumn("Tprev", F.greatest(F.col("_carry"), F.max(t).over(w.rowsBetween(UNB_PREC, -1))))
+    return (d.withColumns({"T": F.greatest(F.col("_carry"), F.max(t).over(w.rowsBetween(UNB_PREC, 0))),
+                           "Tprev": F.greatest(F.col("_carry"), F.max(t).over(w.rowsBetween(UNB_PREC, -1)))})
             .drop("_carry"))
 
 
 def decayed_sums(rows: DataFrame, keys: list[str], seq: str = "seq", t: str = "t", v: str = "v",
                  lam: str = "lam", gap_value: Column | None = None, block: float = BLOCK,
-                 chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+                 chunk_rows: int = DEFAULT_CHUNK_ROWS, lambdas: list[float] | None = None) -> DataFrame:
     """Adds ``w``, ``cf1``, ``cf2`` (decayed count, sum, sum of squares).
 
-    ``keys`` identify a stream and must include the ``lam`` column. When
+    ``keys`` identify a stream and must include the ``lam`` column.  With
+    ``lambdas`` the rows carry no rate yet: the running maximum is computed
+    once per stream and the rows are then multiplied by the rates (the
+    order-dependent part never sees the 5x larger table).  When
     ``gap_value`` is true for a row its value is replaced by the jitter
     value max(t - previous running max, 0) (0 for the first row).
 
@@ -67,17 +70,25 @@ def decayed_sums(rows: DataFrame, keys: list[str], seq: str = "seq", t: str = "t
     """
     if block < 64:
         raise ValueError("block must be >= 64 so that blocks older than the previous one vanish")
-    d = _origin_and_runmax(rows, keys, seq, t, chunk_rows)
+    if lambdas is not None:
+        base_keys = [k for k in keys if k != lam]
+        d = _origin_and_runmax(rows, base_keys, seq, t, chunk_rows)
+        d = d.withColumn(lam, F.explode(F.array(*[F.lit(float(x)) for x in lambdas])))
+    else:
+        d = _origin_and_runmax(rows, keys, seq, t, chunk_rows)
     if gap_value is not None:
         gap = F.coalesce(F.greatest(F.col(t) - F.col("Tprev"), F.lit(0.0)), F.lit(0.0))
         d = d.withColumn(v, F.when(gap_value, gap).otherwise(F.col(v)))
     L = F.col(lam)
     d = d.withColumn("_blk", F.floor(L * (F.col("T") - F.col("T0")) / F.lit(block)).cast("long"))
     part = [*keys, "_blk", "_ch"]
-    d = d.withColumn("_tc", F.min("T").over(Window.partitionBy(*part)))
-    d = d.withColumn("_e", F.pow(F.lit(2.0), L * (F.col("T") - F.col("_tc"))))
+    # the chunk origin uses the same partitioning and order as the running
+    # sums, so both windows share one sort
+    ordered = Window.partitionBy(*part).orderBy(seq)
+    tc = F.min("T").over(ordered.rowsBetween(UNB_PREC, Window.unboundedFollowing))
+    d = d.withColumn("_tc", tc).withColumn("_e", F.pow(F.lit(2.0), L * (F.col("T") - F.col("_tc"))))
     xs = [F.col("_e"), F.col(v) * F.col("_e"), F.col(v) * F.col(v) * F.col("_e")]
-    run = Window.partitionBy(*part).orderBy(seq).rowsBetween(UNB_PREC, 0)
+    run = ordered.rowsBetween(UNB_PREC, 0)
     d = d.select(*[c for c in d.columns if c not in ("T0", "Tprev")],
                  *[F.sum(x).over(run).alias(f"_r{i}") for i, x in enumerate(xs)])
     # chunk totals (same partitioning as the window: no extra exchange)
@@ -117,8 +128,8 @@ def mean_var(w: Column, cf1: Column, cf2: Column) -> tuple[Column, Column]:
 def decayed_stats_1d(rows: DataFrame, keys: list[str], lambdas=LAMBDAS, seq: str = "seq", t: str = "t",
                      v: str = "v", jitter: bool = False) -> DataFrame:
     """Per row and lam: w, mean, var of the key's stream after the row."""
-    ex = rows.withColumn("lam", F.explode(F.array(*[F.lit(float(x)) for x in lambdas])))
-    d = decayed_sums(ex, [*keys, "lam"], seq, t, v, "lam", gap_value=F.lit(True) if jitter else None)
+    d = decayed_sums(rows, [*keys, "lam"], seq, t, v, "lam", gap_value=F.lit(True) if jitter else None,
+                     lambdas=lambdas)
     mean, var = mean_var(F.col("w"), F.col("cf1"), F.col("cf2"))
     return d.withColumn("mean", mean).withColumn("var", var).drop("cf1", "cf2")
 
@@ -132,8 +143,9 @@ def pair_stats_2d(rows: DataFrame, src: str, dst: str, lambdas=LAMBDAS, seq: str
     accumulates the residual product with the updated means.
     """
     base = rows.select(seq, t, v, src, dst)
-    roles = (base.select(seq, t, v, F.lit("o").alias("dir"), F.col(src).alias("k"))
-             .unionByName(base.select(seq, t, v, F.lit("i").alias("dir"), F.col(dst).alias("k"))))
+    roles = base.select(seq, t, v, F.explode(F.array(
+        F.struct(F.lit("o").alias("dir"), F.col(src).alias("k")),
+        F.struct(F.lit("i").alias("dir"), F.col(dst).alias("k")))).alias("_r")).select(seq, t, v, "_r.dir", "_r.k")
     one = decayed_stats_1d(roles, ["dir", "k"], lambdas, seq, t, v)
     wide = (one.groupBy(seq, "lam")
             .agg(*[F.max(F.when(F.col("dir") == d_, F.col(c))).alias(f"{c}_{d_}")
