@@ -348,14 +348,21 @@ def proximity_ratio_sql(shrink: float = 0.5) -> str:
 HOST_DIGITS = {"w": 4, "mean": 3, "var": 1, "radius": 3, "magnitude": 3, "cov": 1, "pcc": 3}
 
 
-def host_stats_sql() -> str:
+def host_stats_sql(key_mode: str = "typed") -> str:
+    sep = "" if key_mode == "concat" else "|"
+
+    def cat(*cols):
+        return f" || '{sep}' || ".join(cols) if sep else " || ".join(cols)
     keys = {
-        "MI": "eth_src || '|' || src_ip", "Cha": "src_ip || '|' || dst_ip", "jit": "src_ip || '|' || dst_ip",
-        "Soc": "src_ip || '|' || src_proto || '|' || dst_ip || '|' || dst_proto",
+        "MI": cat("eth_src", "src_ip"), "Cha": cat("src_ip", "dst_ip"), "jit": cat("src_ip", "dst_ip"),
+        "Soc": cat("src_ip", "src_proto", "dst_ip", "dst_proto"),
         "HH_o": "src_ip", "HH_i": "dst_ip",
-        "HpHp_o": "src_ip || '|' || src_proto", "HpHp_i": "dst_ip || '|' || dst_proto",
+        "HpHp_o": cat("src_ip", "src_proto"), "HpHp_i": cat("dst_ip", "dst_proto"),
     }
-    roles = "\n      UNION ALL ".join(f"SELECT '{r}' AS role, {k} AS k, seq, t, v FROM base" for r, k in keys.items())
+    shared = {"MI": ("HT_MI", 0), "Cha": ("HT_MI", 1), "Soc": ("HT_MI", 2)} if key_mode == "concat" else {}
+    roles = "\n      UNION ALL ".join(
+        f"SELECT '{r}' AS role, '{shared.get(r, (r, 0))[0]}' AS tbl, {k} AS k, seq, seq * 4 + {shared.get(r, (r, 0))[1]} AS ord, t, v FROM base"
+        for r, k in keys.items())
     mean, var = _mean_var_sql()
     piv = ",\n           ".join(f"max(CASE WHEN role = '{r}' THEN {c} END) AS {r}_{c}"
                                 for r in keys for c in ("w", "mean", "var"))
@@ -387,14 +394,14 @@ def host_stats_sql() -> str:
                     CASE WHEN ip_proto IN (6, 17) THEN CAST(dst_port AS VARCHAR) WHEN ip_proto = 1 THEN 'icmp' ELSE '' END AS dst_proto
              FROM pk WHERE accepted),
     roles AS ({roles}),
-    tt AS (SELECT *, max(t) OVER (PARTITION BY role, k ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tmax,
-                  max(t) OVER (PARTITION BY role, k ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS tprev
+    tt AS (SELECT *, max(t) OVER (PARTITION BY tbl, k ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tmax,
+                  max(t) OVER (PARTITION BY tbl, k ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS tprev
            FROM roles),
-    rv AS (SELECT role, k, seq, tmax, CASE WHEN role = 'jit' THEN coalesce(greatest(t - tprev, 0.0), 0.0) ELSE v END AS v FROM tt),
+    rv AS (SELECT role, tbl, k, seq, ord, tmax, CASE WHEN role = 'jit' THEN coalesce(greatest(t - tprev, 0.0), 0.0) ELSE v END AS v FROM tt),
     s1 AS (SELECT a.role, a.seq, l.lam, sum(pow(2.0, -l.lam * (a.tmax - b.tmax))) AS w,
                   sum(b.v * pow(2.0, -l.lam * (a.tmax - b.tmax))) AS cf1,
                   sum(b.v * b.v * pow(2.0, -l.lam * (a.tmax - b.tmax))) AS cf2
-           FROM rv a JOIN rv b ON a.role = b.role AND a.k = b.k AND b.seq <= a.seq, {LAMS_SQL} l
+           FROM rv a JOIN rv b ON a.tbl = b.tbl AND a.k = b.k AND b.ord <= a.ord, {LAMS_SQL} l
            GROUP BY a.role, a.seq, l.lam),
     st AS (SELECT role, seq, lam, w, {mean} AS mean, {var} AS var FROM s1),
     wide AS (SELECT seq, lam,

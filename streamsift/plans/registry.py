@@ -210,12 +210,12 @@ def q_proximity_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(*[rnd(c, 6).alias(c) for c in r.columns])
 
 
-def host_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return HS.host_stats(HS.packets_for_stats(_ip_rows(spark, sf_dir)))
+def host_vectors(spark: SparkSession, sf_dir: str, key_mode: str = "typed") -> DataFrame:
+    return HS.host_stats(HS.packets_for_stats(_ip_rows(spark, sf_dir)), key_mode=key_mode)
 
 
-def q_host_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = host_vectors(spark, sf_dir)
+def q_host_stats(spark: SparkSession, sf_dir: str, key_mode: str = "typed") -> DataFrame:
+    v = host_vectors(spark, sf_dir, key_mode)
     kinds = []
     for role, width in HS.LAYOUT:
         parts = ("w", "mean", "var") if width == 3 else ("radius", "magnitude", "cov", "pcc")
@@ -397,6 +397,7 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "reference_distances": (q_reference_distances, O.reference_distances_sql()),
     "proximity_ratio": (q_proximity_ratio, O.proximity_ratio_sql()),
     "host_stats": (q_host_stats, O.host_stats_sql()),
+    "host_stats_concat_keys": (lambda spark, sf: q_host_stats(spark, sf, "concat"), O.host_stats_sql("concat")),
     "correlation_distance": (q_correlation_distance, O.correlation_distance_sql(EMB_FM)),
     "feature_map": (q_feature_map, None),
     "anomaly_scores": (q_anomaly_scores, None),
