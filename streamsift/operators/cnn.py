@@ -22,20 +22,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def init_cnn(n_features: int, kernels: int = 16, seed: int = 1) -> dict:
+def init_cnn(n_features: int, kernels: int = 16, seed: int = 1, padding: str = "valid", stride: int = 1) -> dict:
+    """Parameters plus the layout options (M7: 'same' or 'valid' rows, row stride)."""
     rng = np.random.RandomState(seed)
     fan = 3 * n_features
     return {"Wc": rng.normal(0, np.sqrt(2.0 / fan), size=(kernels, fan)), "bc": np.zeros(kernels),
-            "wd": rng.normal(0, np.sqrt(1.0 / kernels), size=kernels), "bd": np.zeros(1)}
+            "wd": rng.normal(0, np.sqrt(1.0 / kernels), size=kernels), "bd": np.zeros(1),
+            "padding": padding, "stride": int(stride)}
 
 
-def _im2col(x: np.ndarray) -> np.ndarray:
-    """(B, n, F) -> (B, n-2, 3F)."""
-    return np.concatenate([x[:, i:x.shape[1] - 2 + i, :] for i in range(3)], axis=2)
+def _im2col(x: np.ndarray, padding: str = "valid", stride: int = 1) -> np.ndarray:
+    """(B, n, F) -> (B, positions, 3F): 3-row windows over the full width;
+    'same' pads one zero row on each side, positions are taken every
+    ``stride`` rows."""
+    if padding == "same":
+        z = np.zeros((x.shape[0], 1, x.shape[2]))
+        x = np.concatenate([z, x, z], axis=1)
+    cols = np.concatenate([x[:, i:x.shape[1] - 2 + i, :] for i in range(3)], axis=2)
+    return cols[:, ::stride, :]
 
 
 def forward(p: dict, x: np.ndarray):
-    cols = _im2col(x)
+    cols = _im2col(x, p.get("padding", "valid"), p.get("stride", 1))
     z = cols @ p["Wc"].T + p["bc"]
     a = np.maximum(z, 0.0)
     idx = a.argmax(axis=1)
@@ -71,7 +79,7 @@ def _flat(d: dict) -> np.ndarray:
 
 
 def _unflat(v: np.ndarray, like: dict) -> dict:
-    out, o = {}, 0
+    out, o = {k: like[k] for k in like if k not in _ORDER}, 0
     for k in _ORDER:
         n = like[k].size
         out[k] = v[o:o + n].reshape(like[k].shape)
@@ -110,12 +118,13 @@ def _grad_job(spark: SparkSession, data: DataFrame, params: dict) -> tuple[np.nd
 
 
 def train_cnn(spark: SparkSession, train: DataFrame, val: DataFrame | None, n_features: int, kernels: int = 16,
-              lr: float = 0.01, epochs: int = 30, patience: int = 10, seed: int = 1):
-    """M6: returns (params, history list of (epoch, train_loss, val_loss))."""
+              lr: float = 0.01, epochs: int = 30, patience: int = 10, seed: int = 1, padding: str = "valid",
+              stride: int = 1):
+    """M6/M7: returns (params, history list of (epoch, train_loss, val_loss))."""
     from ..session import cut_lineage
     train = cut_lineage(train.select("set_x", "set_y"))
     val = cut_lineage(val.select("set_x", "set_y")) if val is not None else None
-    p = init_cnn(n_features, kernels, seed)
+    p = init_cnn(n_features, kernels, seed, padding, stride)
     v = _flat(p)
     m1, m2 = np.zeros_like(v), np.zeros_like(v)
     b1, b2, eps = 0.9, 0.999, 1e-7

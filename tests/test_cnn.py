@@ -3,9 +3,13 @@ import numpy as np
 from streamsift.operators import cnn as CN
 
 
-def test_gradients_match_finite_differences():
+import pytest
+
+
+@pytest.mark.parametrize("padding,stride", [("valid", 1), ("same", 1), ("same", 2)])
+def test_gradients_match_finite_differences(padding, stride):
     rng = np.random.RandomState(0)
-    p = CN.init_cnn(4, kernels=3, seed=2)
+    p = CN.init_cnn(4, kernels=3, seed=2, padding=padding, stride=stride)
     x = rng.rand(5, 6, 4)
     y = np.array([0, 1, 1, 0, 1], dtype=float)
     g, loss = CN.gradients(p, x, y)
