@@ -26,7 +26,7 @@ Spark plan (all exact integer microseconds):
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -96,10 +96,9 @@ def window_anchors(packets: DataFrame, width_us: int, capture: str = "capture_id
 
     Pointer doubling over one table (x, jump, on): ``jump`` is next^(2^k)(x)
     and ``on`` marks the first 2^k anchors of every chain.  Each job runs
-    two doubling steps and is written to the checkpoint folder.  An
-    ``observe`` metric counts marked nodes that still have a jump (a chain
-    continuing beyond its marked prefix) without an extra job; the loop stops
-    when there is none.
+    two doubling steps and is written to the checkpoint folder.  The loop
+    stops when no marked node still has a jump (no chain continues beyond
+    its marked prefix), checked with a short scan of the written state.
     """
     cap = capture
     d = running_max(packets.select(cap, seq, ts), [cap], seq, ts, "_T", prev_out="_Tp",
@@ -107,22 +106,20 @@ def window_anchors(packets: DataFrame, width_us: int, capture: str = "capture_id
     cand = cut_lineage(d.where(F.col("_Tp").isNull() | (F.col("_T") > F.col("_Tp")))
                        .select(cap, F.col("_T").alias("x")))
     roots = cand.groupBy(cap).agg(F.min("x").alias("x")).withColumn("root", F.lit(True))
-    active = (F.col("on") & F.col("jump").isNotNull()).cast("long")
-    obs = Observation()
+    active = F.col("on") & F.col("jump").isNotNull()
     state = cut_lineage(_next_candidates(cand, cap, width_us, cells).join(roots, [cap, "x"], "left")
                         .select(cap, "x", F.col("nx").alias("jump"),
-                                F.coalesce("root", F.lit(False)).alias("on"))
-                        .observe(obs, F.sum(active).alias("active")))
+                                F.coalesce("root", F.lit(False)).alias("on")))
     steps = 2  # doubling steps per job
     for _ in range(max_rounds):
-        # a marked node with a jump means some chain goes on past the marked prefix
-        if not (obs.get.get("active") or 0):
+        # a marked node with a jump means some chain goes on past its marked
+        # prefix (a scan of the written state that stops at the first hit)
+        if state.where(active).limit(1).count() == 0:
             break
         nxt = state
         for _ in range(steps):
             nxt = _double(nxt, cap)
-        obs = Observation()
-        state = cut_lineage(nxt.observe(obs, F.sum(active).alias("active")))
+        state = cut_lineage(nxt)
     else:
         raise RuntimeError("anchored windows: chain longer than 4^max_rounds")
     return state.where(F.col("on")).select(cap, F.col("x").alias("anchor_us"))
