@@ -12,7 +12,7 @@ from ..operators.windows import anchored_windows_sql
 from ..sources.tables import label_pairs_sql, lucid_features_sql, packets_from_events_sql
 
 
-def fragments_cte(width_us: int, max_flow_len: int, labelled: bool = True) -> str:
+def fragments_cte(width_us: int, max_flow_len: int, labelled: bool = True, max_flows: int = 0) -> str:
     """CTEs ending in ``frag``: long-form fragment packets, like build_fragments."""
     lab = label_pairs_sql() if labelled else "SELECT NULL::VARCHAR AS src, NULL::VARCHAR AS dst, 0 AS label WHERE false"
     return f"""WITH RECURSIVE
@@ -29,15 +29,21 @@ def fragments_cte(width_us: int, max_flow_len: int, labelled: bool = True) -> st
     orient AS (
         SELECT capture_id, k_ip1, k_p1, k_ip2, k_p2, fproto,
                arg_min(fsrc, seq) AS o_src, arg_min(fsport, seq) AS o_sport,
-               arg_min(fdst, seq) AS o_dst, arg_min(fdport, seq) AS o_dport
+               arg_min(fdst, seq) AS o_dst, arg_min(fdport, seq) AS o_dport, min(seq) AS first_seq
         FROM acc GROUP BY ALL),
+    cut AS (SELECT capture_id, max(first_seq) AS cut_seq FROM (
+                SELECT capture_id, first_seq,
+                       row_number() OVER (PARTITION BY capture_id ORDER BY first_seq) AS rn FROM orient) q
+            WHERE rn <= {int(max_flows)} GROUP BY capture_id HAVING count(*) >= {int(max_flows)} AND {int(max_flows)} > 0),
     ranked AS (
         SELECT a.*, o.o_src, o.o_sport, o.o_dst, o.o_dport,
                row_number() OVER (PARTITION BY a.capture_id, a.k_ip1, a.k_p1, a.k_ip2, a.k_p2, a.fproto,
                                   a.window_start_us ORDER BY a.seq) AS pos,
                min(a.ts_us) OVER (PARTITION BY a.capture_id, a.k_ip1, a.k_p1, a.k_ip2, a.k_p2, a.fproto,
                                   a.window_start_us) AS frag_t0
-        FROM acc a JOIN orient o USING (capture_id, k_ip1, k_p1, k_ip2, k_p2, fproto)),
+        FROM acc a JOIN orient o USING (capture_id, k_ip1, k_p1, k_ip2, k_p2, fproto)
+        LEFT JOIN cut c ON c.capture_id = a.capture_id
+        WHERE c.cut_seq IS NULL OR a.seq <= c.cut_seq),
     labs AS ({lab}),
     frag AS (
         SELECT r.capture_id, r.o_src AS src, r.o_sport AS sport, r.o_dst AS dst, r.o_dport AS dport,
@@ -49,8 +55,8 @@ def fragments_cte(width_us: int, max_flow_len: int, labelled: bool = True) -> st
         WHERE r.pos <= {int(max_flow_len)})"""
 
 
-def flow_counts_sql(width_us: int, max_flow_len: int) -> str:
-    return fragments_cte(width_us, max_flow_len) + """,
+def flow_counts_sql(width_us: int, max_flow_len: int, max_flows: int = 0) -> str:
+    return fragments_cte(width_us, max_flow_len, max_flows=max_flows) + """,
     flows AS (
         SELECT capture_id, src, sport, dst, dport, proto, count(DISTINCT window_start_us) AS fragments,
                max(label) AS label
@@ -462,3 +468,21 @@ def stream_flow_windows_sql(width_us: int, delay_us: int) -> str:
            g.first_seq, CAST(coalesce(l.label, 0) AS INTEGER) AS label
     FROM g JOIN wm ON g.window_start_us + {width_us} <= wm.wm
     LEFT JOIN labs l ON l.src = g.src AND l.dst = g.dst"""
+
+
+# ---------------------------------------------------------------- CIDR labels
+def _ip_int(expr: str) -> str:
+    return (f"(CAST(split_part({expr}, '.', 1) AS BIGINT) * 16777216 + CAST(split_part({expr}, '.', 2) AS BIGINT) * 65536"
+            f" + CAST(split_part({expr}, '.', 3) AS BIGINT) * 256 + CAST(split_part({expr}, '.', 4) AS BIGINT))")
+
+
+def cidr_labels_sql(ranges: list[tuple[int, int, int, int]]) -> str:
+    """ranges: (attacker first host, last host, victim first host, last host) as integers."""
+    conds = []
+    for alo, ahi, vlo, vhi in ranges:
+        conds.append(f"(s BETWEEN {alo} AND {ahi} AND d BETWEEN {vlo} AND {vhi})")
+        conds.append(f"(d BETWEEN {alo} AND {ahi} AND s BETWEEN {vlo} AND {vhi})")
+    return f"""WITH pk AS ({packets_from_events_sql()}),
+    p AS (SELECT DISTINCT src_ip AS src, dst_ip AS dst FROM pk WHERE accepted),
+    q AS (SELECT src, dst, {_ip_int('src')} AS s, {_ip_int('dst')} AS d FROM p)
+    SELECT src, dst, CASE WHEN {' OR '.join(conds)} THEN 1 ELSE 0 END AS label FROM q"""

@@ -43,6 +43,35 @@ def q_flow_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FL.count_flows(fragments(spark, sf_dir))
 
 
+FLOW_CAP = 150
+
+
+def q_flow_counts_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """stop each capture right after the packet that creates its k-th flow."""
+    f = FL.build_fragments(_frames(spark, sf_dir), DAY_US, MAX_FLOW_LEN, labels=TB.label_pairs(spark),
+                           max_flows=FLOW_CAP)
+    return FL.count_flows(f)
+
+
+CIDR_SPECS = [("10.0.0.0/30", "10.0.0.4/31"), ("10.0.0.8", "10.0.0.12/30")]
+
+
+def q_cidr_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J2 with networks: distinct directed host pairs labelled by CIDR specs."""
+    pairs = (TB.packets_from_events(spark, sf_dir).where(F.col("accepted"))
+             .select(F.col("src_ip").alias("src"), F.col("dst_ip").alias("dst")).distinct())
+    return FL.labels_for_pairs(pairs, FL.label_nets(spark, CIDR_SPECS)).select("src", "dst", "label")
+
+
+def _cidr_ranges():
+    out = []
+    for a, v in CIDR_SPECS:
+        _, _, alo, ahi = FL._net_row(a)
+        _, _, vlo, vhi = FL._net_row(v)
+        out.append((alo, ahi, vlo, vhi))
+    return out
+
+
 def q_anchored_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = anchored_windows(TB.packets_from_events(spark, sf_dir), HOUR_US)
     return (w.groupBy("capture_id", "window_start_us")
@@ -379,6 +408,8 @@ _PK = TB.packets_from_events_sql()
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "flow_counts": (q_flow_counts, O.flow_counts_sql(DAY_US, MAX_FLOW_LEN)),
+    "flow_counts_capped": (q_flow_counts_capped, O.flow_counts_sql(DAY_US, MAX_FLOW_LEN, FLOW_CAP)),
+    "cidr_labels": (q_cidr_labels, O.cidr_labels_sql(_cidr_ranges())),
     "anchored_windows": (q_anchored_windows, O.windows_sql(HOUR_US)),
     "fragments": (q_fragments, O.fragments_sql(HOUR_US, MAX_FLOW_LEN)),
     "decay_1d": (q_decay_1d, O.decay_1d_sql(_PK, "src_ip", "frame_len", "accepted")),
