@@ -126,3 +126,33 @@ def stream_scores(stream: DataFrame, score_fn) -> DataFrame:
     """ST3: apply a stateless scoring function (e.g. ``detector.score``
     bound to a trained model) to a stream."""
     return score_fn(stream)
+
+
+def classify_micro_batches(stream: DataFrame, out_path: str, width_us: int, max_flow_len: int,
+                           mins: list[float], maxs: list[float], params: dict, labels: DataFrame | None = None,
+                           checkpoint: str | None = None):
+    """ST1: every micro-batch of frames (lucid feature rows) is cut into
+    anchored windows and fragments with the batch operators, scaled, padded,
+    classified with a trained CNN and reported (one report row per batch,
+    appended to ``out_path``); labels, when given, come from the broadcast
+    pair table (ST4).  Returns the started query."""
+    from ..operators import cnn as CN
+    from ..operators import dataset as DS
+    from ..operators import flows as FL
+    from ..operators import metrics as MT
+
+    def per_batch(bdf: DataFrame, epoch: int) -> None:
+        if bdf.isEmpty():
+            return
+        frag = FL.build_fragments(bdf, width_us, max_flow_len, labels=labels)
+        samples = DS.to_samples(DS.pad_long(DS.normalize(frag, mins, maxs), max_flow_len), max_flow_len)
+        keyed = samples.withColumn("sample_id", F.concat_ws("|", F.col("flow.src"), F.col("flow.dst"),
+                                                            F.col("window_start_us").cast("string")))
+        preds = CN.predict_cnn(keyed, params, ["sample_id", "set_y"]).withColumnRenamed("set_y", "label")
+        rep = MT.confusion_report(preds.withColumn("model", F.lit("cnn")).withColumn("source", F.lit(f"batch-{epoch}")),
+                                  ["model", "source"])
+        rep.withColumn("epoch", F.lit(int(epoch))).write.mode("append").parquet(out_path)
+
+    return (stream.writeStream.foreachBatch(per_batch)
+            .option("checkpointLocation", checkpoint or out_path + "-ckpt")
+            .trigger(availableNow=True).start())
