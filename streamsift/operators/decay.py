@@ -37,17 +37,20 @@ VAR_EPS = 1e-9
 
 
 def _origin_and_runmax(rows: DataFrame, keys: list[str], seq: str, t: str, chunk_rows: int) -> DataFrame:
-    """Adds T (running max of t), Tprev (exclusive) and T0 (min t of the key)."""
+    """Adds _T (running max of t), _Tprev (exclusive) and _T0 (min t of the key).
+
+    Internal names start with an underscore: Spark resolves names without
+    case, so a column called T would replace the caller's t."""
     d = rows.withColumn("_ch", int_div(seq, chunk_rows))
     wk = Window.partitionBy(*keys).orderBy("_ch")
     carry = (d.groupBy(*keys, "_ch").agg(F.max(t).alias("_cmax"), F.min(t).alias("_cmin"))
              .withColumn("_carry", F.max("_cmax").over(wk.rowsBetween(UNB_PREC, -1)))
-             .withColumn("T0", F.min("_cmin").over(Window.partitionBy(*keys)))
+             .withColumn("_T0", F.min("_cmin").over(Window.partitionBy(*keys)))
              .drop("_cmax", "_cmin"))
     d = d.join(carry, [*keys, "_ch"], "left")
     w = Window.partitionBy(*keys, "_ch").orderBy(seq)
-    return (d.withColumns({"T": F.greatest(F.col("_carry"), F.max(t).over(w.rowsBetween(UNB_PREC, 0))),
-                           "Tprev": F.greatest(F.col("_carry"), F.max(t).over(w.rowsBetween(UNB_PREC, -1)))})
+    return (d.withColumns({"_T": F.greatest(F.col("_carry"), F.max(t).over(w.rowsBetween(UNB_PREC, 0))),
+                           "_Tprev": F.greatest(F.col("_carry"), F.max(t).over(w.rowsBetween(UNB_PREC, -1)))})
             .drop("_carry"))
 
 
@@ -77,19 +80,19 @@ def decayed_sums(rows: DataFrame, keys: list[str], seq: str = "seq", t: str = "t
     else:
         d = _origin_and_runmax(rows, keys, seq, t, chunk_rows)
     if gap_value is not None:
-        gap = F.coalesce(F.greatest(F.col(t) - F.col("Tprev"), F.lit(0.0)), F.lit(0.0))
+        gap = F.coalesce(F.greatest(F.col(t) - F.col("_Tprev"), F.lit(0.0)), F.lit(0.0))
         d = d.withColumn(v, F.when(gap_value, gap).otherwise(F.col(v)))
     L = F.col(lam)
-    d = d.withColumn("_blk", F.floor(L * (F.col("T") - F.col("T0")) / F.lit(block)).cast("long"))
+    d = d.withColumn("_blk", F.floor(L * (F.col("_T") - F.col("_T0")) / F.lit(block)).cast("long"))
     part = [*keys, "_blk", "_ch"]
     # the chunk origin uses the same partitioning and order as the running
     # sums, so both windows share one sort
     ordered = Window.partitionBy(*part).orderBy(seq)
-    tc = F.min("T").over(ordered.rowsBetween(UNB_PREC, Window.unboundedFollowing))
-    d = d.withColumn("_tc", tc).withColumn("_e", F.pow(F.lit(2.0), L * (F.col("T") - F.col("_tc"))))
+    tc = F.min("_T").over(ordered.rowsBetween(UNB_PREC, Window.unboundedFollowing))
+    d = d.withColumn("_tc", tc).withColumn("_e", F.pow(F.lit(2.0), L * (F.col("_T") - F.col("_tc"))))
     xs = [F.col("_e"), F.col(v) * F.col("_e"), F.col(v) * F.col(v) * F.col("_e")]
     run = ordered.rowsBetween(UNB_PREC, 0)
-    d = d.select(*[c for c in d.columns if c not in ("T0", "Tprev")],
+    d = d.select(*[c for c in d.columns if c not in ("_T0", "_Tprev")],
                  *[F.sum(x).over(run).alias(f"_r{i}") for i, x in enumerate(xs)])
     # chunk totals (same partitioning as the window: no extra exchange)
     tot = [F.sum(F.col("_e")), F.sum(F.col(v) * F.col("_e")), F.sum(F.col(v) * F.col(v) * F.col("_e"))]
@@ -113,7 +116,7 @@ def decayed_sums(rows: DataFrame, keys: list[str], seq: str = "seq", t: str = "t
                                    * to_chunk).alias(f"_c{i}") for i in range(3)])
     d = d.join(carry, part, "left")
     inv = F.lit(1.0) / F.col("_e")
-    out = [c for c in d.columns if not c.startswith("_") and c not in ("T", v)] + ([v] if v in d.columns else [])
+    out = [c for c in d.columns if not c.startswith("_") and c not in ("_T", v)] + ([v] if v in d.columns else [])
     return d.select(*out, *[((F.col(f"_r{i}") + F.col(f"_c{i}")) * inv).alias(n)
                             for i, n in enumerate(["w", "cf1", "cf2"])])
 
