@@ -81,17 +81,21 @@ def feature_names_b() -> list[str]:
 
 
 def layer_hash(name: Column) -> Column:
-    """int(sha256(name), 16) mod 1e8, via a Horner fold over 32-bit hex chunks."""
-    h = F.sha2(name.cast("string"), 256)
-    return F.aggregate(
-        F.sequence(F.lit(0), F.lit(7)),
-        F.lit(0).cast("long"),
-        lambda acc, i: F.pmod(
-            acc * F.lit(4294967296).cast("long")
-            + F.conv(F.substring(h, i * 8 + 1, 8), 16, 10).cast("long"),
-            F.lit(LAYER_HASH_MODULUS).cast("long"),
-        ),
-    )
+    """int(sha256(name), 16) mod 1e8, via a Horner fold over the eight 32-bit
+    hex chunks of the digest (unrolled, so it stays in generated code)."""
+    return layer_hash_from_digest(F.sha2(name.cast("string"), 256))
+
+
+def layer_hash_from_digest(h: Column) -> Column:
+    """The fold on a precomputed hex digest.  Give the digest its own column
+    first when hashing many rows: Spark then keeps one digest per row
+    instead of inlining it into all eight chunks."""
+    mod = F.lit(LAYER_HASH_MODULUS).cast("long")
+    acc = F.lit(0).cast("long")
+    for i in range(8):
+        chunk = F.conv(F.substring(h, i * 8 + 1, 8), 16, 10).cast("long")
+        acc = F.pmod(acc * F.lit(4294967296).cast("long") + chunk, mod)
+    return acc
 
 
 def layer_hash_sql(expr: str) -> str:
@@ -102,9 +106,17 @@ def layer_hash_sql(expr: str) -> str:
             "lambda acc, x: (acc * 4294967296 + x) % 100000000)")
 
 
+def protocol_tokens(frame_protocols: Column) -> Column:
+    """Lower-case word tokens of at least two characters."""
+    return F.regexp_extract_all(F.lower(frame_protocols), F.lit(r"(?U)\b\w\w+\b"), 0)
+
+
 def protocol_mask(frame_protocols: Column) -> Column:
     """Presence bitmask of the vocabulary words among the lower-cased tokens."""
-    tokens = F.regexp_extract_all(F.lower(frame_protocols), F.lit(r"(?U)\b\w\w+\b"), 0)
+    return protocol_mask_from_tokens(protocol_tokens(frame_protocols))
+
+
+def protocol_mask_from_tokens(tokens: Column) -> Column:
     mask = F.lit(0).cast("long")
     for i, word in enumerate(PROTOCOL_VOCABULARY):
         mask = mask + F.when(F.array_contains(tokens, word), F.lit(1 << i)).otherwise(F.lit(0))
