@@ -150,9 +150,11 @@ def pair_stats_2d(rows: DataFrame, src: str, dst: str, lambdas=LAMBDAS, seq: str
         F.struct(F.lit("o").alias("dir"), F.col(src).alias("k")),
         F.struct(F.lit("i").alias("dir"), F.col(dst).alias("k")))).alias("_r")).select(seq, t, v, "_r.dir", "_r.k")
     one = decayed_stats_1d(roles, ["dir", "k"], lambdas, seq, t, v)
-    wide = (one.groupBy(seq, "lam")
-            .agg(*[F.max(F.when(F.col("dir") == d_, F.col(c))).alias(f"{c}_{d_}")
-                   for d_ in ("o", "i") for c in ("mean", "var")]))
+    from ..session import cut_lineage
+    # the per-packet means feed both the residual pass and the output: write once
+    wide = cut_lineage(one.groupBy(seq, "lam")
+                       .agg(*[F.max(F.when(F.col("dir") == d_, F.col(c))).alias(f"{c}_{d_}")
+                              for d_ in ("o", "i") for c in ("mean", "var")]))
     pr = base.join(wide, seq).withColumn("r", (F.col(v) - F.col("mean_o")) * (F.col(v) - F.col("mean_i")))
     cov = decayed_sums(pr.withColumn("pk", F.concat_ws("|", F.col(src), F.col(dst))),
                        ["pk", "lam"], seq, t, "r", "lam")

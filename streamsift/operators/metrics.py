@@ -79,17 +79,18 @@ def score_summary(scores: DataFrame, threshold: float, score: str = "rmse", grou
 
 def robustness(before: DataFrame, after: DataFrame, threshold: float, t: str = "t", score: str = "rmse",
                crafted: str | None = "crafted") -> DataFrame:
-    """A11-A14 in one pass per version: duration, size, score and detection
-    reductions (after vs before), as one row."""
-    def side(d: DataFrame, name: str) -> DataFrame:
-        aggs = [(F.max(t) - F.min(t)).alias(f"dur_{name}"), F.count("*").cast("long").alias(f"n_{name}"),
-                F.avg(score).alias(f"mean_{name}"),
-                F.sum(alert(F.col(score), threshold)).cast("long").alias(f"det_{name}")]
-        return d.agg(*aggs)
-    b, a = side(before, "before"), side(after, "after")
-    bb = b.withColumn("_k", F.lit(1))
-    aa = a.withColumn("_k", F.lit(1))
-    j = bb.join(aa, "_k").drop("_k")
+    """Duration, size, score and detection reductions (after vs
+    before), as one row from a single aggregation over both versions."""
+    both = (before.select(F.lit("before").alias("_v"), t, score)
+            .unionByName(after.select(F.lit("after").alias("_v"), t, score)))
+    aggs = []
+    for name in ("before", "after"):
+        on = F.col("_v") == name
+        aggs += [(F.max(F.when(on, F.col(t))) - F.min(F.when(on, F.col(t)))).alias(f"dur_{name}"),
+                 F.count(F.when(on, F.lit(1))).cast("long").alias(f"n_{name}"),
+                 F.avg(F.when(on, F.col(score))).alias(f"mean_{name}"),
+                 F.sum(F.when(on, alert(F.col(score), threshold)).otherwise(0)).cast("long").alias(f"det_{name}")]
+    j = both.agg(*aggs)
     return j.select(
         "dur_before", "dur_after", safe_div(F.col("dur_after") - F.col("dur_before"), F.col("dur_before")).alias("duration_rate"),
         "n_before", "n_after",
@@ -164,8 +165,8 @@ def euclidean(a: Column, b: Column) -> Column:
 
 
 def proximity_ratio(before_dist: DataFrame, after_dist: DataFrame) -> DataFrame:
-    """1 - sum(min distance after) / sum(max distance before)."""
-    b = before_dist.agg(F.sum("max_dist").alias("org_dis")).withColumn("_k", F.lit(1))
-    a = after_dist.agg(F.sum("min_dist").alias("mut_dis")).withColumn("_k", F.lit(1))
-    return b.join(a, "_k").select("org_dis", "mut_dis",
-                                  (F.lit(1.0) - F.col("mut_dis") / F.col("org_dis")).alias("proximity_ratio"))
+    """1 - sum(min distance after) / sum(max distance before), one aggregation."""
+    both = (before_dist.select(F.col("max_dist").alias("_b"), F.lit(None).cast("double").alias("_a"))
+            .unionByName(after_dist.select(F.lit(None).cast("double").alias("_b"), F.col("min_dist").alias("_a"))))
+    r = both.agg(F.sum("_b").alias("org_dis"), F.sum("_a").alias("mut_dis"))
+    return r.select("org_dis", "mut_dis", (F.lit(1.0) - F.col("mut_dis") / F.col("org_dis")).alias("proximity_ratio"))
