@@ -169,16 +169,43 @@ def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+#: Longest stretch of a buffer whose running sums are held at once.
+HASH_BYTES = 4 << 20
+
+
 class SpanHash:
-    """64-bit hashes of any byte spans of one buffer, after one pass over it."""
+    """64-bit hashes of byte spans of one buffer, given by ascending starts.
+
+    A running sum over the bytes gives the hash of any span by subtraction.
+    Long buffers are summed stretch by stretch, so that memory follows the
+    longest span and not the text."""
 
     def __init__(self, buf: np.ndarray):
-        p, self.inv = _powers(len(buf) + 1)
-        self.cum = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * p[:len(buf)], out=self.cum[1:])
+        self.buf, self.cum = buf, None
+        if len(buf) <= HASH_BYTES:
+            self.cum = self._sums(buf)
+
+    @staticmethod
+    def _sums(buf: np.ndarray) -> np.ndarray:
+        p, _ = _powers(len(buf) + 1)
+        cum = np.zeros(len(buf) + 1, np.uint64)
+        part = buf.astype(np.uint64)
+        part += np.uint64(1)
+        part *= p[:len(buf)]
+        np.cumsum(part, out=cum[1:])
+        return cum
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.cum[ends] - self.cum[starts]) * self.inv[starts])
+        if self.cum is not None:
+            return mix((self.cum[ends] - self.cum[starts]) * _powers(len(self.cum))[1][starts])
+        out = np.empty(len(starts), np.uint64)
+        for a in range(0, len(self.buf), HASH_BYTES):
+            lo, hi = np.searchsorted(starts, [a, a + HASH_BYTES])
+            if lo < hi:
+                s, e = starts[lo:hi] - a, ends[lo:hi] - a
+                cum = self._sums(self.buf[a:a + int(e.max())])
+                out[lo:hi] = mix((cum[e] - cum[s]) * _powers(len(cum))[1][s])
+        return out
 
 
 def ragged(values: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -218,3 +245,65 @@ def file_system(uri: str):
     if uri.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + uri[len("file:"):].lstrip("/")
     return pafs.FileSystem.from_uri(uri)
+
+
+# ------------------------------------------------------------------- shingles
+
+#: Words of a shingle.
+SHINGLE = 5
+
+
+def shingles(buf: np.ndarray, off: np.ndarray, size: int = SHINGLE):
+    """Hashes of all word shingles of lower-cased texts, in text order:
+    (hash, text). A text with fewer than ``size`` words has one shingle of all
+    its words; a text without words has none."""
+    s, e, doc = spans(buf, off)
+    if not len(s):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return word_shingles(SpanHash(buf)(s, e), doc, len(off) - 1, size)
+
+
+def word_shingles(word: np.ndarray, doc: np.ndarray, texts: int, size: int = SHINGLE):
+    """Shingle hashes from word hashes; see ``shingles``."""
+    n = np.bincount(doc, minlength=texts)
+    first = np.cumsum(n) - n
+    acc = np.zeros(len(word), np.uint64)
+    for k in range(size):  # windows may run over a text's end here; those are dropped below
+        shifted = np.zeros(len(word), np.uint64)
+        shifted[:len(word) - k] = word[k:]
+        acc = acc * _BASE + shifted
+    pos = np.arange(len(word)) - first[doc]
+    whole = pos + size <= n[doc]
+    out, owner = mix(acc[whole], size), doc[whole]
+    short = np.flatnonzero((n > 0) & (n < size))
+    if len(short):
+        extra = np.empty(len(short), np.uint64)
+        for k, d in enumerate(short):
+            h = np.uint64(0)
+            for w in word[first[d]:first[d] + n[d]]:
+                h = np.uint64((int(h) * int(_BASE) + int(w)) & 0xFFFFFFFFFFFFFFFF)
+            extra[k] = mix(np.array([h]), int(n[d]))[0]
+        out, owner = np.concatenate([out, extra]), np.concatenate([owner, short])
+        order = np.argsort(owner, kind="stable")
+        out, owner = out[order], owner[order]
+    return out, owner
+
+
+def distinct_counts(h: np.ndarray, owner: np.ndarray, texts: int):
+    """Sorted distinct hashes per text: (hash, count, distinct per text)."""
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    at = np.flatnonzero(new)
+    return h[at], np.diff(np.append(at, len(h))), np.bincount(owner[at], minlength=texts)
+
+
+def weighted_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
+    """Sum of minima over sum of maxima; a, b sorted distinct hashes."""
+    if not len(a) or not len(b):
+        return 0.0
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    hit = b[at] == a
+    low = np.minimum(wa[hit], wb[at[hit]]).sum()
+    return float(low / (wa.sum() + wb.sum() - low))

@@ -112,9 +112,16 @@ class BinaryFuse8:
 def digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, sha, norm): digest (hex) and normalised text of every row; null text
     counts as empty."""
-    norm = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
-    return (pick(df, id=key, text=text).select("id", norm.alias("norm"))
-            .select("id", F.sha2(F.col("norm").cast("binary"), 256).alias("sha"), "norm"))
+    return pick(df, id=key, text=text).select("id", norm_digest(F.col("text")).alias("sha"), normal(F.col("text")).alias("norm"))
+
+
+def normal(text):
+    return ascii_lower(F.coalesce(text, F.lit("")))
+
+
+def norm_digest(text):
+    """SHA-256 of the normalised text in UTF-8, lower-case hex."""
+    return F.sha2(normal(text).cast("binary"), 256)
 
 
 def _bucket(buckets: int):
