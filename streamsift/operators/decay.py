@@ -19,8 +19,9 @@ Distributed evaluation (no group ever sits in one task):
 * A block only needs the total of the block right before it; anything older
   is below 2^-512 relative to the current row (whose own weight is 1).
 
-mean = CF1/w, var = |CF2/w - mean^2|; var <= VAR_EPS*mean^2 is treated as 0
-(rounding noise of a constant stream; the oracle applies the same rule).
+mean = CF1/w, var = |CF2/w - mean^2|.  Sums are taken over v - v0 with v0 the
+stream's first value: the variance does not depend on the shift, a constant
+stream gives exactly 0, and a large common offset does not cancel digits.
 """
 
 from __future__ import annotations
@@ -33,20 +34,23 @@ from .prefix import DEFAULT_CHUNK_ROWS, UNB_PREC, int_div
 # Fixed values of the statistics pipeline: the default decay rates.
 LAMBDAS = [5.0, 3.0, 1.0, 0.1, 0.01]
 BLOCK = 512.0
-VAR_EPS = 1e-9
+# Share of the second moment below which a variance is rounding noise.
+NOISE = 1e-12
 
 
-def _origin_and_runmax(rows: DataFrame, keys: list[str], seq: str, t: str, chunk_rows: int) -> DataFrame:
-    """Adds _T (running max of t), _Tprev (exclusive) and _T0 (min t of the key).
+def _origin_and_runmax(rows: DataFrame, keys: list[str], seq: str, t: str, v: str, chunk_rows: int) -> DataFrame:
+    """Adds _T (running max of t), _Tprev (exclusive), _T0 (min t of the key)
+    and _v0 (first value of the key).
 
     Internal names start with an underscore: Spark resolves names without
     case, so a column called T would replace the caller's t."""
     d = rows.withColumn("_ch", int_div(seq, chunk_rows))
     wk = Window.partitionBy(*keys).orderBy("_ch")
-    carry = (d.groupBy(*keys, "_ch").agg(F.max(t).alias("_cmax"), F.min(t).alias("_cmin"))
+    carry = (d.groupBy(*keys, "_ch").agg(F.max(t).alias("_cmax"), F.min(t).alias("_cmin"), F.min_by(v, seq).alias("_cv"))
              .withColumn("_carry", F.max("_cmax").over(wk.rowsBetween(UNB_PREC, -1)))
              .withColumn("_T0", F.min("_cmin").over(Window.partitionBy(*keys)))
-             .drop("_cmax", "_cmin"))
+             .withColumn("_v0", F.first("_cv").over(wk.rowsBetween(UNB_PREC, Window.unboundedFollowing)))
+             .drop("_cmax", "_cmin", "_cv"))
     d = d.join(carry, [*keys, "_ch"], "left")
     w = Window.partitionBy(*keys, "_ch").orderBy(seq)
     return (d.withColumns({"_T": F.greatest(F.col("_carry"), F.max(t).over(w.rowsBetween(UNB_PREC, 0))),
@@ -57,7 +61,8 @@ def _origin_and_runmax(rows: DataFrame, keys: list[str], seq: str, t: str, chunk
 def decayed_sums(rows: DataFrame, keys: list[str], seq: str = "seq", t: str = "t", v: str = "v",
                  lam: str = "lam", gap_value: Column | None = None, block: float = BLOCK,
                  chunk_rows: int = DEFAULT_CHUNK_ROWS, lambdas: list[float] | None = None) -> DataFrame:
-    """Adds ``w``, ``cf1``, ``cf2`` (decayed count, sum, sum of squares).
+    """Adds ``w`` and ``cf1`` (decayed count and sum), and the sums over the
+    distance from the stream's first value ``v0``: ``d1`` and ``d2``.
 
     ``keys`` identify a stream and must include the ``lam`` column.  With
     ``lambdas`` the rows carry no rate yet: the running maximum is computed
@@ -71,17 +76,18 @@ def decayed_sums(rows: DataFrame, keys: list[str], seq: str = "seq", t: str = "t
     totals are moved to the block's first time, block totals to the next
     block's first time.
     """
-    if block < 64:
-        raise ValueError("block must be >= 64 so that blocks older than the previous one vanish")
+    if block < BLOCK:
+        raise ValueError("block must be >= 512: older blocks than the previous one are left out at 2^-block")
     if lambdas is not None:
         base_keys = [k for k in keys if k != lam]
-        d = _origin_and_runmax(rows, base_keys, seq, t, chunk_rows)
+        d = _origin_and_runmax(rows, base_keys, seq, t, v, chunk_rows)
         d = d.withColumn(lam, F.explode(F.array(*[F.lit(float(x)) for x in lambdas])))
     else:
-        d = _origin_and_runmax(rows, keys, seq, t, chunk_rows)
+        d = _origin_and_runmax(rows, keys, seq, t, v, chunk_rows)
     if gap_value is not None:
         gap = F.coalesce(F.greatest(F.col(t) - F.col("_Tprev"), F.lit(0.0)), F.lit(0.0))
-        d = d.withColumn(v, F.when(gap_value, gap).otherwise(F.col(v)))
+        d = d.withColumns({v: F.when(gap_value, gap).otherwise(F.col(v)),
+                           "_v0": F.when(gap_value, F.lit(0.0)).otherwise(F.col("_v0"))})  # the first gap is 0
     L = F.col(lam)
     d = d.withColumn("_blk", F.floor(L * (F.col("_T") - F.col("_T0")) / F.lit(block)).cast("long"))
     part = [*keys, "_blk", "_ch"]
@@ -90,12 +96,13 @@ def decayed_sums(rows: DataFrame, keys: list[str], seq: str = "seq", t: str = "t
     ordered = Window.partitionBy(*part).orderBy(seq)
     tc = F.min("_T").over(ordered.rowsBetween(UNB_PREC, Window.unboundedFollowing))
     d = d.withColumn("_tc", tc).withColumn("_e", F.pow(F.lit(2.0), L * (F.col("_T") - F.col("_tc"))))
-    xs = [F.col("_e"), F.col(v) * F.col("_e"), F.col(v) * F.col(v) * F.col("_e")]
+    off = F.col(v) - F.col("_v0")
+    xs = [F.col("_e"), off * F.col("_e"), off * off * F.col("_e")]
     run = ordered.rowsBetween(UNB_PREC, 0)
     d = d.select(*[c for c in d.columns if c not in ("_T0", "_Tprev")],
                  *[F.sum(x).over(run).alias(f"_r{i}") for i, x in enumerate(xs)])
     # chunk totals (same partitioning as the window: no extra exchange)
-    tot = [F.sum(F.col("_e")), F.sum(F.col(v) * F.col("_e")), F.sum(F.col(v) * F.col(v) * F.col("_e"))]
+    tot = [F.sum(x) for x in xs]
     sub = d.groupBy(*part).agg(F.min("_tc").alias("_tc"), F.min(lam).alias("_lam"),
                                *[x.alias(f"_s{i}") for i, x in enumerate(tot)])
     wblk = Window.partitionBy(*keys, "_blk")
@@ -117,15 +124,23 @@ def decayed_sums(rows: DataFrame, keys: list[str], seq: str = "seq", t: str = "t
     d = d.join(carry, part, "left")
     inv = F.lit(1.0) / F.col("_e")
     out = [c for c in d.columns if not c.startswith("_") and c not in ("_T", v)] + ([v] if v in d.columns else [])
-    return d.select(*out, *[((F.col(f"_r{i}") + F.col(f"_c{i}")) * inv).alias(n)
-                            for i, n in enumerate(["w", "cf1", "cf2"])])
+    d = d.select(*out, F.col("_v0").alias("v0"), *[((F.col(f"_r{i}") + F.col(f"_c{i}")) * inv).alias(n)
+                                                   for i, n in enumerate(["w", "d1", "d2"])])
+    return d.withColumn("cf1", F.col("d1") + F.col("v0") * F.col("w"))
 
 
-def mean_var(w: Column, cf1: Column, cf2: Column) -> tuple[Column, Column]:
-    mean = cf1 / w
-    raw = F.abs(cf2 / w - mean * mean)
-    var = F.when(raw <= F.lit(VAR_EPS) * mean * mean, F.lit(0.0)).otherwise(raw)
-    return mean, var
+def moments(d: DataFrame) -> DataFrame:
+    """Adds mean, var and q (second moment about the first value) to the
+    output of ``decayed_sums``."""
+    m = F.col("d1") / F.col("w")
+    q = F.col("d2") / F.col("w")
+    return d.withColumns({"mean": F.col("v0") + m, "var": F.abs(q - m * m), "q": q})
+
+
+def correlation(cov: Column, var_a: Column, q_a: Column, var_b: Column, q_b: Column) -> Column:
+    """pcc = cov / (std * std); 0 where a variance is rounding noise."""
+    real = (var_a > F.lit(NOISE) * q_a) & (var_b > F.lit(NOISE) * q_b)
+    return F.when(real, cov / (F.sqrt(var_a) * F.sqrt(var_b))).otherwise(F.lit(0.0))
 
 
 def decayed_stats_1d(rows: DataFrame, keys: list[str], lambdas=LAMBDAS, seq: str = "seq", t: str = "t",
@@ -133,8 +148,7 @@ def decayed_stats_1d(rows: DataFrame, keys: list[str], lambdas=LAMBDAS, seq: str
     """Per row and lam: w, mean, var of the key's stream after the row."""
     d = decayed_sums(rows, [*keys, "lam"], seq, t, v, "lam", gap_value=F.lit(True) if jitter else None,
                      lambdas=lambdas)
-    mean, var = mean_var(F.col("w"), F.col("cf1"), F.col("cf2"))
-    return d.withColumn("mean", mean).withColumn("var", var).drop("cf1", "cf2")
+    return moments(d).drop("cf1", "d1", "d2", "v0")
 
 
 def pair_stats_2d(rows: DataFrame, src: str, dst: str, lambdas=LAMBDAS, seq: str = "seq", t: str = "t",
@@ -154,17 +168,16 @@ def pair_stats_2d(rows: DataFrame, src: str, dst: str, lambdas=LAMBDAS, seq: str
     # the per-packet means feed both the residual pass and the output: write once
     wide = cut_lineage(one.groupBy(seq, "lam")
                        .agg(*[F.max(F.when(F.col("dir") == d_, F.col(c))).alias(f"{c}_{d_}")
-                              for d_ in ("o", "i") for c in ("mean", "var")]))
+                              for d_ in ("o", "i") for c in ("mean", "var", "q")]))
     pr = base.join(wide, seq).withColumn("r", (F.col(v) - F.col("mean_o")) * (F.col(v) - F.col("mean_i")))
     cov = decayed_sums(pr.withColumn("pk", F.concat_ws("|", F.col(src), F.col(dst))),
                        ["pk", "lam"], seq, t, "r", "lam")
-    std = F.sqrt(F.col("var_o")) * F.sqrt(F.col("var_i"))
     covv = F.col("cf1") / F.col("w")
     return cov.select(seq, "lam",
                       F.sqrt(F.col("var_o") + F.col("var_i")).alias("radius"),
                       F.sqrt(F.col("mean_o") * F.col("mean_o") + F.col("mean_i") * F.col("mean_i")).alias("magnitude"),
                       covv.alias("cov"),
-                      F.when(std != 0, covv / std).otherwise(F.lit(0.0)).alias("pcc"))
+                      correlation(covv, F.col("var_o"), F.col("q_o"), F.col("var_i"), F.col("q_i")).alias("pcc"))
 
 
 def rolling_mean(rows: DataFrame, k: int, by: list[str], seq: str = "seq", v: str = "v",

@@ -3,10 +3,11 @@
 A fragment is one flow inside one anchored window, holding its first
 ``max_flow_len`` accepted packets.  A flow's orientation is the 5-tuple of
 its first accepted packet in the capture; flows never merge across
-captures.  All steps are DataFrame operations; per-flow state is replaced by
-a partial aggregation (orientation) and a group-limited ``row_number``
-(first n packets), which Spark evaluates partially before the shuffle so a
-hot flow never sends more than ``n`` rows per map task.
+captures.  The first n packets are taken directly on the packets by a
+group-limited ``row_number``, which Spark evaluates partially before the
+shuffle, so a hot flow never sends more than ``n`` rows per map task. Those
+rows are written once; orientation, flow cap, relative time and labels work
+on them alone.
 """
 
 from __future__ import annotations
@@ -22,6 +23,15 @@ from .windows import anchored_windows
 FEATURE_COLS = [f"f{i}" for i in range(11)]
 
 
+def finish_features(d: DataFrame) -> DataFrame:
+    """P2 and P3 (f2, f4) from the kept layer and protocol names, where the
+    frames come from ``sources.tables.flow_features``."""
+    if "hl" not in d.columns:
+        return d
+    return (d.withColumn("f2", P.layer_hash(F.col("hl")).cast("double"))
+            .withColumn("f4", P.protocol_mask(F.col("fp")).cast("double")).drop("hl", "fp"))
+
+
 def flow_orientation(accepted: DataFrame, capture: str = "capture_id") -> DataFrame:
     """(capture, flow_key) -> flow (5-tuple of the first packet), first_seq."""
     return (accepted.groupBy(capture, "flow_key")
@@ -42,42 +52,45 @@ def max_flows_cut(orient: DataFrame, max_flows: int, capture: str = "capture_id"
 
 def build_fragments(frames: DataFrame, width_us: int, max_flow_len: int, labels: DataFrame | None = None,
                     traffic_type: str = "all", max_flows: int = 0, capture: str = "capture_id") -> DataFrame:
-    """Frames (lucid feature rows, see ``sources.tables.lucid_features``) ->
+    """Frames (flow feature rows, see ``sources.tables.flow_features``) ->
     long-form fragment packets.
 
     Output: capture, flow struct, window_start_us, pos (1-based, capture
     order), seq, f0..f10 (f0 = seconds since the fragment's first packet),
     label.
     """
+    from ..session import cut_lineage
     d = anchored_windows(frames, width_us, capture=capture)
     d = d.where(F.col("accepted")).withColumn("flow_key", P.canonical_tuple(F.col("id_fwd")))
-    orient = flow_orientation(d, capture)
+    frag = [capture, "flow_key", "window_start_us"]
+    ordered = Window.partitionBy(*frag).orderBy("seq")
+    # a flow's first packet is the first of its window, so orientation and the
+    # flow cap need no packets beyond the first n of each fragment
+    d = cut_lineage(d.withColumn("pos", F.row_number().over(ordered)).where(F.col("pos") <= max_flow_len))
+    orient = flow_orientation(d.where(F.col("pos") == 1), capture)
     if max_flows and max_flows > 0:
+        # one row per capture; the join type follows its size
         cut = max_flows_cut(orient, max_flows, capture)
-        d = d.join(F.broadcast(cut), capture, "left").where(
-            F.col("cut_seq").isNull() | (F.col("seq") <= F.col("cut_seq"))).drop("cut_seq")
-        orient = orient.join(F.broadcast(cut), capture, "left").where(
-            F.col("cut_seq").isNull() | (F.col("first_seq") <= F.col("cut_seq"))).drop("cut_seq")
+        keep = F.col("cut_seq").isNull()
+        d = d.join(cut, capture, "left").where(keep | (F.col("seq") <= F.col("cut_seq"))).drop("cut_seq")
+        orient = orient.join(cut, capture, "left").where(keep | (F.col("first_seq") <= F.col("cut_seq"))).drop("cut_seq")
     d = d.join(orient.select(capture, "flow_key", "flow"), [capture, "flow_key"])
-    frag = Window.partitionBy(capture, "flow_key", "window_start_us").orderBy("seq")
-    d = d.withColumn("pos", F.row_number().over(frag)).where(F.col("pos") <= max_flow_len)
-    d = d.withColumn("f0", (F.col("ts_us") - F.min("ts_us").over(
-        Window.partitionBy(capture, "flow_key", "window_start_us"))).cast("double") / F.lit(1e6))
+    d = d.withColumn("f0", (F.col("ts_us") - F.min("ts_us").over(Window.partitionBy(*frag))).cast("double") / F.lit(1e6))
     d = apply_labels(d, labels)
-    d = filter_traffic(d, traffic_type)
+    d = filter_traffic(finish_features(d), traffic_type)
     return d.select(capture, "flow", "window_start_us", "pos", "seq", *FEATURE_COLS, "label")
 
 
 def apply_labels(d: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Exact (src, dst) match of the flow orientation, default 0.
 
-    ``labels`` is the pair table built from the attacker/victim lists; its
-    size is bounded by those parameters, so it is broadcast.
+    ``labels`` may be any pair table; Spark broadcasts it only if its size
+    allows. A pair listed twice counts once, with its largest label.
     """
     if labels is None:
         return d.withColumn("label", F.lit(0))
-    lab = F.broadcast(labels.select(F.col("src").alias("_ls"), F.col("dst").alias("_ld"),
-                                    F.col("label").alias("_lab")))
+    lab = (labels.groupBy(F.col("src").alias("_ls"), F.col("dst").alias("_ld"))
+           .agg(F.max("label").alias("_lab")))
     return (d.join(lab, (d["flow"]["src"] == F.col("_ls")) & (d["flow"]["dst"] == F.col("_ld")), "left")
             .withColumn("label", F.coalesce(F.col("_lab"), F.lit(0)).cast("int"))
             .drop("_ls", "_ld", "_lab"))
@@ -90,9 +103,7 @@ def label_nets(spark: SparkSession, specs: list[tuple[str, str]], label: int = 1
     number, first host, last host) so the lookup is an equi-join on the
     network number at each distinct prefix length (``labels_for_pairs``).
     """
-    rows = []
-    for att, vic in specs:
-        rows.append((*_net_row(att), *_net_row(vic), int(label)))
+    rows = list(dict.fromkeys((*_net_row(att), *_net_row(vic), int(label)) for att, vic in specs))
     return spark.createDataFrame(rows, "a_len int, a_net long, a_lo long, a_hi long, "
                                        "v_len int, v_net long, v_lo long, v_hi long, label int")
 
@@ -112,11 +123,13 @@ def labels_for_pairs(pairs: DataFrame, nets: DataFrame, src: str = "src", dst: s
     The distinct prefix lengths (at most 33 per side) drive one equi-join per
     length pair on the shifted address; no range or cross join.
     """
+    side = ["a_len", "a_net", "a_lo", "a_hi", "v_len", "v_net", "v_lo", "v_hi"]
+    nets = nets.groupBy(*side).agg(F.max("label").alias("label"))  # specs may repeat
     lens = [(r["a_len"], r["v_len"]) for r in nets.select("a_len", "v_len").distinct().collect()]
     s, t = P.ipv4_to_long(F.col(src)), P.ipv4_to_long(F.col(dst))
     out = pairs.withColumn("_s", s).withColumn("_t", t).withColumn("label", F.lit(0))
     for al, vl in lens:
-        n = F.broadcast(nets.where((F.col("a_len") == al) & (F.col("v_len") == vl)))
+        n = nets.where((F.col("a_len") == al) & (F.col("v_len") == vl))
         for x, y in (("_s", "_t"), ("_t", "_s")):
             cond = ((F.shiftright(F.col(x), 32 - al) == F.col("a_net")) & (F.col(x) >= F.col("a_lo"))
                     & (F.col(x) <= F.col("a_hi"))
@@ -152,8 +165,3 @@ def count_flows(fragments: DataFrame, capture: str = "capture_id") -> DataFrame:
     return (flows.rollup("traffic_class")
             .agg(F.count("*").cast("long").alias("flows"), F.sum("fragments").cast("long").alias("fragments"))
             .select(F.coalesce("traffic_class", F.lit("total")).alias("traffic_class"), "flows", "fragments"))
-
-
-def relative_time(d: DataFrame, by: list[str], ts: str = "ts_us", out: str = "f0") -> DataFrame:
-    """Seconds since the first packet of the group (bounded groups only)."""
-    return d.withColumn(out, (F.col(ts) - F.min(ts).over(Window.partitionBy(*by))).cast("double") / F.lit(1e6))

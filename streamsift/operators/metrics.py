@@ -2,8 +2,7 @@
 (A7-A15, J5, J6, F5, F8, R6).
 
 All reports are conditional aggregations; the only non-relational step is
-the distance to a reference set, done with numpy on executors against a
-broadcast matrix whose size is checked first (chunked passes beyond it).
+the distance to a reference set, done with numpy on pairs of blocks.
 """
 
 from __future__ import annotations
@@ -31,13 +30,12 @@ def confusion_report(preds: DataFrame, group: list[str], label: str = "label", p
     """Tn, fp, fn, tp and the derived rates per group.
 
     Accuracy and F1 (0 when undefined); TPR, FPR, TNR, FNR null on 0/0;
-    DDOS% = share of positive predictions.
+    DDOS% = share of positive predictions.  Labels and predictions above 0
+    are positive, so every row with both values is in one of the four cells.
     """
-    y, p = F.col(label).cast("int"), F.col(pred).cast("int")
-    agg = [F.sum(F.when((y == 0) & (p == 0), 1).otherwise(0)).alias("tn"),
-           F.sum(F.when((y == 0) & (p == 1), 1).otherwise(0)).alias("fp"),
-           F.sum(F.when((y == 1) & (p == 0), 1).otherwise(0)).alias("fn"),
-           F.sum(F.when((y == 1) & (p == 1), 1).otherwise(0)).alias("tp"),
+    y, p = F.col(label) > 0, F.col(pred) > 0
+    agg = [F.sum(F.when(~y & ~p, 1).otherwise(0)).alias("tn"), F.sum(F.when(~y & p, 1).otherwise(0)).alias("fp"),
+           F.sum(F.when(y & ~p, 1).otherwise(0)).alias("fn"), F.sum(F.when(y & p, 1).otherwise(0)).alias("tp"),
            F.count("*").alias("samples"), F.avg(p.cast("double")).alias("ddos_pct")]
     if packets:
         agg.append(F.sum(packets).alias("packets"))
@@ -60,12 +58,16 @@ def align_scores(before: DataFrame, after: DataFrame, keys: list[str], score: st
             .join(after.select(*keys, F.col(score).alias("after")), keys))
 
 
-def remove_outliers(aligned: DataFrame, extend: float = 2.0) -> DataFrame:
+def remove_outliers(aligned: DataFrame, extend: float = 2.0, vector: str | None = None) -> DataFrame:
     """F8: zero an after-score above extend*before or above extend*mean(before);
-    adds ``removed`` (0/1).  The mean is a window over the whole table, which
-    Spark evaluates as a global aggregate (one number) joined back."""
+    adds ``removed`` (0/1), whose sum is the number of removed rows.  With
+    ``vector`` the row's feature array is zeroed too.  The mean is one global
+    aggregate."""
     mean_before = aligned.agg(F.avg("before").alias("m")).first()["m"] or 0.0
     out = (F.col("after") > F.col("before") * extend) | (F.col("after") > F.lit(mean_before * extend))
+    if vector:
+        zeros = F.transform(vector, lambda v: F.lit(0.0))
+        aligned = aligned.withColumn(vector, F.when(out, zeros).otherwise(F.col(vector)))
     return (aligned.withColumn("removed", out.cast("int"))
             .withColumn("after", F.when(out, F.lit(0.0)).otherwise(F.col("after"))))
 
@@ -102,61 +104,45 @@ def robustness(before: DataFrame, after: DataFrame, threshold: float, t: str = "
         .alias("detection_reduction"))
 
 
-def _dist_fn(ref: np.ndarray, id_col: str, vec_col: str):
-    def run(batches):
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
-            # ||x - r||^2 expanded would lose precision; use explicit differences per block
-            mins = np.empty(len(x))
-            maxs = np.empty(len(x))
-            for s in range(0, len(x), 256):
-                diff = x[s:s + 256, None, :] - ref[None, :, :]
-                d = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
-                mins[s:s + 256] = d.min(axis=1)
-                maxs[s:s + 256] = d.max(axis=1)
-            yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), "min_dist": mins, "max_dist": maxs})
-    return run
+#: Rows of one block of queries or references in ``reference_distances``.
+BLOCK_ROWS = 1024
 
 
 def reference_distances(queries: DataFrame, reference: DataFrame, id_col: str, vec_col: str,
-                        max_broadcast_rows: int = 50_000) -> DataFrame:
+                        block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Per query row, min and max Euclidean distance to every reference row.
 
-    The reference set is shipped to executors as one numpy matrix when it has
-    at most ``max_broadcast_rows`` rows (checked with a count); a larger set
-    is cut into chunks of that size, each pass yields partial min/max per
-    query row and a final ``groupBy`` combines them.  Exact in both cases; no
-    join pairs are materialised.
+    Both sides are dealt into blocks of about ``block_rows`` rows; every pair
+    of blocks is one group of a cogroup, which returns a partial min and max
+    per query row.  The same plan serves any size, nothing passes through the
+    driver, and no pair of rows is emitted.  Rows that repeat an id stay rows
+    of their own; without reference rows the distances are null.
     """
-    spark = queries.sparkSession
-    ref = reference.select(F.col(vec_col).cast("array<double>").alias("v"))
-    n = ref.count()
-    q = queries.select(id_col, F.col(vec_col).cast("array<double>").alias(vec_col))
-    schema = f"{id_col} {dict(queries.dtypes)[id_col]}, min_dist double, max_dist double"
-    if n == 0:
-        return q.select(id_col, F.lit(None).cast("double").alias("min_dist"), F.lit(None).cast("double").alias("max_dist"))
-    # hash chunks are only roughly even: aim at half the bound per chunk
-    chunks = 1 if n <= max_broadcast_rows else -(-2 * n // max_broadcast_rows)
-    parts = []
-    keyed = ref.withColumn("_c", F.pmod(F.xxhash64("v"), F.lit(chunks)))
-    for c in range(chunks):
-        rows = keyed.where(F.col("_c") == c).select("v").collect()
-        if not rows:
-            continue
-        mat = np.array([r["v"] for r in rows], dtype=np.float64)
-        bmat = spark.sparkContext.broadcast(mat)
-
-        def run(batches, _b=bmat):
-            yield from _dist_fn(_b.value, id_col, vec_col)(batches)
-        parts.append(q.mapInPandas(run, schema))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    if len(parts) == 1:
-        return out
-    return out.groupBy(id_col).agg(F.min("min_dist").alias("min_dist"), F.max("max_dist").alias("max_dist"))
+    from ..session import cut_lineage
+    kind = dict(queries.dtypes)[id_col]
+    q = cut_lineage(queries.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+                    .withColumn("row", F.monotonically_increasing_id()))
+    r = cut_lineage(reference.select(F.col(vec_col).cast("array<double>").alias("v")))
+    nq, nr = (max(1, -(-d.count() // block_rows)) for d in (q, r))
+    rid = F.monotonically_increasing_id()
+    qs = (q.withColumn("qb", F.pmod(F.xxhash64("row"), F.lit(nq)))
+          .withColumn("rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nr - 1).cast("long")))))
+    rs = (r.withColumn("rb", F.pmod(F.xxhash64(rid), F.lit(nr)))
+          .withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long")))))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"row": [], "lo": [], "hi": []}).astype({"row": "int64"})
+        x, y = (np.stack(d["v"].to_numpy()).astype(np.float64) for d in (left, right))
+        square = (y * y).sum(axis=1)[None, :] - 2.0 * (x @ y.T)   # distance squared less |x|^2
+        lo, hi = (y[square.argmin(axis=1)], y[square.argmax(axis=1)])
+        return pd.DataFrame({"row": left["row"].to_numpy(), "lo": np.sqrt(((x - lo) ** 2).sum(axis=1)),
+                             "hi": np.sqrt(((x - hi) ** 2).sum(axis=1))})
+
+    part = (qs.select("qb", "rb", "row", "v").groupBy("qb", "rb").cogroup(rs.groupBy("qb", "rb"))
+            .applyInPandas(run, "row long, lo double, hi double"))
+    best = part.groupBy("row").agg(F.min("lo").alias("min_dist"), F.max("hi").alias("max_dist"))
+    return q.select("row", F.col("id").cast(kind).alias(id_col)).join(best, "row", "left").select(id_col, "min_dist", "max_dist")
 
 
 def euclidean(a: Column, b: Column) -> Column:

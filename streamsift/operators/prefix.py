@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_CHUNK_ROWS = 1 << 20
+DEFAULT_CHUNK_ROWS = 1 << 15
 UNB_PREC = Window.unboundedPreceding
 UNB_FOLL = Window.unboundedFollowing
 

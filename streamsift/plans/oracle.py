@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from ..functions.numeric import rnd_sql
 from ..operators.windows import anchored_windows_sql
-from ..sources.tables import label_pairs_sql, lucid_features_sql, packets_from_events_sql
+from ..sources.tables import label_pairs_sql, flow_features_sql, packets_from_events_sql
 
 
 def fragments_cte(width_us: int, max_flow_len: int, labelled: bool = True, max_flows: int = 0) -> str:
@@ -17,7 +17,7 @@ def fragments_cte(width_us: int, max_flow_len: int, labelled: bool = True, max_f
     lab = label_pairs_sql() if labelled else "SELECT NULL::VARCHAR AS src, NULL::VARCHAR AS dst, 0 AS label WHERE false"
     return f"""WITH RECURSIVE
     pk AS ({packets_from_events_sql()}),
-    ft AS ({lucid_features_sql('pk')}),
+    ft AS ({flow_features_sql('pk')}),
     {anchored_windows_sql(width_us, 'ft')},
     acc AS (
         SELECT *,
@@ -38,9 +38,7 @@ def fragments_cte(width_us: int, max_flow_len: int, labelled: bool = True, max_f
     ranked AS (
         SELECT a.*, o.o_src, o.o_sport, o.o_dst, o.o_dport,
                row_number() OVER (PARTITION BY a.capture_id, a.k_ip1, a.k_p1, a.k_ip2, a.k_p2, a.fproto,
-                                  a.window_start_us ORDER BY a.seq) AS pos,
-               min(a.ts_us) OVER (PARTITION BY a.capture_id, a.k_ip1, a.k_p1, a.k_ip2, a.k_p2, a.fproto,
-                                  a.window_start_us) AS frag_t0
+                                  a.window_start_us ORDER BY a.seq) AS pos
         FROM acc a JOIN orient o USING (capture_id, k_ip1, k_p1, k_ip2, k_p2, fproto)
         LEFT JOIN cut c ON c.capture_id = a.capture_id
         WHERE c.cut_seq IS NULL OR a.seq <= c.cut_seq),
@@ -48,7 +46,8 @@ def fragments_cte(width_us: int, max_flow_len: int, labelled: bool = True, max_f
     frag AS (
         SELECT r.capture_id, r.o_src AS src, r.o_sport AS sport, r.o_dst AS dst, r.o_dport AS dport,
                r.fproto AS proto, r.window_start_us, r.pos, r.seq,
-               CAST(r.ts_us - r.frag_t0 AS DOUBLE) / 1e6 AS f0,
+               CAST(r.ts_us - min(r.ts_us) OVER (PARTITION BY r.capture_id, r.k_ip1, r.k_p1, r.k_ip2, r.k_p2, r.fproto,
+                                                 r.window_start_us) AS DOUBLE) / 1e6 AS f0,
                r.f1, r.f2, r.f3, r.f4, r.f5, r.f6, r.f7, r.f8, r.f9, r.f10,
                CAST(coalesce(l.label, 0) AS INTEGER) AS label
         FROM ranked r LEFT JOIN labs l ON l.src = r.o_src AND l.dst = r.o_dst
@@ -86,24 +85,29 @@ def fragments_sql(width_us: int, max_flow_len: int) -> str:
 
 # ---------------------------------------------------------------- decayed statistics
 LAMS_SQL = "(SELECT unnest([5.0, 3.0, 1.0, 0.1, 0.01]::DOUBLE[]) AS lam)"
-VAR_EPS = 1e-9
+NOISE = 1e-12
 
 
 def _decay_sums_sql(base: str, key: str, value: str = "v") -> str:
     """Self-join definition: sums over earlier rows of the key, decayed from
     each row's running max T to the current row's T."""
     dec = "pow(2.0, -l.lam * (a.tmax - b.tmax))"
-    return f"""SELECT a.seq, l.lam, sum({dec}) AS w, sum(b.{value} * {dec}) AS cf1,
-                      sum(b.{value} * b.{value} * {dec}) AS cf2
+    return f"""SELECT a.seq, l.lam, any_value(a.v0) AS v0, sum({dec}) AS w, sum((b.{value} - b.v0) * {dec}) AS d1,
+                      sum((b.{value} - b.v0) * (b.{value} - b.v0) * {dec}) AS d2
                FROM {base} a JOIN {base} b ON a.{key} = b.{key} AND b.seq <= a.seq, {LAMS_SQL} l
                GROUP BY a.seq, l.lam"""
 
 
 def _mean_var_sql(prefix: str = "") -> tuple[str, str]:
-    mean = f"({prefix}cf1 / {prefix}w)"
-    raw = f"abs({prefix}cf2 / {prefix}w - {mean} * {mean})"
-    var = f"(CASE WHEN {raw} <= {VAR_EPS!r} * {mean} * {mean} THEN 0.0 ELSE {raw} END)"
-    return mean, var
+    m = f"({prefix}d1 / {prefix}w)"
+    return f"({prefix}v0 + {m})", f"abs({prefix}d2 / {prefix}w - {m} * {m})"
+
+
+FIRST = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
+
+
+def _pcc_sql(cov: str, vo: str, qo: str, vi: str, qi: str) -> str:
+    return f"CASE WHEN {vo} > {NOISE!r} * {qo} AND {vi} > {NOISE!r} * {qi} THEN {cov} / (sqrt({vo}) * sqrt({vi})) ELSE 0.0 END"
 
 
 def decay_1d_sql(source: str, key_expr: str, value_expr: str, where: str = "true",
@@ -116,7 +120,8 @@ def decay_1d_sql(source: str, key_expr: str, value_expr: str, where: str = "true
     tt AS (SELECT *, max(t) OVER (PARTITION BY k ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tmax,
                   max(t) OVER (PARTITION BY k ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS tprev
            FROM raw),
-    base AS (SELECT k, seq, t, tmax, {'v0' if not jitter else v} AS v FROM tt),
+    vv AS (SELECT k, seq, t, tmax, {'v0' if not jitter else v} AS v FROM tt),
+    base AS (SELECT *, first_value(v) OVER (PARTITION BY k ORDER BY seq {FIRST}) AS v0 FROM vv),
     s AS ({_decay_sums_sql('base', 'k')})
     SELECT seq, lam, {rnd_sql('w', digits[0])} AS w, {rnd_sql(mean, digits[1])} AS mean,
            {rnd_sql(var, digits[2])} AS var FROM s"""
@@ -129,11 +134,11 @@ def decay_2d_sql(source: str, src_expr: str, dst_expr: str, value_expr: str, whe
     dec = "pow(2.0, -l.lam * (a.tmax - b.tmax))"
     return f"""WITH src AS ({source}),
     raw AS (SELECT {src_expr} AS s, {dst_expr} AS d, seq, t, CAST({value_expr} AS DOUBLE) AS v FROM src WHERE {where}),
-    bo AS (SELECT s AS k, seq, v, max(t) OVER (PARTITION BY s ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tmax FROM raw),
-    bi AS (SELECT d AS k, seq, v, max(t) OVER (PARTITION BY d ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tmax FROM raw),
+    bo AS (SELECT s AS k, seq, v, first_value(v) OVER (PARTITION BY s ORDER BY seq {FIRST}) AS v0, max(t) OVER (PARTITION BY s ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tmax FROM raw),
+    bi AS (SELECT d AS k, seq, v, first_value(v) OVER (PARTITION BY d ORDER BY seq {FIRST}) AS v0, max(t) OVER (PARTITION BY d ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tmax FROM raw),
     so AS ({_decay_sums_sql('bo', 'k')}),
     si AS ({_decay_sums_sql('bi', 'k')}),
-    st AS (SELECT o.seq, o.lam, {mo} AS mean_o, {vo} AS var_o, {mi} AS mean_i, {vi} AS var_i
+    st AS (SELECT o.seq, o.lam, {mo} AS mean_o, {vo} AS var_o, o.d2 / o.w AS q_o, {mi} AS mean_i, {vi} AS var_i, i.d2 / i.w AS q_i
            FROM so o JOIN si i USING (seq, lam)),
     pr AS (SELECT r.s || '|' || r.d AS pk, r.seq, st.lam, (r.v - st.mean_o) * (r.v - st.mean_i) AS res,
                   max(r.t) OVER (PARTITION BY r.s, r.d, st.lam ORDER BY r.seq
@@ -144,10 +149,10 @@ def decay_2d_sql(source: str, src_expr: str, dst_expr: str, value_expr: str, whe
            FROM pr a JOIN pr b ON a.pk = b.pk AND a.lam = b.lam AND b.seq <= a.seq
            GROUP BY a.seq, a.lam),
     fin AS (SELECT st.seq, st.lam, sqrt(var_o + var_i) AS radius, sqrt(mean_o * mean_o + mean_i * mean_i) AS magnitude,
-                   cf3 / w3 AS cov, sqrt(var_o) * sqrt(var_i) AS ss
+                   cf3 / w3 AS cov, {_pcc_sql('(cf3 / w3)', 'var_o', 'q_o', 'var_i', 'q_i')} AS pcc
             FROM st JOIN pc USING (seq, lam))
     SELECT seq, lam, {rnd_sql('radius', 3)} AS radius, {rnd_sql('magnitude', 3)} AS magnitude,
-           {rnd_sql('cov', 1)} AS cov, {rnd_sql('CASE WHEN ss <> 0 THEN cov / ss ELSE 0.0 END', 3)} AS pcc
+           {rnd_sql('cov', 1)} AS cov, {rnd_sql('pcc', 3)} AS pcc
     FROM fin"""
 
 
@@ -371,7 +376,7 @@ def host_stats_sql(key_mode: str = "typed") -> str:
         for r, k in keys.items())
     mean, var = _mean_var_sql()
     piv = ",\n           ".join(f"max(CASE WHEN role = '{r}' THEN {c} END) AS {r}_{c}"
-                                for r in keys for c in ("w", "mean", "var"))
+                                for r in keys for c in ("w", "mean", "var", "q"))
     pairs = "\n      UNION ALL ".join(
         f"SELECT '{r}' AS role, {keys[r + '_o']} || '->' || {keys[r + '_i']} AS k, b.seq, b.t, w.lam, "
         f"(b.v - w.{r}_o_mean) * (b.v - w.{r}_i_mean) AS r FROM base b JOIN wide w USING (seq)"
@@ -392,8 +397,7 @@ def host_stats_sql(key_mode: str = "typed") -> str:
         two_d.append(f"sqrt({r}_o_var + {r}_i_var) AS {r}_radius")
         two_d.append(f"sqrt({r}_o_mean * {r}_o_mean + {r}_i_mean * {r}_i_mean) AS {r}_magnitude")
         two_d.append(f"{r}_cov")
-        two_d.append(f"CASE WHEN sqrt({r}_o_var) * sqrt({r}_i_var) <> 0 "
-                     f"THEN {r}_cov / (sqrt({r}_o_var) * sqrt({r}_i_var)) ELSE 0.0 END AS {r}_pcc")
+        two_d.append(_pcc_sql(f"{r}_cov", f"{r}_o_var", f"{r}_o_q", f"{r}_i_var", f"{r}_i_q") + f" AS {r}_pcc")
     return f"""WITH pk AS ({packets_from_events_sql()}),
     base AS (SELECT seq, t, frame_len AS v, eth_src, eth_dst, src_ip, dst_ip,
                     CASE WHEN ip_proto IN (6, 17) THEN CAST(src_port AS VARCHAR) WHEN ip_proto = 1 THEN 'icmp' ELSE '' END AS src_proto,
@@ -403,13 +407,14 @@ def host_stats_sql(key_mode: str = "typed") -> str:
     tt AS (SELECT *, max(t) OVER (PARTITION BY tbl, k ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tmax,
                   max(t) OVER (PARTITION BY tbl, k ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS tprev
            FROM roles),
-    rv AS (SELECT role, tbl, k, seq, ord, tmax, CASE WHEN role = 'jit' THEN coalesce(greatest(t - tprev, 0.0), 0.0) ELSE v END AS v FROM tt),
-    s1 AS (SELECT a.role, a.seq, l.lam, sum(pow(2.0, -l.lam * (a.tmax - b.tmax))) AS w,
-                  sum(b.v * pow(2.0, -l.lam * (a.tmax - b.tmax))) AS cf1,
-                  sum(b.v * b.v * pow(2.0, -l.lam * (a.tmax - b.tmax))) AS cf2
+    rw AS (SELECT role, tbl, k, seq, ord, tmax, CASE WHEN role = 'jit' THEN coalesce(greatest(t - tprev, 0.0), 0.0) ELSE v END AS v FROM tt),
+    rv AS (SELECT *, first_value(v) OVER (PARTITION BY tbl, k ORDER BY ord {FIRST}) AS v0 FROM rw),
+    s1 AS (SELECT a.role, a.seq, l.lam, any_value(a.v0) AS v0, sum(pow(2.0, -l.lam * (a.tmax - b.tmax))) AS w,
+                  sum((b.v - b.v0) * pow(2.0, -l.lam * (a.tmax - b.tmax))) AS d1,
+                  sum((b.v - b.v0) * (b.v - b.v0) * pow(2.0, -l.lam * (a.tmax - b.tmax))) AS d2
            FROM rv a JOIN rv b ON a.tbl = b.tbl AND a.k = b.k AND b.ord <= a.ord, {LAMS_SQL} l
            GROUP BY a.role, a.seq, l.lam),
-    st AS (SELECT role, seq, lam, w, {mean} AS mean, {var} AS var FROM s1),
+    st AS (SELECT role, seq, lam, w, {mean} AS mean, {var} AS var, d2 / w AS q FROM s1),
     wide AS (SELECT seq, lam,
            {piv}
            FROM st GROUP BY seq, lam),

@@ -32,7 +32,7 @@ ORDERS_DIGITS = (4, 2, -2)
 
 
 def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return TB.lucid_features(TB.packets_from_events(spark, sf_dir))
+    return TB.flow_features(TB.packets_from_events(spark, sf_dir))
 
 
 def fragments(spark: SparkSession, sf_dir: str, width_us: int = DAY_US, n: int = MAX_FLOW_LEN) -> DataFrame:

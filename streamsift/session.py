@@ -44,14 +44,17 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder: the cluster's ``spark.checkpoint.dir`` if set.
 
-    Only when nothing is configured (local tests) a fresh scratch folder is
-    created; on a cluster the configured shared folder is always used.
+    Only when nothing is configured and the master is local (tests) a fresh
+    scratch folder is created. On a cluster a folder of one machine would be
+    invisible to the others, so a missing setting is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not conf and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not conf:
         conf = tempfile.mkdtemp(prefix="streamsift-ckpt-", dir=os.environ.get("STREAMSIFT_SCRATCH", "/tmp"))
     sc.setCheckpointDir(conf)

@@ -137,30 +137,21 @@ def label_pairs_sql(attackers=ATTACKERS, victims=VICTIMS, label: int = 1) -> str
     return "SELECT * FROM (VALUES " + ", ".join(vals) + ") AS t(src, dst, label)"
 
 
-def lucid_features(packets: DataFrame) -> DataFrame:
-    """Packet rows -> 5-tuple plus the 11 catalogue-A features.
-
-    The highest-layer hash and the protocol bitmask depend only on two
-    low-cardinality text columns, so they are computed once per distinct
-    (layer, protocols) pair and joined back; the join side is an aggregate
-    whose size Spark measures before choosing a broadcast.  This also keeps
-    the per-row projection small enough for compiled code."""
-    vocab = packets.select("highest_layer", "frame_protocols").distinct()
-    vocab = vocab.select(F.col("highest_layer").alias("_hl"), F.col("frame_protocols").alias("_fp"),
-                         P.layer_hash(F.col("highest_layer")).cast("double").alias("_f2"),
-                         P.protocol_mask(F.col("frame_protocols")).cast("double").alias("_f4"))
-    pre = packets.join(vocab, packets["highest_layer"].eqNullSafe(vocab["_hl"])
-                       & packets["frame_protocols"].eqNullSafe(vocab["_fp"]), "left")
+def flow_features(packets: DataFrame) -> DataFrame:
+    """Packet rows -> 5-tuple plus the 11 catalogue-A features (P1-P6), as
+    expressions of the packet alone. The highest-layer hash and the protocol
+    bitmask are kept as the text they come from (``hl``, ``fp``) until
+    ``finish_features`` is applied, usually to the few packets per fragment
+    that are stored."""
     tr = P.transport_columns(F.col("ip_proto"), F.col("src_port"), F.col("dst_port"), F.col("tcp_len"),
                              F.col("tcp_ack"), F.col("tcp_flags"), F.col("tcp_window"), F.col("udp_len"),
                              F.col("icmp_type"))
-    return pre.select(
+    return packets.select(
         "capture_id", "seq", "ts_us", "accepted",
         P.five_tuple(F.col("src_ip"), tr["sport"], F.col("dst_ip"), tr["dport"], tr["proto"]).alias("id_fwd"),
         F.col("ip_len").cast("double").alias("f1"),
-        F.col("_f2").alias("f2"),
+        F.col("highest_layer").alias("hl"), F.col("frame_protocols").alias("fp"),
         P.hex_to_int(F.col("ip_flags")).cast("double").alias("f3"),
-        F.col("_f4").alias("f4"),
         tr["f_tcp_len"].cast("double").alias("f5"),
         tr["f_tcp_ack"].cast("double").alias("f6"),
         tr["f_tcp_flags"].cast("double").alias("f7"),
@@ -170,8 +161,8 @@ def lucid_features(packets: DataFrame) -> DataFrame:
     )
 
 
-def lucid_features_sql(src: str = "pk") -> str:
-    """DuckDB twin of ``lucid_features`` over the packet CTE ``src``."""
+def flow_features_sql(src: str = "pk") -> str:
+    """DuckDB twin of ``flow_features`` over the packet CTE ``src``."""
     return f"""
     SELECT capture_id, seq, ts_us, accepted,
            src_ip AS fsrc,

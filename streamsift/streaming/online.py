@@ -62,20 +62,20 @@ def run_available_now(sdf: DataFrame, out_path: str, mode: str = "append",
     q.awaitTermination()
 
 
-STATE_SCHEMA = "cf1 array<double>, cf2 array<double>, w array<double>, last array<double>"
+STATE_SCHEMA = "v0 double, cf1 array<double>, cf2 array<double>, w array<double>, last array<double>"
 
 
-def stream_decayed_stats(stream: DataFrame, key: str, lambdas: list[float], jitter: bool = False,
-                         var_eps: float = 1e-9) -> DataFrame:
+def stream_decayed_stats(stream: DataFrame, key: str, lambdas: list[float], jitter: bool = False) -> DataFrame:
     """ST2: (key, seq, t, v) stream -> (seq, lam, w, mean, var) in append mode."""
     lams = np.asarray(lambdas, dtype=np.float64)
 
     def update(k, batches, state):
         pdf = pd.concat(list(batches)).sort_values("seq")
         if state.exists:
-            cf1, cf2, w, last = (np.asarray(a, dtype=np.float64) for a in state.get)
+            v0 = float(state.get[0])
+            cf1, cf2, w, last = (np.asarray(a, dtype=np.float64) for a in state.get[1:])
         else:
-            t0 = float(pdf["t"].iloc[0])
+            t0, v0 = float(pdf["t"].iloc[0]), 0.0 if jitter else float(pdf["v"].iloc[0])
             cf1, cf2, w, last = np.zeros(len(lams)), np.zeros(len(lams)), np.full(len(lams), 1e-20), np.full(len(lams), t0)
         seqs, ws, means, vars_ = [], [], [], []
         for s, t, v in zip(pdf["seq"].to_numpy(), pdf["t"].to_numpy(), pdf["v"].to_numpy()):
@@ -83,16 +83,15 @@ def stream_decayed_stats(stream: DataFrame, key: str, lambdas: list[float], jitt
                 v = max(t - last[0], 0.0)
             dt = t - last
             f = np.where(dt > 0, np.power(2.0, -lams * np.maximum(dt, 0.0)), 1.0)
-            cf1, cf2, w = cf1 * f + v, cf2 * f + v * v, w * f + 1.0
+            off = v - v0   # sums over the distance from the first value keep their digits
+            cf1, cf2, w = cf1 * f + off, cf2 * f + off * off, w * f + 1.0
             last = np.where(dt > 0, t, last)
             m = cf1 / w
-            raw = np.abs(cf2 / w - m * m)
-            var = np.where(raw <= var_eps * m * m, 0.0, raw)
             seqs.append(np.full(len(lams), s))
             ws.append(w.copy())
-            means.append(m)
-            vars_.append(var)
-        state.update((cf1.tolist(), cf2.tolist(), w.tolist(), last.tolist()))
+            means.append(v0 + m)
+            vars_.append(np.abs(cf2 / w - m * m))
+        state.update((v0, cf1.tolist(), cf2.tolist(), w.tolist(), last.tolist()))
         yield pd.DataFrame({"seq": np.concatenate(seqs), "lam": np.tile(lams, len(seqs)),
                             "w": np.concatenate(ws), "mean": np.concatenate(means), "var": np.concatenate(vars_)})
 
@@ -131,7 +130,7 @@ def stream_scores(stream: DataFrame, score_fn) -> DataFrame:
 def classify_micro_batches(stream: DataFrame, out_path: str, width_us: int, max_flow_len: int,
                            mins: list[float], maxs: list[float], params: dict, labels: DataFrame | None = None,
                            checkpoint: str | None = None):
-    """ST1: every micro-batch of frames (lucid feature rows) is cut into
+    """ST1: every micro-batch of frames (flow feature rows) is cut into
     anchored windows and fragments with the batch operators, scaled, padded,
     classified with a trained CNN and reported (one report row per batch,
     appended to ``out_path``); labels, when given, come from the broadcast

@@ -41,7 +41,7 @@ def test_stream_scoring_and_classification(spark):
     b = {r["seq"]: r["rmse"] for r in DT.score(vec, fmap, ens, outp).collect()}
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
     # ST1: micro-batches of frames -> fragments -> CNN -> one report row per batch
-    frames = TB.lucid_features(TB.packets_from_events(spark, "/root/testdata/sf0.001"))
+    frames = TB.flow_features(TB.packets_from_events(spark, "/root/testdata/sf0.001"))
     fsrc = ON.scratch(spark, "t-frames")
     ON.replay_files(frames, fsrc, "seq", 2)
     fstream = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(fsrc)
