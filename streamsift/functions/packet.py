@@ -76,10 +76,6 @@ def feature_bounds_b(time_window: float, max_flow_len: int) -> tuple[list[float]
     return mins, maxs
 
 
-def feature_names_b() -> list[str]:
-    return [name for name, _, _ in FEATURES_B]
-
-
 def layer_hash(name: Column) -> Column:
     """int(sha256(name), 16) mod 1e8, via a Horner fold over the eight 32-bit
     hex chunks of the digest (unrolled, so it stays in generated code)."""
@@ -141,11 +137,6 @@ def five_tuple(src: Column, sport: Column, dst: Column, dport: Column, proto: Co
                     dport.alias("dport"), proto.alias("proto"))
 
 
-def reverse_tuple(t: Column) -> Column:
-    return F.struct(t["dst"].alias("src"), t["dport"].alias("sport"), t["src"].alias("dst"),
-                    t["sport"].alias("dport"), t["proto"].alias("proto"))
-
-
 def canonical_tuple(t: Column) -> Column:
     """Direction-free flow key: the smaller (ip, port) endpoint first."""
     a = F.struct(t["src"].alias("ip"), t["sport"].alias("port"))
@@ -227,22 +218,6 @@ def ipv4_to_long(ip: Column) -> Column:
             + parts[2].cast("long") * 256 + parts[3].cast("long"))
 
 
-def ip_flag_bits(ip_flags: Column) -> dict[str, Column]:
-    """IP flag word (16 bits: rb, df, mf, 13-bit fragment offset) split up."""
-    v = hex_to_int(ip_flags)
-    return {
-        "ip_rb": F.shiftright(v, 15).bitwiseAND(1),
-        "ip_df": F.shiftright(v, 14).bitwiseAND(1),
-        "ip_mf": F.shiftright(v, 13).bitwiseAND(1),
-        "ip_frag_off": v.bitwiseAND(0x1FFF),
-    }
-
-
 # TCP flag bits in catalogue-B order (ack, cwr, ece, fin, push, res, reset, syn, urg).
 TCP_FLAG_BITS = [("ack", 4), ("cwr", 7), ("ece", 6), ("fin", 0), ("push", 3), ("res", 9),
                  ("reset", 2), ("syn", 1), ("urg", 5)]
-
-
-def tcp_flag_bits(tcp_flags: Column) -> dict[str, Column]:
-    v = hex_to_int(tcp_flags)
-    return {f"tcp_{name}": F.shiftright(v, bit).bitwiseAND(1) for name, bit in TCP_FLAG_BITS}

@@ -94,9 +94,3 @@ def grid_search_svm(train: DataFrame, cs: list[float], folds: int = 2, x: str =
                         parallelism=parallelism, seed=seed)
     model = cv.fit(d)
     return model.bestModel.stages[0], list(model.avgMetrics)
-
-
-def reshape_components(df: DataFrame, col: str, rows: int, cols: int, out: str = "grid") -> DataFrame:
-    """K components -> rows x cols matrix (e.g. 9 -> 3 x 3)."""
-    return df.withColumn(out, F.transform(F.sequence(F.lit(0), F.lit(rows - 1)),
-                                          lambda i: F.slice(F.col(col), i * cols + 1, cols)))

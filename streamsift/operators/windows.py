@@ -33,12 +33,6 @@ from ..session import cut_lineage
 from .prefix import DEFAULT_CHUNK_ROWS, UNB_FOLL, int_div, running_max
 
 
-def aligned_windows(packets: DataFrame, width_us: int, ts: str = "ts_us",
-                    out: str = "window_start_us") -> DataFrame:
-    """Fixed grid windows (``floor(ts/width)*width``): a different mode, not W1."""
-    return packets.withColumn(out, int_div(ts, width_us) * F.lit(int(width_us)))
-
-
 def _next_candidates(cand: DataFrame, cap: str, width_us: int, cells: int) -> DataFrame:
     """(cap, x) -> (cap, x, nx) with nx = min candidate > x + width (null if none).
 

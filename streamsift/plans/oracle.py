@@ -336,10 +336,10 @@ def score_alignment_sql(attackers: list[str], extend: float = 2.0) -> str:
     FROM j, m"""
 
 
-def reference_distances_sql() -> str:
+def reference_distances_sql(key: str = "q.vec_id") -> str:
     return f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, label FROM embeddings),
     q AS (SELECT * FROM e WHERE label <> 0), r AS (SELECT * FROM e WHERE label = 0)
-    SELECT q.vec_id, {rnd_sql('min(list_distance(q.x, r.x))', 6)} AS min_dist,
+    SELECT {key}, {rnd_sql('min(list_distance(q.x, r.x))', 6)} AS min_dist,
            {rnd_sql('max(list_distance(q.x, r.x))', 6)} AS max_dist
     FROM q, r GROUP BY q.vec_id"""
 
@@ -430,10 +430,10 @@ def host_stats_sql(key_mode: str = "typed") -> str:
 
 
 # ---------------------------------------------------------------- detector: correlation distance
-def correlation_distance_sql(fm: int, dims: int = 64) -> str:
+def correlation_distance_sql(dims: int = 64) -> str:
     return f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
     r AS (SELECT x, row_number() OVER (ORDER BY vec_id) - 1 AS rank FROM e),
-    f AS (SELECT rank, g.j - 1 AS j, x[g.j] AS xj FROM r, generate_series(1, {dims}) g(j) WHERE rank <= {int(fm)}),
+    f AS (SELECT rank, g.j - 1 AS j, x[g.j] AS xj FROM r, generate_series(1, {dims}) g(j)),
     c AS (SELECT rank, j, xj - sum(xj) OVER (PARTITION BY j ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING
                  AND CURRENT ROW) / CAST(rank + 1 AS DOUBLE) AS c FROM f),
     cm AS (SELECT a.j AS i, b.j AS j, sum(a.c * b.c) AS cc FROM c a JOIN c b ON a.rank = b.rank GROUP BY a.j, b.j),
@@ -491,3 +491,160 @@ def cidr_labels_sql(ranges: list[tuple[int, int, int, int]]) -> str:
     p AS (SELECT DISTINCT src_ip AS src, dst_ip AS dst FROM pk WHERE accepted),
     q AS (SELECT src, dst, {_ip_int('src')} AS s, {_ip_int('dst')} AS d FROM p)
     SELECT src, dst, CASE WHEN {' OR '.join(conds)} THEN 1 ELSE 0 END AS label FROM q"""
+
+
+# ---------------------------------------------------------------- detector with fixed parameters
+_W = "(((i * 7 + h * 3) % 11 - 5) / 10.0)"
+
+
+def _member_sql(name: str, source: str, low: float, high: float) -> str:
+    """CTEs of one fixed autoencoder over ``source`` (id, grp, i, v)."""
+    return f"""{name}x AS (SELECT id, grp, i, (v - ({low!r})) / ({high - low!r} + 1e-16) AS x FROM {source}),
+    {name}h AS (SELECT id, grp, h, 1.0 / (1.0 + exp(-(sum(x * {_W}) + h / 10.0))) AS y
+                FROM {name}x, generate_series(0, 5) t(h) GROUP BY id, grp, h),
+    {name}o AS (SELECT id, grp, i, 1.0 / (1.0 + exp(-(sum(y * {_W}) - i / 20.0))) AS z
+                FROM {name}h, generate_series(0, 7) t(i) GROUP BY id, grp, i),
+    {name}e AS (SELECT id, grp, sqrt(avg((x - z) * (x - z))) AS rmse FROM {name}x JOIN {name}o USING (id, grp, i) GROUP BY id, grp)"""
+
+
+def _fixed_scores_cte() -> str:
+    return f"""e AS (SELECT vec_id AS id, g.grp, k.i, CAST(embedding AS DOUBLE[])[CAST(g.grp * 8 + k.i + 1 AS BIGINT)] AS v
+               FROM embeddings, generate_series(0, 7) g(grp), generate_series(0, 7) k(i)),
+    {_member_sql('m', 'e', -1.0, 1.0)},
+    inner_ AS (SELECT id, 0 AS grp, grp AS i, rmse AS v FROM me),
+    {_member_sql('w', 'inner_', 0.0, 1.0)}"""
+
+
+def detector_score_sql() -> str:
+    return f"WITH {_fixed_scores_cte()} SELECT id AS vec_id, {rnd_sql('rmse', 9)} AS rmse FROM we"
+
+
+def detector_step_sql() -> str:
+    return f"""WITH {_fixed_scores_cte()},
+    d AS (SELECT id, i, x, (z - x) * z * (1 - z) AS dz FROM mx JOIN mo USING (id, grp, i) WHERE grp = 0),
+    hid AS (SELECT id, h, y FROM mh WHERE grp = 0),
+    dh AS (SELECT id, h, any_value(y) AS y, sum(dz * {_W}) * any_value(y) * (1 - any_value(y)) AS dy FROM d JOIN hid USING (id) GROUP BY id, h),
+    g AS (SELECT i * 6 + h AS k, sum(x * dy + dz * y) AS g FROM d JOIN dh USING (id) GROUP BY i, h
+          UNION ALL SELECT 48 + h, sum(dy) FROM dh GROUP BY h
+          UNION ALL SELECT 54 + i, sum(dz) FROM d GROUP BY i)
+    SELECT CAST(k AS INTEGER) AS k, {rnd_sql('g', 5)} AS g FROM g"""
+
+
+def score_summary_sql() -> str:
+    return f"""WITH {_fixed_scores_cte()}, t AS (SELECT max(rmse) AS thr FROM we WHERE id % 2 = 0)
+    SELECT CAST(sum(CASE WHEN rmse > thr THEN 1 ELSE 0 END) AS BIGINT) AS alerts, CAST(count(*) AS BIGINT) AS total,
+           {rnd_sql('avg(rmse)', 6)} AS mean, {rnd_sql('max(rmse)', 6)} AS max, {rnd_sql('any_value(thr)', 6)} AS threshold
+    FROM we, t"""
+
+
+# ---------------------------------------------------------------- small operators over vectors and packets
+_E = "e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, label FROM embeddings)"
+_EJ = "f AS (SELECT vec_id, CAST(g.j - 1 AS INTEGER) AS j, x[g.j] AS v FROM e, generate_series(1, 64) g(j))"
+
+
+def report_label_values_sql() -> str:
+    return f"""WITH c AS (SELECT sum(CASE WHEN label <= 0 AND vec_id % 4 <= 0 THEN 1 ELSE 0 END) AS tn,
+                  sum(CASE WHEN label <= 0 AND vec_id % 4 > 0 THEN 1 ELSE 0 END) AS fp,
+                  sum(CASE WHEN label > 0 AND vec_id % 4 <= 0 THEN 1 ELSE 0 END) AS fn,
+                  sum(CASE WHEN label > 0 AND vec_id % 4 > 0 THEN 1 ELSE 0 END) AS tp, count(*) AS n FROM embeddings)
+    SELECT 'all' AS model, CAST(tn AS BIGINT) AS tn, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(tp AS BIGINT) AS tp,
+           CAST(n AS BIGINT) AS samples, {rnd_sql('CAST(tp + tn AS DOUBLE) / n', 6)} AS accuracy, {rnd_sql('2.0 * tp / (2 * tp + fp + fn)', 6)} AS f1 FROM c"""
+
+
+def packet_counts_vectors_sql(width_us: int, n: int) -> str:
+    return fragments_cte(width_us, n) + " SELECT label, CAST(count(*) AS BIGINT) AS packets FROM frag GROUP BY label"
+
+
+def masked_vectors_sql(cols: list[int]) -> str:
+    return f"""WITH {_E}, {_EJ} SELECT vec_id, j, {rnd_sql(f"CASE WHEN j IN ({', '.join(map(str, cols))}) THEN 0.0 ELSE v END", 6)} AS v FROM f"""
+
+
+def minmax_sql() -> str:
+    return f"""WITH {_E}, {_EJ}, b AS (SELECT j, min(v) AS lo, max(v) AS hi FROM f WHERE vec_id % 2 = 0 GROUP BY j)
+    SELECT vec_id, j, {rnd_sql('(v - lo) / (hi - lo + 1e-16)', 6)} AS v FROM f JOIN b USING (j)"""
+
+
+def running_minmax_sql() -> str:
+    return f"""WITH {_E}, r AS (SELECT x, row_number() OVER (ORDER BY vec_id) - 1 AS rank FROM e),
+    f AS (SELECT rank, CAST(g.j - 1 AS INTEGER) AS j, x[g.j] AS v FROM r, generate_series(1, 64) g(j)),
+    m AS (SELECT *, min(v) OVER w AS lo, max(v) OVER w AS hi FROM f
+          WINDOW w AS (PARTITION BY j ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+    SELECT rank, j, {rnd_sql('(v - lo) / (hi - lo + 1e-16)', 6)} AS v FROM m"""
+
+
+def rolling_mean_sql(source: str) -> str:
+    return f"""WITH pk AS ({source})
+    SELECT src_ip AS k, seq, {rnd_sql('sum(frame_len) OVER (PARTITION BY src_ip ORDER BY seq ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) / 5.0', 6)} AS rollmean
+    FROM pk WHERE accepted"""
+
+
+def _last_state_cte(source: str) -> str:
+    """Last state of every (host, rate): weights decay to the last running time."""
+    mean, var = _mean_var_sql()
+    return f"""pk AS ({source}), raw AS (SELECT src_ip AS k, seq, t, frame_len AS v FROM pk WHERE accepted),
+    base AS (SELECT *, max(t) OVER (PARTITION BY k ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tmax,
+                    first_value(v) OVER (PARTITION BY k ORDER BY seq {FIRST}) AS v0,
+                    max(seq) OVER (PARTITION BY k) AS last_seq, max(t) OVER (PARTITION BY k) AS tl,
+                    last_value(t) OVER (PARTITION BY k ORDER BY seq {FIRST}) AS t_last FROM raw),
+    s AS (SELECT k, l.lam, any_value(last_seq) AS seq, any_value(t_last) AS t, any_value(v0) AS v0, sum(pow(2.0, -l.lam * (tl - tmax))) AS w,
+                 sum((v - v0) * pow(2.0, -l.lam * (tl - tmax))) AS d1, sum((v - v0) * (v - v0) * pow(2.0, -l.lam * (tl - tmax))) AS d2
+          FROM base, {LAMS_SQL} l GROUP BY k, l.lam),
+    st AS (SELECT k, lam, seq, t, w, {mean} AS mean, {var} AS var FROM s)"""
+
+
+def evicted_sql(source: str, after: float, weight: float) -> str:
+    return f"""WITH {_last_state_cte(source)}, n AS (SELECT max(t) + {after!r} AS now FROM raw)
+    SELECT k, lam, seq, {rnd_sql('w', 4)} AS w FROM st, n WHERE w * pow(2.0, -lam * greatest(now - t, 0.0)) > {weight!r}"""
+
+
+def nd_stats_sql(source: str) -> str:
+    return f"""WITH {_last_state_cte(source)}
+    SELECT lam, {rnd_sql('sqrt(sum(var))', 3)} AS radius, {rnd_sql('sqrt(sum(mean * mean))', 3)} AS magnitude FROM st GROUP BY lam"""
+
+
+def vector_shapes_sql() -> str:
+    return f"""WITH {_E} SELECT vec_id, {rnd_sql('list_distance(x[1:8], x[57:64])', 6)} AS dist, {rnd_sql('x[64]', 6)} AS last FROM e"""
+
+
+def balanced_datasets_sql() -> str:
+    return """WITH e AS (SELECT vec_id AS sample_id, label % 3 AS dataset_id, vec_id % 2 AS split FROM embeddings),
+    n AS (SELECT split, min(c) AS m FROM (SELECT split, dataset_id, count(*) AS c FROM e GROUP BY ALL) GROUP BY split),
+    r AS (SELECT *, row_number() OVER (PARTITION BY split, dataset_id ORDER BY sample_id) AS rn FROM e)
+    SELECT sample_id, dataset_id, r.split FROM r JOIN n USING (split) WHERE rn <= m"""
+
+
+def tensor_store_sql() -> str:
+    return f"""WITH {_E} SELECT CASE WHEN vec_id % 2 = 0 THEN 'DOS2018' ELSE 'DOS2019' END AS dataset_id, CASE WHEN label >= 5 THEN 1 ELSE 0 END AS set_y,
+           CAST(count(*) AS BIGINT) AS rows, {rnd_sql('sum(x[1])', 6)} AS x0, 10.0::DOUBLE AS time_window, 10 AS max_flow_len, 'IDS201X' AS merged_id
+    FROM e WHERE vec_id % 10 <> 0 GROUP BY 1, 2"""
+
+
+def vector_store_sql() -> str:
+    return f"WITH {_E} SELECT vec_id AS seq, CAST(len(x) AS INTEGER) AS dims, {rnd_sql('list_sum(x)', 6)} AS total FROM e"
+
+
+def stream_identity_sql(source: str) -> str:
+    proto = lambda p: f"CASE WHEN ip_proto IS NULL THEN 'arp' WHEN ip_proto IN (6, 17) THEN CAST({p} AS VARCHAR) ELSE 'icmp' END"
+    return f"""WITH pk AS ({source}), i AS (SELECT seq, 0 AS ip_type, CASE WHEN ip_proto IS NULL THEN '10.9.0.1' ELSE src_ip END AS src_ip,
+        CASE WHEN ip_proto IS NULL THEN '10.9.0.2' ELSE dst_ip END AS dst_ip, {proto('src_port')} AS src_proto, {proto('dst_port')} AS dst_proto FROM pk)
+    SELECT *, regexp_extract(src_ip, '^(.*)\\.', 1) AS subnet FROM i"""
+
+
+def outliers_sql(extend: float = 2.0) -> str:
+    return f"""WITH {_E}, s AS (SELECT x, abs(x[1]) AS b, abs(x[2]) AS a FROM e), m AS (SELECT avg(b) AS mb FROM s),
+    r AS (SELECT x, a, (a > b * {extend!r} OR a > mb * {extend!r}) AS o FROM s, m)
+    SELECT CAST(sum(CASE WHEN o THEN 1 ELSE 0 END) AS BIGINT) AS removed, {rnd_sql('sum(CASE WHEN o THEN 0.0 ELSE a END)', 6)} AS after,
+           {rnd_sql('sum(CASE WHEN o THEN 0.0 ELSE abs(x[3]) END)', 6)} AS x2 FROM r"""
+
+
+def proximity_ratio_normalised_sql(shrink: float = 0.5) -> str:
+    scale = "list_transform(list_zip({x}, b.lo, b.hi), lambda t: (t[1] - t[2]) / (t[3] - t[2] + 1e-16))"
+    return f"""WITH {_E}, {_EJ.replace('FROM e,', 'FROM (SELECT * FROM e WHERE label = 0) e,')},
+    k AS (SELECT j, min(v) AS lo, max(v) AS hi FROM f GROUP BY j),
+    b AS (SELECT list(lo ORDER BY j) AS lo, list(hi ORDER BY j) AS hi FROM k),
+    r AS (SELECT {scale.format(x='e.x')} AS x FROM e, b WHERE label = 0),
+    q AS (SELECT vec_id, {scale.format(x='e.x')} AS x,
+                 {scale.format(x=f'list_transform(e.x, lambda v: v * {shrink!r})')} AS xa FROM e, b WHERE label <> 0),
+    d AS (SELECT vec_id, max(list_distance(q.x, r.x)) AS far, min(list_distance(q.xa, r.x)) AS near FROM q, r GROUP BY vec_id),
+    s AS (SELECT sum(far) AS org_dis, sum(near) AS mut_dis FROM d)
+    SELECT {rnd_sql('org_dis', 6)} AS org_dis, {rnd_sql('mut_dis', 6)} AS mut_dis, {rnd_sql('1.0 - mut_dis / org_dis', 6)} AS proximity_ratio FROM s"""

@@ -252,8 +252,7 @@ def q_host_stats(spark: SparkSession, sf_dir: str, key_mode: str = "typed") -> D
     return v.select("seq", *[rnd(v["x"][i], O.HOST_DIGITS[k]).alias(f"x{i}") for i, k in enumerate(kinds)])
 
 
-EMB_FM = 399
-DET_FM, DET_AD, DET_M = 500, 3000, 10
+DET_M = 10
 
 
 def _ranked_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,25 +262,27 @@ def _ranked_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_correlation_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = DT.correlation_distance(DT.correlation_matrix(_ranked_embeddings(spark, sf_dir), EMB_FM))
+    """A17, A18 over all embeddings."""
+    d = DT.correlation_distance(DT.correlation_matrix(_ranked_embeddings(spark, sf_dir)))
     return d.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), rnd("d", 6).alias("d"))
 
 
 def q_feature_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = DT.correlation_distance(DT.correlation_matrix(_ranked_embeddings(spark, sf_dir), EMB_FM))
+    d = DT.correlation_distance(DT.correlation_matrix(_ranked_embeddings(spark, sf_dir)))
     return DT.feature_map(spark, d, 64, DET_M)
 
 
 def detector_scores(spark: SparkSession, sf_dir: str):
-    """Host vectors -> feature map -> ensemble training -> masked scoring."""
-    from ..session import cut_lineage
+    """Host vectors -> feature map -> ensemble training on all packets ->
+    saved and loaded model -> masked scoring."""
+    from ..session import checkpoint_dir, cut_lineage
+    import uuid
     v = cut_lineage(host_vectors(spark, sf_dir))
-    r = cut_lineage(DT.with_rank(v))
-    fmap = DT.feature_map(spark, DT.correlation_distance(DT.correlation_matrix(r, DET_FM)), 100, DET_M)
-    ens, outp, train_rmse = DT.train_detector(spark, r, fmap, DET_FM, DET_AD)
-    threshold = train_rmse.agg(F.max("rmse")).first()[0] or 0.0
-    scores = DT.score(v.withColumn("x", HS.mask_columns(F.col("x"), HS.PCC_COLS)), fmap, ens, outp)
-    return scores, threshold
+    fmap = DT.feature_map(spark, DT.correlation_distance(DT.correlation_matrix(DT.with_rank(v))), 100, DET_M)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/detector-{uuid.uuid4().hex[:10]}"
+    DT.train_detector(spark, v, fmap).save(spark, path)
+    model = DT.Detector.load(spark, path)
+    return DT.score(v.withColumn("x", HS.mask_columns(F.col("x"), HS.PCC_COLS)), model), model.threshold
 
 
 def q_anomaly_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,9 +290,227 @@ def q_anomaly_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.withColumn("alert", MT.alert(F.col("rmse"), threshold))
 
 
+FIXED_GROUP, FIXED_HIDDEN = 8, 6
+
+
+def fixed_member(low: float, high: float) -> DT.Member:
+    """An autoencoder whose parameters follow a formula, as in the SQL twin."""
+    import numpy as np
+    i, h = np.indices((FIXED_GROUP, FIXED_HIDDEN))
+    return DT.Member(((i * 7 + h * 3) % 11 - 5) / 10.0, np.arange(FIXED_HIDDEN) / 10.0, -np.arange(FIXED_GROUP) / 20.0,
+                     np.full(FIXED_GROUP, low), np.full(FIXED_GROUP, high))
+
+
+def _fixed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3 with fixed parameters: 8 members of 8 features over all embeddings."""
+    groups = [list(range(k * FIXED_GROUP, (k + 1) * FIXED_GROUP)) for k in range(8)]
+    model = DT.Detector(groups, [fixed_member(-1.0, 1.0) for _ in groups], fixed_member(0.0, 1.0), 0.0)
+    return DT.score(_embeddings(spark, sf_dir), model, keys=("vec_id",))
+
+
+def q_detector_score_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fixed_scores(spark, sf_dir).select("vec_id", rnd("rmse", 9).alias("rmse"))
+
+
+def q_detector_training_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2: summed gradients of one step for the first feature group."""
+    g = DT.gradient_sums(_embeddings(spark, sf_dir), [list(range(FIXED_GROUP))], [fixed_member(-1.0, 1.0)])[0]
+    return spark.createDataFrame([(k, float(v)) for k, v in enumerate(g)], "k int, g double").select("k", rnd("g", 5).alias("g"))
+
+
 def q_score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores, threshold = detector_scores(spark, sf_dir)
-    return MT.score_summary(scores, threshold).withColumn("threshold", F.lit(float(threshold)))
+    """threshold = largest score of the even ids, summary over all."""
+    s = _fixed_scores(spark, sf_dir)
+    threshold = s.where("vec_id % 2 = 0").agg(F.max("rmse")).first()[0] or 0.0
+    r = MT.score_summary(s, threshold)
+    return r.select("alerts", "total", rnd("mean", 6).alias("mean"), rnd("max", 6).alias("max"), rnd(F.lit(float(threshold)), 6).alias("threshold"))
+
+
+def q_distances_repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J6 with ids that repeat: one row per query row."""
+    e = _embeddings(spark, sf_dir).withColumn("gid", F.col("vec_id") % 7)
+    d = MT.reference_distances(e.where(F.col("label") != 0), e.where(F.col("label") == 0), "gid", "x", block_rows=100)
+    return d.select("gid", rnd("min_dist", 6).alias("min_dist"), rnd("max_dist", 6).alias("max_dist"))
+
+
+def q_decay_large_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W5 with a mean of a million and a variance near 1."""
+    rows = _ip_rows(spark, sf_dir).select(F.col("src_ip").alias("k"), "seq", "t", (F.lit(1e6) + F.col("seq") % 3).alias("v"))
+    return _round_1d(DC.decayed_stats_1d(rows, ["k"]), (4, 6, 6))
+
+
+def q_cidr_duplicate_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = (TB.packets_from_events(spark, sf_dir).where(F.col("accepted"))
+             .select(F.col("src_ip").alias("src"), F.col("dst_ip").alias("dst")).distinct())
+    return FL.labels_for_pairs(pairs, FL.label_nets(spark, CIDR_SPECS + CIDR_SPECS)).select("src", "dst", "label")
+
+
+def q_report_label_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A7 with label values from 0 to 9."""
+    e = _embeddings(spark, sf_dir)
+    r = MT.confusion_report(e.select(F.lit("all").alias("model"), F.col("label"), (F.col("vec_id") % 4).alias("pred")), ["model"])
+    return r.select("model", "tn", "fp", "fn", "tp", "samples", rnd("accuracy", 6).alias("accuracy"), rnd("f1", 6).alias("f1"))
+
+
+def _flat_fragments(f: DataFrame) -> DataFrame:
+    return f.select(*_flat_flow(f), "window_start_us", F.col("pos").cast("int").alias("pos"), "seq",
+                    *[rnd(f"f{i}", 6).alias(f"f{i}") for i in range(11)], "label")
+
+
+CUT_WIDTH, CUT_N = 60 * DAY_US, 3
+
+
+def q_fragments_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F3 on windows so long that the packet limit cuts."""
+    return _flat_fragments(fragments(spark, sf_dir, CUT_WIDTH, CUT_N))
+
+
+def q_fragments_ddos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """attack traffic only."""
+    return _flat_fragments(FL.build_fragments(_frames(spark, sf_dir), CUT_WIDTH, CUT_N, labels=TB.label_pairs(spark), traffic_type="ddos"))
+
+
+def q_fragments_benign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat_fragments(FL.build_fragments(_frames(spark, sf_dir), CUT_WIDTH, CUT_N, labels=TB.label_pairs(spark), traffic_type="benign"))
+
+
+def q_packet_counts_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3: packets per label from the vectors' packet column."""
+    return DS.count_packets_b(DS.flow_vectors(fragments(spark, sf_dir, CUT_WIDTH, CUT_N))).select("label", F.col("packets").cast("long").alias("packets"))
+
+
+def q_stat_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """all packets update the statistics, every tenth is returned."""
+    rows = _ip_rows(spark, sf_dir)
+    stats = DC.decayed_stats_1d(rows.select(F.col("src_ip").alias("k"), "seq", "t", F.col("frame_len").alias("v")), ["k"])
+    return _round_1d(HS.select_positions(stats, rows.where("seq % 10 = 0").select("seq")))
+
+
+def q_masked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F7 on the embeddings: the pcc positions that exist there are zeroed."""
+    x = HS.mask_columns(F.col("x"), [c for c in HS.PCC_COLS if c < 64])
+    return _embeddings(spark, sf_dir).select("vec_id", F.posexplode(x).alias("j", "v")).select("vec_id", "j", rnd("v", 6).alias("v"))
+
+
+def q_minmax_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Range of the even ids applied to all."""
+    e = _embeddings(spark, sf_dir)
+    z = DT.minmax_transform(e, DT.minmax_fit(e.where("vec_id % 2 = 0")))
+    return z.select("vec_id", F.posexplode("x").alias("j", "v")).select("vec_id", "j", rnd("v", 6).alias("v"))
+
+
+def q_running_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row by the range of the rows so far."""
+    z = DT.running_minmax_transform(_ranked_embeddings(spark, sf_dir), chunk_rows=128)
+    return z.select("rank", F.posexplode("x").alias("j", "v")).select("rank", "j", rnd("v", 6).alias("v"))
+
+
+def q_rolling_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean of the last five values per host, with a zero start."""
+    rows = _ip_rows(spark, sf_dir).select(F.col("src_ip").alias("k"), "seq", F.col("frame_len").alias("v"))
+    return DC.rolling_mean(rows, 5, ["k"]).select("k", "seq", rnd("rollmean", 6).alias("rollmean"))
+
+
+def _last_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _ip_rows(spark, sf_dir).select(F.col("src_ip").alias("k"), "seq", "t", F.col("frame_len").alias("v"))
+    return DC.latest_state(DC.decayed_stats_1d(rows, ["k"]), ["k", "lam"])
+
+
+EVICT_AFTER_H, EVICT_WEIGHT = 2.0, 0.5
+
+
+def q_evicted_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams whose weight is above the cut two hours after the last packet."""
+    now = _ip_rows(spark, sf_dir).agg(F.max("t")).first()[0] + EVICT_AFTER_H
+    kept = DC.evict_old_streams(_last_state(spark, sf_dir), EVICT_WEIGHT, now)
+    return kept.select("k", "lam", "seq", rnd("w", 4).alias("w"))
+
+
+def q_nd_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Radius and magnitude over all hosts' last states, per rate."""
+    d = DC.nd_stats(_last_state(spark, sf_dir), ["lam"])
+    return d.select("lam", rnd("radius", 3).alias("radius"), rnd("magnitude", 3).alias("magnitude"))
+
+
+def q_vector_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """8 x 8 reshape, flatten, distance of first and last row."""
+    e = _embeddings(spark, sf_dir).withColumn("m", DS.reshape(F.col("x"), 8, 8))
+    return e.select("vec_id", rnd(MT.euclidean(F.col("m")[0], F.col("m")[7]), 6).alias("dist"), rnd(DS.flatten_x(F.col("m"))[63], 6).alias("last"))
+
+
+def q_all_same(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R7 over columns of the embeddings."""
+    e = _embeddings(spark, sf_dir).withColumn("dims", F.size("x"))
+    return spark.createDataFrame([(c, DS.all_same(e, c)) for c in ("dims", "label")], "col string, same boolean")
+
+
+def q_balanced_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4: equal rows of every dataset per split."""
+    from ..sources import sinks as SK
+    e = _embeddings(spark, sf_dir).select(F.col("vec_id").alias("sample_id"), (F.col("label") % 3).alias("dataset_id"), (F.col("vec_id") % 2).alias("split"))
+    return SK.cross_dataset_balance(e).select("sample_id", "dataset_id", "split")
+
+
+def q_tensor_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Save two tensor datasets, check them, load one split of each, merge."""
+    from ..sources import sinks as SK
+    from ..streaming.online import scratch
+    e = _embeddings(spark, sf_dir).select(F.col("x").alias("set_x"), F.when(F.col("label") >= 5, 1).otherwise(0).alias("set_y"),
+                                          F.when(F.col("vec_id") % 10 == 0, F.lit("test")).otherwise(F.lit("train")).alias("split"), "vec_id")
+    paths = []
+    for k, name in enumerate(("DOS2018", "DOS2019")):
+        paths.append(scratch(spark, f"tensors-{name}"))
+        SK.save_samples(e.where(F.col("vec_id") % 2 == k), paths[-1], 10.0, 10, name)
+    merged = SK.merge_datasets(*[SK.load_samples(spark, p, "train") for p in paths])
+    width, n, name = SK.check_flow_stores(merged)
+    return (merged.groupBy("dataset_id", "set_y").agg(F.count("*").alias("rows"), rnd(F.sum(F.col("set_x")[0]), 6).alias("x0"))
+            .withColumns({"time_window": F.lit(width), "max_flow_len": F.lit(int(n)), "merged_id": F.lit(name)}))
+
+
+def q_vector_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature matrix written and read again."""
+    from ..streaming.online import scratch
+    path = scratch(spark, "vectors")
+    HS.save_vectors(_embeddings(spark, sf_dir).select(F.col("vec_id").alias("seq"), "x"), path)
+    v = HS.load_vectors(spark, path)
+    return v.select("seq", F.size("x").alias("dims"), rnd(F.aggregate("x", F.lit(0.0), lambda a, b: a + b), 6).alias("total"))
+
+
+def q_stream_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identity and subnet of every frame; refused frames act as ARP."""
+    p = TB.packets_from_events(spark, sf_dir)
+    e = F.lit("")
+    tcp, udp = F.col("ip_proto") == 6, F.col("ip_proto") == 17
+    port = lambda on, c: F.when(on, F.col(c).cast("string")).otherwise(e)
+    ip = lambda c: F.coalesce(F.col(c), e)
+    arp = F.col("ip_proto").isNull()
+    ident = P.stream_identity(ip("src_ip"), ip("dst_ip"), e, e, port(tcp, "src_port"), port(tcp, "dst_port"), port(udp, "src_port"),
+                              port(udp, "dst_port"), F.col("eth_src"), F.col("eth_dst"), F.when(arp, F.lit("1")).otherwise(e),
+                              F.when(arp, F.lit("10.9.0.1")).otherwise(e), F.when(arp, F.lit("10.9.0.2")).otherwise(e),
+                              F.when(F.col("ip_proto") == 1, F.lit("8")).otherwise(e))
+    d = p.select("seq", "eth_src", *[c.alias(n) for n, c in ident.items()])
+    return d.select("seq", "ip_type", "src_ip", "dst_ip", "src_proto", "dst_proto", P.subnet(F.col("ip_type"), F.col("src_ip"), F.col("eth_src")).alias("subnet"))
+
+
+def q_outliers_zeroed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F8 with the feature vector and the number of removed rows."""
+    e = _embeddings(spark, sf_dir)
+    s = e.select("vec_id", "x", F.abs(e["x"][0]).alias("before"), F.abs(e["x"][1]).alias("after"))
+    r = MT.remove_outliers(s, vector="x")
+    return r.agg(F.sum("removed").cast("long").alias("removed"), rnd(F.sum("after"), 6).alias("after"),
+                 rnd(F.sum(F.abs(F.col("x")[2])), 6).alias("x2"))
+
+
+def q_proximity_ratio_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A15 as the reference defines it: both versions and the reference rows
+    are scaled by the range of the reference rows first."""
+    e = _embeddings(spark, sf_dir)
+    q, ref = e.where(F.col("label") != 0), e.where(F.col("label") == 0)
+    after = q.withColumn("x", F.transform("x", lambda v: v * F.lit(0.5)))
+    bounds = DT.minmax_fit(ref)
+    q, ref, after = (DT.minmax_transform(d, bounds) for d in (q, ref, after))
+    r = MT.proximity_ratio(MT.reference_distances(q, ref, "vec_id", "x"), MT.reference_distances(after, ref, "vec_id", "x"))
+    return r.select(*[rnd(c, 6).alias(c) for c in r.columns])
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -429,10 +648,36 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "proximity_ratio": (q_proximity_ratio, O.proximity_ratio_sql()),
     "host_stats": (q_host_stats, O.host_stats_sql()),
     "host_stats_concat_keys": (lambda spark, sf: q_host_stats(spark, sf, "concat"), O.host_stats_sql("concat")),
-    "correlation_distance": (q_correlation_distance, O.correlation_distance_sql(EMB_FM)),
+    "correlation_distance": (q_correlation_distance, O.correlation_distance_sql()),
+    "detector_score_fixed": (q_detector_score_fixed, O.detector_score_sql()),
+    "detector_training_step": (q_detector_training_step, O.detector_step_sql()),
+    "distances_repeated_ids": (q_distances_repeated_ids, O.reference_distances_sql("any_value(q.vec_id) % 7 AS gid")),
+    "decay_large_offset": (q_decay_large_offset, O.decay_1d_sql(_PK, "src_ip", "1e6 + seq % 3", "accepted", digits=(4, 6, 6))),
+    "cidr_duplicate_specs": (q_cidr_duplicate_specs, O.cidr_labels_sql(_cidr_ranges())),
+    "report_label_values": (q_report_label_values, O.report_label_values_sql()),
+    "fragments_cut": (q_fragments_cut, O.fragments_sql(CUT_WIDTH, CUT_N)),
+    "fragments_ddos": (q_fragments_ddos, O.fragments_sql(CUT_WIDTH, CUT_N) + " WHERE label <> 0"),
+    "fragments_benign": (q_fragments_benign, O.fragments_sql(CUT_WIDTH, CUT_N) + " WHERE label = 0"),
+    "packet_counts_vectors": (q_packet_counts_vectors, O.packet_counts_vectors_sql(CUT_WIDTH, CUT_N)),
+    "stat_positions": (q_stat_positions, O.decay_1d_sql(_PK, "src_ip", "frame_len", "accepted") + " WHERE seq % 10 = 0"),
+    "masked_vectors": (q_masked_vectors, O.masked_vectors_sql([c for c in HS.PCC_COLS if c < 64])),
+    "minmax_normalised": (q_minmax_normalised, O.minmax_sql()),
+    "running_minmax": (q_running_minmax, O.running_minmax_sql()),
+    "rolling_mean": (q_rolling_mean, O.rolling_mean_sql(_PK)),
+    "evicted_streams": (q_evicted_streams, O.evicted_sql(_PK, EVICT_AFTER_H, EVICT_WEIGHT)),
+    "nd_stats": (q_nd_stats, O.nd_stats_sql(_PK)),
+    "vector_shapes": (q_vector_shapes, O.vector_shapes_sql()),
+    "all_same": (q_all_same, """SELECT 'dims' AS col, count(DISTINCT len(embedding)) <= 1 AS same FROM embeddings
+        UNION ALL SELECT 'label', count(DISTINCT label) <= 1 FROM embeddings"""),
+    "balanced_datasets": (q_balanced_datasets, O.balanced_datasets_sql()),
+    "tensor_store": (q_tensor_store, O.tensor_store_sql()),
+    "vector_store": (q_vector_store, O.vector_store_sql()),
+    "stream_identity": (q_stream_identity, O.stream_identity_sql(_PK)),
+    "outliers_zeroed": (q_outliers_zeroed, O.outliers_sql()),
+    "proximity_ratio_normalised": (q_proximity_ratio_normalised, O.proximity_ratio_normalised_sql()),
     "feature_map": (q_feature_map, None),
     "anomaly_scores": (q_anomaly_scores, None),
-    "score_summary": (q_score_summary, None),
+    "score_summary": (q_score_summary, O.score_summary_sql()),
     "standardized": (q_standardized, O.standardized_sql()),
     "pca_variance": (q_pca_variance, None),
     "svm_report": (q_svm_report, None),

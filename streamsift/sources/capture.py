@@ -167,10 +167,8 @@ def merge_captures(packets: DataFrame, capture: str = "capture_id", seq: str = "
     """S3: one capture from many, ordered by (capture name, seq); the new
     sequence is a two-phase prefix count (no single-partition window)."""
     d = packets.withColumn("_one", F.lit(1)).withColumn("_g", F.lit(0))
-    # bucket = (capture rank, seq chunk) keeps the order monotone across captures
-    names = [r[0] for r in packets.select(capture).distinct().orderBy(capture).collect()]
-    rank = F.array_position(F.array(*[F.lit(n) for n in names]), F.col(capture)).cast("long")
-    bucket = rank * F.lit(1 << 40) + int_div(seq, chunk_rows)
+    # (capture, seq chunk) keeps the order monotone across captures
+    bucket = F.struct(F.col(capture).alias("c"), int_div(seq, chunk_rows).alias("k"))
     d = prefix_sum(d, ["_g"], [capture, seq], "_one", "_new", bucket)
     return (d.withColumn("source_capture", F.col(capture)).withColumn("source_seq", F.col(seq))
             .withColumn(capture, F.lit(merged_id)).withColumn(seq, F.col("_new").cast("long"))

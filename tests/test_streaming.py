@@ -31,14 +31,14 @@ def test_stream_scoring_and_classification(spark):
     rng = np.random.RandomState(0)
     vec = spark.createDataFrame([(i, rng.rand(4).tolist()) for i in range(60)], "seq long, x array<double>")
     fmap = spark.createDataFrame([(0, 0, 0), (0, 1, 1), (1, 0, 2), (1, 1, 3)], "ae int, pos int, feature int")
-    ens, outp, _ = DT.train_detector(spark, DT.with_rank(vec), fmap, -1, 61)
+    model = DT.train_detector(spark, vec, fmap, steps=2)
     src = ON.scratch(spark, "t-vec")
     vec.write.parquet(src)
     stream = spark.readStream.schema(vec.schema).parquet(src)
     out = ON.scratch(spark, "t-score")
-    ON.run_available_now(ON.stream_scores(stream, lambda s: DT.score(s, fmap, ens, outp)), out)
+    ON.run_available_now(ON.stream_scores(stream, lambda s: DT.score(s, model)), out)
     a = {r["seq"]: r["rmse"] for r in spark.read.parquet(out).collect()}
-    b = {r["seq"]: r["rmse"] for r in DT.score(vec, fmap, ens, outp).collect()}
+    b = {r["seq"]: r["rmse"] for r in DT.score(vec, model).collect()}
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
     # ST1: micro-batches of frames -> fragments -> CNN -> one report row per batch
     frames = TB.flow_features(TB.packets_from_events(spark, "/root/testdata/sf0.001"))
