@@ -9,68 +9,57 @@ window, so the anchors are the greedy chain over the distinct running
 maxima ``T``: ``a0 = first T``, ``a(k+1) = min{T : T > a(k) + width}``.
 Spark plan (all exact integer microseconds):
 
-1. ``T`` = running max per capture (two-phase, ``prefix.running_max``);
-   the candidates are the rows where ``T`` grows.
-2. ``next(x)`` for every candidate, from a bucket grid of the window width:
-   ``x`` in bucket ``b`` has its answer in bucket ``b+1`` (same cell of a
-   finer grid) or later, answered by small windows per cell plus a
-   per-bucket lookup table.
-3. Anchors = the chain from the first candidate, found by pointer doubling:
-   ``log2(#buckets)`` rounds, each a join of the candidate table with
-   itself, lineage cut by ``checkpoint`` in the shared checkpoint folder.
-4. A bucket holds at most one anchor (anchors are more than ``width``
-   apart), so a frame's window is the anchor of its bucket when that is
-   not after it, else the anchor of the previous bucket: one equi-join
-   with a table of at most one row per non-empty bucket.
+1. ``T`` = running max per capture (two-phase, ``prefix.running_max``),
+   written once with the frames; the candidates are the rows where it grows.
+2. Time is cut into segments of many window widths (fewer where frames are
+   dense, so that a segment holds a bounded number of candidates on average).
+   A chain can enter a segment only in its first width or at the first
+   candidate after it. One pass over the candidates, a group per segment,
+   finds where each of these entries leaves the segment.
+3. The small table of entries is linked to the entries of later segments, and
+   the chain's entries are marked by pointer doubling on that table alone.
+4. A second pass over the segments expands each marked entry to its anchors.
+5. A bucket of one width holds at most one anchor (anchors are more than a
+   width apart), so a frame's window is the anchor of its bucket when that is
+   not after it, else the anchor of the bucket before: one equi-join with a
+   table of at most two rows per window.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .prefix import DEFAULT_CHUNK_ROWS, UNB_FOLL, int_div, running_max
-
-
-def _next_candidates(cand: DataFrame, cap: str, width_us: int, cells: int) -> DataFrame:
-    """(cap, x) -> (cap, x, nx) with nx = min candidate > x + width (null if none).
-
-    x in bucket b: x + width falls in bucket b+1, in the same cell index c.
-    Answer = first candidate after x + width inside cell (b+1, c) [window
-    over one cell], else first candidate in a later cell of b+1 [window over
-    the <= cells cell minima of b+1], else the first candidate of a later
-    bucket [window over bucket minima].  No window spans a whole capture's
-    packets; the largest one holds one cell.
-    """
-    w = int(width_us)
-    c = (cand.select(cap, "x").withColumn("b", int_div("x", w))
-         .withColumn("c", int_div(F.pmod(F.col("x"), F.lit(w).cast("long")) * F.lit(cells), w)))
-    points = c.select(cap, "b", "c", F.col("x").alias("pos"), F.lit(0).alias("kind"),
-                      F.lit(None).cast("long").alias("qx"))
-    queries = c.select(cap, (F.col("b") + 1).alias("b"), "c", (F.col("x") + F.lit(w)).alias("pos"),
-                       F.lit(1).alias("kind"), F.col("x").alias("qx"))
-    win = Window.partitionBy(cap, "b", "c").orderBy("pos", "kind").rowsBetween(1, UNB_FOLL)
-    in_cell = (points.unionByName(queries)
-               .withColumn("ans", F.min(F.when(F.col("kind") == 0, F.col("pos"))).over(win))
-               .where(F.col("kind") == 1)
-               .select(cap, F.col("qx").alias("x"), F.col("b").alias("bq"), "c", "ans"))
-    cellmin = c.groupBy(cap, "b", "c").agg(F.min("x").alias("cmin"))
-    qcells = c.select(cap, (F.col("b") + 1).alias("b"), "c").distinct()
-    wcell = Window.partitionBy(cap, "b").orderBy("c", "kind").rowsBetween(1, UNB_FOLL)
-    later_cell = (cellmin.select(cap, "b", "c", "cmin", F.lit(0).alias("kind"))
-                  .unionByName(qcells.select(cap, "b", "c", F.lit(None).cast("long").alias("cmin"),
-                                             F.lit(1).alias("kind")))
-                  .withColumn("lc", F.min("cmin").over(wcell))
-                  .where(F.col("kind") == 1)
-                  .select(cap, F.col("b").alias("bq"), "c", "lc"))
-    buckets = (cellmin.groupBy(cap, "b").agg(F.min("cmin").alias("bm"))
-               .withColumn("lb", F.min("bm").over(Window.partitionBy(cap).orderBy("b").rowsBetween(1, UNB_FOLL))))
-    own_b = buckets.select(cap, (F.col("b") + 1).alias("bq"), F.col("lb").alias("lb_own"))
-    q_b = buckets.select(cap, F.col("b").alias("bq"), F.col("bm").alias("bm_q"), F.col("lb").alias("lb_q"))
-    nx = F.coalesce("ans", "lc", F.when(F.col("bm_q").isNull(), F.col("lb_own")).otherwise(F.col("lb_q")))
-    return (in_cell.join(later_cell, [cap, "bq", "c"], "left").join(q_b, [cap, "bq"], "left")
-            .join(own_b, [cap, "bq"], "left").select(cap, "x", nx.alias("nx")))
+from .prefix import DEFAULT_CHUNK_ROWS, int_div, running_max
+
+#: Marks the end of a chain where a null would turn a column into doubles.
+END = -(1 << 63)
+
+NONE = np.zeros(0, np.int64)
+
+#: Candidates of one segment, about.
+SEGMENT_ROWS = 200_000
+
+
+def _follow(x: np.ndarray, start: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Last anchor of the chains that start at positions ``start`` of the
+    sorted candidates, and every position's successor."""
+    nxt = np.searchsorted(x, x + width, side="right")
+    pos = start.copy()
+    live = np.flatnonzero(nxt[pos] < len(x))
+    while len(live):
+        pos[live] = nxt[pos[live]]
+        live = live[nxt[pos[live]] < len(x)]
+    return pos, nxt
+
+
+def _frame(name: str, value, **cols) -> pd.DataFrame:
+    """A result frame with one constant first column, kept as plain objects."""
+    n = len(next(iter(cols.values())))
+    return pd.DataFrame({name: pd.Series([value] * n, dtype=object), **cols})
 
 
 def _double(state: DataFrame, cap: str) -> DataFrame:
@@ -79,61 +68,90 @@ def _double(state: DataFrame, cap: str) -> DataFrame:
     hits = (state.where(F.col("on") & F.col("jump").isNotNull())
             .select(cap, F.col("jump").alias("x"), F.lit(True).alias("hit")))
     return (state.join(j2, [cap, "jump"], "left").join(hits, [cap, "x"], "left")
-            .select(cap, "x", F.col("jump2").alias("jump"),
+            .select(cap, "x", "seg", F.col("jump2").alias("jump"),
                     (F.col("on") | F.coalesce("hit", F.lit(False))).alias("on")))
 
 
-def window_anchors(packets: DataFrame, width_us: int, capture: str = "capture_id", seq: str = "seq",
-                   ts: str = "ts_us", cells: int = 64, chunk_rows: int = DEFAULT_CHUNK_ROWS,
-                   max_rounds: int = 64) -> DataFrame:
-    """Anchors (window starts) of every capture: (capture, anchor_us).
-
-    Pointer doubling over one table (x, jump, on): ``jump`` is next^(2^k)(x)
-    and ``on`` marks the first 2^k anchors of every chain.  Each job runs
-    two doubling steps and is written to the checkpoint folder.  The loop
-    stops when no marked node still has a jump (no chain continues beyond
-    its marked prefix), checked with a short scan of the written state.
-    """
-    cap = capture
-    d = running_max(packets.select(cap, seq, ts), [cap], seq, ts, "_T", prev_out="_Tp",
-                    chunk_rows=chunk_rows)
-    cand = cut_lineage(d.where(F.col("_Tp").isNull() | (F.col("_T") > F.col("_Tp")))
-                       .select(cap, F.col("_T").alias("x")))
-    roots = cand.groupBy(cap).agg(F.min("x").alias("x")).withColumn("root", F.lit(True))
-    active = F.col("on") & F.col("jump").isNotNull()
-    state = cut_lineage(_next_candidates(cand, cap, width_us, cells).join(roots, [cap, "x"], "left")
-                        .select(cap, "x", F.col("nx").alias("jump"),
-                                F.coalesce("root", F.lit(False)).alias("on")))
-    steps = 2  # doubling steps per job
+def window_anchors(running: DataFrame, width_us: int, capture: str = "capture_id",
+                   segment_rows: int = SEGMENT_ROWS, max_rounds: int = 64) -> DataFrame:
+    """Anchors (window starts) of every capture: (capture, anchor_us), from
+    frames with their running maximum ``_T`` and the one before it ``_Tp``."""
+    cap, w = capture, int(width_us)
+    kind = dict(running.dtypes)[cap]
+    cand = (running.where(F.col("_Tp").isNull() | (F.col("_T") > F.col("_Tp"))).select(cap, F.col("_T").alias("x")))
+    span = (cand.groupBy(cap).agg(F.min("x").alias("t0"), F.max("x").alias("t1"), F.count(F.lit(1)).alias("n"))
+            .withColumn("widths", F.greatest(F.lit(1), F.floor(F.lit(segment_rows) * ((F.col("t1") - F.col("t0")) / F.lit(w) + 1) / F.col("n")))))
+    cand = cut_lineage(cand.join(span.select(cap, "t0", (F.col("widths") * F.lit(w)).cast("long").alias("step")), cap)
+                       .select(cap, "x", F.expr("(x - t0) div step").alias("seg"), F.expr("t0 + ((x - t0) div step) * step").alias("base")))
+
+    def exits(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.sort(pdf["x"].to_numpy())
+        first = int(np.searchsorted(x, pdf["base"].iloc[0] + w)) + 1   # those of the first width and one more
+        start = np.arange(min(first, len(x)))
+        pos, _ = _follow(x, start, w)
+        return _frame(cap, pdf[cap].iloc[0], seg=np.full(len(start), pdf["seg"].iloc[0]), x=x[start], theta=x[pos] + w)
+
+    entry = cut_lineage(cand.groupBy(cap, "seg").applyInPandas(exits, f"{cap} {kind}, seg long, x long, theta long"))
+    order = Window.partitionBy(cap).orderBy("seg")   # one row per segment
+    segs = (entry.groupBy(cap, "seg").agg(F.min("x").alias("first"))
+            .select(cap, "seg", F.lead("seg").over(order).alias("to"), F.coalesce(F.lead("first", 2).over(order), F.lit(END)).alias("beyond")))
+    going = entry.join(segs, [cap, "seg"]).select(cap, "seg", "x", "theta", "to", "beyond")
+
+    def link(out: pd.DataFrame, into: pd.DataFrame) -> pd.DataFrame:
+        if not len(out):
+            return _frame(cap, None, seg=NONE, x=NONE, jump=NONE)
+        y = np.sort(into["y"].to_numpy())
+        at = np.searchsorted(y, out["theta"].to_numpy(), side="right")
+        jump = np.where(at < len(y), y[np.minimum(at, len(y) - 1)], out["beyond"].to_numpy())
+        return _frame(cap, out[cap].iloc[0], seg=out["seg"].to_numpy(), x=out["x"].to_numpy(), jump=jump)
+
+    inner = (going.where(F.col("to").isNotNull()).groupBy(cap, "to")
+             .cogroup(entry.select(F.col(cap).alias("in_cap"), F.col("seg").alias("at"), F.col("x").alias("y")).groupBy("in_cap", "at"))
+             .applyInPandas(link, f"{cap} {kind}, seg long, x long, jump long")
+             .withColumn("jump", F.nullif("jump", F.lit(END))))
+    last = going.where(F.col("to").isNull()).select(cap, "seg", "x", F.lit(None).cast("long").alias("jump"))
+    roots = entry.groupBy(cap).agg(F.min("x").alias("x")).withColumn("root", F.lit(True))
+    state = cut_lineage(inner.unionByName(last).join(roots, [cap, "x"], "left")
+                        .select(cap, "x", "seg", "jump", F.coalesce("root", F.lit(False)).alias("on")))
     for _ in range(max_rounds):
-        # a marked node with a jump means some chain goes on past its marked
-        # prefix (a scan of the written state that stops at the first hit)
-        if state.where(active).limit(1).count() == 0:
+        # a marked entry with a jump means some chain goes on past its marked prefix
+        if state.where(F.col("on") & F.col("jump").isNotNull()).limit(1).count() == 0:
             break
-        nxt = state
-        for _ in range(steps):
-            nxt = _double(nxt, cap)
-        state = cut_lineage(nxt)
+        state = cut_lineage(_double(_double(state, cap), cap))
     else:
         raise RuntimeError("anchored windows: chain longer than 4^max_rounds")
-    return state.where(F.col("on")).select(cap, F.col("x").alias("anchor_us"))
+
+    def expand(all_: pd.DataFrame, on: pd.DataFrame) -> pd.DataFrame:
+        if not len(on) or not len(all_):
+            return _frame(cap, None, anchor_us=NONE)
+        x = np.sort(all_["x"].to_numpy())
+        nxt = np.searchsorted(x, x + w, side="right")
+        out, k = [], int(np.searchsorted(x, on["y"].min()))
+        while k < len(x):
+            out.append(int(x[k]))
+            k = int(nxt[k])
+        return _frame(cap, all_[cap].iloc[0], anchor_us=np.array(out, np.int64))
+
+    marked = state.where("on").select(F.col(cap).alias("in_cap"), F.col("seg").alias("at"), F.col("x").alias("y"))
+    return (cand.select(cap, "seg", "x").groupBy(cap, "seg").cogroup(marked.groupBy("in_cap", "at"))
+            .applyInPandas(expand, f"{cap} {kind}, anchor_us long"))
 
 
 def anchored_windows(packets: DataFrame, width_us: int, capture: str = "capture_id", seq: str = "seq",
-                     ts: str = "ts_us", out: str = "window_start_us", cells: int = 64,
+                     ts: str = "ts_us", out: str = "window_start_us", segment_rows: int = SEGMENT_ROWS,
                      chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """Adds ``out`` (window start in µs) to every frame of ``packets``."""
     cap = capture
-    anchors = window_anchors(packets, width_us, cap, seq, ts, cells, chunk_rows)
+    d = cut_lineage(running_max(packets, [cap], seq, ts, "_T", prev_out="_Tp", chunk_rows=chunk_rows))
+    anchors = window_anchors(d, width_us, cap, segment_rows)
     ab = anchors.withColumn("b", int_div("anchor_us", width_us))
     own = ab.select(cap, "b", F.col("anchor_us").alias("own"), F.lit(None).cast("long").alias("prev"))
     prev = ab.select(cap, (F.col("b") + 1).alias("b"), F.lit(None).cast("long").alias("own"),
                      F.col("anchor_us").alias("prev"))
-    lookup = own.unionByName(prev).groupBy(cap, "b").agg(F.max("own").alias("own"), F.max("prev").alias("prev"))
-    d = running_max(packets, [cap], seq, ts, "_T", chunk_rows=chunk_rows)
+    lookup = cut_lineage(own.unionByName(prev).groupBy(cap, "b").agg(F.max("own").alias("own"), F.max("prev").alias("prev")))
     d = d.withColumn("b", int_div("_T", width_us)).join(lookup, [cap, "b"], "left")
     start = F.when(F.col("own").isNotNull() & (F.col("own") <= F.col("_T")), F.col("own")).otherwise(F.col("prev"))
-    return d.withColumn(out, start).drop("b", "own", "prev", "_T")
+    return d.withColumn(out, start).drop("b", "own", "prev", "_T", "_Tp")
 
 
 def anchored_windows_sql(width_us: int, src: str = "pk") -> str:

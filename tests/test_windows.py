@@ -40,7 +40,7 @@ def test_random_against_loop(spark):
         exp += [(cap, i, s) for i, s in enumerate(starts)]
     d = _frames(spark, rows)
     got = sorted((r["capture_id"], r["seq"], r["window_start_us"])
-                 for r in anchored_windows(d, 5_000_000, cells=4, chunk_rows=64).collect())
+                 for r in anchored_windows(d, 5_000_000, segment_rows=20, chunk_rows=64).collect())
     assert got == sorted(exp)
 
 
