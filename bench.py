@@ -21,7 +21,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 HEADLINE = [
     "flow_counts", "anchored_windows", "fragments", "normalized_fragments", "flow_vectors", "dataset_split",
     "decay_1d", "jitter", "decay_2d", "host_stats", "detection_report", "robustness",
-    "reference_distances", "proximity_ratio",
+    "reference_distances", "proximity_ratio", "correlation_distance", "detector_score_fixed", "cnn_predict",
 ]
 
 

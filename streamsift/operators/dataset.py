@@ -41,14 +41,16 @@ def normalize(frag: DataFrame, mins: list[float], maxs: list[float], cols: list[
 def pad_long(frag: DataFrame, n: int, key: list[str] = FRAG_KEY, cols: list[str] = FEATURE_COLS) -> DataFrame:
     """R1 in long form: every fragment gets positions 1..n; missing rows are 0.
 
-    Positions are generated per fragment with ``sequence`` (n rows each), so
-    the padding is a narrow operation plus one join on the fragment key.
+    One aggregation per fragment: its rows (at most n) as an array, filled up
+    with zero rows and spread out again.
     """
-    frags = frag.select(*key, "label").distinct()
-    grid = frags.withColumn("pos", F.explode(F.sequence(F.lit(1), F.lit(int(n)))))
-    body = frag.select(*key, "pos", *cols)
-    out = grid.join(body, [*key, "pos"], "left")
-    return out.select(*key, "pos", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in cols], "label")
+    rows = frag.groupBy(*key).agg(F.max("label").alias("label"),
+                                  F.sort_array(F.collect_list(F.struct("pos", *cols))).alias("_r"))
+    body = F.transform("_r", lambda r: F.struct(*[r[c].alias(c) for c in cols]))
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in cols])
+    full = F.concat(body, F.array_repeat(zero, F.lit(int(n)) - F.size("_r")))
+    out = rows.select(*key, "label", F.posexplode(full).alias("_p", "_x"))
+    return out.select(*key, (F.col("_p") + 1).alias("pos"), *[F.col("_x")[c].alias(c) for c in cols], "label")
 
 
 def to_samples(frag_long: DataFrame, n: int, key: list[str] = FRAG_KEY, cols: list[str] = FEATURE_COLS,
@@ -129,17 +131,25 @@ def flow_identity(flow_col: str = "flow", capture: str = "capture_id") -> list[C
             f["proto"].cast("string")]
 
 
+def hash_prefix(rows: int, per_bucket: int = 10_000) -> Column:
+    """A prefix of the hash key with about ``per_bucket`` rows per value."""
+    digits = 1
+    while rows > per_bucket * 16 ** digits and digits < 32:
+        digits += 1
+    return F.substring("_hk", 1, digits)
+
+
 def balance_flows(flows: DataFrame, seed: int = 1, total_fragments: float = float("inf")) -> DataFrame:
     """Whole flows in hash order; a flow is taken while its class's
     accumulated fragments are below min(total/2, ddos, benign) (all flows of
     a class when the other class is empty)."""
     cls = F.when(F.col("label") > 0, F.lit(1)).otherwise(F.lit(0))
     d = flows_in_hash_order(flows, seed, flow_identity()).withColumn("_cls", cls)
-    counts = flows.agg(F.sum(F.when(F.col("label") > 0, F.col("fragments")).otherwise(0)).alias("dd"),
+    counts = flows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("label") > 0, F.col("fragments")).otherwise(0)).alias("dd"),
                        F.sum(F.when(F.col("label") > 0, 0).otherwise(F.col("fragments"))).alias("bb")).first()
     dd, bb = counts["dd"] or 0, counts["bb"] or 0
     limit = float(total_fragments) if dd == 0 or bb == 0 else min(float(total_fragments) / 2.0, dd, bb)
-    d = prefix_sum(d, ["_cls"], ["_hk"], "fragments", "_cum", F.substring("_hk", 1, 3))
+    d = prefix_sum(d, ["_cls"], ["_hk"], "fragments", "_cum", hash_prefix(counts["n"]))
     return d.where(F.col("_cum") < F.lit(float(limit))).drop("_cls", "_cum", "_hk")
 
 
@@ -153,10 +163,11 @@ def split_flows(flows: DataFrame, train_size: float = 0.9, seeds=(2, 3)) -> Data
     for seed, name in zip(seeds, ("test", "val")):
         rest = d.where(F.col("split") == "train")
         done = d.where(F.col("split") != "train")
-        total = float(rest.agg(F.sum("fragments")).first()[0] or 0)
+        state = rest.agg(F.sum("fragments").alias("s"), F.count(F.lit(1)).alias("n")).first()
+        total = float(state["s"] or 0)
         need = total - total * train_size
         r = flows_in_hash_order(rest, seed, flow_identity()).withColumn("_one", F.lit(1))
-        r = prefix_sum(r, ["_one"], ["_hk"], "fragments", "_cum", F.substring("_hk", 1, 3))
+        r = prefix_sum(r, ["_one"], ["_hk"], "fragments", "_cum", hash_prefix(state["n"]))
         r = r.withColumn("split", F.when(F.col("_cum") < F.lit(need), F.lit(name)).otherwise(F.lit("train")))
         d = done.unionByName(r.drop("_hk", "_one", "_cum"))
     return d

@@ -50,6 +50,17 @@ def max_flows_cut(orient: DataFrame, max_flows: int, capture: str = "capture_id"
             .where(F.col("_n") >= max_flows).select(capture, "cut_seq"))
 
 
+def fragment_key(capture: str = "capture_id") -> list[str]:
+    return [capture, "flow_key", "window_start_us"]
+
+
+def first_packets(d: DataFrame, n: int, capture: str = "capture_id") -> DataFrame:
+    """The first n packets of every fragment with their position. Spark
+    plans a partial and a final group limit around the shuffle."""
+    ordered = Window.partitionBy(*fragment_key(capture)).orderBy("seq")
+    return d.withColumn("pos", F.row_number().over(ordered)).where(F.col("pos") <= n)
+
+
 def build_fragments(frames: DataFrame, width_us: int, max_flow_len: int, labels: DataFrame | None = None,
                     traffic_type: str = "all", max_flows: int = 0, capture: str = "capture_id") -> DataFrame:
     """Frames (flow feature rows, see ``sources.tables.flow_features``) ->
@@ -62,11 +73,9 @@ def build_fragments(frames: DataFrame, width_us: int, max_flow_len: int, labels:
     from ..session import cut_lineage
     d = anchored_windows(frames, width_us, capture=capture)
     d = d.where(F.col("accepted")).withColumn("flow_key", P.canonical_tuple(F.col("id_fwd")))
-    frag = [capture, "flow_key", "window_start_us"]
-    ordered = Window.partitionBy(*frag).orderBy("seq")
     # a flow's first packet is the first of its window, so orientation and the
     # flow cap need no packets beyond the first n of each fragment
-    d = cut_lineage(d.withColumn("pos", F.row_number().over(ordered)).where(F.col("pos") <= max_flow_len))
+    d = cut_lineage(first_packets(d, max_flow_len, capture))
     orient = flow_orientation(d.where(F.col("pos") == 1), capture)
     if max_flows and max_flows > 0:
         # one row per capture; the join type follows its size
@@ -75,7 +84,7 @@ def build_fragments(frames: DataFrame, width_us: int, max_flow_len: int, labels:
         d = d.join(cut, capture, "left").where(keep | (F.col("seq") <= F.col("cut_seq"))).drop("cut_seq")
         orient = orient.join(cut, capture, "left").where(keep | (F.col("first_seq") <= F.col("cut_seq"))).drop("cut_seq")
     d = d.join(orient.select(capture, "flow_key", "flow"), [capture, "flow_key"])
-    d = d.withColumn("f0", (F.col("ts_us") - F.min("ts_us").over(Window.partitionBy(*frag))).cast("double") / F.lit(1e6))
+    d = d.withColumn("f0", (F.col("ts_us") - F.min("ts_us").over(Window.partitionBy(*fragment_key(capture)))).cast("double") / F.lit(1e6))
     d = apply_labels(d, labels)
     d = filter_traffic(finish_features(d), traffic_type)
     return d.select(capture, "flow", "window_start_us", "pos", "seq", *FEATURE_COLS, "label")

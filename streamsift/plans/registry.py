@@ -605,11 +605,23 @@ def q_merged_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("capture_id", "seq", "source_capture", "source_seq")
 
 
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return DS.to_samples(DS.normalize(fragments(spark, sf_dir, HOUR_US), MINS_A, MAXS_A), MAX_FLOW_LEN)
+
+
+def q_cnn_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M8: prediction with fixed start weights, saved samples as in the
+    reference's published timing (inference only, after preparation)."""
+    keyed = _samples(spark, sf_dir).withColumn("sample_id", F.concat_ws("|", F.col("flow.src"), F.col("flow.sport"), F.col("flow.dst"), F.col("flow.dport"),
+                                                                        F.col("flow.proto"), F.col("window_start_us").cast("string")))
+    return CN.predict_cnn(keyed, CN.init_cnn(11, kernels=64), ["sample_id"]).select("sample_id", rnd("p", 6).alias("p"), "pred")
+
+
 def q_cnn_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fragments -> normalised, padded samples -> flow-level split -> CNN
     training (data parallel) -> predictions on the test flows -> report."""
     from ..session import cut_lineage
-    samples = DS.to_samples(_normalized(spark, sf_dir), MAX_FLOW_LEN)
+    samples = _samples(spark, sf_dir)
     bucket = F.pmod(F.xxhash64(F.col("flow.src"), F.col("flow.sport"), F.col("flow.dst"), F.col("flow.dport"),
                                F.col("flow.proto")), F.lit(10))
     samples = cut_lineage(samples.withColumn("split", F.when(bucket == 0, F.lit("test"))
@@ -689,5 +701,6 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
         row_number() OVER (ORDER BY event_type, event_id) - 1 AS seq, event_type AS source_capture,
         event_id AS source_seq FROM events"""),
     "cnn_report": (q_cnn_report, None),
+    "cnn_predict": (q_cnn_predict, None),
     "decay_2d": (q_decay_2d, O.decay_2d_sql(_PK, "src_ip", "dst_ip", "frame_len", "accepted")),
 }

@@ -83,5 +83,5 @@ def test_fx_robust_and_proximity(spark):
     d = {x["id"]: x for x in MT.reference_distances(q, ref, "id", "x").collect()}
     assert d[0]["min_dist"] == 0.0 and d[0]["max_dist"] == 10.0 and d[1]["min_dist"] == 5.0
     # chunked path gives the same answer
-    d2 = {x["id"]: x for x in MT.reference_distances(q, ref, "id", "x", max_broadcast_rows=1).collect()}
+    d2 = {x["id"]: x for x in MT.reference_distances(q, ref, "id", "x", block_rows=1).collect()}
     assert d2 == d

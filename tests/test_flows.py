@@ -83,3 +83,24 @@ def test_count_flows_rollup(spark):
                                  "window_start_us long, label int")
     got = {r["traffic_class"]: (r["flows"], r["fragments"]) for r in FL.count_flows(frag).collect()}
     assert got == {"total": (2, 3), "ddos": (1, 2), "benign": (1, 1)}
+
+
+def test_packet_limit_below_the_shuffle(spark):
+    d = spark.range(10).selectExpr("'c' capture_id", "id % 2 flow_key", "0L window_start_us", "id seq")
+    plan = FL.first_packets(d, 3)._jdf.queryExecution().executedPlan().toString()
+    partial, final = plan.index("Partial"), plan.index("Final")
+    exchange = plan.index("Exchange hashpartitioning")
+    assert "WindowGroupLimit" in plan and final < exchange < partial   # printed from the top down
+
+
+def test_hot_flow(spark):
+    """One flow with nine tenths of 300,000 packets; the limit cuts it in every window."""
+    d = spark.range(300_000).selectExpr(
+        "'c' capture_id", "id seq", "id * 1000 ts_us", "true accepted",
+        "if(id % 10 < 9, named_struct('src', '10.0.0.1', 'sport', 1, 'dst', '10.0.0.2', 'dport', 2, 'proto', 6), "
+        "named_struct('src', '10.0.0.3', 'sport', int(id % 1000), 'dst', '10.0.0.4', 'dport', 2, 'proto', 6)) id_fwd",
+        *[f"0.0D f{i}" for i in range(1, 11)])
+    got = FL.build_fragments(d, 10_000_000, 4)
+    hot = got.where("flow.src = '10.0.0.1'").groupBy("window_start_us").count().collect()
+    assert len(hot) == 30 and all(r["count"] == 4 for r in hot)
+    assert got.agg(F.max("pos")).first()[0] == 4
