@@ -43,7 +43,9 @@ def durable(df: DataFrame) -> DataFrame:
 
 def pick(df: DataFrame, **cols: str) -> DataFrame:
     """Select ``new=old`` columns by exact name; other columns (also ones
-    whose names clash with internal names) never reach an operator."""
+    whose names clash with internal names) never reach an operator. The
+    package is shipped to the executors here, as operators begin with it."""
+    prepare(df.sparkSession)
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in cols.items()])
 
 
@@ -105,6 +107,20 @@ def blocks(off: np.ndarray, limit: int = BLOCK_BYTES):
         i = j
 
 
+#: Rows of a batch are taken in slices of about this many bytes of text.
+SLICE_BYTES = 8 << 20
+
+
+def sliced(batches, col: int):
+    """Slices of record batches with about SLICE_BYTES in a text column each,
+    so that copies made in a task stay small whatever the batch size."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(col)), 0).to_numpy(zero_copy_only=False)
+        off = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        for i, j in blocks(off, SLICE_BYTES):
+            yield batch.slice(i, j - i)
+
+
 def word_table(extra: bytes = b"") -> np.ndarray:
     """Byte classes: True for a-z, 0-9, bytes from 0x80 on and ``extra``."""
     t = np.zeros(256, bool)
@@ -307,3 +323,55 @@ def weighted_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarra
     hit = b[at] == a
     low = np.minimum(wa[hit], wb[at[hit]]).sum()
     return float(low / (wa.sum() + wb.sum() - low))
+
+
+class SpanCache:
+    """Id sequences by 64-bit key, held by a worker between blocks.
+
+    Keys live in two sorted layers; new ones enter the small layer, which is
+    merged into the large one when it has grown to a quarter of it. A full
+    cache starts anew."""
+
+    def __init__(self, dtype, limit: int):
+        self.dtype, self.limit = dtype, limit
+        self.clear()
+
+    def clear(self) -> None:
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.large, self.small = none, none
+        self.values, self.used = np.zeros(1 << 16, self.dtype), 0
+
+    def __len__(self) -> int:
+        return len(self.large[0]) + len(self.small[0])
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and length of every key's values, and whether it is held."""
+        at, n, held = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+        for keys, starts, sizes in (self.large, self.small):
+            if len(keys):
+                p = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                hit = keys[p] == key
+                at[hit], n[hit] = starts[p[hit]], sizes[p[hit]]
+                held |= hit
+        return at, n, held
+
+    def add(self, key: np.ndarray, values: np.ndarray, n: np.ndarray) -> None:
+        """Keys that are not held yet."""
+        end = self.used + len(values)
+        if end > len(self.values):
+            grown = np.zeros(max(end, 2 * len(self.values)), self.dtype)
+            grown[:self.used] = self.values[:self.used]
+            self.values = grown
+        self.values[self.used:end] = values
+        new = (key, self.used + np.cumsum(n) - n, n)
+        self.used = end
+        layers = [self.small, new]
+        if len(self.small[0]) + len(key) > 20_000 + len(self.large[0]) // 4:
+            layers.append(self.large)
+        merged = [np.concatenate(x) for x in zip(*layers)]
+        order = np.argsort(merged[0])
+        merged = tuple(x[order] for x in merged)
+        if len(layers) == 3:
+            self.large, self.small = merged, tuple(x[:0] for x in merged)
+        else:
+            self.small = merged

@@ -27,7 +27,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamsift.llm.common import SHINGLE, SpanHash, blocks, broadcast_small, buffers, fill, mix, pick, spans, table, word_shingles
+from streamsift.llm.common import (SHINGLE, SpanHash, blocks, broadcast_small, buffers, fill, mix, pick, sliced,
+                                   spans, table, word_shingles)
 
 THRESHOLD = 0.8
 RADIUS = 15
@@ -242,7 +243,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
         shared = broadcast_small(docs.sparkSession, Items(ids, texts))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in sliced(batches, 1):
                 buf, off = buffers(pc.utf8_lower(fill(batch.column(1))))
                 for i, j in blocks(off):
                     got = leaks_in_block(shared.value, buf[off[i]:off[j]], off[i:j + 1] - off[i], threshold)
@@ -265,7 +266,7 @@ def drop_leaked(docs: DataFrame, items: DataFrame, text: str = "text", item_key:
         shared = broadcast_small(docs.sparkSession, Items(ids, texts))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in sliced(batches, at):
                 keep = np.ones(len(batch), bool)
                 buf, off = buffers(pc.utf8_lower(fill(batch.column(at))))
                 for i, j in blocks(off):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from streamsift.llm.common import BLOCK_BYTES, blocks, broadcast_small, buffers, durable, fill, pick, table
+from streamsift.llm.common import (BLOCK_BYTES, blocks, broadcast_small, buffers, durable, fill, pick, sliced, table)
 
 WINDOW = 128
 EMBED = 8
@@ -218,7 +218,7 @@ def identify(docs: DataFrame, net: Net | None, key: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = Lookup(model.value) if model.value else None
         names = np.array([*(model.value.langs if model.value else []), UNKNOWN], object)
-        for batch in batches:
+        for batch in sliced(batches, 1):
             letter = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             buf, off = buffers(fill(batch.column(1)))
             for i, j in blocks(off, BLOCK_BYTES):

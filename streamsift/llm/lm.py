@@ -31,8 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamsift.llm.common import (TOKEN_BYTES, SpanHash, binary_array, blocks, broadcast_small, buffers, durable, fill,
-                                   list_array, mix, pick, ragged, spans, table)
+from streamsift.llm.common import (TOKEN_BYTES, SpanHash, binary_array, blocks, broadcast_small, buffers, durable,
+                                   fill, list_array, mix, pick, ragged, sliced, spans, table)
 from streamsift.llm.langid import remainder
 
 SHORTLIST = 191
@@ -71,7 +71,7 @@ def count_words(rows: DataFrame, classes: int = CLASSES) -> DataFrame:
     """(word, class, c) over all texts of ``rows`` (text). Tasks add up
     repeats inside blocks before anything is shuffled."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 0):
             buf, off = buffers(pc.ascii_lower(fill(batch.column(0))))
             for i, j in blocks(off, COUNT_BLOCK):
                 b = buf[off[i]:off[j]]
@@ -227,7 +227,7 @@ def fit(rows: DataFrame, voc: Vocabulary) -> dict[str, np.ndarray]:
         p = start(v)
         stats = {name: np.full_like(x, 1e-3) for name, x in p.items()}
         log_noise, cum, rng = np.log(v.unigram), np.cumsum(v.unigram), np.random.default_rng(TaskContext.get().partitionId())
-        for batch in batches:
+        for batch in sliced(batches, 0):
             buf, off = buffers(pc.ascii_lower(fill(batch.column(0))))
             for i, j in blocks(off):
                 b = buf[off[i]:off[j]]
@@ -283,7 +283,7 @@ def score_texts(rows: DataFrame, counts: DataFrame, voc: Vocabulary, params: dic
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, p = model.value
         done = TaskContext.get().partitionId() << 36
-        for batch in batches:
+        for batch in sliced(batches, 2):
             buf, off = buffers(pc.ascii_lower(fill(batch.column(2))))
             for i, j in blocks(off):
                 b, m = buf[off[i]:off[j]], j - i
