@@ -25,7 +25,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamsift.llm.common import SpanHash, blocks, broadcast_small, buffers, durable, fill, list_array, mix, pick, spans, table
+from streamsift.llm.common import (SpanHash, blocks, broadcast_small, buffers, durable, fill, list_array, mix, pick,
+                                   sliced, spans, table)
 
 #: Bits of the hashed feature space.
 SPACE_BITS = 20
@@ -80,7 +81,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, l1: float = 2e-4, l2: float = 1e-4, rounds: int = 300) -> tuple[np.ndarray, float]:
+def fit_logistic(x: np.ndarray, y: np.ndarray, l1: float = 4e-5, l2: float = 2e-5, rounds: int = 400) -> tuple[np.ndarray, float]:
     """L1/L2 logistic regression by accelerated proximal gradient steps. With
     one class only, the weights are 0 and the bias is the smoothed rate."""
     n, d = x.shape
@@ -135,7 +136,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, categories: Sequence[str
     one = mine.join(F.broadcast(lab), "id").groupBy("id", *[f"y{i}" for i in range(len(categories))]).agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             buf, off = buffers(lowered(batch.column(1)))
             for i, j in blocks(off):
                 b, o = buf[off[i]:off[j]], off[i:j + 1] - off[i]
@@ -247,7 +248,7 @@ def score_chain(docs: DataFrame, chain: Chain, key: str = "doc_id", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = block_scorer(model.value)
-        for batch in batches:
+        for batch in sliced(batches, 1):
             for i, j, p in score(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], *[pa.array(p[:, c]) for c in range(p.shape[1])]], ["id", *[f"p_{c}" for c in model.value.categories]])
 
@@ -262,7 +263,7 @@ def drop_flagged(docs: DataFrame, chain: Chain, category: str, threshold: float,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = block_scorer(model.value)
-        for batch in batches:
+        for batch in sliced(batches, at):
             p = [x[2][:, c] for x in score(batch.column(at))]
             yield batch.filter(pa.array(np.concatenate([np.zeros(0), *p]) < threshold))
 
@@ -271,7 +272,7 @@ def drop_flagged(docs: DataFrame, chain: Chain, category: str, threshold: float,
 
 #: The chain of the registered query: low quality first, then toxic.
 CATEGORIES = ("low_quality", "toxic")
-THRESHOLD = 0.5
+THRESHOLD = 0.4
 
 
 def label_columns(labels: DataFrame) -> DataFrame:
