@@ -31,12 +31,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from streamsift.llm.common import SpanHash, blocks, buffers, fill, list_array, pick, ragged, table
+from streamsift.llm.common import (SpanCache, SpanHash, blocks, buffers, fill, list_array, pick, ragged, sliced,
+                                   table)
 
 SPACE = "▁"
 BLOCK = 4 << 20
 #: Chunks whose segmentation a worker remembers.
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 1_000_000
 #: A character without a piece scores this much below the worst piece.
 UNKNOWN = 10.0
 
@@ -177,10 +178,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.model = Model(path)
-        self.reset()
-
-    def reset(self) -> None:
-        self.keys, self.at, self.n, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.cache = SpanCache(np.int32, CACHE_CHUNKS)
 
     def chunks(self, buf: np.ndarray, off: np.ndarray):
         """Spans and texts of the chunks: a run of spaces and what follows."""
@@ -204,23 +202,16 @@ class Encoder:
         s, e, doc = self.chunks(buf, off)
         if not len(s):
             return np.zeros(0, np.int32), np.zeros(texts, np.int64)
-        key = SpanHash(buf)(s, e)
-        uniq, first = np.unique(key, return_index=True)
-        if len(self.keys) + len(uniq) > CACHE_CHUNKS:
-            self.reset()
-        at = np.minimum(np.searchsorted(self.keys, uniq), max(len(self.keys) - 1, 0))
-        new = self.keys[at] != uniq if len(self.keys) else np.ones(len(uniq), bool)
-        if new.any():
-            w = first[new]
-            ids, n = self.model.segment(buf, s[w], e[w])
-            keys = np.concatenate([self.keys, uniq[new]])
-            order = np.argsort(keys)
-            starts = np.concatenate([self.at, len(self.ids) + np.cumsum(n) - n])
-            self.ids = np.concatenate([self.ids, ids])
-            self.keys, self.at, self.n = keys[order], starts[order], np.concatenate([self.n, n])[order]
-        p = np.searchsorted(self.keys, key)
-        n = self.n[p]
-        return ragged(self.ids, self.at[p], n), np.bincount(doc, weights=n, minlength=texts).astype(np.int64)
+        key, cache = SpanHash(buf)(s, e), self.cache
+        uniq, first, back = np.unique(key, return_index=True, return_inverse=True)
+        if len(cache) + len(uniq) > cache.limit:
+            cache.clear()
+        at, n, held = cache.find(uniq)
+        if not held.all():
+            w = first[~held]
+            cache.add(uniq[~held], *self.model.segment(buf, s[w], e[w]))
+            at, n, _ = cache.find(uniq)
+        return ragged(cache.values, at[back], n[back]), np.bincount(doc, weights=n[back], minlength=texts).astype(np.int64)
 
     def alone(self, raw: np.ndarray) -> np.ndarray:
         """One text, every chunk segmented by itself."""
@@ -280,7 +271,7 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model)
-        for batch in batches:
+        for batch in sliced(batches, 1):
             for i, j, ids, per, same in enc.encode(fill(batch.column(1))):
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], list_array(ids, per, pa.int32()), pa.array(per, pa.int64()), pa.array(same)], ["id", "ids", "n_tokens", "round_trip"])
 

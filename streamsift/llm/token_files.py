@@ -27,23 +27,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from streamsift.llm.common import (TOKEN_BYTES, BLOCK_BYTES, SpanHash, blocks, buffers, durable, file_system, fill,
-                                   pick, ragged, spans, table)
+from streamsift.llm.common import (TOKEN_BYTES, SpanCache, SpanHash, blocks, buffers, durable, file_system, fill,
+                                   pick, ragged, sliced, spans, table)
 from streamsift.session import checkpoint_dir
 
-#: Words whose ids a worker remembers at most, in bytes of text, before it starts anew.
-CACHE_WORDS = 400_000
-#: Longer words are encoded each time they occur.
-CACHE_LEN = 48
+#: Words whose ids a worker remembers at most.
+CACHE_WORDS = 1_000_000
+#: A character that is a word and a token of its own, put between words.
+MARK = "\x00"
+LINE_WORDS = 1000
+BLOCK = 4 << 20
 
 
 class WordEncoder:
     """Batched encoding with a tokenizer whose pre-tokenizer drops white space
     and never joins across it: each white-space-delimited word is encoded once
-    and the ids of a text are the concatenation of its words' ids.
-
-    ``remember`` keeps ids by a 64-bit hash of the word's bytes together with
-    its length, in sorted arrays that are merged once per batch.
+    and the ids of a text are the concatenation of its words' ids. The ids of
+    a word are remembered by a 64-bit hash of its bytes together with its
+    length.
     """
 
     def __init__(self, path: str):
@@ -51,25 +52,20 @@ class WordEncoder:
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.reset()
-
-    def reset(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
-        self.n = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
-
-    def _encode(self, words: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch(words, add_special_tokens=False)]
-
-    def learn(self, keys: np.ndarray, words: list[str]) -> None:
-        got = self._encode(words)
-        n = np.array([len(g) for g in got], np.int64)
-        at = len(self.ids) + np.cumsum(n) - n
-        self.ids = np.concatenate([self.ids, *got])
-        keys = np.concatenate([self.keys, keys])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.at, self.n = keys[order], np.concatenate([self.at, at])[order], np.concatenate([self.n, n])[order]
+        mark = self.tok.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+        self.cache = SpanCache(np.uint32, CACHE_WORDS)
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and ids per word. Words without the mark are encoded many
+        at a time, with the mark as a word between them."""
+        if self.mark is None or any(MARK in w for w in words):
+            got = [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, np.uint32), *got]), np.array([len(g) for g in got], np.int64)
+        lines = [f" {MARK} ".join([*words[k:k + LINE_WORDS], ""]) for k in range(0, len(words), LINE_WORDS)]
+        ids = np.concatenate([np.zeros(0, np.uint32), *[np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(lines, add_special_tokens=False)]])
+        at = np.flatnonzero(ids == self.mark)
+        return np.delete(ids, at), np.diff(at, prepend=-1) - 1
 
     def block(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and ids per text."""
@@ -78,34 +74,39 @@ class WordEncoder:
         if not len(s):
             return np.zeros(0, np.uint32), np.zeros(texts, np.int64)
         key = SpanHash(buf)(s, e) ^ (e - s).astype(np.uint64)
-        long = (e - s) > CACHE_LEN
-        uniq, first = np.unique(key[~long], return_index=True)
-        if len(self.keys) + len(uniq) > CACHE_WORDS:
-            self.reset()
-        pos = np.searchsorted(self.keys, uniq)
-        known = np.zeros(len(uniq), bool)
-        inside = pos < len(self.keys)
-        known[inside] = self.keys[pos[inside]] == uniq[inside]
-        raw = buf.tobytes()
-        if not known.all():
-            w = np.flatnonzero(~long)[first[~known]]
-            self.learn(uniq[~known], [raw[a:b].decode() for a, b in zip(s[w].tolist(), e[w].tolist())])
-        at, n, ids = np.zeros(len(s), np.int64), np.zeros(len(s), np.int64), self.ids
-        p = np.searchsorted(self.keys, key[~long])
-        at[~long], n[~long] = self.at[p], self.n[p]
-        if long.any():
-            w = np.flatnonzero(long)
-            got = self._encode([raw[a:b].decode() for a, b in zip(s[w].tolist(), e[w].tolist())])
-            n[w] = [len(g) for g in got]
-            at[w] = len(ids) + np.cumsum(n[w]) - n[w]
-            ids = np.concatenate([ids, *got])
-        return ragged(ids, at, n), np.bincount(doc, weights=n, minlength=texts).astype(np.int64)
+        raw, cache = buf.tobytes(), self.cache
+        uniq, first, back = np.unique(key, return_index=True, return_inverse=True)
+        if len(cache) + len(uniq) > cache.limit:
+            cache.clear()
+        at, n, held = cache.find(uniq)
+        new = np.flatnonzero(~held)
+        if len(new):
+            marked = np.array([], np.int64)
+            if 0 in buf:                      # words that hold the mark itself go one by one
+                zero = np.concatenate([[0], np.cumsum(buf == 0)])
+                marked = new[zero[e[first[new]]] > zero[s[first[new]]]]
+            for some in (np.setdiff1d(new, marked), marked):
+                if len(some):
+                    ids, m = self.encode_words([raw[a:b].decode() for a, b in zip(s[first[some]].tolist(), e[first[some]].tolist())])
+                    cache.add(uniq[some], ids, m)
+            at, n, _ = cache.find(uniq)
+        return ragged(cache.values, at[back], n[back]), np.bincount(doc, weights=n[back], minlength=texts).astype(np.int64)
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """One encoder per worker process and tokenizer."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 def encode_texts(enc: WordEncoder, arr: pa.Array, end_id: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first text, last text, flat ids with the end ids, ids per text)."""
     buf, off = buffers(arr)
-    for i, j in blocks(off, BLOCK_BYTES):
+    for i, j in blocks(off, BLOCK):
         ids, n = enc.block(buf[off[i]:off[j]], off[i:j + 1] - off[i])
         out = np.full(len(ids) + (j - i), end_id, np.uint32)
         ends = np.cumsum(n + 1) - 1
@@ -129,12 +130,12 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key:
     low = np.iinfo(np.int64).min
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = WordEncoder(tokenizer)
+        enc = encoder(tokenizer)
         local, base = file_system(folder)
         name = uuid.uuid4().hex
         first, last, docs_n, tokens = None, None, 0, 0
         with local.open_output_stream(f"{base}/{name}.bin") as out, local.open_output_stream(f"{base}/{name}.idx") as idx:
-            for batch in batches:
+            for batch in sliced(batches, 1):
                 if not len(batch):
                     continue
                 ids = batch.column(0).fill_null(low).to_numpy(zero_copy_only=False).astype("<i8")
@@ -149,8 +150,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key:
             yield pa.RecordBatch.from_pydict({"first_id": pa.array([first], pa.int64()), "last_id": pa.array([last], pa.int64()), "file": [name], "docs": pa.array([docs_n], pa.int64()), "tokens": pa.array([tokens], pa.int64())})
 
     rows = pick(docs, id=key, text=text)
-    parts = partitions or rows.sparkSession.sparkContext.defaultParallelism * 4
-    rows = rows.repartitionByRange(parts, "id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"))
+    by = ["id", F.xxhash64("text")]   # the session's shuffle partitions, unless given
+    rows = (rows.repartitionByRange(partitions, *by) if partitions else rows.repartitionByRange(*by)).sortWithinPartitions("id", F.xxhash64("text"))
     made = durable(rows.mapInArrow(run, "first_id long, last_id long, file string, docs long, tokens long"))
     before = W.orderBy("first_id", "last_id", "file").rowsBetween(W.unboundedPreceding, -1)
     return durable(made.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0))))
