@@ -66,8 +66,8 @@ def decayed_sums(rows: DataFrame, keys: list[str], seq: str = "seq", t: str = "t
 
     ``keys`` identify a stream and must include the ``lam`` column.  With
     ``lambdas`` the rows carry no rate yet: the running maximum is computed
-    once per stream and the rows are then multiplied by the rates (the
-    order-dependent part never sees the 5x larger table).  When
+    once per stream, all rates are summed side by side, and rows are multiplied
+    by the rates only at the end.  When
     ``gap_value`` is true for a row its value is replaced by the jitter
     value max(t - previous running max, 0) (0 for the first row).
 
@@ -78,16 +78,18 @@ def decayed_sums(rows: DataFrame, keys: list[str], seq: str = "seq", t: str = "t
     """
     if block < BLOCK:
         raise ValueError("block must be >= 512: older blocks than the previous one are left out at 2^-block")
+    gap = F.coalesce(F.greatest(F.col(t) - F.col("_Tprev"), F.lit(0.0)), F.lit(0.0))
+
+    def valued(d):
+        if gap_value is None:
+            return d
+        return d.withColumns({v: F.when(gap_value, gap).otherwise(F.col(v)),
+                              "_v0": F.when(gap_value, F.lit(0.0)).otherwise(F.col("_v0"))})  # the first gap is 0
+
     if lambdas is not None:
-        base_keys = [k for k in keys if k != lam]
-        d = _origin_and_runmax(rows, base_keys, seq, t, v, chunk_rows)
-        d = d.withColumn(lam, F.explode(F.array(*[F.lit(float(x)) for x in lambdas])))
-    else:
-        d = _origin_and_runmax(rows, keys, seq, t, v, chunk_rows)
-    if gap_value is not None:
-        gap = F.coalesce(F.greatest(F.col(t) - F.col("_Tprev"), F.lit(0.0)), F.lit(0.0))
-        d = d.withColumns({v: F.when(gap_value, gap).otherwise(F.col(v)),
-                           "_v0": F.when(gap_value, F.lit(0.0)).otherwise(F.col("_v0"))})  # the first gap is 0
+        base = [k for k in keys if k != lam]
+        return _all_rates(valued(_origin_and_runmax(rows, base, seq, t, v, chunk_rows)), base, seq, v, lam, [float(x) for x in lambdas], block)
+    d = valued(_origin_and_runmax(rows, keys, seq, t, v, chunk_rows))
     L = F.col(lam)
     d = d.withColumn("_blk", F.floor(L * (F.col("_T") - F.col("_T0")) / F.lit(block)).cast("long"))
     part = [*keys, "_blk", "_ch"]
@@ -102,30 +104,78 @@ def decayed_sums(rows: DataFrame, keys: list[str], seq: str = "seq", t: str = "t
     d = d.select(*[c for c in d.columns if c not in ("_T0", "_Tprev")],
                  *[F.sum(x).over(run).alias(f"_r{i}") for i, x in enumerate(xs)])
     # chunk totals (same partitioning as the window: no extra exchange)
-    tot = [F.sum(x) for x in xs]
-    sub = d.groupBy(*part).agg(F.min("_tc").alias("_tc"), F.min(lam).alias("_lam"),
-                               *[x.alias(f"_s{i}") for i, x in enumerate(tot)])
+    sub = d.groupBy(*part).agg(F.min("_tc").alias("_tc"), F.min(lam).alias("_lam"), *[F.sum(x).alias(f"_s{i}") for i, x in enumerate(xs)])
+    d = d.join(_carries(sub, keys, ["_ch"]), part, "left")
+    inv = F.lit(1.0) / F.col("_e")
+    out = _kept(d, v)
+    d = d.select(*out, F.col("_v0").alias("v0"), *[((F.col(f"_r{i}") + F.col(f"_c{i}")) * inv).alias(n) for i, n in enumerate(SUMS)])
+    return d.withColumn("cf1", F.col("d1") + F.col("v0") * F.col("w"))
+
+
+SUMS = ["w", "d1", "d2"]
+
+
+def _kept(d: DataFrame, v: str) -> list[str]:
+    """Columns of the caller."""
+    return [c for c in d.columns if not c.startswith("_") and c != v] + ([v] if v in d.columns else [])
+
+
+def _carries(sub: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """What earlier chunks of a stream amount to at each chunk's origin.
+
+    ``sub``: one row per chunk with keys, _blk, ``order`` columns, origin _tc,
+    rate _lam and totals _s0.._s2 relative to the origin. Totals move to the
+    first origin of their block, are summed over earlier chunks, and the block
+    before adds its own total. Returns keys, _blk, order and _c0.._c2.
+    """
     wblk = Window.partitionBy(*keys, "_blk")
+    lam = F.col("_lam")
     sub = sub.withColumn("_tb", F.min("_tc").over(wblk))
-    to_blk = F.pow(F.lit(2.0), F.col("_lam") * (F.col("_tc") - F.col("_tb")))
-    sub = sub.select(*part, "_tc", "_tb", "_lam", *[(F.col(f"_s{i}") * to_blk).alias(f"_g{i}") for i in range(3)])
-    excl = wblk.orderBy("_ch").rowsBetween(UNB_PREC, -1)
+    to_blk = F.pow(F.lit(2.0), lam * (F.col("_tc") - F.col("_tb")))
+    sub = sub.select(*keys, "_blk", *order, "_tc", "_tb", "_lam", *[(F.col(f"_s{i}") * to_blk).alias(f"_g{i}") for i in range(3)])
     blocks = sub.groupBy(*keys, "_blk").agg(F.min("_tb").alias("_tb"), *[F.sum(f"_g{i}").alias(f"_z{i}") for i in range(3)])
     prev = Window.partitionBy(*keys).orderBy("_blk")
-    blocks = blocks.select(*keys, "_blk", F.lag("_tb").over(prev).alias("_tbp"),
-                           *[F.lag(f"_z{i}").over(prev).alias(f"_zp{i}") for i in range(3)])
-    sub = sub.select(*part, "_tc", "_tb", "_lam",
+    blocks = blocks.select(*keys, "_blk", F.lag("_tb").over(prev).alias("_tbp"), *[F.lag(f"_z{i}").over(prev).alias(f"_zp{i}") for i in range(3)])
+    excl = wblk.orderBy(*order).rowsBetween(UNB_PREC, -1)
+    sub = sub.select(*keys, "_blk", *order, "_tc", "_tb", "_lam",
                      *[F.coalesce(F.sum(f"_g{i}").over(excl), F.lit(0.0)).alias(f"_x{i}") for i in range(3)])
     carry = sub.join(blocks, [*keys, "_blk"], "left")
-    from_prev = F.pow(F.lit(2.0), -F.col("_lam") * (F.col("_tb") - F.col("_tbp")))
-    to_chunk = F.pow(F.lit(2.0), -F.col("_lam") * (F.col("_tc") - F.col("_tb")))
-    carry = carry.select(*part, *[((F.col(f"_x{i}") + F.coalesce(F.col(f"_zp{i}") * from_prev, F.lit(0.0)))
-                                   * to_chunk).alias(f"_c{i}") for i in range(3)])
+    from_prev = F.pow(F.lit(2.0), -lam * (F.col("_tb") - F.col("_tbp")))
+    to_chunk = F.pow(F.lit(2.0), -lam * (F.col("_tc") - F.col("_tb")))
+    return carry.select(*keys, "_blk", *order, *[((F.col(f"_x{i}") + F.coalesce(F.col(f"_zp{i}") * from_prev, F.lit(0.0)))
+                                                  * to_chunk).alias(f"_c{i}") for i in range(3)])
+
+
+def _all_rates(d: DataFrame, keys: list[str], seq: str, v: str, lam: str, lambdas: list[float], block: float) -> DataFrame:
+    """All rates side by side: rows are shuffled and sorted once, and only the
+    small table of chunks is multiplied by the rates.
+
+    Chunks are cut so that the fastest rate spans at most half a block in
+    them; totals then stay below 2^(block / 2) times their rows, and carrying
+    them across a block below 2^(3/2 block).
+    """
+    d = d.withColumn("_cut", F.floor(F.lit(max(lambdas)) * (F.col("_T") - F.col("_T0")) / F.lit(block / 2)).cast("long"))
+    part = [*keys, "_cut", "_ch"]
+    ordered = Window.partitionBy(*part).orderBy(seq)
+    run = ordered.rowsBetween(UNB_PREC, 0)
+    d = d.withColumn("_tc", F.min("_T").over(ordered.rowsBetween(UNB_PREC, Window.unboundedFollowing)))
+    d = d.withColumns({f"_e{j}": F.pow(F.lit(2.0), F.lit(x) * (F.col("_T") - F.col("_tc"))) for j, x in enumerate(lambdas)})
+    off = F.col(v) - F.col("_v0")
+    terms = {f"{j}_{i}": F.col(f"_e{j}") * x for j in range(len(lambdas)) for i, x in enumerate((F.lit(1.0), off, off * off))}
+    d = d.select(*[c for c in d.columns if c != "_Tprev"], *[F.sum(x).over(run).alias(f"_r{n}") for n, x in terms.items()])
+    sub = d.groupBy(*part).agg(F.min("_tc").alias("_tc"), F.min("_T0").alias("_T0"), *[F.sum(x).alias(f"_s{n}") for n, x in terms.items()])
+    rates = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(x).alias("lam"), *[F.col(f"_s{j}_{i}").alias(f"s{i}") for i in range(3)])
+                                for j, x in enumerate(lambdas)]))
+    long = (sub.select(*part, "_tc", "_T0", rates.alias("_x"))
+            .select(*part, "_tc", F.col("_x.j").alias("_j"), F.col("_x.lam").alias("_lam"), *[F.col(f"_x.s{i}").alias(f"_s{i}") for i in range(3)],
+                    F.floor(F.col("_x.lam") * (F.col("_tc") - F.col("_T0")) / F.lit(block)).cast("long").alias("_blk")))
+    carry = (_carries(long, [*keys, "_j"], ["_cut", "_ch"]).groupBy(*part)
+             .agg(*[F.max(F.when(F.col("_j") == j, F.col(f"_c{i}"))).alias(f"_c{j}_{i}") for j in range(len(lambdas)) for i in range(3)]))
     d = d.join(carry, part, "left")
-    inv = F.lit(1.0) / F.col("_e")
-    out = [c for c in d.columns if not c.startswith("_") and c not in ("_T", v)] + ([v] if v in d.columns else [])
-    d = d.select(*out, F.col("_v0").alias("v0"), *[((F.col(f"_r{i}") + F.col(f"_c{i}")) * inv).alias(n)
-                                                   for i, n in enumerate(["w", "d1", "d2"])])
+    per = F.explode(F.array(*[F.struct(F.lit(x).alias("lam"), *[((F.col(f"_r{j}_{i}") + F.col(f"_c{j}_{i}")) / F.col(f"_e{j}")).alias(n)
+                                                                for i, n in enumerate(SUMS)]) for j, x in enumerate(lambdas)]))
+    out = _kept(d, v)
+    d = d.select(*out, F.col("_v0").alias("v0"), per.alias("_y")).select(*out, "v0", F.col("_y.lam").alias(lam), *[F.col(f"_y.{n}").alias(n) for n in SUMS])
     return d.withColumn("cf1", F.col("d1") + F.col("v0") * F.col("w"))
 
 
