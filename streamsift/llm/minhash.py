@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamsift.llm.common import (attach_groups, binary_array, blocks, buffers, distinct_counts, durable, fill, mix,
-                                   pick, shingles, table, weighted_jaccard)
+                                   pick, shingles, sliced, table, weighted_jaccard)
 
 BANDS = 30
 ROWS = 5
@@ -46,7 +46,7 @@ THRESHOLD = 0.8
 #: Expected darts per text before empty coordinates are looked at.
 DARTS = math.ceil(COORDS * math.log(COORDS) + 2 * COORDS)
 #: Members and bytes of one block of a bucket.
-BLOCK_MEMBERS = 256
+BLOCK_MEMBERS = 2048
 BLOCK_SIZE = 8 << 20
 #: Signature agreement under which a pair in a block is not verified: for a
 #: pair at the threshold it lies over five standard deviations off.
@@ -154,7 +154,7 @@ def sign_texts(docs: DataFrame, weighting: str) -> DataFrame:
     """(id, skey, bytes, sig) per row: set name, size of the set, signature
     (empty sets have 0 bytes)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             low = pc.utf8_lower(fill(batch.column(1)))
             buf, off = buffers(low)
             for i, j in blocks(off):
@@ -172,7 +172,7 @@ def shingle_sets(docs: DataFrame, weighting: str) -> DataFrame:
     """(rep, skey, elems, ws) per row (rep, text): sorted shingle hashes and
     weights as bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             low = pc.utf8_lower(fill(batch.column(1)))
             buf, off = buffers(low)
             for i, j in blocks(off):
@@ -239,17 +239,11 @@ def forest(left: list[tuple], right: list[tuple], threshold: float) -> Iterator[
     joined before, are not compared; the signatures decide which of the others
     are verified."""
     same = left is right
-    parent: dict = {}
-
-    def root(x):
-        while parent.get(x, x) != x:
-            parent[x] = parent.get(parent[x], parent[x])
-            x = parent[x]
-        return x
-
-    sig_r = np.stack([np.frombuffer(m[2], np.uint16) for m in right])
-    comp_r = [m[1] for m in right]
-    sets = {}
+    sig = np.stack([np.frombuffer(m[2], np.uint16) for m in right])
+    names = {c: k for k, c in enumerate(dict.fromkeys([m[1] for m in left] + [m[1] for m in right]))}
+    label_l = np.array([names[m[1]] for m in left])     # class of each member, as joined so far
+    label_r = label_l if same else np.array([names[m[1]] for m in right])
+    sets: dict = {}
 
     def get(m):
         if m[0] not in sets:
@@ -257,14 +251,18 @@ def forest(left: list[tuple], right: list[tuple], threshold: float) -> Iterator[
         return sets[m[0]]
 
     for i, m in enumerate(left):
-        agree = (sig_r == np.frombuffer(m[2], np.uint16)).mean(axis=1)
+        near = (sig == np.frombuffer(m[2], np.uint16)).mean(axis=1) >= AGREE
         if same:
-            agree[:i + 1] = 0
-        for k in np.flatnonzero(agree >= AGREE):
-            a, b = root(m[1]), root(comp_r[k])
-            if a != b and m[0] != right[k][0] and weighted_jaccard(*get(m), *get(right[k])) >= threshold:
-                parent[max(a, b)] = min(a, b)
+            near[:i + 1] = False
+        todo = np.flatnonzero(near & (label_r != label_l[i]))
+        while len(todo):
+            k, todo = todo[0], todo[1:]
+            if weighted_jaccard(*get(m), *get(right[k])) >= threshold:
                 yield m[0], right[k][0]
+                old, new = label_r[k], label_l[i]
+                label_l[label_l == old] = new
+                label_r[label_r == old] = new
+                todo = todo[label_r[todo] != new]
 
 
 def compare_blocks(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
