@@ -37,7 +37,7 @@ FOLDS = 3
 #: Bound of the labelled sample that the chain is fitted on.
 TRAIN_ROWS = 8000
 #: Features a model may use, chosen by screening inside its own training rows.
-MODEL_FEATURES = 1500
+MODEL_FEATURES = 800
 MIN_DOCS = 3
 
 
@@ -85,19 +85,20 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l1: float = 4e-5, l2: float = 2e-
     """L1/L2 logistic regression by accelerated proximal gradient steps. With
     one class only, the weights are 0 and the bias is the smoothed rate."""
     n, d = x.shape
+    flat = lambda a: a.astype(x.dtype, copy=False)  # noqa: E731  products in the type of x make no copy of it
     rate = (y.sum() + 0.5) / (n + 1)
     bias = float(np.log(rate / (1 - rate)))
     if not 0 < y.sum() < n:
         return np.zeros(d), bias
     v = np.ones(d)
     for _ in range(12):  # largest eigenvalue of the Gram matrix, for the step
-        v = x.T @ (x @ v)
+        v = (x.T @ (x @ flat(v))).astype(float)
         v /= max(np.linalg.norm(v), 1e-12)
-    step = 4 / (np.linalg.norm(x @ v) ** 2 / n + 1 + 4 * l2)
+    step = 4 / (np.linalg.norm(x @ flat(v)) ** 2 / n + 1 + 4 * l2)
     w, b, pw, pb, t = np.zeros(d), bias, np.zeros(d), bias, 1.0
     for _ in range(rounds):
-        r = (sigmoid(x @ pw + pb) - y) / n
-        nw = pw - step * (x.T @ r + l2 * pw)
+        r = (sigmoid(x @ flat(pw) + pb) - y) / n
+        nw = pw - step * (x.T @ flat(r) + l2 * pw)
         nw = np.sign(nw) * np.maximum(np.abs(nw) - step * l1, 0)
         nb = pb - step * r.sum()
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
@@ -194,17 +195,23 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], key
     data = sample.mapInPandas(keep, f"id {kind}, fold int, y array<int>, dense array<float>, cols array<int>").toPandas().sort_values("id")
     n = len(data)
     fold, y = data["fold"].to_numpy(int), np.stack(data["y"]).astype(float) if n else np.zeros((0, ncat))
-    x = np.zeros((n, len(union) + DENSE), np.float32)
-    for i, (c, d) in enumerate(zip(data["cols"], data["dense"])):
-        x[i, c] = 1
-        x[i, len(union):] = d
+    hits, shares = list(data["cols"]), np.stack(data["dense"]).astype(np.float32) if n else np.zeros((0, DENSE), np.float32)
     out, oof = Chain(list(categories), union), np.zeros((n, ncat))
     for c in range(ncat):
         def columns(f, c=c):
-            return np.concatenate([np.searchsorted(union, chosen[c, f]), np.arange(len(union), len(union) + DENSE)]).astype(int)
+            return np.searchsorted(union, chosen[c, f])
 
         def design(use, rows_, c=c):
-            return np.hstack([x[np.ix_(rows_, use)], oof[rows_, :c]])
+            """One model's matrix: its features, the byte shares, earlier categories."""
+            place = np.full(len(union), -1)
+            place[use] = np.arange(len(use))
+            x = np.zeros((len(rows_), len(use) + DENSE + c), np.float32)
+            for i, r in enumerate(rows_):
+                at = place[hits[r]]
+                x[i, at[at >= 0]] = 1
+            x[:, len(use):len(use) + DENSE] = shares[rows_]
+            x[:, len(use) + DENSE:] = oof[rows_, :c]
+            return x
         for f in range(FOLDS):
             inside, outside, use = np.flatnonzero(fold != f), np.flatnonzero(fold == f), columns(f)
             w, b = fit_logistic(design(use, inside), y[inside, c])
@@ -212,8 +219,9 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], key
         use = columns(None)
         w, b = fit_logistic(design(use, np.arange(n)), y[:, c])
         sparse = np.zeros(len(union))
-        sparse[use[:-DENSE]] = w[:len(use) - DENSE]
-        out.weights.append({"sparse": sparse, "dense": w[len(use) - DENSE:len(use)], "earlier": w[len(use):], "bias": b})
+        k = len(use)
+        sparse[use] = w[:k]
+        out.weights.append({"sparse": sparse, "dense": w[k:k + DENSE], "earlier": w[k + DENSE:], "bias": b})
     return out
 
 
