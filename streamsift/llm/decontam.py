@@ -1,16 +1,17 @@
-"""Benchmark decontamination by SimHash windows.
+"""Benchmark decontamination by item-sized windows.
 
 For an item of n words, every n-word window of a document is a possible copy.
 
 1. A window without any word shingle of the item has similarity 0, so windows
    are formed around the item shingles that a document holds (looked up for
    all positions of all texts).
-2. Each such window gets a 64-bit SimHash of its words, from running sums.
-3. A multi-index over four 16-bit blocks finds the items within the radius:
-   at distance of at most 15 some block differs in three bits or fewer, so
-   probing all such block values misses nothing inside the radius.
-4. Candidates are verified by the exact weighted similarity of their five-word
+2. The item shingles inside a window bound its similarity from above. Windows
+   whose bound is below the threshold go; no other window does.
+3. What is left is verified by the exact weighted similarity of its five-word
    shingles (shared occurrences over all occurrences).
+4. The 64-bit SimHash of the words gives the distance that is reported and
+   decides between windows of equal similarity. It drops no window: a copy
+   with a changed edge can be more than 20 bits away at similarity 0.8.
 
 Items are broadcast in passes of bounded bytes; every pass reads all texts.
 """
@@ -31,6 +32,7 @@ from streamsift.llm.common import (SHINGLE, SpanHash, blocks, broadcast_small, b
                                    spans, table, word_shingles)
 
 THRESHOLD = 0.8
+#: Radius of the fingerprint index (``Items.near``), which the search does not use.
 RADIUS = 15
 PARTS = 4
 #: Bytes of item texts in one pass.
@@ -56,6 +58,12 @@ def window_hashes(word: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     return pack(cum[np.minimum(starts + n, len(word))] - cum[starts])
 
 
+def near_distance(word: np.ndarray, starts: np.ndarray, n: int, simhash: np.uint64) -> np.ndarray:
+    """SimHash distances of the windows of up to ``n`` words at ascending ``starts``."""
+    low = int(starts[0])
+    return popcount(window_hashes(word[low:int(starts[-1]) + n], starts - low, n) ^ simhash)
+
+
 def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).astype(np.int64)
 
@@ -77,6 +85,7 @@ class Items:
         self.simhash = np.array([pack(bit_rows(w).sum(axis=0, keepdims=True))[0] for w in words], np.uint64)
         sh, who = word_shingles(word, owner, len(ids))
         self.counts = [Counter(sh[who == k].tolist()) for k in use]
+        self.total = np.array([sum(c.values()) for c in self.counts], np.int64)
         self.kinds = sorted({int(min(SHINGLE, x)) for x in self.size})   # shingle lengths in use
         flat = [(h, k) for k, c in enumerate(self.counts) for h in c]
         self.keys = np.array([h for h, _ in flat], np.uint64)
@@ -91,7 +100,8 @@ class Items:
         self.bounds = [np.searchsorted(value[self.order[b], b], np.arange(65537)) for b in range(PARTS)]
 
     def near(self, prints: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) pairs of one item size within the radius."""
+        """(window, item) pairs of one item size within the radius. Windows of
+        similarity 0.8 can lie outside, so leaks are not searched this way."""
         found = []
         uniq, back = np.unique(prints, return_inverse=True)
         blocks_ = uniq.view(np.uint16).reshape(-1, PARTS)
@@ -179,37 +189,44 @@ def leaks_in_block(items: Items, buf: np.ndarray, off: np.ndarray, threshold: fl
         return []
     n = np.bincount(doc, minlength=texts)
     first = np.cumsum(n) - n
-    # all windows around the hits, by text and item size
-    todo: dict[tuple[int, int], set] = {}
-    for d, size, p in set(zip(doc[pos].tolist(), items.size[item].tolist(), (pos - first[doc[pos]]).tolist())):
-        todo.setdefault((d, size), set()).add(p)
+    # a similar window holds at least the threshold's share of the item's shingles
+    pair = doc[pos] * len(items.ids) + item
+    order = np.lexsort((pos, pair))
+    pos, pair = pos[order], pair[order]
+    pairs, at, held = np.unique(pair, return_index=True, return_counts=True)
+    many = np.flatnonzero(held >= threshold * items.total[pairs % len(items.ids)])
     best: dict[tuple[int, int], tuple] = {}
-    for (d, size), at in todo.items():
-        own = word[first[d]:first[d] + n[d]]
+    last = None
+    for d, kk, i, j in zip((pairs // len(items.ids))[many].tolist(), (pairs % len(items.ids))[many].tolist(), at[many].tolist(), (at + held)[many].tolist()):
+        size, total = int(items.size[kk]), int(items.total[kk])
         length = min(SHINGLE, size)
-        mark = np.zeros(n[d] + 1, np.int64)
-        at = np.array(sorted(at))
-        np.add.at(mark, np.maximum(at + length - size, 0), 1)
-        np.add.at(mark, at + 1, -1)
-        starts = np.flatnonzero(np.cumsum(mark)[:n[d]] > 0)
-        prints = window_hashes(own, starts, size)
-        w, k = items.near(prints, size)
-        if not len(w):
+        own = word[first[d]:first[d] + n[d]]
+        mine = pos[i:j] - first[d]
+        # all windows around the hits
+        low = max(int(mine[0]) + length - size, 0)
+        mark = np.zeros(int(mine[-1]) + 2 - low, np.int64)
+        np.add.at(mark, np.maximum(mine + length - size, 0) - low, 1)
+        np.add.at(mark, mine + 1 - low, -1)
+        starts = np.flatnonzero(np.cumsum(mark) > 0) + low
+        end = np.minimum(starts + size, n[d]) - length + 1
+        shared = np.searchsorted(mine, end) - np.searchsorted(mine, starts)
+        starts = starts[shared / (end - starts + total - shared) >= threshold]
+        if not len(starts):
             continue
-        sh = np.zeros(n[d], np.uint64)
-        for j in range(length):
-            shifted = np.zeros(n[d], np.uint64)
-            shifted[:n[d] - j] = own[j:]
-            sh = sh * SHIFT + shifted
-        sh = mix(sh, length)
-        for kk in np.unique(k):
-            mine = np.sort(starts[w[k == kk]])
-            sim = best_window(sh, mine, size, int(n[d]), items.counts[kk])
-            far = popcount(prints[np.searchsorted(starts, mine)] ^ items.simhash[kk])
-            ok = np.flatnonzero(sim >= threshold)
-            if len(ok):
-                top = ok[np.lexsort((mine[ok], far[ok], -sim[ok]))[0]]
-                best[d, int(kk)] = (d, items.ids[kk], int(mine[top]), min(size, int(n[d]) - int(mine[top])), int(far[top]), float(sim[top]))
+        if last != (d, length):
+            last, sh = (d, length), np.zeros(n[d], np.uint64)
+            for k in range(length):
+                shifted = np.zeros(n[d], np.uint64)
+                shifted[:n[d] - k] = own[k:]
+                sh = sh * SHIFT + shifted
+            sh = mix(sh, length)
+        sim = best_window(sh, starts, size, int(n[d]), items.counts[kk])
+        top = sim.max()
+        if top >= threshold:
+            ok = starts[sim == top]
+            far = near_distance(own, ok, size, items.simhash[kk])
+            p = int(ok[np.argmin(far)])
+            best[d, kk] = (d, items.ids[kk], p, min(size, int(n[d]) - p), int(far.min()), float(top))
     return [best[x] for x in sorted(best)]
 
 

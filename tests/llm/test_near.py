@@ -196,6 +196,28 @@ def test_leaks_planted(spark):
     assert decontam.find_leaks(df.limit(0), bench).count() == 0 and decontam.find_leaks(df, bench.limit(0)).count() == 0
 
 
+def test_leaks_outside_the_fingerprint_radius(spark):
+    """Copies with a replaced edge at similarity 0.80 to 0.82. Those that begin
+    their text have one best window, often more than 15 bits away."""
+    rng = np.random.default_rng(12)
+    word = lambda n: [f"e{x}" for x in rng.integers(0, 3000, n)]
+    items, rows, far = [], [], 0
+    while far < 6:
+        n = int(rng.integers(45, 61))
+        x = word(n)
+        cut = next(c for c in range(n) if (n - 4 - c) / (n - 4 + c) < 0.82)
+        first, y, z = x[:n - cut] + word(cut), word(cut) + x[cut:], word(30)
+        bits = decontam.Items([0, 1], [" ".join(x), " ".join(first)]).simhash
+        out = bin(int(bits[0] ^ bits[1])).count("1") > decontam.RADIUS
+        if 0.8 <= jac(grams(first), grams(x)) <= 0.82 and (out or len(rows) < 20):
+            far += out
+            items.append((len(items), " ".join(x)))
+            rows += [(len(rows), " ".join(first + z)), (len(rows) + 1, " ".join(z + y + z))]
+    got = decontam.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, round(r.similarity, 9)) for r in got} == brute_leaks(rows, items)
+    assert {r.doc_id for r in got} == {d for d, _ in rows} and sum(r.hamming > decontam.RADIUS for r in got) >= 6
+
+
 def test_block_index_holds_the_radius():
     rng = np.random.default_rng(4)
     it = decontam.Items([0], ["a b c d e f g"])
