@@ -44,14 +44,15 @@ class WordEncoder:
     and never joins across it: each white-space-delimited word is encoded once
     and the ids of a text are the concatenation of its words' ids. The ids of
     a word are remembered by a 64-bit hash of its bytes together with its
-    length.
+    length. Added tokens hold no white space; their literal text gives their
+    id, as in the library, unless ``special_as_text`` cuts it into pieces.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = special_as_text
         mark = self.tok.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
         self.cache = SpanCache(np.uint32, CACHE_WORDS)
@@ -97,9 +98,10 @@ _ENCODERS: dict[str, WordEncoder] = {}
 
 
 def encoder(path: str) -> WordEncoder:
-    """One encoder per worker process and tokenizer."""
+    """One encoder per worker process and tokenizer, with the library's
+    handling of added tokens."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
+        _ENCODERS[path] = WordEncoder(path, special_as_text=False)
     return _ENCODERS[path]
 
 
@@ -122,8 +124,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key:
 
     Files follow each other in ascending id order; rows that repeat an id are
     split over tasks by a hash of their text and follow in a fixed order; a
-    null id sorts first and is stored as the smallest 64-bit integer. Null and empty texts hold the end id alone. Extra
-    columns are ignored; an empty table gives no file.
+    null id sorts first and is stored as the smallest 64-bit integer. Null and empty texts hold the end id alone. The
+    literal text of an added token (``<|endoftext|>``) gives its one id, as the library's encode does. Extra columns
+    are ignored; an empty table gives no file.
     """
     fs, path = file_system(folder)
     fs.create_dir(path, recursive=True)

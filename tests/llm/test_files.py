@@ -184,3 +184,23 @@ def test_word_encoder_equals_whole_texts():
     for _, _, flat, n in token_files.encode_texts(enc, pa.array(texts), 1):
         got += [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])]
     assert got == want
+
+
+def test_added_tokens_as_the_library_encodes_them(spark, tmp_path):
+    """Literal added tokens, alone, inside words, beside the mark and in other cases."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["say <|endoftext|> x<|endoftext|>y", "<|startoftext|><|endoftext|>", "<|ENDOFTEXT|> <|endoftext |>", "nul\x00<|endoftext|>\x00 x", "a<|endoftext|>\u3000b\n<|startoftext|>'s",
+             "\x1c<|endoftext|>\x85", "e\u0301<|endoftext|>\u0301", "plain words", "", None, "<|endoftext|> " * 3000]
+    tok = Tokenizer.from_file(path)
+    want, at = [], 0
+    for i, t in enumerate(texts):
+        ids = np.array(tok.encode(t or "", add_special_tokens=False).ids + [1], "<u4")
+        want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert want[0][2] == 6
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    folder = f"file://{tmp_path}/t"
+    got = token_files.read_tokens(token_files.write_tokens(df, folder, path, 1, partitions=3), folder).collect()
+    assert sorted(tuple(r) for r in got) == want
