@@ -1,6 +1,7 @@
 """Learned operators: gradients, normalisation, plain versions of the scores
 and held-out accuracy."""
 
+import itertools
 import math
 import re
 import zlib
@@ -104,6 +105,22 @@ def test_toxicity_of_given_documents(spark):
     assert sum(p and not t for p, t in known) <= 3 and sum(p and t for p, t in known) >= 0.6 * sum(t for _, t in known)
 
 
+def test_many_rare_toxic_words(spark):
+    """1,200 toxic words of one feature each, every one in three training
+    texts; a toxic text holds one of them, all texts have 12 words."""
+    rng = np.random.default_rng(8)
+    vocab = rng.permutation(["".join(x) for x in itertools.product("bcdfghklmnoprst", repeat=3)]).tolist()
+    bad, clean = vocab[:1200], vocab[1200:1400]
+    held = 7200
+    words = [[w] for w in bad * 3] + [[]] * 3600 + [[bad[k]] for k in rng.choice(1200, 600, replace=False)] + [[]] * 600
+    rows = [(i, " ".join([*w, *rng.choice(clean, 12 - len(w))]), len(w)) for i, w in enumerate(words)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    chain = toxicity.fit_chain(df.select("doc_id", "text"), df.where(F.col("doc_id") < held).select("doc_id", "toxic"), ["toxic"])
+    got = {r.doc_id: r.p_toxic >= toxicity.THRESHOLD for r in toxicity.score_chain(df.where(F.col("doc_id") >= held), chain).collect()}
+    assert sum(got[i] for i, _, y in rows[held:] if y) >= 0.95 * 600
+    assert sum(got[i] for i, _, y in rows[held:] if not y) <= 0.2 * 600   # 70 of the 600 are flagged with 1,500 features
+
+
 # ------------------------------------------------------------- language model
 
 def split(text):
