@@ -41,8 +41,11 @@ def assign_shards(df: DataFrame, key: str = "doc_id", text: str = "text",
     UTF-8 length of the text plus 8; a null text counts as 0 bytes (crc 0). A
     null key is a key like any other. Rows that repeat a key go to the same
     shard; slots number the rows of a shard from 0 without gaps, ordered by a
-    hash bucket of the key and then the key, so that no task sorts a whole
-    shard. Extra columns are ignored; an empty table gives an empty result.
+    hash bucket of key, size and crc and then by these, so that no task sorts
+    a whole shard. Rows equal in all three are counted before they are
+    numbered, and expanded in chunks, so neither a key nor a row that repeats
+    very often falls to one task. Extra columns are ignored; an empty table
+    gives an empty result.
     """
     if len(weights) < 2 or min(weights) <= 0 or next_weight <= 0:
         raise ValueError("at least two shards with positive weights")
@@ -51,23 +54,29 @@ def assign_shards(df: DataFrame, key: str = "doc_id", text: str = "text",
     best = rendezvous(name, weights)
     new = score(name, len(weights), next_weight)
     body = F.coalesce(F.col("text"), F.lit(""))
-    keyed = durable(
+    keyed = (
         rows.select("key", (F.octet_length(body) + 8).cast("long").alias("size"),
-                    F.crc32(body.cast("binary")).alias("text_crc32"), best.alias("best"), new.alias("new"),
-                    F.xxhash64(name, F.lit("slot")).alias("h"))
+                    F.crc32(body.cast("binary")).alias("text_crc32"), best.alias("best"), new.alias("new"), name.alias("name"))
         .select("key", "size", "text_crc32", F.col("best.shard").alias("shard"),
                 F.when(F.col("new") > F.col("best.score"), F.lit(len(weights)))
-                .otherwise(F.col("best.shard")).cast("int").alias("grown_shard"), "h"))
-    total = keyed.count()
-    buckets = max(1, -(-total // (len(weights) * SLOT_ROWS)), -(-keyed.sparkSession.sparkContext.defaultParallelism // len(weights)))
-    cell = keyed.withColumn("bucket", F.pmod("h", F.lit(buckets)))
-    base = (cell.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
+                .otherwise(F.col("best.shard")).cast("int").alias("grown_shard"),
+                F.xxhash64("name", "size", "text_crc32", F.lit("slot")).alias("h")))
+    kinds = durable(keyed.groupBy(*keyed.columns).agg(F.count(F.lit(1)).alias("n")))
+    most, widest = kinds.groupBy("shard").agg(F.sum("n").alias("n"), F.max("n").alias("top")).agg(F.max("n"), F.max("top")).first()
+    buckets = max(1, -(-(most or 0) // SLOT_ROWS), -(-kinds.sparkSession.sparkContext.defaultParallelism // len(weights)))
+    cell = kinds.withColumn("bucket", F.pmod("h", F.lit(buckets)))
+    base = (cell.groupBy("shard", "bucket").agg(F.sum("n").alias("n"))
             .withColumn("base", F.sum("n").over(W.partitionBy("shard").orderBy("bucket")) - F.col("n"))
             .select("shard", "bucket", "base"))
-    place = W.partitionBy("shard", "bucket").orderBy("key", "size", "text_crc32")
-    return (cell.withColumn("at", F.row_number().over(place)).join(base, ["shard", "bucket"])
+    place = W.partitionBy("shard", "bucket").orderBy("key", "size", "text_crc32").rowsBetween(W.unboundedPreceding, -1)
+    step = F.lit(SLOT_ROWS).cast("long")
+    chunks = (cell.withColumn("at", F.coalesce(F.sum("n").over(place), F.lit(0))).join(base, ["shard", "bucket"])
+              .withColumn("low", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, step))))
+    if (widest or 0) > SLOT_ROWS:
+        chunks = chunks.repartition("shard", "bucket", "key", "size", "text_crc32", "low")
+    return (chunks.withColumn("k", F.explode(F.sequence(F.col("low"), F.least(F.col("low") + step, F.col("n")) - 1)))
             .select("key", "size", "text_crc32", "shard", "grown_shard",
-                    (F.col("base") + F.col("at") - 1).cast("long").alias("slot"))
+                    (F.col("base") + F.col("at") + F.col("k")).cast("long").alias("slot"))
             .withColumnRenamed("key", key))
 
 

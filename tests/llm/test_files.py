@@ -87,6 +87,23 @@ def test_shards_weights_and_growth(spark):
         sharding.assign_shards(df, weights=(1, 0))
 
 
+def test_shards_hot_key(spark, monkeypatch):
+    """A key with a third of all rows, and a row repeated often: slots stay
+    whole, and the key's rows are dealt over many buckets of their shard."""
+    monkeypatch.setattr(sharding, "SLOT_ROWS", 100)
+    rows = [(7, f"text {i}") for i in range(3000)] + [(i + 100, "x") for i in range(5000)] + [(None, "again")] * 1050
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.assign_shards(df).collect()
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == Counter((i, len(t) + 8, zlib.crc32(t.encode())) for i, t in rows)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append((r.slot, r.doc_id))
+    assert all([x for x, _ in sorted(v, key=lambda a: a[0])] == list(range(len(v))) for v in slots.values())
+    hot = next(r.shard for r in got if r.doc_id == 7)
+    keys = [d for _, d in sorted(slots[hot], key=lambda a: a[0])]
+    assert sum(a == 7 and b != 7 for a, b in zip(keys, keys[1:])) >= 10
+
+
 def test_shards_query(spark):
     got = sharding.op6_sharding(spark, SMALL).collect()
     n = Counter(r.shard for r in got)
