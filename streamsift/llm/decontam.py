@@ -1,17 +1,19 @@
-"""Benchmark decontamination by item-sized windows.
+"""Benchmark decontamination by SimHash of item-sized windows.
 
 For an item of n words, every n-word window of a document is a possible copy.
 
-1. A window without any word shingle of the item has similarity 0, so windows
-   are formed around the item shingles that a document holds (looked up for
-   all positions of all texts).
-2. The item shingles inside a window bound its similarity from above. Windows
-   whose bound is below the threshold go; no other window does.
-3. What is left is verified by the exact weighted similarity of its five-word
+1. Windows start where they can hold an item's word shingle (looked up for all
+   positions of all texts); a window without one has similarity 0.
+2. Each window's 64-bit SimHash of its words probes a multi-index of the items
+   of n words: eight blocks of eight bits, each probed with all changes of up
+   to RADIUS // 8 bits. Two fingerprints within RADIUS bits agree that far in
+   some block, so the index finds every item within the radius.
+3. Candidates are verified by the exact weighted similarity of their five-word
    shingles (shared occurrences over all occurrences).
-4. The 64-bit SimHash of the words gives the distance that is reported and
-   decides between windows of equal similarity. It drops no window: a copy
-   with a changed edge can be more than 20 bits away at similarity 0.8.
+
+The radius is what a copy at the threshold may be away: one with replaced
+words at an edge can be over 20 bits off at similarity 0.8 (README: measured
+recall). A wider ``radius`` loses less and probes more; 64 loses nothing.
 
 Items are broadcast in passes of bounded bytes; every pass reads all texts.
 """
@@ -28,17 +30,24 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamsift.llm.common import (SHINGLE, SpanHash, blocks, broadcast_small, buffers, fill, mix, pick, sliced,
-                                   spans, table, word_shingles)
+from streamsift.llm.common import (SHINGLE, SpanHash, blocks, broadcast_small, buffers, fill, mix, pick, ragged,
+                                   sliced, spans, table, word_shingles)
 
 THRESHOLD = 0.8
-#: Radius of the fingerprint index (``Items.near``), which the search does not use.
-RADIUS = 15
-PARTS = 4
+#: Bits by which a window's fingerprint may differ from the item's.
+RADIUS = 23
+#: Blocks of a fingerprint, eight bits each.
+PARTS = 8
 #: Bytes of item texts in one pass.
 PASS_BYTES = 8 << 20
-#: All changes of a 16-bit block by at most RADIUS // PARTS bits.
-FLIPS = np.array([sum(1 << b for b in c) for k in range(RADIUS // PARTS + 1) for c in combinations(range(16), k)], np.uint16)
+#: Windows that probe the index at once.
+PROBES = 8192
+
+
+def flips(radius: int) -> np.ndarray:
+    """All changes of a block by at most radius // PARTS bits."""
+    most = min(8, radius // PARTS)
+    return np.array([sum(1 << b for b in c) for k in range(most + 1) for c in combinations(range(8), k)], np.uint8)
 
 
 def bit_rows(word: np.ndarray) -> np.ndarray:
@@ -51,17 +60,24 @@ def pack(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def window_hashes(word: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-    """SimHash of the windows of up to ``n`` words at ``starts``."""
-    cum = np.zeros((len(word) + 1, 64), np.int32)
-    np.cumsum(bit_rows(word), axis=0, out=cum[1:])
-    return pack(cum[np.minimum(starts + n, len(word))] - cum[starts])
+#: Words whose fingerprint bits are in memory at once.
+PRINT_WORDS = 1 << 14
 
 
-def near_distance(word: np.ndarray, starts: np.ndarray, n: int, simhash: np.uint64) -> np.ndarray:
-    """SimHash distances of the windows of up to ``n`` words at ascending ``starts``."""
-    low = int(starts[0])
-    return popcount(window_hashes(word[low:int(starts[-1]) + n], starts - low, n) ^ simhash)
+def fingerprints(word: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """SimHash of the windows of up to ``n`` words at ascending ``starts``."""
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        low = int(starts[i])
+        j = int(np.searchsorted(starts, low + PRINT_WORDS))
+        part = word[low:int(starts[j - 1]) + n]
+        cum = np.zeros((len(part) + 1, 64), np.int32)
+        np.cumsum(bit_rows(part), axis=0, out=cum[1:])
+        at = starts[i:j] - low
+        out[i:j] = pack(cum[np.minimum(at + n, len(part))] - cum[at])
+        i = j
+    return out
 
 
 def popcount(x: np.ndarray) -> np.ndarray:
@@ -69,9 +85,10 @@ def popcount(x: np.ndarray) -> np.ndarray:
 
 
 class Items:
-    """Benchmark items of one pass with their shingles and block index."""
+    """Benchmark items of one pass with their shingles and, for every item
+    size, a block index of their fingerprints."""
 
-    def __init__(self, ids: list, texts: list[str]):
+    def __init__(self, ids: list, texts: list[str], radius: int = RADIUS):
         low = pc.utf8_lower(pa.array([t or "" for t in texts], pa.string()))
         buf, off = buffers(low)
         s, e, owner = spans(buf, off)
@@ -81,11 +98,10 @@ class Items:
         first = np.cumsum(n) - n
         self.ids = [ids[k] for k in use]
         self.size = n[use]
-        words = [word[first[k]:first[k] + n[k]] for k in use]
-        self.simhash = np.array([pack(bit_rows(w).sum(axis=0, keepdims=True))[0] for w in words], np.uint64)
-        sh, who = word_shingles(word, owner, len(ids))
-        self.counts = [Counter(sh[who == k].tolist()) for k in use]
-        self.total = np.array([sum(c.values()) for c in self.counts], np.int64)
+        self.simhash = np.array([pack(bit_rows(word[first[k]:first[k] + n[k]]).sum(axis=0, keepdims=True))[0] for k in use], np.uint64)
+        sh, who = word_shingles(word, owner, len(ids))  # in the order of the items
+        ends = np.searchsorted(who, use, side="right")
+        self.counts = [Counter(sh[i:j].tolist()) for i, j in zip(np.searchsorted(who, use), ends)]
         self.kinds = sorted({int(min(SHINGLE, x)) for x in self.size})   # shingle lengths in use
         flat = [(h, k) for k, c in enumerate(self.counts) for h in c]
         self.keys = np.array([h for h, _ in flat], np.uint64)
@@ -94,34 +110,36 @@ class Items:
         self.keys, self.of = self.keys[order], self.of[order]
         self.sieve = np.zeros(1 << 22, bool)
         self.sieve[self.keys & np.uint64((1 << 22) - 1)] = True
-        # multi-index: per block the items ordered by block value
-        value = self.simhash.view(np.uint16).reshape(-1, PARTS) if len(use) else np.zeros((0, PARTS), np.uint16)
-        self.order = [np.argsort(value[:, b], kind="stable") for b in range(PARTS)]
-        self.bounds = [np.searchsorted(value[self.order[b], b], np.arange(65537)) for b in range(PARTS)]
+        # multi-index: per item size and block, the items ordered by block value
+        self.radius, self.flips, self.index = radius, flips(radius), {}
+        for size in np.unique(self.size):
+            mine = np.flatnonzero(self.size == size)
+            value = np.ascontiguousarray(self.simhash[mine]).view(np.uint8).reshape(-1, PARTS)
+            place = np.argsort(value, axis=0, kind="stable")
+            bounds = [np.searchsorted(value[place[:, b], b], np.arange(257)) for b in range(PARTS)]
+            self.index[int(size)] = mine, place, bounds
 
     def near(self, prints: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) pairs of one item size within the radius. Windows of
-        similarity 0.8 can lie outside, so leaks are not searched this way."""
-        found = []
+        """(window, item) pairs of one item size within the radius."""
+        mine, place, bounds = self.index[size]
         uniq, back = np.unique(prints, return_inverse=True)
-        blocks_ = uniq.view(np.uint16).reshape(-1, PARTS)
-        for b in range(PARTS):
-            probe = blocks_[:, b, None] ^ FLIPS[None]
-            lo, hi = self.bounds[b][probe], self.bounds[b][probe.astype(np.int64) + 1]
-            w, f = np.nonzero(hi > lo)
-            n = (hi - lo)[w, f]
-            at = np.repeat(lo[w, f], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            found.append(np.stack([np.repeat(w, n), self.order[b][at]], 1))
-        pair = np.concatenate(found)
-        pair = pair[self.size[pair[:, 1]] == size]
-        pair = pair[popcount(uniq[pair[:, 0]] ^ self.simhash[pair[:, 1]]) <= RADIUS]
-        pair = np.unique(pair, axis=0)
+        found = [np.zeros(0, np.int64)]
+        for i in range(0, len(uniq), PROBES):
+            values = uniq[i:i + PROBES].view(np.uint8).reshape(-1, PARTS)
+            for b in range(PARTS):
+                probe = (values[:, b, None] ^ self.flips[None]).astype(np.int64)
+                lo, hi = bounds[b][probe], bounds[b][probe + 1]
+                w, f = np.nonzero(hi > lo)
+                m = (hi - lo)[w, f]
+                at = ragged(place[:, b], lo[w, f], m)
+                who = np.repeat(w + i, m)
+                close = popcount(uniq[who] ^ self.simhash[mine[at]]) <= self.radius
+                found.append(who[close] * len(mine) + at[close])
+        pair = np.unique(np.concatenate(found))
+        who, item = pair // len(mine), mine[pair % len(mine)]
         by = np.argsort(back, kind="stable")            # back to the windows with that fingerprint
         n = np.bincount(back, minlength=len(uniq))
-        first = np.cumsum(n) - n
-        times = n[pair[:, 0]]
-        at = np.repeat(first[pair[:, 0]], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        return by[at], np.repeat(pair[:, 1], times)
+        return ragged(by, (np.cumsum(n) - n)[who], n[who]), np.repeat(item, n[who])
 
     def hits(self, word: np.ndarray, doc: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
         """(word position, item) for every item shingle in a block of texts."""
@@ -189,45 +207,43 @@ def leaks_in_block(items: Items, buf: np.ndarray, off: np.ndarray, threshold: fl
         return []
     n = np.bincount(doc, minlength=texts)
     first = np.cumsum(n) - n
-    # a similar window holds at least the threshold's share of the item's shingles
-    pair = doc[pos] * len(items.ids) + item
-    order = np.lexsort((pos, pair))
-    pos, pair = pos[order], pair[order]
-    pairs, at, held = np.unique(pair, return_index=True, return_counts=True)
-    many = np.flatnonzero(held >= threshold * items.total[pairs % len(items.ids)])
-    best: dict[tuple[int, int], tuple] = {}
+    # windows around the hits, by text and item size
+    group = doc[pos] * (int(items.size.max()) + 1) + items.size[item]
+    order = np.lexsort((pos, group))
+    pos, group = pos[order], group[order]
+    groups, at, held = np.unique(group, return_index=True, return_counts=True)
+    best: list[tuple] = []
     last = None
-    for d, kk, i, j in zip((pairs // len(items.ids))[many].tolist(), (pairs % len(items.ids))[many].tolist(), at[many].tolist(), (at + held)[many].tolist()):
-        size, total = int(items.size[kk]), int(items.total[kk])
+    for g, i, m in zip(groups.tolist(), at.tolist(), held.tolist()):
+        d, size = divmod(g, int(items.size.max()) + 1)
         length = min(SHINGLE, size)
         own = word[first[d]:first[d] + n[d]]
-        mine = pos[i:j] - first[d]
-        # all windows around the hits
-        low = max(int(mine[0]) + length - size, 0)
-        mark = np.zeros(int(mine[-1]) + 2 - low, np.int64)
-        np.add.at(mark, np.maximum(mine + length - size, 0) - low, 1)
-        np.add.at(mark, mine + 1 - low, -1)
-        starts = np.flatnonzero(np.cumsum(mark) > 0) + low
-        end = np.minimum(starts + size, n[d]) - length + 1
-        shared = np.searchsorted(mine, end) - np.searchsorted(mine, starts)
-        starts = starts[shared / (end - starts + total - shared) >= threshold]
-        if not len(starts):
+        mine = np.unique(pos[i:i + m]) - first[d]
+        mark = np.zeros(n[d] + 1, np.int64)
+        np.add.at(mark, np.maximum(mine + length - size, 0), 1)
+        np.add.at(mark, mine + 1, -1)
+        starts = np.flatnonzero(np.cumsum(mark) > 0)
+        prints = fingerprints(own, starts, size)
+        w, k = items.near(prints, size)
+        if not len(w):
             continue
         if last != (d, length):
             last, sh = (d, length), np.zeros(n[d], np.uint64)
-            for k in range(length):
+            for j in range(length):
                 shifted = np.zeros(n[d], np.uint64)
-                shifted[:n[d] - k] = own[k:]
+                shifted[:n[d] - j] = own[j:]
                 sh = sh * SHIFT + shifted
             sh = mix(sh, length)
-        sim = best_window(sh, starts, size, int(n[d]), items.counts[kk])
-        top = sim.max()
-        if top >= threshold:
-            ok = starts[sim == top]
-            far = near_distance(own, ok, size, items.simhash[kk])
-            p = int(ok[np.argmin(far)])
-            best[d, kk] = (d, items.ids[kk], p, min(size, int(n[d]) - p), int(far.min()), float(top))
-    return [best[x] for x in sorted(best)]
+        for kk in np.unique(k):
+            near = np.sort(w[k == kk])
+            sim = best_window(sh, starts[near], size, int(n[d]), items.counts[kk])
+            top = sim.max()
+            if top >= threshold:
+                ok = near[sim == top]
+                far = popcount(prints[ok] ^ items.simhash[kk])
+                p = int(starts[ok[np.argmin(far)]])
+                best.append((d, int(kk), p, min(size, int(n[d]) - p), int(far.min()), float(top)))
+    return [(d, items.ids[kk], *rest) for d, kk, *rest in sorted(best)]
 
 
 def passes(items: DataFrame, key: str, text: str) -> Iterator[tuple[list, list]]:
@@ -241,14 +257,15 @@ def passes(items: DataFrame, key: str, text: str) -> Iterator[tuple[list, list]]
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
-               item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+               item_text: str = "text", threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
     """(key, item_id, start, n_words, hamming, similarity): one row per text
     and leaked item, with the item's best window (then the nearest, then the
     first one).
 
     Words are lower-cased runs of letters and digits. Items of fewer than five
     words match as one shingle of all their words; items and texts without
-    words never match. Null texts count as empty. Repeated texts and repeated
+    words never match. Windows more than ``radius`` bits from an item are not
+    compared with it. Null texts count as empty. Repeated texts and repeated
     items each give their own rows. Extra columns are ignored; an empty table
     on either side gives no rows.
     """
@@ -257,7 +274,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     schema = f"id {kind}, item_id {item_kind}, start int, n_words int, hamming int, similarity double"
     out = None
     for ids, texts in passes(items, item_key, item_text):
-        shared = broadcast_small(docs.sparkSession, Items(ids, texts))
+        shared = broadcast_small(docs.sparkSession, Items(ids, texts, radius))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in sliced(batches, 1):
@@ -274,13 +291,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     return out.withColumnRenamed("id", key).withColumnRenamed("item_id", item_key)
 
 
-def drop_leaked(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def drop_leaked(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD,
+                radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` whose text holds no item; all columns stay. The
     rows are filtered where they are read, without a join."""
     out = docs
     at = docs.columns.index(text)
     for ids, texts in passes(items, item_key, item_text):
-        shared = broadcast_small(docs.sparkSession, Items(ids, texts))
+        shared = broadcast_small(docs.sparkSession, Items(ids, texts, radius))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in sliced(batches, at):
