@@ -30,7 +30,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -42,14 +41,16 @@ from streamsift.llm.common import (attach_groups, binary_array, blocks, buffers,
 BANDS = 30
 ROWS = 5
 COORDS = BANDS * ROWS
+#: The smallest threshold: 30 bands of 5 miss a pair of similarity 0.8 with
+#: probability 7e-6, but one of 0.6 already with 0.09.
 THRESHOLD = 0.8
 #: Expected darts per text before empty coordinates are looked at.
 DARTS = math.ceil(COORDS * math.log(COORDS) + 2 * COORDS)
 #: Members and bytes of one block of a bucket.
 BLOCK_MEMBERS = 2048
 BLOCK_SIZE = 8 << 20
-#: Signature agreement under which a pair in a block is not verified: for a
-#: pair at the threshold it lies over five standard deviations off.
+#: Signature agreement under which a pair in a block is not verified: at
+#: similarity 0.8 it lies over five standard deviations off (2e-8 of pairs).
 AGREE = 0.62
 #: Poisson(1) distribution function: darts per unit cell.
 POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(12)])
@@ -94,8 +95,11 @@ def throw(elem: np.ndarray, weight: np.ndarray, owner: np.ndarray, low: np.ndarr
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-#: Darts that are in memory at once.
-DART_BATCH = 1 << 20
+#: Darts that are in memory at once, and bytes of text that are signed together.
+DART_BATCH = 1 << 18
+SIGN_BYTES = 512 << 10
+#: Rows of sets are taken from a batch in slices of about this many bytes.
+SET_BYTES = 2 << 20
 
 
 def signatures(elem: np.ndarray, weight: np.ndarray, per: np.ndarray) -> np.ndarray:
@@ -157,7 +161,7 @@ def sign_texts(docs: DataFrame, weighting: str) -> DataFrame:
         for batch in sliced(batches, 1):
             low = pc.utf8_lower(fill(batch.column(1)))
             buf, off = buffers(low)
-            for i, j in blocks(off):
+            for i, j in blocks(off, SIGN_BYTES):
                 h, owner = shingles(buf[off[i]:off[j]], off[i:j + 1] - off[i])
                 elem, count, per = distinct_counts(h, owner, j - i)
                 w = weights_of(count, weighting)
@@ -175,7 +179,7 @@ def shingle_sets(docs: DataFrame, weighting: str) -> DataFrame:
         for batch in sliced(batches, 1):
             low = pc.utf8_lower(fill(batch.column(1)))
             buf, off = buffers(low)
-            for i, j in blocks(off):
+            for i, j in blocks(off, SIGN_BYTES):
                 h, owner = shingles(buf[off[i]:off[j]], off[i:j + 1] - off[i])
                 elem, count, per = distinct_counts(h, owner, j - i)
                 w = weights_of(count, weighting)
@@ -189,20 +193,47 @@ def unpack(elems: bytes, ws: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(elems, np.uint64), np.frombuffer(ws, np.float32).astype(np.float64)
 
 
+def in_slices(batches: Iterator[pa.RecordBatch], col: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut by the bytes of a binary column."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(col)), 0).to_numpy(zero_copy_only=False)
+        for i, j in blocks(np.concatenate([[0], np.cumsum(size, dtype=np.int64)]), SET_BYTES):
+            yield batch.slice(i, j - i)
+
+
+#: Pairs of one hub that one task verifies together.
+HUB_PAIRS = 20_000
+
+
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Exact similarity of (rep, hub) pairs: (rep, hub, sim). A hub of many
-    pairs is a skewed join key; Spark splits its pair side."""
-    one = sets.select(F.col("rep"), F.col("elems").alias("e1"), F.col("ws").alias("w1"))
-    two = sets.select(F.col("rep").alias("hub"), F.col("elems").alias("e2"), F.col("ws").alias("w2"))
+    """Exact similarity of (rep, hub) pairs: (rep, hub, sim).
+
+    A hub's set goes once to each of its shares of pairs, ahead of them; a hub
+    of many pairs has several shares, dealt by rep.
+    """
+    shares = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / HUB_PAIRS).cast("int").alias("shares"))
+    cols = ["hub", "share", "side", "rep", "elems", "ws"]
+    one = (pairs.join(sets, "rep").join(shares.where("shares > 1"), "hub", "left")
+           .withColumn("share", F.coalesce(F.pmod(F.xxhash64("rep"), F.col("shares")), F.lit(0)).cast("int"))
+           .withColumn("side", F.lit(1)).select(*cols))
+    two = (sets.withColumnRenamed("rep", "hub").join(shares, "hub").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+           .withColumn("side", F.lit(0)).withColumn("rep", F.col("hub")).select(*cols))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c = [batch.column(k).to_pylist() for k in range(2, 6)]
-            sim = [weighted_jaccard(*unpack(a, x), *unpack(b, y)) for a, x, b, y in zip(*c)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sim, pa.float64())], ["rep", "hub", "sim"])
+        hub, held = None, None
+        for batch in in_slices(batches, 4):
+            reps, hubs, sims = [], [], []
+            for h, side, rep, e, w in zip(*[batch.column(k).to_pylist() for k in (0, 2, 3, 4, 5)]):
+                if side == 0:
+                    hub, held = h, unpack(e, w)
+                elif h == hub:
+                    reps.append(rep)
+                    hubs.append(h)
+                    sims.append(weighted_jaccard(*unpack(e, w), *held))
+            yield pa.RecordBatch.from_arrays([pa.array(reps, batch.schema.field(3).type), pa.array(hubs, batch.schema.field(0).type), pa.array(sims, pa.float64())], ["rep", "hub", "sim"])
 
     kind = dict(sets.dtypes)["rep"]
-    return (pairs.join(one, "rep").join(two, "hub").select("rep", "hub", "e1", "w1", "e2", "w2")
+    return (one.unionByName(two).repartition("hub", "share").sortWithinPartitions("hub", "share", "side")
             .mapInArrow(run, f"rep {kind}, hub {kind}, sim double"))
 
 
@@ -271,39 +302,36 @@ def compare_blocks(members: DataFrame, sets: DataFrame, threshold: float) -> Dat
     ``members``: (bkey, rep, comp, bytes, sig). The blocks of a bucket follow
     from its rows and bytes; every pair of blocks is one group of rows.
     """
-    size = members.groupBy("bkey").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS), F.ceil(F.sum("bytes") / BLOCK_SIZE)).cast("int").alias("nb"))
-    dealt = (members.join(size, "bkey").withColumn("mine", F.pmod(F.xxhash64("rep", "bkey"), F.col("nb")).cast("int"))
+    size = durable(members.groupBy("bkey").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS), F.ceil(F.sum("bytes") / BLOCK_SIZE)).cast("int").alias("nb"),
+                                               F.count(F.lit(1)).alias("n")))
+    dealt = (attach_groups(members, size, "bkey", "n", members.count()).withColumn("mine", F.pmod(F.xxhash64("rep", "bkey"), F.col("nb")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
              .select("bkey", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "rep", "comp", "sig"))
     full = dealt.join(sets.select("rep", "elems", "ws"), "rep")
     kind = dict(sets.dtypes)["rep"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def finish(group):
-            if group is None:
-                return pd.DataFrame({"a": [], "b": []})
-            x, y, rows = group[0][1], group[0][2], group[1]
+            (_, x, y), rows = group
             left = [r[1:] for r in rows if r[0] == x]
             right = left if x == y else [r[1:] for r in rows if r[0] == y]
             out = list(forest(left, right, threshold)) if left and right else []
-            return pd.DataFrame(out, columns=["a", "b"])
-
-        group = None
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                key = (r.bkey, r.x, r.y)
-                if group is None or group[0] != key:
-                    done = finish(group)
-                    if len(done):
-                        yield done
-                    group = (key, [])
-                group[1].append((r.mine, r.rep, r.comp, r.sig, r.elems, r.ws))
-        done = finish(group)
-        if len(done):
-            yield done
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], kind_arrow) for k in (0, 1)], ["a", "b"])
+
+        group, kind_arrow = None, None
+        for batch in in_slices(batches, 7):
+            kind_arrow = batch.schema.field(4).type
+            for bkey, x, y, *row in zip(*[c.to_pylist() for c in batch.columns]):
+                if group is None or group[0] != (bkey, x, y):
+                    if group is not None:
+                        yield finish(group)
+                    group = ((bkey, x, y), [])
+                group[1].append(tuple(row))
+        if group is not None:
+            yield finish(group)
 
     return (full.repartition("bkey", "x", "y").sortWithinPartitions("bkey", "x", "y")
-            .select("bkey", "x", "y", "mine", "rep", "comp", "sig", "elems", "ws").mapInPandas(run, f"a {kind}, b {kind}"))
+            .select("bkey", "x", "y", "mine", "rep", "comp", "sig", "elems", "ws").mapInArrow(run, f"a {kind}, b {kind}"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, weighting: str = "binary") -> DataFrame:
@@ -317,8 +345,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     five words have one shingle of all their words. ``weighting``: "binary"
     gives each distinct shingle the weight 1 (plain Jaccard), "count" its
     number of occurrences. Extra columns are ignored; an empty table gives no
-    rows.
+    rows. A threshold below 0.8 is an error: the bands are made for 0.8 and
+    above.
     """
+    if threshold < THRESHOLD:
+        raise ValueError("the bands find pairs of similarity 0.8 and above")
     rows = pick(docs, id=key, text=text)
     signed = durable(sign_texts(rows, weighting))
     # one node per shingle set; the written table fixes the node numbers
@@ -326,8 +357,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
                      .withColumn("rep", F.monotonically_increasing_id()))
     nodes = groups.where("bytes > 0")
     bands = durable(nodes.select("rep", F.explode(F.array(*[F.xxhash64(F.lit(b), F.substring("sig", b * ROWS * 2 + 1, ROWS * 2)) for b in range(BANDS)])).alias("bkey")))
-    hubs = bands.groupBy("bkey").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub != top").select("bkey", "hub")
-    members = durable(bands.join(hubs, "bkey"))
+    hubs = durable(bands.groupBy("bkey").agg(F.min("rep").alias("hub"), F.max("rep").alias("top"), F.count(F.lit(1)).alias("m")).where("hub != top").drop("top"))
+    members = durable(attach_groups(bands, hubs, "bkey", "m", bands.count()).select("bkey", "rep", "hub"))
     involved = members.select("rep").distinct().join(nodes.select("rep", "skey", "rid"), "rep")
     sets = durable(sets_of(rows, involved, weighting))
     seen = durable(verify(members.where("rep != hub").select("rep", "hub").distinct(), sets))

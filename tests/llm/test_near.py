@@ -123,6 +123,17 @@ def test_blocks_of_a_bucket(spark, monkeypatch):
     assert classes(spark.createDataFrame(rows, "doc_id long, text string")) == brute_classes(rows)
 
 
+def test_shares_of_a_hub(spark, monkeypatch):
+    """Hubs with more pairs than a share, and slices of single rows."""
+    rng = np.random.default_rng(7)
+    rows = list(enumerate(variants(rng, [f"t{x}" for x in rng.integers(0, 4000, 150)], 60, 1) + variants(rng, [f"u{x}" for x in range(90)], 20, 4)))
+    monkeypatch.setattr(minhash, "HUB_PAIRS", 7)
+    monkeypatch.setattr(minhash, "SET_BYTES", 1)
+    assert classes(spark.createDataFrame(rows, "doc_id long, text string")) == brute_classes(rows)
+    with pytest.raises(ValueError):
+        minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), threshold=0.5)
+
+
 def test_near_edge_cases(edge, empty):
     assert classes(edge) == brute_classes([(r[0], r[1]) for r in ROWS])
     assert classes(empty) == []
