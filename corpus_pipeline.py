@@ -10,12 +10,13 @@ operators' docstrings state; an empty table runs through all stages.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamsift.llm.common import durable, table
 from streamsift.llm.decontam import drop_leaked
-from streamsift.llm.exact_dedup import dedup, norm_digest, split_in_two
+from streamsift.llm.exact_dedup import dedup, split_in_two
 from streamsift.llm.minhash import near_duplicates
 from streamsift.llm.pieces import encode, model_path
 from streamsift.llm.toxicity import CATEGORIES, THRESHOLD, drop_flagged, fit_chain, label_columns
@@ -27,17 +28,43 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_flagged(docs, chain, "toxic", THRESHOLD)
 
 
+#: Column that names one row of a stage's table.
+ROW = "row of the table"
+
+
+def numbered(docs: DataFrame, has_id: Column) -> DataFrame:
+    """Adds ROW: (has_id, doc_id, file, place in the file), which names one row
+    also where rows repeat a doc_id or all columns. A stage's ``docs`` is a
+    Parquet table, whose files give the names without a copy; anything else is
+    written first."""
+    def add(df: DataFrame) -> DataFrame:
+        place = F.col("_metadata")
+        return df.select("*", F.struct(has_id.alias("known"), F.col("doc_id"), F.unhex(F.md5(place["file_path"].cast("binary"))).alias("file"),
+                                       place["row_index"].alias("place")).alias(ROW))
+    try:
+        return add(docs)
+    except AnalysisException:
+        return add(durable(docs))
+
+
+def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of numbered ``docs`` that ``kept`` names."""
+    names = kept.where("kept").select(F.col(f"`{ROW}`").alias("kept row"))
+    return docs.join(names, docs[f"`{ROW}`"].eqNullSafe(names["`kept row`"]), "left_semi").drop(ROW)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest doc_id stays."""
-    keep = dedup(split_in_two(docs)).where("kept").select(F.col("doc_id").alias("kept_id"), "text_sha256")
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["kept_id"]) & (norm_digest(docs["text"]) == keep["text_sha256"]), "left_semi")
+    """Of equal texts one row stays, that with the largest doc_id (null is the
+    smallest; of rows that repeat it, one)."""
+    rows = numbered(docs, F.col("doc_id").isNotNull())
+    return only(rows, dedup(split_in_two(rows), key=ROW))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every near-duplicate class the document with the smallest doc_id
-    stays."""
-    keep = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["kept_id"]), "left_semi")
+    """Of every near-duplicate class one row stays, that with the smallest
+    doc_id (null is the largest; of rows that repeat it, one)."""
+    rows = numbered(docs, F.col("doc_id").isNull())
+    return only(rows, near_duplicates(rows, key=ROW))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
