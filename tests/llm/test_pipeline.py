@@ -1,6 +1,7 @@
 """The pipeline's decisions against brute force, stage by stage."""
 
 import corpus_pipeline
+from streamsift.llm.common import durable
 from streamsift.llm import pieces, toxicity
 from test_files import brute_dedup
 from test_near import brute_classes, brute_leaks, grams, words
@@ -13,7 +14,7 @@ def rows(df):
 
 
 def test_stages(spark):
-    from streamsift.llm.common import durable, table
+    from streamsift.llm.common import table
     docs = table(spark, SMALL, "documents")
     items = [(r.item_id, r.text) for r in table(spark, SMALL, "benchmark").collect()]
     names = [n for n, _ in corpus_pipeline.STAGES]
@@ -53,3 +54,21 @@ def test_empty_and_edge_documents(spark, edge, empty):
                 assert out.columns == docs.columns
                 docs = out
         assert out.count() <= 17
+
+
+def test_one_row_of_a_group_stays(spark):
+    """Equal ids with other texts, and rows that are equal in all columns."""
+    base = [f"w{i}" for i in range(120)]
+    near = [" ".join(base[:k] + ["changed"] + base[k + 1:]) for k in (5, 50, 100)]
+    other = " ".join(f"z{i}" for i in range(80))
+    rows = [(0, near[0]), (1, other), (1, near[1]), (1, near[1]), (None, near[2]), (None, other), (2, other.upper()), (3, "a b c"), (3, "a b c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    once = durable(corpus_pipeline.exact_dedup(spark, docs, SMALL))
+    assert rows_of(once) == sorted([(0, near[0]), (1, near[1]), (None, near[2]), (2, other.upper()), (3, "a b c")], key=str)
+    assert rows_of(corpus_pipeline.minhash_near_dedup(spark, once, SMALL)) == sorted([(0, near[0]), (2, other.upper()), (3, "a b c")], key=str)
+    twice = corpus_pipeline.minhash_near_dedup(spark, docs, SMALL)
+    assert rows_of(twice) == sorted([(0, near[0]), (1, other), (3, "a b c")], key=str)
+
+
+def rows_of(df):
+    return sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
