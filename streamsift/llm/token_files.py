@@ -136,27 +136,30 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key:
         enc = encoder(tokenizer)
         local, base = file_system(folder)
         name = uuid.uuid4().hex
-        first, last, docs_n, tokens = None, None, 0, 0
+        first, docs_n, tokens = None, 0, 0
         with local.open_output_stream(f"{base}/{name}.bin") as out, local.open_output_stream(f"{base}/{name}.idx") as idx:
             for batch in sliced(batches, 1):
                 if not len(batch):
                     continue
                 ids = batch.column(0).fill_null(low).to_numpy(zero_copy_only=False).astype("<i8")
                 for i, j, flat, n in encode_texts(enc, fill(batch.column(1)), end_id):
-                    first, last = int(ids[i]) if first is None else first, int(ids[j - 1])
+                    if first is None:
+                        first = (batch.column(0)[i].is_valid, int(ids[i]), batch.column(2)[i].as_py())
+                    if len(flat) and int(flat.max()) > np.iinfo(dtype).max:
+                        raise ValueError(f"id {int(flat.max())} does not fit {dtype}")
                     out.write(flat.astype(dtype).tobytes())
                     idx.write(np.stack([ids[i:j], tokens + np.cumsum(n) - n], axis=1).astype("<i8").tobytes())
                     docs_n += j - i
                     tokens += int(n.sum())
             idx.write(np.array([low, tokens], "<i8").tobytes())
         if docs_n:
-            yield pa.RecordBatch.from_pydict({"first_id": pa.array([first], pa.int64()), "last_id": pa.array([last], pa.int64()), "file": [name], "docs": pa.array([docs_n], pa.int64()), "tokens": pa.array([tokens], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"has_id": [first[0]], "first_id": pa.array([first[1]], pa.int64()), "first_hash": pa.array([first[2]], pa.int64()), "file": [name], "docs": pa.array([docs_n], pa.int64()), "tokens": pa.array([tokens], pa.int64())})
 
-    rows = pick(docs, id=key, text=text)
-    by = ["id", F.xxhash64("text")]   # the session's shuffle partitions, unless given
-    rows = (rows.repartitionByRange(partitions, *by) if partitions else rows.repartitionByRange(*by)).sortWithinPartitions("id", F.xxhash64("text"))
-    made = durable(rows.mapInArrow(run, "first_id long, last_id long, file string, docs long, tokens long"))
-    before = W.orderBy("first_id", "last_id", "file").rowsBetween(W.unboundedPreceding, -1)
+    rows = pick(docs, id=key, text=text).withColumn("hash", F.xxhash64("text"))
+    by = ["id", "hash"]   # the session's shuffle partitions, unless given; equal rows share a file
+    rows = (rows.repartitionByRange(partitions, *by) if partitions else rows.repartitionByRange(*by)).sortWithinPartitions(*by)
+    made = durable(rows.mapInArrow(run, "has_id boolean, first_id long, first_hash long, file string, docs long, tokens long"))
+    before = W.orderBy("has_id", "first_id", "first_hash").rowsBetween(W.unboundedPreceding, -1)
     return durable(made.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0))))
 
 

@@ -176,6 +176,26 @@ def test_token_files(spark, edge, empty, tmp_path):
     assert token_files.read_tokens(token_files.write_tokens(empty, folder, path, 1), folder).count() == 0
 
 
+def test_repeated_ids_over_files(spark, tmp_path):
+    """One id in all files: two runs, dealt otherwise, give the same places."""
+    import public_tokenizers
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(7 if k % 3 else None, f"text {k % 90} " + "word " * (k % 11)) for k in range(600)]
+    got = []
+    for k, parts in enumerate((4, 9)):
+        folder = f"file://{tmp_path}/r{k}"
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3 + k)
+        made = token_files.write_tokens(df, folder, path, 1, partitions=parts)
+        assert made.count() > 2
+        got.append(sorted((tuple(r) for r in token_files.read_tokens(made, folder).collect()), key=lambda r: r[1]))
+    assert got[0] == got[1]
+    assert [r[0] for r in got[0]] == [None] * 200 + [7] * 400
+    with pytest.raises(Exception, match="70000 does not fit"):
+        token_files.write_tokens(df, f"file://{tmp_path}/wide", path, 70_000)
+    wide = token_files.write_tokens(df, f"file://{tmp_path}/wide4", path, 70_000, dtype="<u4")
+    assert token_files.read_tokens(wide, f"file://{tmp_path}/wide4", dtype="<u4").count() == 600
+
+
 def test_token_query(spark):
     import public_tokenizers
     rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
