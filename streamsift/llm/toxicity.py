@@ -133,6 +133,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, categories: Sequence[str
     for i in range(len(categories)):
         lab = lab.where(F.col(f"y{i}").isNotNull())
     mine = pick(docs, id=key, text=text)
+    lab = lab.join(mine.select("id"), "id", "left_semi")   # labels of other documents take no place in the bound
     lab = lab.orderBy(F.xxhash64("id"), "id").limit(rows)  # bounded by ``rows``
     one = mine.join(F.broadcast(lab), "id").groupBy("id", *[f"y{i}" for i in range(len(categories))]).agg(F.min("text").alias("text"))
 

@@ -50,6 +50,14 @@ def test_chain_held_out(spark):
     assert {r.doc_id for r in left.collect()} == {r.doc_id for r in df.collect()} - flagged
 
 
+def test_labels_without_texts_take_no_place(spark):
+    """The bound on the sample holds for labelled texts that exist."""
+    df = corpus(spark, n=200)
+    labels = df.select("doc_id", "junk", "toxic").unionByName(spark.range(1000, 9000).selectExpr("id doc_id", "0 junk", "0 toxic"))
+    assert toxicity.labelled_sample(df, labels, ["junk", "toxic"], "doc_id", "text", 300).count() == 200
+    assert toxicity.labelled_sample(df, labels, ["junk", "toxic"], "doc_id", "text", 150).count() == 150
+
+
 def test_score_equals_plain_sum(spark):
     """The numpy blocks against word-by-word scoring of the same model."""
     df = corpus(spark, n=300).cache()
