@@ -357,8 +357,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
                      .withColumn("rep", F.monotonically_increasing_id()))
     nodes = groups.where("bytes > 0")
     bands = durable(nodes.select("rep", F.explode(F.array(*[F.xxhash64(F.lit(b), F.substring("sig", b * ROWS * 2 + 1, ROWS * 2)) for b in range(BANDS)])).alias("bkey")))
-    hubs = durable(bands.groupBy("bkey").agg(F.min("rep").alias("hub"), F.max("rep").alias("top"), F.count(F.lit(1)).alias("m")).where("hub != top").drop("top"))
-    members = durable(attach_groups(bands, hubs, "bkey", "m", bands.count()).select("bkey", "rep", "hub"))
+    hubs = bands.groupBy("bkey").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub != top").select("bkey", "hub")
+    members = durable(bands.join(hubs, "bkey"))   # one row a bucket on the right; Spark splits hot buckets of the left
     involved = members.select("rep").distinct().join(nodes.select("rep", "skey", "rid"), "rep")
     sets = durable(sets_of(rows, involved, weighting))
     seen = durable(verify(members.where("rep != hub").select("rep", "hub").distinct(), sets))
