@@ -60,7 +60,8 @@ def _origin_and_runmax(rows: DataFrame, keys: list[str], seq: str, t: str, v: st
 
 def decayed_sums(rows: DataFrame, keys: list[str], seq: str = "seq", t: str = "t", v: str = "v",
                  lam: str = "lam", gap_value: Column | None = None, block: float = BLOCK,
-                 chunk_rows: int = DEFAULT_CHUNK_ROWS, lambdas: list[float] | None = None) -> DataFrame:
+                 chunk_rows: int = DEFAULT_CHUNK_ROWS, lambdas: list[float] | None = None,
+                 carried: str | None = None) -> DataFrame:
     """Adds ``w`` and ``cf1`` (decayed count and sum), and the sums over the
     distance from the stream's first value ``v0``: ``d1`` and ``d2``.
 
@@ -71,6 +72,12 @@ def decayed_sums(rows: DataFrame, keys: list[str], seq: str = "seq", t: str = "t
     ``gap_value`` is true for a row its value is replaced by the jitter
     value max(t - previous running max, 0) (0 for the first row).
 
+    ``carried`` names a column that continues streams: on a row that stands for
+    all earlier rows of its stream it holds their sums struct(w, d1, d2) (with
+    ``lambdas`` an array of them, one per rate), and the row's time and value
+    are the stream's last running maximum and first value. It is null on other
+    rows, and such a row precedes the other rows of its stream.
+
     Exponents are always lam * (difference of nearby times), never of large
     absolute times: rows use their chunk's first time as origin, chunk
     totals are moved to the block's first time, block totals to the next
@@ -88,7 +95,7 @@ def decayed_sums(rows: DataFrame, keys: list[str], seq: str = "seq", t: str = "t
 
     if lambdas is not None:
         base = [k for k in keys if k != lam]
-        return _all_rates(valued(_origin_and_runmax(rows, base, seq, t, v, chunk_rows)), base, seq, v, lam, [float(x) for x in lambdas], block)
+        return _all_rates(valued(_origin_and_runmax(rows, base, seq, t, v, chunk_rows)), base, seq, v, lam, [float(x) for x in lambdas], block, carried)
     d = valued(_origin_and_runmax(rows, keys, seq, t, v, chunk_rows))
     L = F.col(lam)
     d = d.withColumn("_blk", F.floor(L * (F.col("_T") - F.col("_T0")) / F.lit(block)).cast("long"))
@@ -98,8 +105,7 @@ def decayed_sums(rows: DataFrame, keys: list[str], seq: str = "seq", t: str = "t
     ordered = Window.partitionBy(*part).orderBy(seq)
     tc = F.min("_T").over(ordered.rowsBetween(UNB_PREC, Window.unboundedFollowing))
     d = d.withColumn("_tc", tc).withColumn("_e", F.pow(F.lit(2.0), L * (F.col("_T") - F.col("_tc"))))
-    off = F.col(v) - F.col("_v0")
-    xs = [F.col("_e"), off * F.col("_e"), off * off * F.col("_e")]
+    xs = [x * F.col("_e") for x in _terms(F.col(v) - F.col("_v0"), F.col(carried) if carried else None)]
     run = ordered.rowsBetween(UNB_PREC, 0)
     d = d.select(*[c for c in d.columns if c not in ("_T0", "_Tprev")],
                  *[F.sum(x).over(run).alias(f"_r{i}") for i, x in enumerate(xs)])
@@ -115,6 +121,13 @@ def decayed_sums(rows: DataFrame, keys: list[str], seq: str = "seq", t: str = "t
 SUMS = ["w", "d1", "d2"]
 
 
+def _terms(off: Column, held: Column | None) -> list[Column]:
+    """What a row adds to the sums: 1, its distance from the first value and
+    the square, or the sums that it carries."""
+    own = [F.lit(1.0), off, off * off]
+    return own if held is None else [F.when(held.isNotNull(), held[n]).otherwise(x) for n, x in zip(SUMS, own)]
+
+
 def _kept(d: DataFrame, v: str) -> list[str]:
     """Columns of the caller."""
     return [c for c in d.columns if not c.startswith("_") and c != v] + ([v] if v in d.columns else [])
@@ -146,7 +159,8 @@ def _carries(sub: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
                                                   * to_chunk).alias(f"_c{i}") for i in range(3)])
 
 
-def _all_rates(d: DataFrame, keys: list[str], seq: str, v: str, lam: str, lambdas: list[float], block: float) -> DataFrame:
+def _all_rates(d: DataFrame, keys: list[str], seq: str, v: str, lam: str, lambdas: list[float], block: float,
+               carried: str | None = None) -> DataFrame:
     """All rates side by side: rows are shuffled and sorted once, and only the
     small table of chunks is multiplied by the rates.
 
@@ -161,7 +175,8 @@ def _all_rates(d: DataFrame, keys: list[str], seq: str, v: str, lam: str, lambda
     d = d.withColumn("_tc", F.min("_T").over(ordered.rowsBetween(UNB_PREC, Window.unboundedFollowing)))
     d = d.withColumns({f"_e{j}": F.pow(F.lit(2.0), F.lit(x) * (F.col("_T") - F.col("_tc"))) for j, x in enumerate(lambdas)})
     off = F.col(v) - F.col("_v0")
-    terms = {f"{j}_{i}": F.col(f"_e{j}") * x for j in range(len(lambdas)) for i, x in enumerate((F.lit(1.0), off, off * off))}
+    terms = {f"{j}_{i}": F.col(f"_e{j}") * x for j in range(len(lambdas))
+             for i, x in enumerate(_terms(off, F.get(carried, F.lit(j)) if carried else None))}
     d = d.select(*[c for c in d.columns if c != "_Tprev"], *[F.sum(x).over(run).alias(f"_r{n}") for n, x in terms.items()])
     sub = d.groupBy(*part).agg(F.min("_tc").alias("_tc"), F.min("_T0").alias("_T0"), *[F.sum(x).alias(f"_s{n}") for n, x in terms.items()])
     rates = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(x).alias("lam"), *[F.col(f"_s{j}_{i}").alias(f"s{i}") for i in range(3)])
@@ -210,18 +225,35 @@ def pair_stats_2d(rows: DataFrame, src: str, dst: str, lambdas=LAMBDAS, seq: str
     accumulates the residual product with the updated means.
     """
     base = rows.select(seq, t, v, src, dst)
-    roles = base.select(seq, t, v, F.explode(F.array(
-        F.struct(F.lit("o").alias("dir"), F.col(src).alias("k")),
-        F.struct(F.lit("i").alias("dir"), F.col(dst).alias("k")))).alias("_r")).select(seq, t, v, "_r.dir", "_r.k")
-    one = decayed_stats_1d(roles, ["dir", "k"], lambdas, seq, t, v)
+    one = decayed_stats_1d(pair_roles(base, src, dst, seq, t, v), ["dir", "k"], lambdas, seq, t, v)
     from ..session import cut_lineage
     # the per-packet means feed both the residual pass and the output: write once
-    wide = cut_lineage(one.groupBy(seq, "lam")
-                       .agg(*[F.max(F.when(F.col("dir") == d_, F.col(c))).alias(f"{c}_{d_}")
-                              for d_ in ("o", "i") for c in ("mean", "var", "q")]))
-    pr = base.join(wide, seq).withColumn("r", (F.col(v) - F.col("mean_o")) * (F.col(v) - F.col("mean_i")))
-    cov = decayed_sums(pr.withColumn("pk", F.concat_ws("|", F.col(src), F.col(dst))),
-                       ["pk", "lam"], seq, t, "r", "lam")
+    wide = cut_lineage(pair_means(one, seq))
+    return pair_values(decayed_sums(pair_residuals(base, wide, src, dst, seq, t, v), ["pk", "lam"], seq, t, "r", "lam"), seq)
+
+
+def pair_roles(rows: DataFrame, src: str, dst: str, seq: str = "seq", t: str = "t", v: str = "v") -> DataFrame:
+    """(seq, t, v, dir, k): every row once for its sender ("o") and once for
+    its receiver ("i")."""
+    return rows.select(seq, t, v, F.explode(F.array(
+        F.struct(F.lit("o").alias("dir"), F.col(src).alias("k")),
+        F.struct(F.lit("i").alias("dir"), F.col(dst).alias("k")))).alias("_r")).select(seq, t, v, "_r.dir", "_r.k")
+
+
+def pair_means(one: DataFrame, seq: str = "seq") -> DataFrame:
+    """Both roles' mean, var and q of every (seq, lam) side by side."""
+    return one.groupBy(seq, "lam").agg(*[F.max(F.when(F.col("dir") == d_, F.col(c))).alias(f"{c}_{d_}")
+                                         for d_ in ("o", "i") for c in ("mean", "var", "q")])
+
+
+def pair_residuals(base: DataFrame, wide: DataFrame, src: str, dst: str, seq: str = "seq", t: str = "t", v: str = "v") -> DataFrame:
+    """(seq, t, lam, pk, r and the means): residual product of every row."""
+    return (base.join(wide, seq).withColumn("r", (F.col(v) - F.col("mean_o")) * (F.col(v) - F.col("mean_i")))
+            .withColumn("pk", F.concat_ws("|", F.col(src), F.col(dst))))
+
+
+def pair_values(cov: DataFrame, seq: str = "seq") -> DataFrame:
+    """radius, magnitude, cov, pcc from the decayed residual sums."""
     covv = F.col("cf1") / F.col("w")
     return cov.select(seq, "lam",
                       F.sqrt(F.col("var_o") + F.col("var_i")).alias("radius"),

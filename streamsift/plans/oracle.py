@@ -127,6 +127,33 @@ def decay_1d_sql(source: str, key_expr: str, value_expr: str, where: str = "true
            {rnd_sql(var, digits[2])} AS var FROM s"""
 
 
+def _late_cte(source: str, key_expr: str, value_expr: str, delay: float, where: str) -> str:
+    return f"""src AS ({source}),
+    raw AS (SELECT {key_expr} AS k, seq, t, CAST({value_expr} AS DOUBLE) AS v FROM src WHERE {where}),
+    clock AS (SELECT *, max(t) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM raw),
+    timed AS (SELECT *, coalesce(t < seen - {delay!r}, false) AS late FROM clock)"""
+
+
+def expired_sql(source: str, key_expr: str, value_expr: str, ttl: float, delay: float, where: str = "true", digits=(4, 3, 1)) -> str:
+    """Streams without late rows, cut where a row comes more than ``ttl``
+    after the running maximum; then as ``decay_1d_sql``."""
+    mean, var = _mean_var_sql()
+    return f"""WITH {_late_cte(source, key_expr, value_expr, delay, where)},
+    ordered AS (SELECT k, seq, t, v, coalesce(t > max(t) OVER (PARTITION BY k ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+                                          + {ttl!r}, false) AS anew FROM timed WHERE NOT late),
+    lives AS (SELECT k || '#' || sum(CAST(anew AS INT)) OVER (PARTITION BY k ORDER BY seq ROWS UNBOUNDED PRECEDING) AS kl, seq, t, v FROM ordered),
+    base AS (SELECT *, max(t) OVER (PARTITION BY kl ORDER BY seq ROWS UNBOUNDED PRECEDING) AS tmax,
+                    first_value(v) OVER (PARTITION BY kl ORDER BY seq {FIRST}) AS v0 FROM lives),
+    s AS ({_decay_sums_sql('base', 'kl')})
+    SELECT seq, lam, {rnd_sql('w', digits[0])} AS w, {rnd_sql(mean, digits[1])} AS mean,
+           {rnd_sql(var, digits[2])} AS var FROM s"""
+
+
+def late_rows_sql(source: str, key_expr: str, delay: float) -> str:
+    return f"""WITH {_late_cte(source, key_expr, '0', delay, 'true')}
+    SELECT k, count(*) AS late_rows, min(seq) AS first_seq, max(seq) AS last_seq FROM timed WHERE late GROUP BY k"""
+
+
 def decay_2d_sql(source: str, src_expr: str, dst_expr: str, value_expr: str, where: str = "true") -> str:
     """W7 oracle: sender/receiver streams, then the pair's residual products."""
     mo, vo = _mean_var_sql("o.")

@@ -81,7 +81,10 @@ def q_anchored_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = fragments(spark, sf_dir, HOUR_US)
+    return _fragment_rows(fragments(spark, sf_dir, HOUR_US))
+
+
+def _fragment_rows(f: DataFrame) -> DataFrame:
     return f.select("capture_id", F.col("flow.src").alias("src"), F.col("flow.sport").alias("sport"),
                     F.col("flow.dst").alias("dst"), F.col("flow.dport").alias("dport"),
                     F.col("flow.proto").alias("proto"), "window_start_us", F.col("pos").cast("int").alias("pos"),
@@ -571,15 +574,65 @@ def q_grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(float(c), float(s)) for c, s in zip(cs, scores)], "c double, cv_accuracy double")
 
 
-def q_stream_decay_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _epochs(spark: SparkSession, rows: DataFrame, step, states: list[str], parts: int):
+    """A job over ``rows`` replayed in ``parts`` micro-batches."""
+    from ..streaming import epochs as EP
     from ..streaming import online as ON
+    job = EP.Epochs(spark, ON.scratch(spark, "epochs"))
+    EP.run_epochs(ON.replayed(rows, "seq", parts), job, step, states)
+    return job
+
+
+def q_stream_decay_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming import epochs as EP
     rows = _ip_rows(spark, sf_dir).select(F.col("src_ip").alias("k"), "seq", "t", F.col("frame_len").alias("v"))
-    src = ON.scratch(spark, "replay-decay")
-    ON.replay_files(rows, src, "seq", 4)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    out = ON.scratch(spark, "stream-decay")
-    ON.run_available_now(ON.stream_decayed_stats(stream, "k", DC.LAMBDAS), out)
-    return _round_1d(spark.read.parquet(out))
+    return _round_1d(_epochs(spark, rows, EP.decay_step(DC.LAMBDAS), ["streams"], 4).output("stats"))
+
+
+def q_stream_decay_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST2 for pairs: sender, receiver and pair states over four micro-batches."""
+    from ..streaming import epochs as EP
+    rows = _ip_rows(spark, sf_dir).select(F.col("src_ip").alias("src"), F.col("dst_ip").alias("dst"), "seq", "t", F.col("frame_len").alias("v"))
+    d = _epochs(spark, rows, EP.pair_step(DC.LAMBDAS), EP.PAIR_STATES, 4).output("stats")
+    return d.select("seq", "lam", rnd("radius", 3).alias("radius"), rnd("magnitude", 3).alias("magnitude"),
+                    rnd("cov", 1).alias("cov"), rnd("pcc", 3).alias("pcc"))
+
+
+def q_stream_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST1: fragments that go on over micro-batches; the last windows are read
+    from the state."""
+    from ..streaming import epochs as EP
+    labels = TB.label_pairs(spark)
+    job = _epochs(spark, _frames(spark, sf_dir), EP.fragment_step(HOUR_US, MAX_FLOW_LEN, labels), EP.FRAGMENT_STATES, 4)
+    f = job.output("fragments").drop("epoch").unionByName(EP.open_fragments(job, MAX_FLOW_LEN, labels))
+    return _fragment_rows(f)
+
+
+EXPIRY_H, LATE_DAYS, EXPIRY_DAYS = 24.0, 1200.0, 100.0
+
+
+def q_stream_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams that begin anew after a day without rows."""
+    from ..streaming import epochs as EP
+    rows = _ip_rows(spark, sf_dir).select(F.concat_ws("|", "src_ip", "dst_ip").alias("k"), "seq", "t", F.col("frame_len").alias("v"))
+    return _round_1d(_epochs(spark, rows, EP.expiry_step(DC.LAMBDAS, EXPIRY_H, 2.0), EP.EXPIRY_STATES, 4).output("stats"))
+
+
+def _expired_orders(spark: SparkSession, sf_dir: str):
+    from ..streaming import epochs as EP
+    rows = TB.keyed_values_from_orders(spark, sf_dir).withColumnRenamed("key", "k")
+    return _epochs(spark, rows, EP.expiry_step(DC.LAMBDAS, EXPIRY_DAYS, LATE_DAYS), EP.EXPIRY_STATES, 3)
+
+
+def q_stream_expired_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on orders, which come in any order: late ones change nothing."""
+    return _round_1d(_expired_orders(spark, sf_dir).output("stats"), ORDERS_DIGITS)
+
+
+def q_stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The late rows themselves, counted by stream."""
+    return (_expired_orders(spark, sf_dir).output("late").groupBy("k")
+            .agg(F.count(F.lit(1)).alias("late_rows"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")))
 
 
 STREAM_DELAY_US = 2 * HOUR_US
@@ -588,9 +641,7 @@ STREAM_DELAY_US = 2 * HOUR_US
 def q_stream_flow_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming import online as ON
     pk = TB.packets_from_events(spark, sf_dir)
-    src = ON.scratch(spark, "replay-packets")
-    ON.replay_files(pk, src, "seq", 4)
-    stream = spark.readStream.schema(pk.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    stream = ON.replayed(pk, "seq", 4)
     out = ON.scratch(spark, "stream-windows")
     ON.run_available_now(ON.stream_flow_windows(stream, "1 hour", "2 hours", TB.label_pairs(spark)), out)
     r = spark.read.parquet(out)
@@ -696,6 +747,11 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "mlp_report": (q_mlp_report, None),
     "grid_search": (q_grid_search, None),
     "stream_decay_1d": (q_stream_decay_1d, O.decay_1d_sql(_PK, "src_ip", "frame_len", "accepted")),
+    "stream_decay_2d": (q_stream_decay_2d, O.decay_2d_sql(_PK, "src_ip", "dst_ip", "frame_len", "accepted")),
+    "stream_fragments": (q_stream_fragments, O.fragments_sql(HOUR_US, MAX_FLOW_LEN)),
+    "stream_expired": (q_stream_expired, O.expired_sql(_PK, "src_ip || '|' || dst_ip", "frame_len", EXPIRY_H, 2.0, where="accepted")),
+    "stream_expired_late": (q_stream_expired_late, O.expired_sql(TB.keyed_values_from_orders_sql(), "key", "v", EXPIRY_DAYS, LATE_DAYS, digits=ORDERS_DIGITS)),
+    "stream_late_rows": (q_stream_late_rows, O.late_rows_sql(TB.keyed_values_from_orders_sql(), "key", LATE_DAYS)),
     "stream_flow_windows": (q_stream_flow_windows, O.stream_flow_windows_sql(HOUR_US, STREAM_DELAY_US)),
     "merged_captures": (q_merged_captures, """SELECT 'merged' AS capture_id,
         row_number() OVER (ORDER BY event_type, event_id) - 1 AS seq, event_type AS source_capture,

@@ -1,29 +1,22 @@
-"""Structured Streaming versions of the windows, statistics and scores
-(S11, ST1-ST4).
-
-* ``replay_files``: lands a table as ordered Parquet files (one append per
-  seq range) so a file stream replays it in capture order; tests and the
-  registered queries use it with ``trigger(availableNow=True)``: no port,
-  no server.
-* ``stream_decayed_stats``: per-packet decayed statistics with
-  ``applyInPandasWithState`` keyed by stream; inside a micro-batch a key's
-  rows are processed in ``seq`` order and the state carries
-  (CF1, CF2, w, last) per decay rate.  Equal to the batch operator.
+"""Structured Streaming sources, windows and stateless scores (S11, ST3, ST4).
+
+* ``replay_files``: lands a table as files in capture order, a fixed number per
+  part, so that a file stream replays it; tests and the registered queries use
+  it with ``trigger(availableNow=True)``: no port, no server.
 * ``stream_flow_windows``: event-time windows with a watermark; flows are
-  summarised per window and labelled with a broadcast stream-static join.
+  summarised per window and labelled by a stream-static join.
 * ``stream_scores``: the detector's stateless scoring inside a streaming
   projection (``mapInPandas`` works on streams unchanged).
+
+Jobs that keep state over micro-batches are in ``epochs``.
 """
 
 from __future__ import annotations
 
 import uuid
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions import packet as P
 from ..session import checkpoint_dir
@@ -33,77 +26,50 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:10]}"
 
 
-def replay_files(df: DataFrame, path: str, seq: str, parts: int) -> None:
-    """Write ``df`` as ``parts`` successive appends ordered by ``seq``."""
-    bounds = df.agg(F.min(seq).alias("lo"), F.max(seq).alias("hi")).first()
-    lo, hi = int(bounds["lo"]), int(bounds["hi"])
-    step = (hi - lo) // parts + 1
+#: Rows of a replayed file, at least.
+FILE_ROWS = 1000
+
+
+def replay_files(df: DataFrame, path: str, seq: str, parts: int, files: int = 4) -> int:
+    """Write ``df`` as ``parts`` successive appends ordered by ``seq``, each of
+    the same number of files, which is returned: a stream that takes so many
+    files per trigger gets one part per micro-batch. Parts too small for
+    several files have one."""
+    lo, hi = df.agg(F.min(seq), F.max(seq)).first()
+    if lo is None:
+        df.write.mode("append").parquet(path)
+        return 1
+    step = (int(hi) - int(lo)) // parts + 1
+    part = F.floor((F.col(seq) - int(lo)) / step)
+    least = df.groupBy(part).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).first()[0]
+    n = max(1, min(files, least // FILE_ROWS))
     for i in range(parts):
-        a, b = lo + i * step, lo + (i + 1) * step
-        df.where((F.col(seq) >= a) & (F.col(seq) < b)).coalesce(1).write.mode("append").parquet(path)
-
-
-def run_available_now(sdf: DataFrame, out_path: str, mode: str = "append",
-                      state_partitions: int | None = None) -> None:
-    """Process everything available, then stop.  The number of state
-    partitions is fixed when a stateful query first starts; it defaults to
-    twice the cluster's default parallelism instead of the session's batch
-    shuffle setting (streaming gets no adaptive coalescing)."""
-    spark = sdf.sparkSession
-    parts = state_partitions or max(2, 2 * spark.sparkContext.defaultParallelism)
-    old = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
-    try:
-        q = (sdf.writeStream.format("parquet").option("path", out_path)
-             .option("checkpointLocation", out_path + "-ckpt").outputMode(mode)
-             .trigger(availableNow=True).start())
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", old)
-    q.awaitTermination()
-
-
-STATE_SCHEMA = "v0 double, cf1 array<double>, cf2 array<double>, w array<double>, last array<double>"
-
-
-def stream_decayed_stats(stream: DataFrame, key: str, lambdas: list[float], jitter: bool = False) -> DataFrame:
-    """ST2: (key, seq, t, v) stream -> (seq, lam, w, mean, var) in append mode."""
-    lams = np.asarray(lambdas, dtype=np.float64)
-
-    def update(k, batches, state):
-        pdf = pd.concat(list(batches)).sort_values("seq")
-        if state.exists:
-            v0 = float(state.get[0])
-            cf1, cf2, w, last = (np.asarray(a, dtype=np.float64) for a in state.get[1:])
-        else:
-            t0, v0 = float(pdf["t"].iloc[0]), 0.0 if jitter else float(pdf["v"].iloc[0])
-            cf1, cf2, w, last = np.zeros(len(lams)), np.zeros(len(lams)), np.full(len(lams), 1e-20), np.full(len(lams), t0)
-        seqs, ws, means, vars_ = [], [], [], []
-        for s, t, v in zip(pdf["seq"].to_numpy(), pdf["t"].to_numpy(), pdf["v"].to_numpy()):
-            if jitter:
-                v = max(t - last[0], 0.0)
-            dt = t - last
-            f = np.where(dt > 0, np.power(2.0, -lams * np.maximum(dt, 0.0)), 1.0)
-            off = v - v0   # sums over the distance from the first value keep their digits
-            cf1, cf2, w = cf1 * f + off, cf2 * f + off * off, w * f + 1.0
-            last = np.where(dt > 0, t, last)
-            m = cf1 / w
-            seqs.append(np.full(len(lams), s))
-            ws.append(w.copy())
-            means.append(v0 + m)
-            vars_.append(np.abs(cf2 / w - m * m))
-        state.update((v0, cf1.tolist(), cf2.tolist(), w.tolist(), last.tolist()))
-        yield pd.DataFrame({"seq": np.concatenate(seqs), "lam": np.tile(lams, len(seqs)),
-                            "w": np.concatenate(ws), "mean": np.concatenate(means), "var": np.concatenate(vars_)})
-
-    return stream.groupBy(key).applyInPandasWithState(
-        update, "seq long, lam double, w double, mean double, var double", STATE_SCHEMA, "append",
-        GroupStateTimeout.NoTimeout)
+        rows = df.where(part == i)
+        (rows.coalesce(1) if n == 1 else rows.repartition(n)).write.mode("append").parquet(path)
+    return n
+
+
+def replayed(df: DataFrame, seq: str, parts: int) -> DataFrame:
+    """A stream over ``df`` with one micro-batch per part."""
+    path = scratch(df.sparkSession, "replay")
+    n = replay_files(df, path, seq, parts)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", n).parquet(path)
+
+
+def run_available_now(sdf: DataFrame, out_path: str, mode: str = "append") -> None:
+    """Process everything available, then stop. A stateful query has as many
+    state partitions as the session has shuffle partitions when it first
+    starts."""
+    (sdf.writeStream.format("parquet").option("path", out_path)
+     .option("checkpointLocation", out_path + "-ckpt").outputMode(mode)
+     .trigger(availableNow=True).start().awaitTermination())
 
 
 def stream_flow_windows(stream: DataFrame, width: str, delay: str, labels: DataFrame | None = None) -> DataFrame:
     """ST1/ST4: per event-time window and direction-free flow: packets,
     bytes, first seq; rows later than the watermark are dropped by Spark.
-    Labels come from a broadcast stream-static join on the flow's endpoints."""
+    Labels come from a stream-static join on the flow's endpoints (broadcast
+    by Spark if the table is small)."""
     t = P.five_tuple(F.col("src_ip"), F.col("src_port"), F.col("dst_ip"), F.col("dst_port"), F.col("ip_proto"))
     k = P.canonical_tuple(t)
     d = (stream.where(F.col("accepted")).withColumn("ts", F.timestamp_micros("ts_us"))
@@ -115,7 +81,7 @@ def stream_flow_windows(stream: DataFrame, width: str, delay: str, labels: DataF
                    F.col("flow.dport").alias("dport"), F.col("flow.proto").alias("proto"),
                    F.col("packets").cast("long").alias("packets"), "bytes", "first_seq")
     if labels is not None:
-        lab = F.broadcast(labels.select(F.col("src").alias("_s"), F.col("dst").alias("_d"), F.col("label").alias("_l")))
+        lab = labels.select(F.col("src").alias("_s"), F.col("dst").alias("_d"), F.col("label").alias("_l"))
         out = (out.join(lab, (F.col("src") == F.col("_s")) & (F.col("dst") == F.col("_d")), "left")
                .withColumn("label", F.coalesce("_l", F.lit(0))).drop("_s", "_d", "_l"))
     return out
@@ -125,33 +91,3 @@ def stream_scores(stream: DataFrame, score_fn) -> DataFrame:
     """ST3: apply a stateless scoring function (e.g. ``detector.score``
     bound to a trained model) to a stream."""
     return score_fn(stream)
-
-
-def classify_micro_batches(stream: DataFrame, out_path: str, width_us: int, max_flow_len: int,
-                           mins: list[float], maxs: list[float], params: dict, labels: DataFrame | None = None,
-                           checkpoint: str | None = None):
-    """ST1: every micro-batch of frames (flow feature rows) is cut into
-    anchored windows and fragments with the batch operators, scaled, padded,
-    classified with a trained CNN and reported (one report row per batch,
-    appended to ``out_path``); labels, when given, come from the broadcast
-    pair table (ST4).  Returns the started query."""
-    from ..operators import cnn as CN
-    from ..operators import dataset as DS
-    from ..operators import flows as FL
-    from ..operators import metrics as MT
-
-    def per_batch(bdf: DataFrame, epoch: int) -> None:
-        if bdf.isEmpty():
-            return
-        frag = FL.build_fragments(bdf, width_us, max_flow_len, labels=labels)
-        samples = DS.to_samples(DS.pad_long(DS.normalize(frag, mins, maxs), max_flow_len), max_flow_len)
-        keyed = samples.withColumn("sample_id", F.concat_ws("|", F.col("flow.src"), F.col("flow.dst"),
-                                                            F.col("window_start_us").cast("string")))
-        preds = CN.predict_cnn(keyed, params, ["sample_id", "set_y"]).withColumnRenamed("set_y", "label")
-        rep = MT.confusion_report(preds.withColumn("model", F.lit("cnn")).withColumn("source", F.lit(f"batch-{epoch}")),
-                                  ["model", "source"])
-        rep.withColumn("epoch", F.lit(int(epoch))).write.mode("append").parquet(out_path)
-
-    return (stream.writeStream.foreachBatch(per_batch)
-            .option("checkpointLocation", checkpoint or out_path + "-ckpt")
-            .trigger(availableNow=True).start())
