@@ -26,10 +26,12 @@ stream gives exactly 0, and a large common offset does not cancel digits.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .prefix import DEFAULT_CHUNK_ROWS, UNB_PREC, int_div
+from .prefix import DEFAULT_CHUNK_ROWS, UNB_PREC, int_div, last_known, prefix_sum, running_max
 
 # Fixed values of the statistics pipeline: the default decay rates.
 LAMBDAS = [5.0, 3.0, 1.0, 0.1, 0.01]
@@ -61,7 +63,7 @@ def _origin_and_runmax(rows: DataFrame, keys: list[str], seq: str, t: str, v: st
 def decayed_sums(rows: DataFrame, keys: list[str], seq: str = "seq", t: str = "t", v: str = "v",
                  lam: str = "lam", gap_value: Column | None = None, block: float = BLOCK,
                  chunk_rows: int = DEFAULT_CHUNK_ROWS, lambdas: list[float] | None = None,
-                 carried: str | None = None) -> DataFrame:
+                 carried: str | None = None, wide: bool = False) -> DataFrame:
     """Adds ``w`` and ``cf1`` (decayed count and sum), and the sums over the
     distance from the stream's first value ``v0``: ``d1`` and ``d2``.
 
@@ -72,6 +74,11 @@ def decayed_sums(rows: DataFrame, keys: list[str], seq: str = "seq", t: str = "t
     ``gap_value`` is true for a row its value is replaced by the jitter
     value max(t - previous running max, 0) (0 for the first row).
 
+    With ``wide`` (and ``lambdas``) a row stays one row: ``w``, ``d1`` and
+    ``d2`` are arrays in the order of the rates, and there is no ``cf1``. The
+    value column may then itself be an array with one value per rate; ``v0``
+    is of its type.
+
     ``carried`` names a column that continues streams: on a row that stands for
     all earlier rows of its stream it holds their sums struct(w, d1, d2) (with
     ``lambdas`` an array of them, one per rate), and the row's time and value
@@ -95,7 +102,7 @@ def decayed_sums(rows: DataFrame, keys: list[str], seq: str = "seq", t: str = "t
 
     if lambdas is not None:
         base = [k for k in keys if k != lam]
-        return _all_rates(valued(_origin_and_runmax(rows, base, seq, t, v, chunk_rows)), base, seq, v, lam, [float(x) for x in lambdas], block, carried)
+        return _all_rates(valued(_origin_and_runmax(rows, base, seq, t, v, chunk_rows)), base, seq, v, lam, [float(x) for x in lambdas], block, carried, wide)
     d = valued(_origin_and_runmax(rows, keys, seq, t, v, chunk_rows))
     L = F.col(lam)
     d = d.withColumn("_blk", F.floor(L * (F.col("_T") - F.col("_T0")) / F.lit(block)).cast("long"))
@@ -160,7 +167,7 @@ def _carries(sub: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def _all_rates(d: DataFrame, keys: list[str], seq: str, v: str, lam: str, lambdas: list[float], block: float,
-               carried: str | None = None) -> DataFrame:
+               carried: str | None = None, wide: bool = False) -> DataFrame:
     """All rates side by side: rows are shuffled and sorted once, and only the
     small table of chunks is multiplied by the rates.
 
@@ -174,9 +181,10 @@ def _all_rates(d: DataFrame, keys: list[str], seq: str, v: str, lam: str, lambda
     run = ordered.rowsBetween(UNB_PREC, 0)
     d = d.withColumn("_tc", F.min("_T").over(ordered.rowsBetween(UNB_PREC, Window.unboundedFollowing)))
     d = d.withColumns({f"_e{j}": F.pow(F.lit(2.0), F.lit(x) * (F.col("_T") - F.col("_tc"))) for j, x in enumerate(lambdas)})
-    off = F.col(v) - F.col("_v0")
+    many = dict(d.dtypes)[v].startswith("array")
+    off = [F.get(v, F.lit(j)) - F.get("_v0", F.lit(j)) if many else F.col(v) - F.col("_v0") for j in range(len(lambdas))]
     terms = {f"{j}_{i}": F.col(f"_e{j}") * x for j in range(len(lambdas))
-             for i, x in enumerate(_terms(off, F.get(carried, F.lit(j)) if carried else None))}
+             for i, x in enumerate(_terms(off[j], F.get(carried, F.lit(j)) if carried else None))}
     d = d.select(*[c for c in d.columns if c != "_Tprev"], *[F.sum(x).over(run).alias(f"_r{n}") for n, x in terms.items()])
     sub = d.groupBy(*part).agg(F.min("_tc").alias("_tc"), F.min("_T0").alias("_T0"), *[F.sum(x).alias(f"_s{n}") for n, x in terms.items()])
     rates = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(x).alias("lam"), *[F.col(f"_s{j}_{i}").alias(f"s{i}") for i in range(3)])
@@ -187,6 +195,10 @@ def _all_rates(d: DataFrame, keys: list[str], seq: str, v: str, lam: str, lambda
     carry = (_carries(long, [*keys, "_j"], ["_cut", "_ch"]).groupBy(*part)
              .agg(*[F.max(F.when(F.col("_j") == j, F.col(f"_c{i}"))).alias(f"_c{j}_{i}") for j in range(len(lambdas)) for i in range(3)]))
     d = d.join(carry, part, "left")
+    if wide:
+        return d.select(*_kept(d, v), F.col("_v0").alias("v0"),
+                        *[F.array(*[(F.col(f"_r{j}_{i}") + F.col(f"_c{j}_{i}")) / F.col(f"_e{j}") for j in range(len(lambdas))]).alias(n)
+                          for i, n in enumerate(SUMS)])
     per = F.explode(F.array(*[F.struct(F.lit(x).alias("lam"), *[((F.col(f"_r{j}_{i}") + F.col(f"_c{j}_{i}")) / F.col(f"_e{j}")).alias(n)
                                                                 for i, n in enumerate(SUMS)]) for j, x in enumerate(lambdas)]))
     out = _kept(d, v)
@@ -224,12 +236,26 @@ def pair_stats_2d(rows: DataFrame, src: str, dst: str, lambdas=LAMBDAS, seq: str
     tables), both updated with the row's value; then the pair (src, dst)
     accumulates the residual product with the updated means.
     """
-    base = rows.select(seq, t, v, src, dst)
-    one = decayed_stats_1d(pair_roles(base, src, dst, seq, t, v), ["dir", "k"], lambdas, seq, t, v)
     from ..session import cut_lineage
+    lambdas = [float(x) for x in lambdas]
+    n = range(len(lambdas))
+    base = rows.select(seq, t, v, src, dst)
+    one = decayed_sums(pair_roles(base, src, dst, seq, t, v), ["dir", "k", "lam"], seq, t, v, "lam", lambdas=lambdas, wide=True)
+    m = [F.col("d1")[j] / F.col("w")[j] for j in n]
+    own = F.struct(F.array(*[F.col("v0") + x for x in m]).alias("mean"), F.array(*[F.abs(F.col("d2")[j] / F.col("w")[j] - m[j] * m[j]) for j in n]).alias("var"),
+                   F.array(*[F.col("d2")[j] / F.col("w")[j] for j in n]).alias("q"))
+    sides = one.select(seq, "dir", own.alias("s")).groupBy(seq).agg(*[F.first(F.when(F.col("dir") == x, F.col("s")), ignorenulls=True).alias(f"_{x}") for x in "oi"])
     # the per-packet means feed both the residual pass and the output: write once
-    wide = cut_lineage(pair_means(one, seq))
-    return pair_values(decayed_sums(pair_residuals(base, wide, src, dst, seq, t, v), ["pk", "lam"], seq, t, "r", "lam"), seq)
+    wide = cut_lineage(base.join(sides, seq).select(seq, F.col(t).alias("t"), F.concat_ws("|", src, dst).alias("pk"), F.col(v).alias("x"), F.col("_o").alias("o"), F.col("_i").alias("i")))
+    o, i = F.col("o"), F.col("i")
+    r = F.array(*[(F.col("x") - o["mean"][j]) * (F.col("x") - i["mean"][j]) for j in n])
+    cov = decayed_sums(wide.select(seq, "t", "pk", "o", "i", r.alias("r")), ["pk", "lam"], seq, "t", "r", "lam", lambdas=lambdas, wide=True)
+    c = [F.col("v0")[j] + F.col("d1")[j] / F.col("w")[j] for j in n]
+    per = F.explode(F.array(*[F.struct(
+        F.lit(lam).alias("lam"), F.sqrt(o["var"][j] + i["var"][j]).alias("radius"),
+        F.sqrt(o["mean"][j] * o["mean"][j] + i["mean"][j] * i["mean"][j]).alias("magnitude"), c[j].alias("cov"),
+        correlation(c[j], o["var"][j], o["q"][j], i["var"][j], i["q"][j]).alias("pcc")) for j, lam in enumerate(lambdas)]))
+    return cov.select(seq, per.alias("_y")).select(seq, "_y.*")
 
 
 def pair_roles(rows: DataFrame, src: str, dst: str, seq: str = "seq", t: str = "t", v: str = "v") -> DataFrame:
@@ -263,14 +289,20 @@ def pair_values(cov: DataFrame, seq: str = "seq") -> DataFrame:
 
 
 def rolling_mean(rows: DataFrame, k: int, by: list[str], seq: str = "seq", v: str = "v",
-                 out: str = "rollmean") -> DataFrame:
+                 out: str = "rollmean", chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """Mean of the last k values with a zero start (always divides by k).
 
-    The frame is bounded (k rows) but partitioned by ``by``; pass a chunk
-    column in ``by`` with a k-row overlap for very hot keys.
+    A stream is cut into chunks by place; every chunk also receives the last
+    k - 1 rows of the one before, so that frames end inside it and no task
+    holds a stream.
     """
-    w = Window.partitionBy(*by).orderBy(seq).rowsBetween(-(k - 1), 0)
-    return rows.withColumn(out, F.sum(v).over(w) / F.lit(float(k)))
+    size = max(int(chunk_rows), k)
+    d = prefix_sum(rows.withColumn("_one", F.lit(1)), by, [seq], "_one", "_pos", int_div(seq, size), exclusive=True).drop("_one")
+    chunk = int_div("_pos", size)
+    also = F.when(F.lit(k > 1) & (F.pmod(F.col("_pos"), F.lit(size)) >= size - (k - 1)), F.array(chunk, chunk + 1)).otherwise(F.array(chunk))
+    d = d.withColumn("_own", chunk).withColumn("_chunk", F.explode(also))
+    w = Window.partitionBy(*by, "_chunk").orderBy("_pos").rowsBetween(-(k - 1), 0)
+    return d.withColumn(out, F.sum(v).over(w) / F.lit(float(k))).where("_chunk = _own").drop("_own", "_chunk", "_pos")
 
 
 def latest_state(stats: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
@@ -295,20 +327,122 @@ def nd_stats(state: DataFrame, group: list[str]) -> DataFrame:
                                      F.sqrt(F.sum(F.col("mean") * F.col("mean"))).alias("magnitude"))
 
 
-def decayed_histogram(rows: DataFrame, keys: list[str], lo: float, hi: float, bins: int,
-                      lambdas=LAMBDAS, seq: str = "seq", t: str = "t", v: str = "v") -> DataFrame:
-    """W11 (plain mode): per row, the decayed weight of its bin and of the
-    tallest bin of the stream, and the score ln(W_tallest/W_bin).
-
-    Out-of-range values are not inserted and score +inf (null bins).
-    Bin weights are decayed prefix sums keyed by (stream, bin); the tallest
-    bin is read from the latest state of each bin at the row's time.
+def learned_bounds(rows: DataFrame, keys: list[str], grace: int, seq: str = "seq", v: str = "v",
+                   chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+    """Adds ``pos`` (1-based place in the stream) and the bounds ``lo``, ``hi``
+    learned from the first ``grace - 1`` values, widened by their width on each
+    side; a stream whose first values are all equal gets no bounds (null)."""
+    d = prefix_sum(rows.withColumn("_one", F.lit(1)), keys, [seq], "_one", "pos", int_div(seq, chunk_rows), exclusive=False).drop("_one")
+    lo, hi = F.min(v), F.max(v)
+    wide = (d.where(F.col("pos") < grace).groupBy(*keys).agg(lo.alias("_lo"), hi.alias("_hi"))
+            .select(*keys, *[F.when(F.col("_hi") > F.col("_lo"), e).alias(n)
+                             for n, e in (("lo", F.col("_lo") * 2 - F.col("_hi")), ("hi", F.col("_hi") * 2 - F.col("_lo")))]))
+    return d.join(wide, keys, "left")
+
+
+def histogram_score(rows: DataFrame, keys: list[str], bins: int, lo: float | None = None, hi: float | None = None, grace: int | None = None,
+                    window: int = 0, lambdas=LAMBDAS, seq: str = "seq", t: str = "t", v: str = "v",
+                    low_is_anomaly: bool = True, high_is_anomaly: bool = True) -> DataFrame:
+    """(keys, seq, lam, bin, score) of every row after it was inserted.
+
+    Score ``ln(tallest / own)``: decayed weight of the stream's tallest bin
+    over that of the row's bin (mean over the bins at most ``window`` away that
+    exist). Bounds are given (``lo``, ``hi``), or learned from the first
+    ``grace`` rows of a stream, which score 0 and are not inserted, like all
+    rows of a stream that has no bounds. A value outside the bounds is not
+    inserted and scores infinity (0 where that side is no anomaly).
+
+    All bins decay alike, so weights are compared at any common time: with
+    L = log2(weight) + lam * (time of the bin), a row's L only grows inside its
+    bin, the tallest bin is the running maximum of L over the stream's rows,
+    and a score needs no decay. Two scans in chunks; no stream sits in a task.
+    """
+    if (grace is None) == (lo is None or hi is None):
+        raise ValueError("give either both bounds or the number of rows to learn them from")
+    d = rows.select(*keys, seq, t, F.col(v).cast("double").alias("val"))
+    if grace is None:
+        d = d.withColumns({"lo": F.lit(float(lo)), "hi": F.lit(float(hi)), "pos": F.lit(1)})
+    else:
+        d = learned_bounds(d, keys, grace, seq, "val")
+    raw = F.floor((F.col("val") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / F.lit(bins))).cast("long")
+    d = d.withColumn("raw", F.when(F.col("pos") > (grace or 0), raw))
+    from ..session import cut_lineage
+    d = cut_lineage(d.withColumn("bin", F.when((F.col("raw") >= 0) & (F.col("raw") < bins), F.col("raw").cast("int"))))
+    start = d.groupBy(*keys).agg(F.min(t).alias("_t0"))
+    ins = running_max(d.where("bin is not null").select(*keys, "bin", seq, t, F.lit(1.0).alias("one")), [*keys, "bin"], seq, t, "upto")
+    sums = decayed_sums(ins, [*keys, "bin", "lam"], seq, t, "one", "lam", lambdas=lambdas).join(start, keys)
+    level = F.log2("w") + F.col("lam") * (F.col("upto") - F.col("_t0"))
+    known = cut_lineage(sums.select(*keys, "bin", seq, "lam", level.alias("level")))
+    scored = running_max(known, [*keys, "lam"], seq, "level", "top")
+    if window == 0:
+        own = F.col("top") - F.col("level")
+        scored = scored.select(*keys, seq, "lam", (own * F.lit(math.log(2.0))).alias("score"))
+    else:
+        # the row's neighbours as they stand: the last level of each bin nearby
+        off = F.array(*[F.lit(k) for k in range(-window, window + 1)])
+        asked = (scored.select(*keys, seq, "lam", "level", "top", F.explode(off).alias("o"), "bin")
+                 .withColumn("bin", F.col("bin") + F.col("o")).where((F.col("bin") >= 0) & (F.col("bin") < bins)))
+        asked = last_known(asked.withColumn("own", F.when(F.col("o") == 0, F.col("level"))), [*keys, "bin", "lam"], seq, {"before": F.col("own")})
+        weight = F.pow(F.lit(2.0), F.coalesce("own", "before") - F.col("top"))
+        scored = (asked.groupBy(*keys, seq, "lam").agg((F.sum(F.coalesce(weight, F.lit(0.0))) / F.count(F.lit(1))).alias("m"))
+                  .select(*keys, seq, "lam", (-F.log("m")).alias("score")))
+    inf = F.lit(float("inf"))
+    outside = (F.when(F.col("raw") < 0, inf if low_is_anomaly else F.lit(0.0)).when(F.col("raw") >= bins, inf if high_is_anomaly else F.lit(0.0))
+               .otherwise(F.lit(0.0)))
+    rest = d.where("bin is null").select(*keys, seq, F.explode(F.array(*[F.lit(float(x)) for x in lambdas])).alias("lam"), F.lit(None).cast("int").alias("bin"), outside.alias("score"))
+    return d.select(*keys, seq, "bin").join(scored, [*keys, seq]).select(*keys, seq, "lam", "bin", "score").unionByName(rest)
+
+
+def extrapolated_cov(rows: DataFrame, pair: list[str], side: str, lambdas=LAMBDAS, seq: str = "seq", t: str = "t", v: str = "v") -> DataFrame:
+    """(pair, seq, lam, cov) of two streams that are never sampled at the
+    same time. ``side`` tells a pair's streams apart (false, true).
+
+    A row adds (v - own mean) * (x - other mean): x is the other stream's value
+    extrapolated to the row's time by the polynomial through its last three
+    points. x is 0 before the other stream begins, its only value while it has
+    one, and its last value where the row is more than ten mean gaps away or
+    two of the points share a time. Means are the decayed means after the last
+    update of each stream; cov is the decayed mean of the products.
     """
-    width = (hi - lo) / bins
-    binc = F.when((F.col(v) >= lo) & (F.col(v) <= hi),
-                  F.least(F.floor((F.col(v) - F.lit(lo)) / F.lit(width)).cast("int"), F.lit(bins - 1)))
-    d = rows.withColumn("bin", binc)
-    ins = d.where(F.col("bin").isNotNull()).withColumn("one", F.lit(1.0))
-    ex = ins.withColumn("lam", F.explode(F.array(*[F.lit(float(x)) for x in lambdas])))
-    sums = decayed_sums(ex, [*keys, "bin", "lam"], seq, t, "one", "lam")
-    return sums.select(*keys, "bin", seq, t, "lam", F.col("w").alias("bin_weight"))
+    from ..session import cut_lineage
+    lambdas = [float(x) for x in lambdas]
+    base = rows.select(*pair, side, seq, t, F.col(v).cast("double").alias("val"))
+    one = decayed_stats_1d(base, [*pair, side], lambdas, seq, t, "val")
+    rate = F.array_position(F.array(*[F.lit(x) for x in lambdas]), F.col("lam"))
+    means = one.groupBy(seq).agg(F.transform(F.sort_array(F.collect_list(F.struct(rate.alias("i"), "mean"))), lambda x: x["mean"]).alias("means"))
+    point = F.struct(F.col(t).alias("t"), F.col("val").alias("v"))
+    d = last_known(base, [*pair, side], seq, {"p2": point})
+    d = last_known(d, [*pair, side], seq, {"p3": F.col("p2")})
+    d = cut_lineage(d.join(means, seq))
+    mine = F.struct(point.alias("p1"), "p2", "p3", "means")
+    d = last_known(d, pair, seq, {"left": F.when(~F.col(side), mine), "right": F.when(F.col(side), mine)})
+    o = F.when(F.col(side), F.col("left")).otherwise(F.col("right"))
+    d = d.withColumn("other", o).withColumn("x", _extrapolate(F.col(t), F.col("other")))
+    per = F.explode(F.array(*[F.struct(F.lit(x).alias("lam"), ((F.col("val") - F.col("means")[i])
+                                                                * (F.col("x") - F.coalesce(F.col("other.means")[i], F.lit(0.0)))).alias("r")) for i, x in enumerate(lambdas)]))
+    products = d.select(*pair, seq, t, per.alias("_p")).select(*pair, seq, t, "_p.lam", "_p.r")
+    sums = decayed_sums(products, [*pair, "lam"], seq, t, "r", "lam")
+    return sums.select(*pair, seq, "lam", (F.col("cf1") / F.col("w")).alias("cov"))
+
+
+def _extrapolate(now: Column, other: Column) -> Column:
+    """Value of the other stream at ``now`` from its points p1 (last), p2, p3."""
+    p = [other["p1"], other["p2"], other["p3"]]
+    ts = [x["t"] for x in p]
+
+    def through(points: list[int]) -> Column:
+        total = F.lit(0.0)
+        for i in points:
+            y = p[i]["v"]
+            for j in points:
+                if i != j:
+                    y = y * ((now - ts[j]) / (ts[i] - ts[j]))
+            total = total + y
+        return total
+
+    last = p[0]["v"]
+    far2, far3 = (now - ts[0]) > 10 * (ts[0] - ts[1]), (now - ts[0]) > 10 * (ts[0] - ts[2]) / 2
+    same3 = (ts[0] == ts[1]) | (ts[1] == ts[2]) | (ts[0] == ts[2])
+    return (F.when(other.isNull(), F.lit(0.0)).when(p[1].isNull(), last)
+            .when(p[2].isNull(), F.when(far2 | (ts[0] == ts[1]), last).otherwise(through([0, 1])))
+            .when(far3 | same3, last).otherwise(through([0, 1, 2])))

@@ -105,13 +105,25 @@ def apply_labels(d: DataFrame, labels: DataFrame | None) -> DataFrame:
             .drop("_ls", "_ld", "_lab"))
 
 
-def label_nets(spark: SparkSession, specs: list[tuple[str, str]], label: int = 1) -> DataFrame:
-    """J2 for networks: (attacker, victim) IPs or CIDRs -> prefix rows.
+# Attackers and victims of the public capture datasets.
+PRESETS = {
+    "DOS2017": (["172.16.0.1"], ["192.168.10.50"]),
+    "DOS2018": (["18.218.115.60", "18.219.9.1", "18.219.32.43", "18.218.55.126", "52.14.136.135", "18.219.5.43", "18.216.200.189",
+                 "18.218.229.235", "18.218.11.51", "18.216.24.42"], ["18.218.83.150", "172.31.69.28"]),
+    "SYN2020": (["11.0.0.0/24"], ["10.42.0.2"]),
+    "DOS2019": (["172.16.0.5"], ["192.168.50.1", "192.168.50.4"]),
+}
 
-    Instead of listing hosts, each side is kept as (prefix length, network
-    number, first host, last host) so the lookup is an equi-join on the
-    network number at each distinct prefix length (``labels_for_pairs``).
-    """
+
+def preset_nets(spark: SparkSession, dataset: str, label: int = 1) -> DataFrame:
+    """The label specs of a known dataset."""
+    attackers, victims = PRESETS[dataset]
+    return label_nets(spark, [(a, v) for a in attackers for v in victims], label)
+
+
+def label_nets(spark: SparkSession, specs: list[tuple[str, str]], label: int = 1) -> DataFrame:
+    """J2 for networks: (attacker, victim) IPs or CIDRs -> one row per spec with
+    both sides as (prefix length, network number, first host, last host)."""
     rows = list(dict.fromkeys((*_net_row(att), *_net_row(vic), int(label)) for att, vic in specs))
     return spark.createDataFrame(rows, "a_len int, a_net long, a_lo long, a_hi long, "
                                        "v_len int, v_net long, v_lo long, v_hi long, label int")
@@ -127,29 +139,34 @@ def _net_row(spec: str) -> tuple[int, int, int, int]:
 
 
 def labels_for_pairs(pairs: DataFrame, nets: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """Label (src, dst) pairs against CIDR specs, both directions, default 0.
-
-    The distinct prefix lengths (at most 33 per side) drive one equi-join per
-    length pair on the shifted address; no range or cross join.
+    """Label (src, dst) pairs against CIDR specs, both directions: the largest
+    label of the specs that hold, default 0. All columns of ``pairs`` stay, also
+    of pairs that repeat.
+
+    The number of joins does not depend on the specs: every distinct address
+    is looked up once under its 33 prefixes, which gives the networks of the
+    specs that hold it (at most 33), and the networks of a pair's two ends meet
+    the specs in one equi-join.
     """
-    side = ["a_len", "a_net", "a_lo", "a_hi", "v_len", "v_net", "v_lo", "v_hi"]
-    nets = nets.groupBy(*side).agg(F.max("label").alias("label"))  # specs may repeat
-    lens = [(r["a_len"], r["v_len"]) for r in nets.select("a_len", "v_len").distinct().collect()]
-    s, t = P.ipv4_to_long(F.col(src)), P.ipv4_to_long(F.col(dst))
-    out = pairs.withColumn("_s", s).withColumn("_t", t).withColumn("label", F.lit(0))
-    for al, vl in lens:
-        n = nets.where((F.col("a_len") == al) & (F.col("v_len") == vl))
-        for x, y in (("_s", "_t"), ("_t", "_s")):
-            cond = ((F.shiftright(F.col(x), 32 - al) == F.col("a_net")) & (F.col(x) >= F.col("a_lo"))
-                    & (F.col(x) <= F.col("a_hi"))
-                    & (F.shiftright(F.col(y), 32 - vl) == F.col("v_net")) & (F.col(y) >= F.col("v_lo"))
-                    & (F.col(y) <= F.col("v_hi")))
-            hit = out.join(n.select("a_net", "a_lo", "a_hi", "v_net", "v_lo", "v_hi",
-                                    F.col("label").alias("_l")), cond, "left")
-            out = (hit.withColumn("label", F.when(F.col("label") == 0, F.coalesce("_l", F.lit(0)))
-                                  .otherwise(F.col("label")))
-                   .drop("a_net", "a_lo", "a_hi", "v_net", "v_lo", "v_hi", "_l"))
-    return out.drop("_s", "_t")
+    from ..session import cut_lineage
+    side = ["len", "net", "lo", "hi"]
+    ends = F.explode(F.array(*[F.struct(*[F.col(f"{x}_{c}").alias(c) for c in side]) for x in "av"])).alias("n")
+    known = nets.select(ends).select("n.*").distinct()
+    d = cut_lineage(pairs.withColumn("_s", P.ipv4_to_long(F.col(src))).withColumn("_t", P.ipv4_to_long(F.col(dst))))
+    both = d.select("_s", "_t").distinct()
+    address = both.select(F.explode(F.array("_s", "_t")).alias("ip")).distinct().where("ip is not null")
+    prefix = address.select("ip", F.explode(F.sequence(F.lit(0), F.lit(32))).alias("len")).withColumn("net", F.expr("shiftright(ip, 32 - len)"))
+    held = (prefix.join(known, ["len", "net"]).where("ip between lo and hi")
+            .groupBy("ip").agg(F.collect_set(F.struct("len", "net")).alias("nets")))   # at most 33
+    spec = nets.groupBy("a_len", "a_net", "v_len", "v_net").agg(F.max("label").alias("_l"))
+    pair = (both.join(held.select(F.col("ip").alias("_s"), F.col("nets").alias("of_s")), "_s")
+            .join(held.select(F.col("ip").alias("_t"), F.col("nets").alias("of_t")), "_t")
+            .select("_s", "_t", "of_t", F.explode("of_s").alias("x")).select("_s", "_t", "x", F.explode("of_t").alias("y")))
+    ways = F.explode(F.array(*[F.struct(a["len"].alias("a_len"), a["net"].alias("a_net"), b["len"].alias("v_len"), b["net"].alias("v_net"))
+                               for a, b in ((F.col("x"), F.col("y")), (F.col("y"), F.col("x")))]))
+    label = (pair.select("_s", "_t", ways.alias("w")).select("_s", "_t", "w.*").join(spec, ["a_len", "a_net", "v_len", "v_net"])
+             .groupBy("_s", "_t").agg(F.max("_l").alias("_l")))
+    return (d.join(label, ["_s", "_t"], "left").select(*pairs.columns, F.coalesce("_l", F.lit(0)).cast("int").alias("label")))
 
 
 def filter_traffic(d: DataFrame, traffic_type: str) -> DataFrame:

@@ -63,3 +63,31 @@ def prefix_sum(df: DataFrame, by: list[str], order: list[str], value: str, out:
     frame = w.rowsBetween(UNB_PREC, -1) if exclusive else w.rowsBetween(UNB_PREC, 0)
     d = d.withColumn(out, F.col("_carry") + F.coalesce(F.sum(value).over(frame), F.lit(0)))
     return d.drop("_bk", "_carry")
+
+
+def last_known(df: DataFrame, by: list[str], order: str, values: dict[str, Column], chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+    """Per row and ``out -> value``: the last non-null value of the earlier
+    rows of its ``by`` group in ``order`` (null if there is none)."""
+    d = df.withColumn("_ch", int_div(order, chunk_rows)).withColumns({f"_v_{o}": v for o, v in values.items()})
+    earlier = Window.partitionBy(*by).orderBy("_ch").rowsBetween(UNB_PREC, -1)
+    carry = (d.groupBy(*by, "_ch").agg(*[F.max_by(f"_v_{o}", F.when(F.col(f"_v_{o}").isNotNull(), F.col(order))).alias(f"_l_{o}") for o in values])
+             .select(*by, "_ch", *[F.last(f"_l_{o}", ignorenulls=True).over(earlier).alias(f"_c_{o}") for o in values]))
+    d = d.join(carry, [*by, "_ch"], "left")
+    w = Window.partitionBy(*by, "_ch").orderBy(order).rowsBetween(UNB_PREC, -1)
+    d = d.withColumns({o: F.coalesce(F.last(f"_v_{o}", ignorenulls=True).over(w), F.col(f"_c_{o}")) for o in values})
+    return d.drop("_ch", *[f"_{x}_{o}" for o in values for x in "vc"])
+
+
+def numbered(df: DataFrame, by: list[str], order: list[str], out: str) -> DataFrame:
+    """Adds the 1-based place of every row in its ``by`` group in ``order``.
+
+    Rows are sorted in ranges of (by, order), so a group of any size spreads
+    over tasks; a written table fixes the places, and what is carried between
+    ranges is one row per range and group in it."""
+    from ..session import cut_lineage
+    ranged = df.repartitionByRange(*[F.col(c) for c in [*by, *order]]).sortWithinPartitions(*by, *order)
+    d = cut_lineage(ranged.withColumn("_at", F.monotonically_increasing_id()).withColumn("_p", F.shiftright("_at", 33)))
+    w = Window.partitionBy(*by).orderBy("_p")
+    per = (d.groupBy(*by, "_p").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+           .select(*by, "_p", (F.sum("_n").over(w) - F.col("_n") - F.col("_first") + 1).alias("_base")))
+    return d.join(per, [*by, "_p"]).withColumn(out, F.col("_at") + F.col("_base")).drop("_at", "_p", "_base")

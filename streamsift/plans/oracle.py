@@ -599,6 +599,59 @@ def running_minmax_sql() -> str:
     SELECT rank, j, {rnd_sql('(v - lo) / (hi - lo + 1e-16)', 6)} AS v FROM m"""
 
 
+def histogram_sql(source: str, key_expr: str, value_expr: str, where: str, bins: int, lo=None, hi=None, grace=None, window: int = 0) -> str:
+    """Weights of all bins of a stream after every row, by self-join."""
+    bounds = (f"{lo!r} AS lo, {hi!r} AS hi, 1 AS pos FROM raw" if grace is None else
+              f"CASE WHEN b.h > b.l THEN 2 * b.l - b.h END AS lo, CASE WHEN b.h > b.l THEN 2 * b.h - b.l END AS hi, pos FROM n JOIN b USING (k)")
+    return f"""WITH src AS ({source}),
+    raw AS (SELECT {key_expr} AS k, seq, t, CAST({value_expr} AS DOUBLE) AS v FROM src WHERE {where}),
+    n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq) AS pos FROM raw),
+    b AS (SELECT k, min(v) FILTER (pos < {grace or 2}) AS l, max(v) FILTER (pos < {grace or 2}) AS h FROM n GROUP BY k),
+    bounded AS (SELECT k, seq, t, v, {bounds}),
+    binned AS (SELECT *, CASE WHEN pos > {grace or 0} THEN CAST(floor((v - lo) / ((hi - lo) / {bins})) AS BIGINT) END AS raw_bin FROM bounded),
+    c AS (SELECT *, CASE WHEN raw_bin >= 0 AND raw_bin < {bins} THEN CAST(raw_bin AS INTEGER) END AS bin FROM binned),
+    i AS (SELECT *, max(t) OVER (PARTITION BY k, bin ORDER BY seq ROWS UNBOUNDED PRECEDING) AS tb,
+                 max(t) OVER (PARTITION BY k ORDER BY seq ROWS UNBOUNDED PRECEDING) AS tk FROM c WHERE bin IS NOT NULL),
+    w AS (SELECT a.k, a.seq, l.lam, a.bin, b.bin AS bb, sum(pow(2.0, -l.lam * (a.tk - b.tb))) AS w
+          FROM i a JOIN i b ON a.k = b.k AND b.seq <= a.seq, {LAMS_SQL} l GROUP BY ALL),
+    s AS (SELECT k, seq, lam, bin, ln(max(w) / (sum(w) FILTER (abs(bb - bin) <= {window})
+                 / (least(bin + {window}, {bins - 1}) - greatest(bin - {window}, 0) + 1))) AS score FROM w GROUP BY k, seq, lam, bin),
+    u AS (SELECT k, seq, lam, bin, score FROM s UNION ALL
+          SELECT k, seq, lam, NULL, CASE WHEN raw_bin IS NULL THEN 0.0 ELSE -1.0 END FROM c, {LAMS_SQL} WHERE bin IS NULL)
+    SELECT k, seq, lam, CAST(bin AS INTEGER) AS bin, {rnd_sql('score', 5)} AS score FROM u"""
+
+
+def extrapolated_cov_sql(source: str, where: str) -> str:
+    p = [f"o[len(o){'' if i == 0 else f' - {i}'}]" for i in range(3)]
+    ts, vs = [f"{x}.t" for x in p], [f"{x}.v" for x in p]
+
+    def through(points):
+        return " + ".join(f"{vs[i]}" + "".join(f" * ((t - {ts[j]}) / ({ts[i]} - {ts[j]}))" for j in points if j != i) for i in points)
+
+    mean, _ = _mean_var_sql()
+    return f"""WITH src AS ({source}),
+    raw AS (SELECT least(src_ip, dst_ip) || '|' || greatest(src_ip, dst_ip) AS pair, src_ip > dst_ip AS side, seq, t, CAST(frame_len AS DOUBLE) AS v FROM src WHERE {where}),
+    streams AS (SELECT *, pair || CAST(side AS VARCHAR) AS ps FROM raw),
+    base AS (SELECT *, max(t) OVER (PARTITION BY ps ORDER BY seq ROWS UNBOUNDED PRECEDING) AS tmax,
+                    first_value(v) OVER (PARTITION BY ps ORDER BY seq {FIRST}) AS v0 FROM streams),
+    s AS ({_decay_sums_sql('base', 'ps')}),
+    m AS (SELECT seq, lam, {mean} AS mean FROM s),
+    pts AS (SELECT *, list({{'seq': seq, 't': t, 'v': v}}) FILTER (side) OVER pw AS ones, list({{'seq': seq, 't': t, 'v': v}}) FILTER (NOT side) OVER pw AS zeros
+            FROM raw WINDOW pw AS (PARTITION BY pair ORDER BY seq ROWS UNBOUNDED PRECEDING)),
+    oth AS (SELECT pair, seq, t, v, coalesce(CASE WHEN side THEN zeros ELSE ones END, []) AS o FROM pts),
+    x AS (SELECT pair, seq, t, v, CASE WHEN len(o) > 0 THEN {p[0]}.seq END AS oseq,
+                 CASE WHEN len(o) = 0 THEN 0.0 WHEN len(o) = 1 THEN {vs[0]}
+                      WHEN len(o) = 2 THEN CASE WHEN t - {ts[0]} > 10 * ({ts[0]} - {ts[1]}) OR {ts[0]} = {ts[1]} THEN {vs[0]} ELSE {through([0, 1])} END
+                      WHEN t - {ts[0]} > 10 * ({ts[0]} - {ts[2]}) / 2 OR {ts[0]} = {ts[1]} OR {ts[1]} = {ts[2]} OR {ts[0]} = {ts[2]} THEN {vs[0]}
+                      ELSE {through([0, 1, 2])} END AS x FROM oth),
+    r AS (SELECT x.pair, x.seq, m.lam, (x.v - m.mean) * (x.x - coalesce(om.mean, 0.0)) AS res,
+                 max(x.t) OVER (PARTITION BY x.pair, m.lam ORDER BY x.seq ROWS UNBOUNDED PRECEDING) AS tmax
+          FROM x JOIN m USING (seq) LEFT JOIN m om ON om.seq = x.oseq AND om.lam = m.lam),
+    c AS (SELECT a.pair, a.seq, a.lam, sum(b.res * pow(2.0, -a.lam * (a.tmax - b.tmax))) / sum(pow(2.0, -a.lam * (a.tmax - b.tmax))) AS cov
+          FROM r a JOIN r b ON a.pair = b.pair AND a.lam = b.lam AND b.seq <= a.seq GROUP BY ALL)
+    SELECT pair, seq, lam, {rnd_sql('cov', 1)} AS cov FROM c"""
+
+
 def rolling_mean_sql(source: str) -> str:
     return f"""WITH pk AS ({source})
     SELECT src_ip AS k, seq, {rnd_sql('sum(frame_len) OVER (PARTITION BY src_ip ORDER BY seq ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) / 5.0', 6)} AS rollmean

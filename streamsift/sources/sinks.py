@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.prefix import numbered
+
 
 def save_samples(samples: DataFrame, path: str, time_window: float, max_flow_len: int, dataset_id: str,
                  split_col: str | None = "split") -> None:
@@ -49,13 +51,12 @@ def check_flow_stores(stores: DataFrame) -> tuple[float, int, str]:
 def cross_dataset_balance(samples: DataFrame, dataset_col: str = "dataset_id", split_col: str = "split",
                           order_col: str = "sample_id") -> DataFrame:
     """T4: per split, keep the first m rows of every dataset, m = size of the
-    smallest dataset in that split.  ``row_number() <= m`` is planned as a
-    group limit, so no dataset is sorted in one task beyond m rows."""
+    smallest dataset in that split. Rows are numbered in ranges, so no dataset
+    is sorted in one task."""
     counts = samples.groupBy(split_col, dataset_col).count()
     m = counts.groupBy(split_col).agg(F.min("count").alias("_m"))
-    w = Window.partitionBy(split_col, dataset_col).orderBy(order_col)
-    d = samples.join(F.broadcast(m), split_col)
-    return d.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.col("_m")).drop("_rn", "_m")
+    d = numbered(samples, [split_col, dataset_col], [order_col], "_rn")
+    return d.join(m, split_col).where(F.col("_rn") <= F.col("_m")).select(*samples.columns)
 
 
 def write_report(report: DataFrame, path: str) -> None:

@@ -1,3 +1,5 @@
+import ipaddress
+import random
 from pyspark.sql import functions as F
 
 from streamsift.functions import packet as P
@@ -49,7 +51,6 @@ def test_fx_max_flows(spark):
 
 
 def test_random_against_sequential(spark):
-    import random
     rnd = random.Random(11)
     hosts = ["10.0.0.%d" % i for i in range(4)]
     rows, pk, t = [], [], 0
@@ -72,8 +73,38 @@ def test_fx_labels_cidr(spark):
     nets = FL.label_nets(spark, [("11.0.0.0/24", "10.42.0.2")])
     pairs = spark.createDataFrame([("11.0.0.1", "10.42.0.2"), ("10.42.0.2", "11.0.0.254"), ("11.0.0.1", "10.42.0.3"),
                                    ("11.0.0.0", "10.42.0.2"), ("11.0.0.255", "10.42.0.2")], "src string, dst string")
-    got = [r["label"] for r in FL.labels_for_pairs(pairs, nets).collect()]
-    assert got == [1, 1, 0, 0, 0]
+    got = {(r["src"], r["dst"]): r["label"] for r in FL.labels_for_pairs(pairs, nets).collect()}
+    assert [got[(r["src"], r["dst"])] for r in pairs.collect()] == [1, 1, 0, 0, 0]
+
+
+def test_nested_specs(spark):
+    """10,000 specs, most of them nested, against a plain search; the largest
+    label counts, and both directions."""
+    rnd = random.Random(4)
+    text = lambda x: f"{x >> 24}.{x >> 16 & 255}.{x >> 8 & 255}.{x & 255}"
+    net = lambda: f"{text((10 << 24) + rnd.randrange(1 << 12))}/{rnd.randint(18, 32)}"
+    few, many = [(net(), net()) for _ in range(12)], [(f"{text((11 << 24) + rnd.randrange(1 << 10))}/{rnd.randint(22, 32)}", net()) for _ in range(10_000)]
+    nets = FL.label_nets(spark, few, 3).unionByName(FL.label_nets(spark, few[:4], 7)).unionByName(FL.label_nets(spark, many, 1))
+    pairs = [(text((rnd.choice([10, 11]) << 24) + rnd.randrange(1 << 12)), text((10 << 24) + rnd.randrange(1 << 12))) for _ in range(300)]
+    pairs += [(b, a) for a, b in pairs[:100]] + pairs[:5] + [("10.0.0.1", None)]
+    specs = [(FL._net_row(a), FL._net_row(v), lab) for group, lab in ((few, 3), (few[:4], 7), (many, 1)) for a, v in group]
+
+    def plain(s, d):
+        if d is None:
+            return 0
+        s, d = (int(ipaddress.IPv4Address(x)) for x in (s, d))
+        return max((lab for a, v, lab in specs if (a[2] <= s <= a[3] and v[2] <= d <= v[3]) or (a[2] <= d <= a[3] and v[2] <= s <= v[3])), default=0)
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, src string, dst string")
+    got = {r["i"]: r["label"] for r in FL.labels_for_pairs(df, nets).collect()}
+    want = {i: plain(*p) for i, p in enumerate(pairs)}
+    assert got == want and {0, 1, 3} <= set(want.values())
+
+
+def test_presets(spark):
+    pairs = spark.createDataFrame([("11.0.0.9", "10.42.0.2"), ("192.168.50.4", "172.16.0.5"), ("172.16.0.1", "192.168.10.50")], "src string, dst string")
+    for name, want in (("SYN2020", [1, 0, 0]), ("DOS2019", [0, 1, 0]), ("DOS2017", [0, 0, 1]), ("DOS2018", [0, 0, 0])):
+        got = {r["src"]: r["label"] for r in FL.labels_for_pairs(pairs, FL.preset_nets(spark, name)).collect()}
+        assert [got[s] for s in ("11.0.0.9", "192.168.50.4", "172.16.0.1")] == want
 
 
 def test_count_flows_rollup(spark):
