@@ -174,7 +174,7 @@ def sign_texts(docs: DataFrame, weighting: str) -> DataFrame:
 
 def shingle_sets(docs: DataFrame, weighting: str) -> DataFrame:
     """(rep, skey, elems, ws) per row (rep, text): sorted shingle hashes and
-    weights as bytes."""
+    weights as bytes; weights that are all 1 are left out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1):
             low = pc.utf8_lower(fill(batch.column(1)))
@@ -183,14 +183,16 @@ def shingle_sets(docs: DataFrame, weighting: str) -> DataFrame:
                 h, owner = shingles(buf[off[i]:off[j]], off[i:j + 1] - off[i])
                 elem, count, per = distinct_counts(h, owner, j - i)
                 w = weights_of(count, weighting)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(set_names(elem, w, per, low[i:j]), pa.binary()), binary_array(elem.view(np.uint8), per * 8),
-                                                  binary_array(w.astype(np.float32).view(np.uint8), per * 4)], ["rep", "skey", "elems", "ws"])
+                names = pa.array(set_names(elem, w, per, low[i:j]), pa.binary())
+                ws = binary_array(w.astype(np.float32).view(np.uint8), per * 4) if weighting != "binary" else pa.array([b""] * (j - i), pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], names, binary_array(elem.view(np.uint8), per * 8), ws], ["rep", "skey", "elems", "ws"])
 
     return named(docs.mapInArrow(run, "rep long, skey binary, elems binary, ws binary"))
 
 
 def unpack(elems: bytes, ws: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(elems, np.uint64), np.frombuffer(ws, np.float32).astype(np.float64)
+    sh = np.frombuffer(elems, np.uint64)
+    return sh, np.frombuffer(ws, np.float32).astype(np.float64) if ws else np.ones(len(sh))
 
 
 def in_slices(batches: Iterator[pa.RecordBatch], col: int) -> Iterator[pa.RecordBatch]:

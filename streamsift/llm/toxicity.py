@@ -107,6 +107,10 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l1: float = 4e-5, l2: float = 2e-
     return w, float(b)
 
 
+#: Bytes of text whose features are in memory at once.
+SCORE_BYTES = 512 << 10
+
+
 @dataclass
 class Chain:
     """A fitted chain. ``weights`` has one row per category over ``feats``,
@@ -140,7 +144,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, categories: Sequence[str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1):
             buf, off = buffers(lowered(batch.column(1)))
-            for i, j in blocks(off):
+            for i, j in blocks(off, SCORE_BYTES):
                 b, o = buf[off[i]:off[j]], off[i:j + 1] - off[i]
                 pair = np.unique(np.stack(features(b, o), 1), axis=0) if len(b) else np.zeros((0, 2), np.int64)
                 dense = byte_shares(b, o)
@@ -237,7 +241,7 @@ def block_scorer(model: Chain):
 
     def score(arr) -> Iterator[tuple[int, int, np.ndarray]]:
         buf, off = buffers(lowered(arr))
-        for i, j in blocks(off):
+        for i, j in blocks(off, SCORE_BYTES):
             b, o = buf[off[i]:off[j]], off[i:j + 1] - off[i]
             doc, feat = features(b, o)
             col = slot[feat]
