@@ -7,6 +7,8 @@ the distance to a reference set, done with numpy on pairs of blocks.
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,6 +19,7 @@ from ..functions.numeric import safe_div
 # Fixed values of the report sink: column headers in output order.
 REPORT_HEADER = ["Model", "Time", "Packets", "Samples", "DDOS%", "Accuracy", "F1Score",
                  "TPR", "FPR", "TNR", "FNR", "Source"]
+VALIDATION_HEADER = ["Model", "Samples", "Accuracy", "F1Score", "Hyper-parameters", "Validation Set"]
 
 
 def alert(score: Column, threshold: float | Column) -> Column:
@@ -51,6 +54,13 @@ def confusion_report(preds: DataFrame, group: list[str], label: str = "label", p
         safe_div(tn, tn + fp).alias("tnr"), safe_div(fn, fn + tp).alias("fnr"))
 
 
+def validation_report(preds: DataFrame, model: str, parameters: dict, source: str, label: str = "label", pred: str = "pred") -> DataFrame:
+    """One row with model, samples, accuracy, F1 (0 when undefined), the
+    parameters as JSON by name and the validation set. No row without predictions."""
+    r = confusion_report(preds.withColumn("model", F.lit(model)).withColumn("source", F.lit(source)), ["model", "source"], label, pred)
+    return r.select("model", "samples", "accuracy", "f1", F.lit(json.dumps(parameters, sort_keys=True)).alias("parameters"), "source")
+
+
 def align_scores(before: DataFrame, after: DataFrame, keys: list[str], score: str = "rmse") -> DataFrame:
     """Positional alignment = inner join on the packet identity; rows
     present in only one version are dropped (truncation to the shorter)."""

@@ -8,6 +8,7 @@ SQL view are defined once each, side by side.
 from __future__ import annotations
 
 from ..functions.numeric import rnd_sql
+from ..operators.training import draw_sql
 from ..operators.windows import anchored_windows_sql
 from ..sources.tables import label_pairs_sql, flow_features_sql, packets_from_events_sql
 
@@ -728,3 +729,77 @@ def proximity_ratio_normalised_sql(shrink: float = 0.5) -> str:
     d AS (SELECT vec_id, max(list_distance(q.x, r.x)) AS far, min(list_distance(q.xa, r.x)) AS near FROM q, r GROUP BY vec_id),
     s AS (SELECT sum(far) AS org_dis, sum(near) AS mut_dis FROM d)
     SELECT {rnd_sql('org_dis', 6)} AS org_dis, {rnd_sql('mut_dis', 6)} AS mut_dis, {rnd_sql('1.0 - mut_dis / org_dis', 6)} AS proximity_ratio FROM s"""
+
+
+# ---------------------------------------------------------------- networks with parameters by a formula
+def _p(i: str) -> str:
+    return f"((({i}) * 7 % 13 - 6) / 20.0::DOUBLE)"
+
+
+def _keep(cell: str, dropout: float) -> str:
+    return f"CASE WHEN {draw_sql('id', cell, 3, 1)} >= {dropout} THEN {1.0 / (1.0 - dropout)!r}::DOUBLE ELSE 0.0 END" if dropout else "1.0::DOUBLE"
+
+
+def _stepped(grads: str, weights: str, l1: float, l2: float, rate: float) -> str:
+    """Parameters after a step: (i, g) sums of gradients; ``weights`` marks the penalised ones."""
+    new = f"{_p('i')} - {rate} * (g / (SELECT count(*) FROM e) + CASE WHEN {weights} THEN {l1} * sign({_p('i')}) + 2.0 * {l2} * {_p('i')} ELSE 0.0 END)"
+    return f"gr AS ({grads}) SELECT CAST(i AS INTEGER) AS i, {rnd_sql(new, 8)} AS v FROM gr"
+
+
+def _conv_cte(dropout: float = 0.0) -> str:
+    """8 x 8 samples, 4 kernels of 3 rows: outputs, largest per kernel, probability."""
+    return f"""WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x, CASE WHEN label >= 5 THEN 1.0 ELSE 0.0 END AS y FROM embeddings),
+    z AS (SELECT id, pos, k, sum(x[CAST(pos * 8 + n + 1 AS BIGINT)] * {_p('k * 24 + n')}) + {_p('96 + k')} AS z
+          FROM e, range(6) a(pos), range(4) b(k), range(24) c(n) GROUP BY id, pos, k),
+    kept AS (SELECT id, pos, k, z, {_keep('pos * 4 + k', dropout)} AS keep FROM z),
+    o AS (SELECT id, pos, k, keep, greatest(z * keep, 0.0) AS o FROM kept),
+    best AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY id, k ORDER BY o DESC, pos) = 1),
+    pr AS (SELECT id, 1.0 / (1.0 + exp(-(sum(o * {_p('100 + k')}) + {_p('104')}))) AS p FROM best GROUP BY id)"""
+
+
+def conv_predict_sql() -> str:
+    return f"{_conv_cte()} SELECT id AS vec_id, {rnd_sql('p', 9)} AS p, CAST(p > 0.5 AS INTEGER) AS pred FROM pr"
+
+
+def conv_step_sql(dropout: float, l1: float, l2: float, rate: float) -> str:
+    return f"""{_conv_cte(dropout)},
+    s AS (SELECT id, k, pos, o, p - y AS err, x, CASE WHEN o > 0 THEN (p - y) * {_p('100 + k')} * keep ELSE 0.0 END AS slope
+          FROM best JOIN pr USING (id) JOIN e USING (id)),
+    """ + _stepped("""SELECT k * 24 + n AS i, sum(slope * x[CAST(pos * 8 + n + 1 AS BIGINT)]) AS g FROM s, range(24) c(n) GROUP BY k, n
+        UNION ALL SELECT 96 + k, sum(slope) FROM s GROUP BY k UNION ALL SELECT 100 + k, sum(o * err) FROM s GROUP BY k
+        UNION ALL SELECT 104, sum(err) FROM s WHERE k = 0""", "i < 96", l1, l2, rate)
+
+
+def _dense_cte(dropout: float = 0.0) -> str:
+    """64 inputs, rectified layers of 6 and 4 units, one sigmoid unit."""
+    return f"""WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x, CASE WHEN label >= 5 THEN 1.0 ELSE 0.0 END AS y FROM embeddings),
+    z0 AS (SELECT id, j, sum(x[CAST(i + 1 AS BIGINT)] * {_p('i * 6 + j')}) + {_p('384 + j')} AS z FROM e, range(64) a(i), range(6) b(j) GROUP BY id, j),
+    h0 AS (SELECT id, j, greatest(z, 0.0) * keep AS h, CASE WHEN z > 0 THEN keep ELSE 0.0 END AS slope FROM (SELECT *, {_keep('j', dropout)} AS keep FROM z0) q),
+    z1 AS (SELECT id, b.j, sum(h * {_p('390 + h0.j * 4 + b.j')}) + {_p('414 + b.j')} AS z FROM h0, range(4) b(j) GROUP BY id, b.j),
+    h1 AS (SELECT id, j, greatest(z, 0.0) * keep AS h, CASE WHEN z > 0 THEN keep ELSE 0.0 END AS slope FROM (SELECT *, {_keep('6 + j', dropout)} AS keep FROM z1) q),
+    pr AS (SELECT id, 1.0 / (1.0 + exp(-(sum(h * {_p('418 + j')}) + {_p('422')}))) AS p FROM h1 GROUP BY id)"""
+
+
+def dense_predict_sql() -> str:
+    return f"{_dense_cte()} SELECT id AS vec_id, {rnd_sql('p', 9)} AS p, CAST(p > 0.5 AS INTEGER) AS pred FROM pr"
+
+
+def dense_step_sql(dropout: float, l1: float, l2: float, rate: float) -> str:
+    return f"""{_dense_cte(dropout)},
+    er AS (SELECT id, p - y AS err FROM pr JOIN e USING (id)),
+    d1 AS (SELECT id, j, h, err, err * {_p('418 + j')} * slope AS d FROM h1 JOIN er USING (id)),
+    d0 AS (SELECT h0.id, h0.j, sum(d1.d * {_p('390 + h0.j * 4 + d1.j')}) * any_value(h0.slope) AS d FROM h0 JOIN d1 USING (id) GROUP BY h0.id, h0.j),
+    """ + _stepped("""SELECT a.i * 6 + j AS i, sum(x[CAST(a.i + 1 AS BIGINT)] * d) AS g FROM d0 JOIN e USING (id), range(64) a(i) GROUP BY a.i, j
+        UNION ALL SELECT 384 + j, sum(d) FROM d0 GROUP BY j
+        UNION ALL SELECT 390 + h0.j * 4 + d1.j, sum(h0.h * d1.d) FROM h0 JOIN d1 USING (id) GROUP BY h0.j, d1.j
+        UNION ALL SELECT 414 + j, sum(d) FROM d1 GROUP BY j
+        UNION ALL SELECT 418 + j, sum(h * err) FROM d1 GROUP BY j
+        UNION ALL SELECT 422, sum(err) FROM er""", "i < 384 OR i BETWEEN 390 AND 413 OR i BETWEEN 418 AND 421", l1, l2, rate)
+
+
+def validation_report_sql() -> str:
+    return f"""WITH c AS (SELECT sum(CASE WHEN label > 0 AND vec_id % 4 > 0 THEN 1 ELSE 0 END) AS tp,
+        sum(CASE WHEN (label > 0) = (vec_id % 4 > 0) THEN 1 ELSE 0 END) AS hits,
+        sum(CASE WHEN (label > 0) <> (vec_id % 4 > 0) THEN 1 ELSE 0 END) AS misses, count(*) AS n FROM embeddings)
+    SELECT 'probe' AS model, CAST(n AS BIGINT) AS samples, {rnd_sql('CAST(hits AS DOUBLE) / n', 6)} AS accuracy,
+           {rnd_sql('2.0 * tp / (2 * tp + misses)', 6)} AS f1, '{{"batch": 1024, "rate": 0.1}}' AS parameters, 'all' AS source FROM c"""

@@ -21,6 +21,7 @@ from ..operators import flows as FL
 from ..operators import hoststats as HS
 from ..operators import metrics as MT
 from ..operators import reduce as RD
+from ..operators import training as TR
 from ..operators.windows import anchored_windows
 from ..sources import tables as TB
 from . import oracle as O
@@ -731,6 +732,102 @@ def q_cnn_report(spark: SparkSession, sf_dir: str) -> DataFrame:
                                ["model", "source"])
 
 
+# ------------------------------------------------------------------ networks
+STEP_DROPOUT, STEP_L1, STEP_L2, STEP_RATE = 0.25, 0.01, 0.02, 0.5
+FIXED_CONV, FIXED_DENSE = TR.ConvNet(8, 8, 4), TR.DenseNet(64, (6, 4))
+
+
+def fixed_params(net):
+    """Parameters that follow a formula, as in the SQL twin."""
+    import numpy as np
+    return ((np.arange(net.size) * 7) % 13 - 6) / 20.0
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _embeddings(spark, sf_dir).select(F.col("vec_id").cast("long").alias("key"), "x", (F.col("label") >= 5).cast("double").alias("y"))
+
+
+def _predict_fixed(spark: SparkSession, sf_dir: str, net) -> DataFrame:
+    r = TR.predict(_labelled(spark, sf_dir), net, fixed_params(net), ["key"])
+    return r.select(F.col("key").alias("vec_id"), rnd("p", 9).alias("p"), "pred")
+
+
+def _one_step(spark: SparkSession, sf_dir: str, net) -> DataFrame:
+    """Parameters after one seeded step over all rows with dropout and penalties."""
+    c = TR.Candidate(net, STEP_RATE, "sgd", 1 << 20, STEP_DROPOUT, STEP_L1, STEP_L2, seed=3)
+    state, _, _ = TR.averaged_epoch(_labelled(spark, sf_dir), [(c, TR.State.fresh(fixed_params(net)))], 1)[0]
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(state.flat)], "i int, v double").select("i", rnd("v", 8).alias("v"))
+
+
+def q_cnn_predict_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M8 over embeddings as 8 x 8 samples."""
+    return _predict_fixed(spark, sf_dir, FIXED_CONV)
+
+
+def q_cnn_training_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M6 over embeddings as 8 x 8 samples."""
+    return _one_step(spark, sf_dir, FIXED_CONV)
+
+
+def q_mlp_predict_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M9 over embeddings."""
+    return _predict_fixed(spark, sf_dir, FIXED_DENSE)
+
+
+def q_mlp_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M9 over embeddings."""
+    return _one_step(spark, sf_dir, FIXED_DENSE)
+
+
+def _validation(test: DataFrame, best, setting: dict, model: str, source: str) -> DataFrame:
+    preds = TR.predict(test, best.candidate.net, best.state.flat, ["key", "y"])
+    return MT.validation_report(preds, model, setting, source, label="y")
+
+
+def q_cnn_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grid over rate, batch, kernels, penalty and dropout
+    trained side by side on the training flows; validation report of the best."""
+    from ..session import cut_lineage
+    key = F.xxhash64("flow.src", "flow.sport", "flow.dst", "flow.dport", "flow.proto", "window_start_us")
+    part = F.pmod(F.xxhash64("flow.src", "flow.sport", "flow.dst", "flow.dport", "flow.proto"), F.lit(10))
+    rows = cut_lineage(_samples(spark, sf_dir).select(key.alias("key"), part.alias("part"), F.flatten("set_x").alias("x"),
+                                                      F.col("set_y").cast("double").alias("y")))
+    settings = TR.grid(rate=[0.1, 0.01], batch=[1024, 2048], kernels=[32], l1=[0.0, 0.01], dropout=[0.0, 0.2])
+
+    def make(rate, batch, kernels, l1, dropout):
+        return TR.Candidate(TR.ConvNet(MAX_FLOW_LEN, 11, kernels), rate, "adam", batch, dropout, l1)
+    best, table = TR.search(rows.where("part > 1"), rows.where("part = 1"), make, settings, epochs=SEARCH_EPOCHS, patience=SEARCH_PATIENCE)
+    return _validation(rows.where("part = 1"), best, _setting(best, table, make), "events-cnn", "events")
+
+
+def q_mlp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Random search over a dense network's settings with two folds."""
+    train, test = (d.select(F.col("vec_id").cast("long").alias("key"), "x", F.col("label").cast("double").alias("y"))
+                   for d in _split_vectors(spark, sf_dir))
+    settings = TR.random_settings(8, 1, rate=[0.001, 0.01], optimizer=["sgd", "adam"], units=[16, 32], dropout=[0.0, 0.5])
+
+    def make(rate, optimizer, units, dropout):
+        return TR.Candidate(TR.DenseNet(PCA_K, (units, units)), rate, optimizer, 100, dropout)
+    best, table = TR.search(train, None, make, settings, folds=2, epochs=SEARCH_EPOCHS, patience=SEARCH_PATIENCE)
+    return _validation(test, best, _setting(best, table, make), "embeddings-mlp", "embeddings")
+
+
+SEARCH_EPOCHS, SEARCH_PATIENCE = 25, 4
+
+
+def _setting(best, table: list[dict], make) -> dict:
+    """The setting whose candidate ``best`` is."""
+    plain = [{k: v for k, v in t.items() if k not in ("accuracy", "epochs")} for t in table]
+    return next(s for s in plain if make(**s) == best.candidate)
+
+
+def q_validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A8 of fixed predictions over all embeddings."""
+    preds = _embeddings(spark, sf_dir).select("label", (F.col("vec_id") % 4).alias("pred"))
+    r = MT.validation_report(preds, "probe", {"rate": 0.1, "batch": 1024}, "all")
+    return r.select("model", "samples", rnd("accuracy", 6).alias("accuracy"), rnd("f1", 6).alias("f1"), "parameters", "source")
+
+
 _PK = TB.packets_from_events_sql()
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
@@ -807,5 +904,12 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
         event_id AS source_seq FROM events"""),
     "cnn_report": (q_cnn_report, None),
     "cnn_predict": (q_cnn_predict, None),
+    "cnn_predict_fixed": (q_cnn_predict_fixed, O.conv_predict_sql()),
+    "cnn_training_step": (q_cnn_training_step, O.conv_step_sql(STEP_DROPOUT, STEP_L1, STEP_L2, STEP_RATE)),
+    "mlp_predict_fixed": (q_mlp_predict_fixed, O.dense_predict_sql()),
+    "mlp_step": (q_mlp_step, O.dense_step_sql(STEP_DROPOUT, STEP_L1, STEP_L2, STEP_RATE)),
+    "cnn_search": (q_cnn_search, None),
+    "mlp_search": (q_mlp_search, None),
+    "validation_report": (q_validation_report, O.validation_report_sql()),
     "decay_2d": (q_decay_2d, O.decay_2d_sql(_PK, "src_ip", "dst_ip", "frame_len", "accepted")),
 }

@@ -11,6 +11,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.metrics import VALIDATION_HEADER
 from ..operators.prefix import numbered
 
 
@@ -76,6 +77,14 @@ def write_report(report: DataFrame, path: str) -> None:
     out.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_validation_report(report: DataFrame, path: str) -> None:
+    """Validation report as CSV with its header; numbers with 4 decimals."""
+    cols = [F.col("model"), F.col("samples").cast("string"), F.format_string("%.4f", "accuracy"), F.format_string("%.4f", "f1"),
+            F.col("parameters"), F.col("source")]
+    out = report.select(*[c.alias(n) for c, n in zip(cols, VALIDATION_HEADER)])
+    out.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
 def append_run_history(spark: SparkSession, path: str, **fields) -> None:
     """One row per run appended to a Parquet history table."""
     row = {"run_time": _dt.datetime.now(_dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S"),
