@@ -527,7 +527,12 @@ _W = "(((i * 7 + h * 3) % 11 - 5) / 10.0)"
 
 def _member_sql(name: str, source: str, low: float, high: float) -> str:
     """CTEs of one fixed autoencoder over ``source`` (id, grp, i, v)."""
-    return f"""{name}x AS (SELECT id, grp, i, (v - ({low!r})) / ({high - low!r} + 1e-16) AS x FROM {source}),
+    return _rebuild_sql(name, f"SELECT id, grp, i, (v - ({low!r})) / ({high - low!r} + 1e-16) AS x FROM {source}")
+
+
+def _rebuild_sql(name: str, scaled: str) -> str:
+    """The same over values that are scaled already."""
+    return f"""{name}x AS ({scaled}),
     {name}h AS (SELECT id, grp, h, 1.0 / (1.0 + exp(-(sum(x * {_W}) + h / 10.0))) AS y
                 FROM {name}x, generate_series(0, 5) t(h) GROUP BY id, grp, h),
     {name}o AS (SELECT id, grp, i, 1.0 / (1.0 + exp(-(sum(y * {_W}) - i / 20.0))) AS z
@@ -558,6 +563,24 @@ def detector_step_sql() -> str:
     SELECT CAST(k AS INTEGER) AS k, {rnd_sql('g', 5)} AS g FROM g"""
 
 
+def averaging_round_sql(replicas: int, rate: float) -> str:
+    """First Adam step of every replica (its moments cancel to g / (|g| + 1e-8)), then the mean weighted by rows."""
+    run = f"OVER (PARTITION BY id % {replicas}, grp, i ORDER BY id ROWS UNBOUNDED PRECEDING)"
+    return f"""WITH e AS (SELECT vec_id AS id, g.grp, k.i, CAST(embedding AS DOUBLE[])[CAST(g.grp * 8 + k.i + 1 AS BIGINT)] AS v
+               FROM embeddings, generate_series(0, 7) g(grp), generate_series(0, 7) k(i)),
+    rng AS (SELECT *, min(v) {run} AS lo, max(v) {run} AS hi FROM e),
+    {_rebuild_sql('m', 'SELECT id, grp, i, (v - lo) / (hi - lo + 1e-16) AS x FROM rng')},
+    d AS (SELECT id, grp, i, x, (z - x) * z * (1 - z) AS dz FROM mx JOIN mo USING (id, grp, i)),
+    dh AS (SELECT id, grp, h, any_value(y) AS y, sum(dz * {_W}) * any_value(y) * (1 - any_value(y)) AS dy FROM d JOIN mh USING (id, grp) GROUP BY id, grp, h),
+    g AS (SELECT id % {replicas} AS r, grp, i * 6 + h AS k, {_W} AS p, sum(x * dy + dz * y) AS g FROM d JOIN dh USING (id, grp) GROUP BY ALL
+          UNION ALL SELECT id % {replicas}, grp, 48 + h, h / 10.0, sum(dy) FROM dh GROUP BY ALL
+          UNION ALL SELECT id % {replicas}, grp, 54 + i, -i / 20.0, sum(dz) FROM d GROUP BY ALL),
+    n AS (SELECT vec_id % {replicas} AS r, count(*) AS n FROM embeddings GROUP BY 1),
+    av AS (SELECT grp, k, sum((p - {rate} * (g / n) / (abs(g / n) + 1e-8)) * n) / sum(n) AS v FROM g JOIN n USING (r) GROUP BY grp, k
+           UNION ALL SELECT grp, 62 + i, min(v) FROM e GROUP BY grp, i UNION ALL SELECT grp, 70 + i, max(v) FROM e GROUP BY grp, i)
+    SELECT CAST(grp AS INTEGER) AS grp, CAST(k AS INTEGER) AS k, {rnd_sql('v', 7)} AS v FROM av"""
+
+
 def score_summary_sql() -> str:
     return f"""WITH {_fixed_scores_cte()}, t AS (SELECT max(rmse) AS thr FROM we WHERE id % 2 = 0)
     SELECT CAST(sum(CASE WHEN rmse > thr THEN 1 ELSE 0 END) AS BIGINT) AS alerts, CAST(count(*) AS BIGINT) AS total,

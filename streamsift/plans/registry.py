@@ -322,6 +322,23 @@ def q_detector_training_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k, float(v)) for k, v in enumerate(g)], "k int, g double").select("k", rnd("g", 5).alias("g"))
 
 
+ROUND_REPLICAS, ROUND_RATE = 4, 0.1
+
+
+def q_detector_averaging_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2: one averaging round of all feature groups; every replica takes one
+    Adam step over its rows in id order, with the range running along."""
+    import numpy as np
+    groups = [list(range(k * FIXED_GROUP, (k + 1) * FIXED_GROUP)) for k in range(8)]
+    start = DT.Learner.fresh(FIXED_GROUP)
+    learners = [DT.Learner(fixed_member(np.inf, -np.inf), start.first, start.second) for _ in groups]
+    rows = (_embeddings(spark, sf_dir).withColumn("replica", F.col("vec_id") % ROUND_REPLICAS)
+            .repartition("replica").sortWithinPartitions("replica", "vec_id"))
+    got = DT.averaging_round(rows, groups, learners, ROUND_RATE, 1 << 20)
+    return spark.createDataFrame([(g, k, float(v)) for g, w in enumerate(got) for k, v in enumerate(
+        np.concatenate([w.member.flat(), w.member.low, w.member.high]))], "grp int, k int, v double").select("grp", "k", rnd("v", 7).alias("v"))
+
+
 def q_score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """threshold = largest score of the even ids, summary over all."""
     s = _fixed_scores(spark, sf_dir)
@@ -904,6 +921,7 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
         event_id AS source_seq FROM events"""),
     "cnn_report": (q_cnn_report, None),
     "cnn_predict": (q_cnn_predict, None),
+    "detector_averaging_round": (q_detector_averaging_round, O.averaging_round_sql(ROUND_REPLICAS, ROUND_RATE)),
     "cnn_predict_fixed": (q_cnn_predict_fixed, O.conv_predict_sql()),
     "cnn_training_step": (q_cnn_training_step, O.conv_step_sql(STEP_DROPOUT, STEP_L1, STEP_L2, STEP_RATE)),
     "mlp_predict_fixed": (q_mlp_predict_fixed, O.dense_predict_sql()),
