@@ -749,6 +749,31 @@ def q_cnn_report(spark: SparkSession, sf_dir: str) -> DataFrame:
                                ["model", "source"])
 
 
+def q_tsv_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All packets as dissector lines, some broken, read back: lines
+    and packet bytes by reason (``good``: none)."""
+    from ..session import checkpoint_dir
+    from ..sources import capture as CP
+    import uuid
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/tsv-{uuid.uuid4().hex[:10]}"
+    pk = TB.packets_from_events(spark, sf_dir)
+    broken = F.col("seq") % 11
+    ports = {f"{proto}.{side}port": F.when(F.col("ip_proto") == n, F.col(f"{side}_port").cast("string"))
+             for proto, n in (("tcp", 6), ("udp", 17)) for side in ("src", "dst")}
+    ports["tcp.srcport"] = F.when(broken == 9, "70000").otherwise(ports["tcp.srcport"])
+    cols = {"frame.time_epoch": F.when(broken == 5, "n/a").otherwise((F.col("ts_us") / F.lit(1e6)).cast("decimal(20,6)").cast("string")),
+            "frame.len": F.when(broken == 7, "-5").otherwise(F.col("ip_len").cast("string")),
+            "eth.src": F.col("eth_src"), "eth.dst": F.col("eth_dst"), "ip.src": F.col("src_ip"), "ip.dst": F.col("dst_ip"), **ports}
+    fields = F.array(*[F.coalesce(cols[f], F.lit("")) if f in cols else F.lit("") for f in CP.TSV_FIELDS])
+    sent = F.when(broken == 3, F.slice(fields, 1, 12)).when(broken == 1, F.concat(fields, F.array(F.lit("more")))).otherwise(fields)
+    header = spark.createDataFrame([("\t".join(CP.TSV_FIELDS),)], "line string")
+    header.unionAll(pk.select(F.array_join(sent, "\t"))).write.text(f"{folder}/in")
+    good = CP.load_packet_tsv(spark, f"{folder}/in", f"{folder}/rejects")
+    bad = spark.read.parquet(f"{folder}/rejects")
+    both = good.select(F.lit("good").alias("reason"), F.col("frame_len").cast("long").alias("n")).unionAll(bad.select("reason", F.lit(0).cast("long")))
+    return both.groupBy("reason").agg(F.count("*").alias("lines"), F.sum("n").alias("bytes"))
+
+
 # ------------------------------------------------------------------ networks
 STEP_DROPOUT, STEP_L1, STEP_L2, STEP_RATE = 0.25, 0.01, 0.02, 0.5
 FIXED_CONV, FIXED_DENSE = TR.ConvNet(8, 8, 4), TR.DenseNet(64, (6, 4))
@@ -921,6 +946,9 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
         event_id AS source_seq FROM events"""),
     "cnn_report": (q_cnn_report, None),
     "cnn_predict": (q_cnn_predict, None),
+    "tsv_rejects": (q_tsv_rejects, f"""SELECT CASE WHEN seq % 11 IN (1, 3) THEN 'columns' WHEN seq % 11 = 5 THEN 'time'
+        WHEN seq % 11 = 7 THEN 'length' WHEN seq % 11 = 9 THEN 'port' ELSE 'good' END AS reason, CAST(count(*) AS BIGINT) AS lines,
+        CAST(sum(CASE WHEN seq % 11 IN (1, 3, 5, 7, 9) THEN 0 ELSE ip_len END) AS BIGINT) AS bytes FROM ({_PK}) GROUP BY 1"""),
     "detector_averaging_round": (q_detector_averaging_round, O.averaging_round_sql(ROUND_REPLICAS, ROUND_RATE)),
     "cnn_predict_fixed": (q_cnn_predict_fixed, O.conv_predict_sql()),
     "cnn_training_step": (q_cnn_training_step, O.conv_step_sql(STEP_DROPOUT, STEP_L1, STEP_L2, STEP_RATE)),

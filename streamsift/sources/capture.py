@@ -162,6 +162,49 @@ def read_packet_tsv(spark: SparkSession, path: str) -> DataFrame:
     return df.select(*[F.coalesce(F.col(f"`{f}`"), F.lit("")).alias(f.replace(".", "_")) for f in TSV_FIELDS])
 
 
+#: Port columns of the packet format.
+TSV_PORTS = [f for f in TSV_FIELDS if f.endswith("port")]
+
+
+def split_packet_tsv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(packet rows as ``read_packet_tsv`` gives them, rejects).
+
+    A reject is (file, line, reason) with the whole line. The first reason that
+    holds: ``columns`` (not 19), ``time`` (not a finite number), ``length`` (not
+    a whole number of at least 0), ``port`` (given, but not 0 to 65535). Header
+    lines, also in the middle of a file, and empty lines are neither. Both
+    results come from one parse by built-in expressions; a repeated line is a
+    row each time.
+    """
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))
+    lines = lines.where((F.col("line") != "") & (F.col("line") != "\t".join(TSV_FIELDS)))
+    parts = lines.withColumn("part", F.split("line", "\t", -1))
+
+    def column(name: str):
+        return F.get("part", F.lit(TSV_FIELDS.index(name)))
+
+    time = column("frame.time_epoch").try_cast("double")
+    length = column("frame.len")
+    whole = length.rlike("^[0-9]+$") & length.try_cast("long").isNotNull()
+    port = F.lit(True)
+    for name in TSV_PORTS:
+        given = column(name)
+        port = port & ((given == "") | (given.rlike("^[0-9]{1,5}$") & F.coalesce(given.try_cast("int") <= 65535, F.lit(False))))
+    reason = (F.when(F.size("part") != len(TSV_FIELDS), "columns")
+              .when(time.isNull() | F.isnan(time) | (F.abs(time) == float("inf")), "time")
+              .when(~whole, "length").when(~port, "port"))
+    judged = parts.withColumn("reason", reason)
+    good = judged.where(F.col("reason").isNull()).select(*[column(f).alias(f.replace(".", "_")) for f in TSV_FIELDS])
+    return good, judged.where(F.col("reason").isNotNull()).select("file", "line", "reason")
+
+
+def load_packet_tsv(spark: SparkSession, path: str, rejects: str) -> DataFrame:
+    """The good rows of ``path``; its rejects are added to the table ``rejects``."""
+    good, bad = split_packet_tsv(spark, path)
+    bad.write.mode("append").parquet(rejects)
+    return good
+
+
 def merge_captures(packets: DataFrame, capture: str = "capture_id", seq: str = "seq",
                    chunk_rows: int = 1 << 20, merged_id: str = "merged") -> DataFrame:
     """S3: one capture from many, ordered by (capture name, seq); the new

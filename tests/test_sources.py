@@ -2,7 +2,7 @@ import struct
 
 from pyspark.sql import functions as F
 
-from streamsift.sources.capture import decode_frame, read_packet_tsv, read_pcap, TSV_FIELDS
+from streamsift.sources.capture import decode_frame, load_packet_tsv, read_packet_tsv, read_pcap, split_packet_tsv, TSV_FIELDS
 
 
 def _eth(src, dst, etype):
@@ -56,3 +56,25 @@ def test_read_tsv(spark, tmp_path):
     p.write_text("\t".join(TSV_FIELDS) + "\n" + "\t".join(row) + "\n")
     r = read_packet_tsv(spark, str(p)).first()
     assert r["ip_src"] == "10.0.0.1" and r["udp_srcport"] == "" and r["frame_time_epoch"] == "1.5"
+
+
+def test_tsv_rejects(spark, tmp_path):
+    good = ["1.5", "60", "aa", "bb", "10.0.0.1", "10.0.0.2", "80", "65535"] + [""] * 11
+
+    def line(**changes):
+        return "\t".join(changes.get(f.replace(".", "_"), v) for f, v in zip(TSV_FIELDS, good))
+    header = "\t".join(TSV_FIELDS)
+    bad = {"columns": ["garbage", "\t".join(good[:18]), line() + "\t"], "time": [line(frame_time_epoch=v) for v in ("", "x", "NaN", "Infinity")],
+           "length": [line(frame_len=v) for v in ("", "-1", "1.5", "9" * 30)], "port": [line(tcp_dstport="65536"), line(udp_srcport="-1"), line(tcp_srcport="7" * 40)]}
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.tsv").write_text("\n".join([header, line(), "", line(), header, line(eth_src="x" * 1_000_000)] + bad["columns"] + bad["time"]) + "\n")
+    (tmp_path / "in" / "b.tsv").write_text("\n".join([header] + bad["length"] + bad["port"]))
+    (tmp_path / "in" / "c.tsv").write_text("")
+    out = str(tmp_path / "rejects")
+    rows = load_packet_tsv(spark, str(tmp_path / "in"), out)
+    assert rows.count() == 3 and rows.where("tcp_dstport = '65535' AND udp_srcport = ''").count() == 3
+    assert rows.columns == read_packet_tsv(spark, str(tmp_path / "in" / "a.tsv")).columns
+    got = sorted((r["reason"], r["line"], r["file"][-5:]) for r in spark.read.parquet(out).collect())
+    assert got == sorted((k, v, "a.tsv" if k in ("columns", "time") else "b.tsv") for k, vs in bad.items() for v in vs)
+    none, no_rejects = split_packet_tsv(spark, str(tmp_path / "in" / "c.tsv"))
+    assert none.count() == 0 and no_rejects.count() == 0
