@@ -10,6 +10,8 @@ regParam = 1 / (C * n).
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, MultilayerPerceptronClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -56,6 +58,35 @@ def components_for(explained: list[float], share: float) -> int:
     return len(explained)
 
 
+def pca_to_share(df: DataFrame, share: float, x: str = "x"):
+    """M5 with the cut at a share of the variance: (model of all components,
+    number of components that reach the share)."""
+    n = df.select(F.size(x).alias("n")).first()["n"]
+    model, explained = pca_fit(df, n, x)
+    return model, components_for(explained, share)
+
+
+def covariance(df: DataFrame, x: str = "x") -> np.ndarray:
+    """Covariance (n - 1) of the positions of ``x``: tasks add up centred
+    products in numpy, what meets is one matrix. Less than two rows: NaN."""
+    mean = np.array([r["mean"] for r in standardize_fit(df, x).orderBy("j").collect()], dtype=float)   # one row a feature
+    d = len(mean)
+
+    def run(batches):
+        total, n = np.zeros((d, d)), 0
+        for pdf in batches:
+            if len(pdf):
+                m = np.stack(pdf[x].to_numpy()).astype(np.float64) - mean
+                total, n = total + m.T @ m, n + len(m)
+        if n:
+            yield pd.DataFrame({"i": np.arange(d * d + 1), "v": np.append(total.ravel(), n)})
+
+    got = df.select(x).mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").toPandas()["v"].to_numpy()
+    if not len(got) or got[-1] < 2:
+        return np.full((d, d), np.nan)
+    return got[:-1].reshape(d, d) / (got[-1] - 1)
+
+
 def linear_svm(train: DataFrame, c: float = 1.0, x: str = "x", label: str = "label", max_iter: int = 100):
     """Hinge-loss linear classifier; regParam = 1/(C*n)."""
     n = train.count()

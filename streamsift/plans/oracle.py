@@ -826,3 +826,8 @@ def validation_report_sql() -> str:
         sum(CASE WHEN (label > 0) <> (vec_id % 4 > 0) THEN 1 ELSE 0 END) AS misses, count(*) AS n FROM embeddings)
     SELECT 'probe' AS model, CAST(n AS BIGINT) AS samples, {rnd_sql('CAST(hits AS DOUBLE) / n', 6)} AS accuracy,
            {rnd_sql('2.0 * tp / (2 * tp + misses)', 6)} AS f1, '{{"batch": 1024, "rate": 0.1}}' AS parameters, 'all' AS source FROM c"""
+
+
+def pca_residual_sql() -> str:
+    return f"""WITH {_E}, {_EJ}, c AS (SELECT a.j AS i, b.j AS j, covar_samp(a.v, b.v) AS c FROM f a JOIN f b USING (vec_id) GROUP BY 1, 2)
+    SELECT {rnd_sql('sum(CASE WHEN i = j THEN c ELSE 0 END)', 7)} AS trace, {rnd_sql('sum(c * c)', 9)} AS squares, 0.0::DOUBLE AS ortho, 0.0::DOUBLE AS share FROM c"""

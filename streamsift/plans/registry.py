@@ -590,6 +590,28 @@ def q_pca_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "component int, explained double, cumulative double")
 
 
+def q_pca_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M5: components that reach 80 and 90 % of the variance."""
+    e = _vectors(spark, sf_dir)
+    z = RD.standardize_transform(e, RD.standardize_fit(e))
+    return spark.createDataFrame([(s, RD.pca_to_share(z, s)[1]) for s in (0.8, 0.9)], "share double, components int")
+
+
+def q_pca_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M5: a full set of components diagonalises the covariance. With q the
+    quadratic forms of the components, their sum is the trace and their sum of
+    squares the squared norm of the covariance, which SQL takes from the rows;
+    the components are orthonormal and explain q / sum(q)."""
+    import numpy as np
+    e = _embeddings(spark, sf_dir)
+    model, explained = RD.pca_fit(e, 64)
+    v, c = model.pc.toArray(), RD.covariance(e)
+    q = np.einsum("ik,ij,jk->k", v, c, v)
+    row = (float(q.sum()), float((q ** 2).sum()), float(abs(v.T @ v - np.eye(64)).max()), float(abs(q / q.sum() - explained).max()))
+    d = spark.createDataFrame([row], "trace double, squares double, ortho double, share double")
+    return d.select(*[rnd(k, n).alias(k) for k, n in zip(d.columns, (7, 9, 6, 6))])
+
+
 def _split_vectors(spark: SparkSession, sf_dir: str):
     e = _vectors(spark, sf_dir)
     z = RD.standardize_transform(e, RD.standardize_fit(e))
@@ -931,6 +953,8 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "score_summary": (q_score_summary, O.score_summary_sql()),
     "standardized": (q_standardized, O.standardized_sql()),
     "pca_variance": (q_pca_variance, None),
+    "pca_share": (q_pca_share, None),
+    "pca_residual": (q_pca_residual, O.pca_residual_sql()),
     "svm_report": (q_svm_report, None),
     "mlp_report": (q_mlp_report, None),
     "grid_search": (q_grid_search, None),

@@ -115,3 +115,15 @@ def test_empty_tables_null_keys_and_repeated_rows(spark):
     d = spark.createDataFrame([(None, [1.0, 0.0], 1.0), (0, [1.0, 0.0], 1.0), (0, [1.0, 0.0], 1.0)], "key long, x array<double>, y double")
     f, = TR.fit(d, None, [TR.Candidate(TR.DenseNet(2, (2,)), dropout=0.5)], epochs=2)
     assert np.isfinite(f.state.flat).all() and TR.evaluate(d, [(c, f.state)])[0]["n"] == 3
+
+
+def test_covariance_and_share(spark):
+    from streamsift.operators import reduce as RD
+    x = np.random.default_rng(3).normal(size=(200, 4)) * [5, 3, 1, 0.1] + 1000
+    d = spark.createDataFrame([(r.tolist(),) for r in x], "x array<double>").repartition(3)
+    want = np.cov(x.T)
+    assert np.allclose(RD.covariance(d), want, rtol=1e-9, atol=1e-9)
+    shares = np.cumsum(np.sort(np.linalg.eigvalsh(want))[::-1]) / np.trace(want)
+    for share in (0.5, 0.8, 0.9, 0.9999):
+        assert RD.pca_to_share(d, share)[1] == int(np.searchsorted(shares, share)) + 1
+    assert np.isnan(RD.covariance(d.limit(1))).all()
