@@ -9,7 +9,10 @@ the next chunk. Each distinct chunk of a block is segmented once:
 * character boundaries that no matching piece covers split chunks further, so
   that long chunks without spaces become short segments;
 * segments of equal length advance together: one numpy maximum per end
-  position over the lengths of the last piece, which stores backpointers.
+  position over the lengths of the last piece, which stores backpointers;
+* a segment longer than a window is cut into windows of equal length, which
+  advance together too (``Model._windows``), so that neither memory nor steps
+  follow the length of a text without spaces.
 
 Characters without a piece fall back to byte pieces. Decoding concatenates
 piece bytes; every encoding is decoded and compared with its text, and a text
@@ -38,6 +41,10 @@ SPACE = "▁"
 BLOCK = 4 << 20
 #: Chunks whose segmentation a worker remembers.
 CACHE_CHUNKS = 1_000_000
+#: Bytes (or characters of a long chunk) whose substrings are held at once.
+STRETCH = 1 << 18
+#: Characters of a window of a long segment, and windows that advance together.
+WINDOW, GROUP = 1024, 64
 #: A character without a piece scores this much below the worst piece.
 UNKNOWN = 10.0
 
@@ -78,7 +85,7 @@ class Model:
             out[i] = r.replace(SPACE.encode(), b" ")
         for b, i in enumerate(self.byte_ids):
             out[i] = bytes([b])
-        self.piece_len = np.array([len(x) for x in out], np.int64)
+        self.piece_len = np.array([len(x) for x in out], np.int32)
         self.piece_at = np.cumsum(self.piece_len) - self.piece_len
         self.piece_bytes = np.frombuffer(b"".join(out), np.uint8)
 
@@ -92,44 +99,163 @@ class Model:
         return out
 
     def segment(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best segmentation of byte spans: (flat ids, ids per span)."""
-        size = end - start
-        own = ragged(buf, start, size)                       # the chunks' bytes, one after another
-        head = np.flatnonzero((own & 0xC0) != 0x80)          # first byte of every character
-        chars = len(head)
-        tail = np.append(head[1:], len(own))
-        chunk = np.searchsorted(np.cumsum(size), head, side="right")
-        last = np.searchsorted(chunk, np.arange(len(start)), side="right")  # one past a chunk's last character
-        hashes, rows = SpanHash(own), []
-        cover = np.zeros(chars + 1, np.int64)
+        """Best segmentation of byte spans: (flat ids, ids per span). Spans are
+        taken a stretch at a time; a span longer than a stretch goes alone."""
+        off = np.zeros(len(start) + 1, np.int64)
+        np.cumsum(end - start, out=off[1:])
+        parts, per = [np.zeros(0, np.int32)], []
+        for i, j in blocks(off, STRETCH):
+            if off[j] - off[i] <= STRETCH:
+                ids, n = self._short(buf, start[i:j], end[i:j])
+            else:
+                ids = self._long(buf[start[i]:end[i]])
+                n = np.array([len(ids)])
+            parts.append(ids)
+            per.append(n)
+        return np.concatenate(parts), np.concatenate([np.zeros(0, np.int64), *per])
+
+    def _rows(self, own: np.ndarray, head: np.ndarray, tail: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+        """Per piece length, the row of the piece that starts at every
+        character, or -1. ``last``: one past the last character it may reach."""
+        hashes, rows, chars = SpanHash(own), [], len(head)
         for n in range(1, self.longest + 1):
             at = np.arange(chars)
-            at = at[at + n <= last[chunk]]
+            at = at[at + n <= last]
             row = np.full(chars, -1, np.int32)
             if len(at):
                 row[at] = self.match(hashes(head[at], tail[at + n - 1]))
             rows.append(row)
-            if n > 1:
-                hit = np.flatnonzero(row >= 0)
-                np.add.at(cover, hit + 1, 1)
-                np.add.at(cover, hit + n, -1)
-        first = np.ones(chars, bool)                          # characters that start a segment
+        return rows
+
+    @staticmethod
+    def _first(rows: list[np.ndarray]) -> np.ndarray:
+        """Characters that no piece joins to the one before."""
+        chars = len(rows[0])
+        cover = np.zeros(chars + 1, np.int64)
+        for n, row in enumerate(rows[1:], 2):
+            hit = np.flatnonzero(row >= 0)
+            np.add.at(cover, hit + 1, 1)
+            np.add.at(cover, hit + n, -1)
+        first = np.ones(chars, bool)
         first[1:] = np.cumsum(cover)[1:chars] == 0
-        seg = np.flatnonzero(first)
+        return first
+
+    def _ids(self, own: np.ndarray, begin: np.ndarray, stop: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces at byte spans, and their number per span: a span
+        without a row falls back to its bytes."""
+        count = np.where(row >= 0, 1, stop - begin)
+        out = np.repeat(np.where(row >= 0, self.ids[row], -1), count)
+        lost = np.flatnonzero(row < 0)
+        if len(lost):
+            out[out < 0] = self.byte_ids[ragged(own, begin[lost], count[lost])]
+        return out.astype(np.int32), count
+
+    def _short(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Spans of one stretch together: (flat ids, ids per span)."""
+        size = end - start
+        own = ragged(buf, start, size)                       # the chunks' bytes, one after another
+        head = np.flatnonzero((own & 0xC0) != 0x80)          # first byte of every character
+        chars = len(head)
+        tail = np.append(head[1:], len(own))
+        chunk = np.searchsorted(np.cumsum(size), head, side="right")
+        last = np.searchsorted(chunk, np.arange(len(start)), side="right")  # one past a chunk's last character
+        rows = self._rows(own, head, tail, last[chunk])
+        seg = np.flatnonzero(self._first(rows))              # characters that start a segment
         length = np.diff(np.append(seg, chars))
         piece = np.full(chars, -2, np.int64)                  # row of the piece that starts here; -1 unknown, -2 none
         for n in np.unique(length):
             self._advance(seg[length == n], int(n), rows, piece)
         begins = np.flatnonzero(piece > -2)
-        row = piece[begins]
-        ids = np.where(row >= 0, self.ids[row], -1)
-        count = np.where(row >= 0, 1, tail[begins] - head[begins])
-        out = np.repeat(ids, count)
-        lost = np.flatnonzero(row < 0)
-        if len(lost):
-            raw = self.byte_ids[ragged(own, head[begins[lost]], count[lost])]
-            out[out < 0] = raw
-        return out.astype(np.int32), np.bincount(chunk[begins], weights=count, minlength=len(start)).astype(np.int64)
+        ids, count = self._ids(own, head[begins], tail[begins], piece[begins])
+        return ids, np.bincount(chunk[begins], weights=count, minlength=len(start)).astype(np.int64)
+
+    @staticmethod
+    def _edges(own: np.ndarray) -> np.ndarray:
+        """First byte of every character, and the end."""
+        at = [a + np.flatnonzero((own[a:a + STRETCH] & 0xC0) != 0x80).astype(np.int32) for a in range(0, len(own), STRETCH)]
+        return np.concatenate([*at, np.array([len(own)], np.int32)])
+
+    def _long(self, own: np.ndarray) -> np.ndarray:
+        """One long span: cut where no piece joins two characters, found a
+        stretch at a time with the longest piece around it; what has no such
+        cut over a whole window goes through ``_windows``."""
+        edge = self._edges(own)
+        chars = len(edge) - 1
+        first = np.ones(chars, bool)
+        for a in range(0, chars, STRETCH):
+            lo, b = max(0, a - self.longest), min(a + STRETCH, chars)
+            hi = min(b + self.longest, chars)
+            rows = self._rows(own[edge[lo]:edge[hi]], edge[lo:hi] - edge[lo], edge[lo + 1:hi + 1] - edge[lo], np.int64(hi - lo))
+            first[a:b] = self._first(rows)[a - lo:b - lo]
+        seg = np.flatnonzero(first).astype(np.int32)
+        stop = np.append(seg[1:], np.int32(chars))
+        big = stop - seg > WINDOW
+        parts, at = [np.zeros(0, np.int32)], 0
+        for k in [*np.flatnonzero(big).tolist(), len(seg)]:
+            if at < k:
+                for i in range(at, k, STRETCH):
+                    j = min(i + STRETCH, k)
+                    parts.append(self.segment(own, edge[seg[i:j]], edge[stop[i:j]])[0])
+            if k < len(seg):
+                parts.append(self._windows(own[edge[seg[k]]:edge[stop[k]]]))
+            at = k + 1
+        return np.concatenate(parts)
+
+    def _windows(self, own: np.ndarray) -> np.ndarray:
+        """Viterbi over one long segment, whose windows of equal length advance
+        together. What precedes a window matters only through the best scores
+        at its last ``longest`` positions: a first pass gives, for each of them
+        alone, the scores behind the window; these chain from window to window
+        and give every window its true start for the second pass, which stores
+        one byte of backpointer a character."""
+        edge, most = self._edges(own), self.longest
+        chars = len(edge) - 1
+        k = np.arange(most, 0, -1)                            # last piece's characters; of equal scores the longest wins
+        starts = np.arange(0, chars, WINDOW)
+        groups = [(g, n) for x in range(0, chars // WINDOW, GROUP) for g, n in [(starts[x:min(x + GROUP, chars // WINDOW)], WINDOW)]]
+        if chars % WINDOW:
+            groups.append((starts[-1:], chars % WINDOW))
+
+        def walk(group, n, past):
+            """Scores at every position of a group's windows. ``past``: scores
+            at the ``longest`` positions before, the farthest first."""
+            lo, hi = max(0, group[0] - most), group[-1] + n
+            rows = self._rows(own[edge[lo]:edge[hi]], edge[lo:hi] - edge[lo], edge[lo + 1:hi + 1] - edge[lo], np.int64(hi - lo))
+            value = np.full((most, most + hi - lo), -np.inf)   # most columns in front: no piece starts before the text
+            for m, row in zip(k.tolist(), rows[::-1]):
+                value[most - m, most:] = np.where(row >= 0, self.scores[row], self.unknown_score if m == 1 else -np.inf)
+            for end in range(1, n + 1):
+                gain = value[most - k[:, None], group[None] - lo + most + end - k[:, None]]
+                every = past + gain.reshape(gain.shape + (1,) * (past.ndim - 2))
+                yield every
+                past = np.concatenate([past[1:], every.max(axis=0)[None]])
+            yield past
+
+        moves = []
+        for group, n in groups:
+            past = np.full((most, len(group), most), -np.inf)
+            past[np.arange(most), :, np.arange(most)] = 0
+            for past in walk(group, n, past):
+                pass
+            moves.extend(past.transpose(1, 0, 2))              # window: score behind it x position before it
+        start = np.full((len(starts) + 1, most), -np.inf)
+        start[0, -1] = 0
+        for w, move in enumerate(moves):
+            start[w + 1] = (move + start[w]).max(axis=1)
+            start[w + 1] -= start[w + 1].max()                 # only differences matter
+        back, done = np.zeros(chars + 1, np.uint8), 0
+        for group, n in groups:
+            for end, every in enumerate(walk(group, n, start[done:done + len(group)].T), 1):
+                if end <= n:
+                    back[group + end] = most - every.argmax(axis=0)
+            done += len(group)
+        step, cut, at = back.tobytes(), bytearray(chars + 1), chars
+        while at:
+            cut[at] = 1
+            at -= step[at]
+        ends = np.flatnonzero(np.frombuffer(cut, np.uint8))
+        begin, stop = edge[np.append(0, ends[:-1])], edge[ends]
+        return self._ids(own, begin, stop, self.match(SpanHash(own)(begin, stop)))[0]
 
     def _advance(self, seg: np.ndarray, n: int, rows: list[np.ndarray], piece: np.ndarray) -> None:
         """Viterbi over segments of ``n`` characters, all at once. Of equal
@@ -161,8 +287,10 @@ class Model:
     def decode(self, ids: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of id sequences without the leading space: (flat, lengths)."""
         n = self.piece_len[ids]
-        flat = ragged(self.piece_bytes, self.piece_at[ids], n)
-        total = np.concatenate([[0], np.cumsum(n)])
+        flat = np.concatenate([self.piece_bytes[:0], *[ragged(self.piece_bytes, self.piece_at[ids[a:a + STRETCH]], n[a:a + STRETCH])
+                                                       for a in range(0, len(ids), STRETCH)]])
+        total = np.zeros(len(n) + 1, np.int64)
+        np.cumsum(n, out=total[1:])
         ends = np.cumsum(per)
         size = total[ends] - total[ends - per]
         keep = np.ones(len(flat), bool)
@@ -202,6 +330,24 @@ class Encoder:
         s, e, doc = self.chunks(buf, off)
         if not len(s):
             return np.zeros(0, np.int32), np.zeros(texts, np.int64)
+        long = e - s > STRETCH
+        if long.any():          # too long to be remembered
+            rest, n = np.flatnonzero(~long), np.zeros(len(s), np.int64)
+            parts = [self.model.segment(buf, s[long], e[long])]
+            n[long] = parts[0][1]
+            if len(rest):
+                parts.append(self._held(buf, s[rest], e[rest]))
+                n[rest] = parts[1][1]
+            start = np.empty(len(s), np.int64)
+            for spans, (ids, per), base in zip((long, rest), parts, (0, len(parts[0][0]))):
+                start[spans] = base + np.cumsum(per) - per
+            flat = ragged(np.concatenate([ids for ids, _ in parts]), start, n) if len(rest) else parts[0][0]
+        else:
+            flat, n = self._held(buf, s, e)
+        return flat, np.bincount(doc, weights=n, minlength=texts).astype(np.int64)
+
+    def _held(self, buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and ids per chunk, from the remembered segmentations."""
         key, cache = SpanHash(buf)(s, e), self.cache
         uniq, first, back = np.unique(key, return_index=True, return_inverse=True)
         if len(cache) + len(uniq) > cache.limit:
@@ -211,7 +357,7 @@ class Encoder:
             w = first[~held]
             cache.add(uniq[~held], *self.model.segment(buf, s[w], e[w]))
             at, n, _ = cache.find(uniq)
-        return ragged(cache.values, at[back], n[back]), np.bincount(doc, weights=n[back], minlength=texts).astype(np.int64)
+        return ragged(cache.values, at[back], n[back]), n[back]
 
     def alone(self, raw: np.ndarray) -> np.ndarray:
         """One text, every chunk segmented by itself."""
@@ -240,7 +386,7 @@ class Encoder:
         """Which texts decode to their bytes."""
         flat, size = self.model.decode(ids, per)
         ok = size == np.diff(off)
-        if ok.all():
+        if ok.all() and len(flat) <= BLOCK:
             diff = np.concatenate([[0], np.cumsum(flat != want[off[0]:off[-1]])])
             at = off - off[0]
             return diff[at[1:]] == diff[at[:-1]]

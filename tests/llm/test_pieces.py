@@ -111,3 +111,38 @@ def test_query(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     assert {r.doc_id: r.text for r in pieces.decode(got, pieces.model_path()).collect()} == texts
     assert got.where("not round_trip or n_tokens != size(ids)").count() == 0
+
+
+def test_long_chunks(enc, monkeypatch):
+    """Stretches and windows change no score, wherever they cut."""
+    rng = np.random.default_rng(5)
+    texts = ["ab" * 300, "x" * 500, "無空白の長い文章" * 60, "".join(rng.choice(list("etaoinshr"), 1500)),
+             "".join(rng.choice(list("aeñ無😀 ")) for _ in range(800)), "antidisestablishment" * 40, "😀" * 90, "=" * 333 + "the" * 200]
+    whole = run(enc, texts)
+    for stretch, window, group in ((64, 16, 3), (200, 37, 1), (50, 5, 4)):
+        monkeypatch.setattr(pieces, "STRETCH", stretch)
+        monkeypatch.setattr(pieces, "WINDOW", window)
+        monkeypatch.setattr(pieces, "GROUP", group)
+        for text, a, b in zip(texts, whole, run(pieces.Encoder(pieces.model_path()), texts)):
+            assert a == b or abs(total(enc.model, a) - total(enc.model, b)) < 1e-6 * len(a), text[:20]
+
+
+@pytest.mark.parametrize("piece", ["x", "無空白", "qz7"])
+def test_eight_megabytes_without_spaces(piece):
+    """Memory of a worker above its start stays below 400 MB."""
+    import subprocess
+    import sys
+    code = f"""
+import resource, pyarrow as pa
+from streamsift.llm import pieces
+enc = pieces.Encoder(pieces.model_path())
+peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10
+list(enc.encode(pa.array(["warm up"])))
+before, text = peak(), {piece!r} * (8_000_000 // len({piece!r}.encode()))
+(_, _, ids, per, same), = enc.encode(pa.array([text]))
+assert same.all() and per.sum() == len(ids)
+print(peak() - before)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout) < 400, done.stdout
