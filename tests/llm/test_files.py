@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from streamsift.llm import exact_dedup, sharding, token_files, warc
@@ -241,3 +242,23 @@ def test_added_tokens_as_the_library_encodes_them(spark, tmp_path):
     folder = f"file://{tmp_path}/t"
     got = token_files.read_tokens(token_files.write_tokens(df, folder, path, 1, partitions=3), folder).collect()
     assert sorted(tuple(r) for r in got) == want
+
+
+def test_ids_of_odd_texts():
+    """Capitals before combining marks, added tokens and contractions in any
+    mixture give the library's ids of the whole text."""
+    import random
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib, enc = Tokenizer.from_file(path), token_files.WordEncoder(path, special_as_text=False)
+    texts = ["J̌ ǰ H̱, T̈.", "<|ENDOFTEXT|> <|endoftext|>. a<|endoftext|>b! x|Y A|B", "don't.stop 'S WORD's. a.'s O'Re Ends' can't!", "",
+             "Éa.̸ ≮ B≮", "Hello,World...(ok)?12a3.b", "a", ".b", "Z", "É.É Ñ,n  x　Y.", "\x00a.\x00 B", "I'LL 'll'd x''s", "end|", "|>Q"]
+    rng = random.Random(3)
+    parts = ["a", "B", "J", ".", ",", "'", "'s", "S", "|", "<|", "|>", "<|endoftext|>", "ENDOFTEXT", "̌", "́", "é", "É", "7", " ", "\n", "-", "re", "LL", "ß", "İ", "Σ", "無"]
+    texts += ["".join(rng.choices(parts, k=rng.randrange(1, 30))) for _ in range(4000)]
+    got = []
+    for _, _, flat, n in token_files.encode_texts(enc, pa.array(texts), 1):
+        got += [x.tolist()[:-1] for x in np.split(flat, np.cumsum(n)[:-1])]
+    bad = [t for t, ids in zip(texts, got) if ids != lib.encode(t, add_special_tokens=False).ids]
+    assert not bad, bad[:5]
