@@ -1,4 +1,4 @@
-"""WARC archives compressed with a per-file Zstandard dictionary.
+"""WARC archives compressed with a Zstandard dictionary.
 
 File layout (``.warc.zst``): a skippable frame that holds the dictionary, then
 one Zstandard frame per record, compressed with that dictionary. Any record
@@ -33,8 +33,10 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 
 #: A file is closed once it has this many compressed bytes.
 FILE_BYTES = 256 << 20
-#: Records that are looked at for the dictionary, in bytes, and its size.
-SAMPLE_BYTES = 4 << 20
+#: Records that the dictionary is built from, the bytes of payload taken of
+#: each, and the dictionary's size.
+SAMPLE_RECORDS = 1024
+SAMPLE_SLICE = 4 << 10
 DICT_BYTES = 64 << 10
 LEVEL = 3
 
@@ -95,10 +97,33 @@ def train(samples: list[bytes]) -> zstandard.ZstdCompressionDict:
         return zstandard.ZstdCompressionDict(b"".join(samples)[:size] or b"WARC/1.1\r\n", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
-def train_cheaply(samples: list[bytes]) -> zstandard.ZstdCompressionDict:
-    """The dictionary sample: of long records a slice, so that many fit in."""
-    each = max(2048, SAMPLE_BYTES // max(1, len(samples)))
-    return train([s[:each] for s in samples])
+def as_dictionary(raw: bytes) -> zstandard.ZstdCompressionDict:
+    kind = zstandard.DICT_TYPE_AUTO if raw[:4] == b"\x37\xa4\x30\xec" else zstandard.DICT_TYPE_RAWCONTENT
+    return zstandard.ZstdCompressionDict(raw, dict_type=kind)
+
+
+def build_dictionary(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html",
+                     date: str = "1970-01-01T00:00:00Z", records: int = SAMPLE_RECORDS) -> bytes | None:
+    """A dictionary from a bounded sample over the whole table: the
+    ``records`` rows of smallest hash, and of a long payload a slice of
+    SAMPLE_SLICE bytes at a place that the hash chooses. One task holds the
+    sample (4 MB) and the driver the dictionary (64 KB). Only compression
+    depends on it. None for an empty table."""
+    rows = (pick(pages, id=key, url=url, html=html)
+            .select("id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
+            .withColumn("h", F.xxhash64("id", "url", "payload")))
+    place = F.pmod(F.col("h"), F.greatest(F.length("payload") - SAMPLE_SLICE, F.lit(0)) + 1).cast("int") + 1
+    some = (rows.select("h", F.col("id").cast("string").alias("id"), "url", F.substring("payload", place, F.lit(SAMPLE_SLICE)).alias("payload"))
+            .orderBy("h", "id").limit(records))   # bounded by ``records``
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = [make_record(i, u, base32_sha1(p or b""), len(p or b""), p or b"", None, date)
+               for pdf in batches for i, u, p in zip(pdf["id"], pdf["url"], pdf["payload"])]
+        if got:
+            yield pd.DataFrame({"raw": [train(got).as_bytes()]})
+
+    found = some.mapInPandas(run, "raw binary").collect()
+    return bytes(found[0].raw) if found else None
 
 
 class Writer:
@@ -131,8 +156,7 @@ def read_archive(fs, path: str) -> Iterator[bytes]:
         if magic != DICT_MAGIC:
             raise ValueError("no dictionary frame")
         raw = src.read(n)
-        kind = zstandard.DICT_TYPE_AUTO if raw[:4] == b"\x37\xa4\x30\xec" else zstandard.DICT_TYPE_RAWCONTENT
-        unzip = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw, dict_type=kind))
+        unzip = zstandard.ZstdDecompressor(dict_data=as_dictionary(raw))
         left, one, parts = b"", unzip.decompressobj(), []
         while True:
             chunk = left or src.read(1 << 20)
@@ -182,27 +206,20 @@ def write_warc(pages: DataFrame, folder: str, key: str = "page_id", url: str = "
                 for i, u, p, n, r, v in zip(pdf["id"], pdf["url"], pdf["payload"], pdf["n"], pdf["refers"], pdf["revisit"]):
                     p = p or b""
                     yield make_record(i, u, base32_sha1(p), n, None if v else p, r, date)
-        todo, held, size = records(), [], 0
-        for rec in todo:  # the first records wait until the dictionary is built
-            held.append(rec)
-            size += len(rec)
-            if size >= SAMPLE_BYTES:
-                break
-        if not held:
-            return
-        dictionary, done, out = train_cheaply(held), [], None
-        for part in (held, todo):
-            for rec in part:
-                out = out or Writer(folder, dictionary)
-                out.write(rec)
-                if out.size >= FILE_BYTES:
-                    done.append(out.close())
-                    out = None
+        dictionary, done, out = None, [], None
+        for rec in records():
+            dictionary = dictionary or as_dictionary(raw)
+            out = out or Writer(folder, dictionary)
+            out.write(rec)
+            if out.size >= FILE_BYTES:
+                done.append(out.close())
+                out = None
         if out:
             done.append(out.close())
         yield pd.DataFrame(done, columns=["file", "records", "bytes"])
 
     file_system_ready(folder)
+    raw = build_dictionary(pages, key, url, html, date)
     rows = classify(pages, key, url, html, min_bytes).withColumn("revisit", F.col("refers").isNotNull())
     as_text = [F.col(c).cast("string").alias(c) for c in ("id", "refers")]  # pandas would turn ids next to nulls into doubles
     return durable(rows.select(*as_text, "url", "payload", "n", "revisit").mapInPandas(run, "file string, records long, bytes long"))

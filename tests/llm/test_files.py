@@ -144,7 +144,7 @@ def test_warc_query(spark):
 def test_warc_file_format(tmp_path):
     """Frames stand alone behind the dictionary frame."""
     recs = [warc.make_record(i, "http://a/b c\r\nX: y", "D", 5, b"<a>%d</a>" % i, None, "2020-01-01T00:00:00Z") for i in range(300)]
-    w = warc.Writer(str(tmp_path), warc.train_cheaply(recs))
+    w = warc.Writer(str(tmp_path), warc.train(recs))
     for r in recs:
         w.write(r)
     name, n, size = w.close()
@@ -262,3 +262,15 @@ def test_ids_of_odd_texts():
         got += [x.tolist()[:-1] for x in np.split(flat, np.cumsum(n)[:-1])]
     bad = [t for t, ids in zip(texts, got) if ids != lib.encode(t, add_special_tokens=False).ids]
     assert not bad, bad[:5]
+
+
+def test_warc_dictionary_covers_the_table(spark):
+    """The sample is spread over all rows, is bounded, and follows no order of
+    files; an empty table has none."""
+    from pyspark.sql import functions as F
+    pages = spark.range(4000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"),
+                                     F.when(F.col("id") < 200, F.lit("first " * 2000)).otherwise(F.concat(F.lit("later half of the table "), F.sha2(F.col("id").cast("string"), 256))).alias("html"))
+    raw = warc.build_dictionary(pages)
+    assert len(raw) <= warc.DICT_BYTES and b"later half" in raw
+    assert raw == warc.build_dictionary(pages.orderBy(F.desc("page_id")))
+    assert warc.build_dictionary(pages.limit(0)) is None
