@@ -106,15 +106,22 @@ def build_dictionary(pages: DataFrame, key: str = "page_id", url: str = "url", h
                      date: str = "1970-01-01T00:00:00Z", records: int = SAMPLE_RECORDS) -> bytes | None:
     """A dictionary from a bounded sample over the whole table: the
     ``records`` rows of smallest hash, and of a long payload a slice of
-    SAMPLE_SLICE bytes at a place that the hash chooses. One task holds the
-    sample (4 MB) and the driver the dictionary (64 KB). Only compression
-    depends on it. None for an empty table."""
+    SAMPLE_SLICE bytes at a place that the hash chooses. The row count gives a
+    hash cut under which about four times as many rows lie; equal rows count
+    once. So one task gets some 16 MB for any table, and the driver the
+    dictionary (64 KB). Only compression depends on it. None for an empty
+    table, or where by chance no row lies below the cut."""
+    total = pages.count()
+    if not total:
+        return None
     rows = (pick(pages, id=key, url=url, html=html)
             .select("id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
             .withColumn("h", F.xxhash64("id", "url", "payload")))
     place = F.pmod(F.col("h"), F.greatest(F.length("payload") - SAMPLE_SLICE, F.lit(0)) + 1).cast("int") + 1
-    some = (rows.select("h", F.col("id").cast("string").alias("id"), "url", F.substring("payload", place, F.lit(SAMPLE_SLICE)).alias("payload"))
-            .orderBy("h", "id").limit(records))   # bounded by ``records``
+    cut = min(1 << 40, (1 << 40) * 4 * records // total + 1)
+    some = (rows.where(F.pmod("h", F.lit(1 << 40)) < cut)
+            .groupBy("h").agg(F.min(F.struct(F.col("id").cast("string").alias("id"), "url", F.substring("payload", place, F.lit(SAMPLE_SLICE)).alias("payload"))).alias("one"))
+            .orderBy("h").limit(records).select("h", "one.*"))   # bounded by ``records``
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = [make_record(i, u, base32_sha1(p or b""), len(p or b""), p or b"", None, date)
@@ -208,7 +215,7 @@ def write_warc(pages: DataFrame, folder: str, key: str = "page_id", url: str = "
                     yield make_record(i, u, base32_sha1(p), n, None if v else p, r, date)
         dictionary, done, out = None, [], None
         for rec in records():
-            dictionary = dictionary or as_dictionary(raw)
+            dictionary = dictionary or as_dictionary(raw or b"WARC/1.1\r\n")
             out = out or Writer(folder, dictionary)
             out.write(rec)
             if out.size >= FILE_BYTES:
