@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from streamsift.operators.windows import anchored_windows
@@ -49,3 +51,26 @@ def test_windows_partition_frames(spark):
     w = anchored_windows(d, 7_000_000)
     assert w.count() == 100
     assert w.where(F.col("window_start_us").isNull()).count() == 0
+
+
+@pytest.mark.parametrize("width", [7, 60, 5000])
+def test_no_group_holds_a_crowded_width(spark, monkeypatch, width):
+    """Dense frames, in one burst or throughout: groups stay small and the windows are the same."""
+    from streamsift.operators import windows as W
+    rng = np.random.default_rng(width)
+    ts = np.sort(np.concatenate([rng.integers(0, 4000, 900), rng.integers(1000, 2000, 900)]))
+    d = spark.createDataFrame([("c", i, int(t)) for i, t in enumerate(ts)], "capture_id string, seq long, ts_us long")
+    sizes = []
+    grouped = type(d.groupBy("seq")).applyInPandas
+
+    def spied(self, fn, schema):
+        out = grouped(self, fn, schema)
+        sizes.append(self._df.groupBy("capture_id", "seg").count().agg(F.max("count")).first()[0] or 0)
+        return out
+    monkeypatch.setattr(type(d.groupBy("seq")), "applyInPandas", spied)
+    got = {r["seq"]: r["window_start_us"] for r in W.anchored_windows(d, width, segment_rows=50).collect()}
+    start, want = None, {}
+    for i, t in enumerate(ts):
+        start = int(t) if start is None or t > start + width else start
+        want[i] = start
+    assert got == want and sizes and max(sizes) <= W.CROWDED * 50
