@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from streamsift.functions import packet as P
 from streamsift.operators import decay as DC
 from streamsift.operators import detector as DT
+from streamsift.operators import metrics as MT
 from streamsift.operators import prefix as PX
 
 
@@ -141,3 +142,22 @@ def test_stream_identity_rules(spark):
     assert got == [(0, "1.1.1.1", "2.2.2.2", "80", "90"), (1, "fe80::1", "fe80::2", "53", "54"),
                    (0, "3.3.3.3", "4.4.4.4", "arp", "arp"), (0, "1.1.1.1", "2.2.2.2", "icmp", "icmp"),
                    (None, "m1", "m2", "", "")]
+
+
+def test_distance_groups_grow_with_the_tasks_not_the_blocks():
+    """Copies of a side are its rows times the other side's groups."""
+    for n, m in ((108_000, 12_000), (648_000, 72_000), (12_000, 108_000)):
+        nq, nr = MT._groups((n, 64), (m, 64), 100, 12)
+        assert n * nr + m * nq < 4 * (n + m) + 48 * min(n, m) and -(-n // nq) * 64 <= 2 * MT.GROUP_VALUES and -(-m // nr) * 64 <= 2 * MT.GROUP_VALUES
+    assert MT._groups((30, 64), (0, 1), 100, 12) == (1, 1) and MT._groups((0, 1), (30, 64), 100, 12) == (1, 1)
+
+
+def test_distances_do_not_depend_on_the_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(90, 4)), rng.normal(size=(40, 4))
+    q, r = (spark.createDataFrame([(i, [float(k) for k in v]) for i, v in enumerate(m)], "id long, v array<double>") for m in (x, y))
+    d = np.sqrt(((x[:, None, :] - y[None]) ** 2).sum(axis=2))
+    for values, block in ((1 << 22, 7), (64, 1000)):
+        monkeypatch.setattr(MT, "GROUP_VALUES", values)
+        got = {k["id"]: (k["min_dist"], k["max_dist"]) for k in MT.reference_distances(q, r, "id", "v", block_rows=block).collect()}
+        assert len(got) == 90 and all(abs(got[i][0] - d[i].min()) < 1e-12 and abs(got[i][1] - d[i].max()) < 1e-12 for i in range(90))
