@@ -157,6 +157,13 @@ def _held(sums: DataFrame, keys: list[str], lambdas: list[float], seq: str = "se
             .select(*keys, "seq", "t", "v0", F.transform("_r", lambda x: x["sums"]).alias("carried")))
 
 
+def _held_wide(sums: DataFrame, keys: list[str], seq: str = "seq", t: str = "t") -> DataFrame:
+    """``_held`` for sums whose rates stand side by side."""
+    carried = F.transform(F.arrays_zip("w", "d1", "d2"), lambda s: F.struct(*[s[n].alias(n) for n in DC.SUMS]))
+    return (sums.groupBy(*keys).agg(F.max_by(F.struct("v0", *DC.SUMS), seq).alias("s"), F.max(seq).alias("seq"), F.max(t).alias("t"))
+            .select(*keys, "seq", "t", "s.*").select(*keys, "seq", "t", "v0", carried.alias("carried")))
+
+
 def _joined(rows: DataFrame, state: DataFrame | None, keys: list[str], lambdas: list[float]) -> DataFrame:
     """Rows (keys, seq, t, v) and one carried row per earlier stream."""
     kind = "array<struct<w:double,d1:double,d2:double>>"
@@ -184,22 +191,26 @@ PAIR_STATES = ["roles", "pairs"]
 def pair_step(lambdas: list[float], src: str = "src", dst: str = "dst") -> Step:
     """(src, dst, seq, t, v) -> per row and rate radius, magnitude, cov, pcc, as
     ``decay.pair_stats_2d``. States: ``roles`` (a row per sender and receiver
-    stream) and ``pairs`` (a row per pair and rate)."""
+    stream) and ``pairs`` (a row per pair and rate). The rates of the roles
+    stay side by side, and only the products are multiplied by them."""
     lambdas = [float(x) for x in lambdas]
     kind = "struct<w:double,d1:double,d2:double>"
 
     def step(rows: DataFrame, state: State) -> tuple[State, State]:
         base = rows.select("seq", "t", F.col("v").cast("double").alias("v"), src, dst)
         d = _joined(DC.pair_roles(base, src, dst), state.get("roles"), ["dir", "k"], lambdas)
-        sums = cut_lineage(DC.decayed_sums(d, ["dir", "k", "lam"], lambdas=lambdas, carried="carried"))
-        wide = cut_lineage(DC.pair_means(DC.moments(sums.where("carried is null"))))
-        pairs = DC.pair_residuals(base, wide, src, dst).drop("v", src, dst).withColumn("carried", F.lit(None).cast(kind))
+        sums = cut_lineage(DC.decayed_sums(d, ["dir", "k", "lam"], lambdas=lambdas, carried="carried", wide=True))
+        sides = cut_lineage(DC.pair_sides(sums.where("carried is null"), lambdas, largest=True))
+        per = F.explode(F.array(*[F.struct(F.lit(x).alias("lam"), F.col("r")[j].alias("r")) for j, x in enumerate(lambdas)])).alias("_p")
+        pairs = (DC.pair_products(base, sides, src, dst, lambdas).select("seq", "t", "pk", per)
+                 .select("seq", "t", "pk", "_p.lam", "_p.r", F.lit(None).cast(kind).alias("carried")))
         if state:
-            pairs = pairs.unionByName(state["pairs"].withColumnRenamed("v0", "r"), allowMissingColumns=True)
+            pairs = pairs.unionByName(state["pairs"].withColumnRenamed("v0", "r"))
         cov = cut_lineage(DC.decayed_sums(pairs, ["pk", "lam"], v="r", carried="carried"))
         held = (cov.groupBy("pk", "lam").agg(F.max_by(F.struct("v0", *DC.SUMS), "seq").alias("s"), F.max("seq").alias("seq"), F.max("t").alias("t"))
                 .select("pk", "lam", "seq", "t", "s.v0", F.struct(*[F.col(f"s.{n}").alias(n) for n in DC.SUMS]).alias("carried")))
-        return {"stats": DC.pair_values(cov.where("carried is null"))}, {"roles": _held(sums, ["dir", "k"], lambdas), "pairs": held}
+        out = cov.where("carried is null").select("seq", "lam", (F.col("cf1") / F.col("w")).alias("c")).join(sides, "seq")
+        return {"stats": DC.pair_values(out, lambdas)}, {"roles": _held_wide(sums, ["dir", "k"]), "pairs": held}
 
     return step
 

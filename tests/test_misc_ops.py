@@ -161,3 +161,12 @@ def test_distances_do_not_depend_on_the_blocks(spark, monkeypatch):
         monkeypatch.setattr(MT, "GROUP_VALUES", values)
         got = {k["id"]: (k["min_dist"], k["max_dist"]) for k in MT.reference_distances(q, r, "id", "v", block_rows=block).collect()}
         assert len(got) == 90 and all(abs(got[i][0] - d[i].min()) < 1e-12 and abs(got[i][1] - d[i].max()) < 1e-12 for i in range(90))
+
+
+def test_histogram_joins_no_row_by_its_stream_alone(spark, monkeypatch):
+    """A join on the stream alone would put it into one task."""
+    on, join = [], type(spark.range(1)).join
+    monkeypatch.setattr(type(spark.range(1)), "join", lambda self, other, by=None, how="inner": on.append(by) or join(self, other, by, how))
+    d = spark.createDataFrame([("s", i, i / 4, float(i % 10)) for i in range(40)], "k string, seq long, t double, v double")
+    assert DC.histogram_score(d, ["k"], 5, 0.0, 10.0, window=1, lambdas=[1.0]).count() == 40
+    assert on and ["k"] not in on
