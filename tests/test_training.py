@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,3 +128,23 @@ def test_covariance_and_share(spark):
     for share in (0.5, 0.8, 0.9, 0.9999):
         assert RD.pca_to_share(d, share)[1] == int(np.searchsorted(shares, share)) + 1
     assert np.isnan(RD.covariance(d.limit(1))).all()
+
+
+def test_candidates_share_their_draws(spark, monkeypatch):
+    """Four candidates of one size draw a block's dropout once; states equal those trained alone."""
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0, float(i % 3)], float(i % 2)) for i in range(50)], "key long, x array<double>, y double").coalesce(1)
+    many = [TR.Candidate(TR.DenseNet(4, (3,)), rate, "adam", 16, dropout) for rate in (0.1, 0.01) for dropout in (0.2, 0.4)]
+    states = [TR.State.fresh(c.net.start(1)) for c in many]
+    alone = [TR.averaged_epoch(rows, [w], 2)[0][0].flat for w in zip(many, states)]
+    calls, draw = [], TR.draw
+    monkeypatch.setattr(TR, "draw", lambda keys, cells, *a: calls.append(len(cells)) or draw(keys, cells, *a))
+
+    class Rows:
+        sparkSession = rows.sparkSession
+
+        def mapInPandas(self, run, schema):
+            got = pd.concat(run([rows.toPandas()]))
+            return spark.createDataFrame(got, schema)
+    together = [s.flat for s, _, _ in TR.averaged_epoch(Rows(), list(zip(many, states)), 2)]
+    assert sum(n == 3 for n in calls) == 1
+    assert all(np.allclose(a, b, atol=1e-12) for a, b in zip(alone, together))
