@@ -44,7 +44,7 @@ def _im2col(x: np.ndarray, padding: str = "valid", stride: int = 1) -> np.ndarra
 
 def forward(p: dict, x: np.ndarray):
     cols = _im2col(x, p.get("padding", "valid"), p.get("stride", 1))
-    z = cols @ p["Wc"].T + p["bc"]
+    z = (cols.reshape(-1, cols.shape[2]) @ p["Wc"].T + p["bc"]).reshape(*cols.shape[:2], -1)
     a = np.maximum(z, 0.0)
     idx = a.argmax(axis=1)
     m = np.take_along_axis(a, idx[:, None, :], axis=1)[:, 0, :]
@@ -66,7 +66,7 @@ def gradients(p: dict, x: np.ndarray, y: np.ndarray):
     b_ix = np.arange(x.shape[0])[:, None]
     k_ix = np.arange(z.shape[2])[None, :]
     dz[b_ix, idx, k_ix] = dm * (z[b_ix, idx, k_ix] > 0)
-    dWc = np.einsum("brk,brj->kj", dz, cols)
+    dWc = dz.reshape(-1, dz.shape[2]).T @ cols.reshape(-1, cols.shape[2])
     dbc = dz.sum(axis=(0, 1))
     return {"Wc": dWc, "bc": dbc, "wd": dwd, "bd": dbd}, float(loss)
 
@@ -87,28 +87,36 @@ def _unflat(v: np.ndarray, like: dict) -> dict:
     return out
 
 
-def _stack(col) -> np.ndarray:
-    return np.stack([np.stack(r) for r in col]).astype(np.float64)
+def _stack(col, width: int) -> np.ndarray:
+    """Flat samples, one array of plain numbers each, as (rows, n, width)."""
+    return np.stack(col.to_numpy()).astype(np.float64).reshape(len(col), -1, width)
+
+
+def _flat_samples(d: DataFrame, *others) -> DataFrame:
+    """``others`` and every sample as one flat array: nested ones reach Python
+    as objects of objects, row by row."""
+    return d.select(*others, F.flatten("set_x").alias("x"))
 
 
 def _grad_job(spark: SparkSession, data: DataFrame, params: dict) -> tuple[np.ndarray, float, int]:
     """One job: per-partition gradient sums, reduced by index.  Index -1
     carries the summed loss and -2 the row count."""
     bp = spark.sparkContext.broadcast(params)
+    width = params["Wc"].shape[1] // 3
 
     def run(batches):
         tot, loss, n = None, 0.0, 0
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            g, lo = gradients(bp.value, _stack(pdf["set_x"]), pdf["set_y"].to_numpy(dtype=np.float64))
+            g, lo = gradients(bp.value, _stack(pdf["x"], width), pdf["set_y"].to_numpy(dtype=np.float64))
             v = _flat(g)
             tot = v if tot is None else tot + v
             loss, n = loss + lo, n + len(pdf)
         if tot is not None:
             yield pd.DataFrame({"i": np.concatenate([np.arange(len(tot)), [-1, -2]]),
                                 "g": np.concatenate([tot, [loss, float(n)]])})
-    rows = (data.select("set_x", "set_y").mapInPandas(run, "i long, g double")
+    rows = (data.select("x", "set_y").mapInPandas(run, "i long, g double")
             .groupBy("i").agg(F.sum("g").alias("g")).collect())
     if not rows:
         return np.zeros(_flat(params).size), 0.0, 0
@@ -122,8 +130,8 @@ def train_cnn(spark: SparkSession, train: DataFrame, val: DataFrame | None, n_fe
               stride: int = 1):
     """M6/M7: returns (params, history list of (epoch, train_loss, val_loss))."""
     from ..session import cut_lineage
-    train = cut_lineage(train.select("set_x", "set_y"))
-    val = cut_lineage(val.select("set_x", "set_y")) if val is not None else None
+    train = cut_lineage(_flat_samples(train, "set_y"))
+    val = cut_lineage(_flat_samples(val, "set_y")) if val is not None else None
     p = init_cnn(n_features, kernels, seed, padding, stride)
     v = _flat(p)
     m1, m2 = np.zeros_like(v), np.zeros_like(v)
@@ -158,15 +166,16 @@ def predict_cnn(samples: DataFrame, params: dict, keys: list[str], threshold: fl
     spark = samples.sparkSession
     bp = spark.sparkContext.broadcast(params)
     types = dict(samples.dtypes)
+    width = params["Wc"].shape[1] // 3
 
     def run(batches):
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            prob, _ = forward(bp.value, _stack(pdf["set_x"]))
+            prob, _ = forward(bp.value, _stack(pdf["x"], width))
             out = pdf[keys].copy()
             out["p"] = prob
             out["pred"] = (prob > threshold).astype(np.int32)
             yield out
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", p double, pred int"
-    return samples.select(*keys, "set_x").mapInPandas(run, schema)
+    return _flat_samples(samples, *keys).mapInPandas(run, schema)

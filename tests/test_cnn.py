@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 
 from streamsift.operators import cnn as CN
 
@@ -37,3 +38,15 @@ def test_training_reduces_loss(spark):
     pred = CN.predict_cnn(d, params, ["sample_id", "set_y"]).collect()
     acc = np.mean([r["pred"] == r["set_y"] for r in pred])
     assert acc > 0.8
+
+
+def test_samples_reach_the_tasks_flat(spark):
+    """Stacking takes one array a row, not an array of arrays."""
+    assert CN._stack(pd.Series([np.arange(6.0), np.arange(6.0)]), 3).shape == (2, 2, 3)
+    d = spark.createDataFrame([(i, [[float(i), 1.0], [0.0, 2.0], [1.0, 0.0]], i % 2) for i in range(9)], "sample_id long, set_x array<array<double>>, set_y int")
+    flat = CN._flat_samples(d, "set_y")
+    assert dict(flat.dtypes)["x"] == "array<double>" and flat.first()["x"] == [0.0, 1.0, 0.0, 2.0, 1.0, 0.0]
+    p = CN.init_cnn(2, kernels=3)
+    want = CN.forward(p, np.array([[[i, 1.0], [0.0, 2.0], [1.0, 0.0]] for i in range(9)]))[0]
+    got = {r["sample_id"]: r["p"] for r in CN.predict_cnn(d, p, ["sample_id"]).collect()}
+    assert all(abs(got[i] - want[i]) < 1e-12 for i in range(9))
