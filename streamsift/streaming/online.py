@@ -30,11 +30,13 @@ def scratch(spark: SparkSession, name: str) -> str:
 FILE_ROWS = 1000
 
 
-def replay_files(df: DataFrame, path: str, seq: str, parts: int, files: int = 4) -> int:
+def replay_files(df: DataFrame, path: str, seq: str, parts: int, files: int | None = None) -> int:
     """Write ``df`` as ``parts`` successive appends ordered by ``seq``, each of
     the same number of files, which is returned: a stream that takes so many
     files per trigger gets one part per micro-batch. Parts too small for
-    several files have one."""
+    several files have one. ``files``: at most so many (by default as many as
+    tasks run at a time, four at least), so that large parts keep all of them busy."""
+    files = max(4, df.sparkSession.sparkContext.defaultParallelism) if files is None else files
     lo, hi = df.agg(F.min(seq), F.max(seq)).first()
     if lo is None:
         df.write.mode("append").parquet(path)

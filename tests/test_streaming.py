@@ -147,3 +147,22 @@ def test_stream_scoring(spark):
     a = {r["seq"]: r["rmse"] for r in spark.read.parquet(out).collect()}
     b = {r["seq"]: r["rmse"] for r in DT.score(vec, model).collect()}
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
+
+
+def test_large_parts_are_replayed_in_many_files(spark, tmp_path):
+    from streamsift.streaming import online as ON
+    n = ON.replay_files(spark.range(40_000).withColumnRenamed("id", "seq"), str(tmp_path / "r"), "seq", 2, 12)
+    assert n == 12 and ON.replay_files(spark.range(40).withColumnRenamed("id", "seq"), str(tmp_path / "s"), "seq", 2) == 1
+
+
+def test_a_step_writes_its_frames_once(spark, monkeypatch):
+    """The frames of a micro-batch are written with their running maximum, not again with their windows."""
+    written, cut = [], EP.cut_lineage
+    monkeypatch.setattr(EP, "cut_lineage", lambda d: written.append(d.columns) or cut(d))
+    rows = [("c", i, i * 10, True, ("a", 1, "b", 2, 6), *[float(i)] * 10) for i in range(20)]
+    names = [f"f{i}" for i in range(1, 11)]
+    frames = spark.createDataFrame(rows, "capture_id string, seq long, ts_us long, accepted boolean, id_fwd struct<src:string,sport:int,dst:string,dport:int,proto:int>, "
+                                   + ", ".join(f"{c} double" for c in names))
+    out, state = EP.fragment_step(50, 3)(frames, {})
+    assert not [c for c in written if "f1" in c and "pos" not in c]
+    assert out["fragments"].count() == 9 and state["open"].count() == 2
